@@ -1,0 +1,147 @@
+"""Personal data: expressions propose spans, checksums confirm them, words nearby adjust the score."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .bytewords import strings
+
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "iban")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: The base expressions.  Where a match can't start inside a digit run, saying so keeps long runs linear.
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: Lengths of account numbers in the public IBAN registry.
+IBAN_LENGTH = {"AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26}
+SCORE = {"email": 0.9, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.8}
+CONTEXT = {
+    "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|kontakt|correo|courriel)"),
+    "ip": re.compile(r"(?i)\b(?:ip|host|server|address|adresse)"),
+    "card": re.compile(r"(?i)\b(?:card|visa|credit|karte|tarjeta|carte)"),
+    "phone": re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax|fon|tel[eé]fono|t[eé]l)"),
+    "iban": re.compile(r"(?i)\b(?:iban|account|bank|konto|cuenta|compte)"),
+}
+AGAINST = re.compile(r"(?i)\b(?:version|isbn|example|invalid|order|serial)\b")
+
+
+def luhn(digits: str) -> bool:
+    """The checksum of payment cards."""
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        x = ord(c) - 48
+        total += x if i % 2 == 0 else 2 * x - 9 * (x > 4)
+    return total % 10 == 0
+
+
+def mod97(account: str) -> bool:
+    """The checksum of IBANs: letters count 10 to 35, the first four characters move to the end."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of ``[A-Za-z0-9._%+-]+@`` and a domain; found from each @, so runs without one cost nothing."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        end = start < at and DOMAIN.match(text, at + 1)
+        if end:
+            yield start, end.end()
+            done = end.end()
+        at = text.find("@", max(at + 1, done))
+
+
+def _octet(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) <= 3 and (not part or int(part) <= 255)
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the four base kinds, in code points; matches that fail their test are dropped."""
+    out = [(s, e, "email") for s, e in emails(text)]
+    out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(map(_octet, m[0].split(".")))]
+    for m in CARD.finditer(text):
+        if m.end() - m.start() >= 12:
+            digits = m[0].replace(" ", "").replace("-", "")
+            if 12 <= len(digits) <= 19 and luhn(digits):
+                out.append((m.start(), m.end(), "card"))
+    out += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if 9 <= sum(map(str.isdigit, m[0])) <= 15]
+    return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of a known country and length that pass mod 97."""
+    for m in IBAN.finditer(text):
+        need, count, end = IBAN_LENGTH.get(m[0][:2]), 0, None
+        for i, c in enumerate(m[0] if need else ""):
+            count += c != " "
+            if count == need:
+                end = m.start() + i + 1
+                break
+        if end and not text[end : end + 1].isalnum() and mod97(text[m.start() : end].replace(" ", "")):
+            yield m.start(), end
+
+
+def score(text: str, start: int, end: int, kind: str, reach: int = 40) -> float:
+    """How sure a span is, from 0 to 1: the kind's own surety, more near a word that names it, less near one that speaks against."""
+    near = text[max(0, start - reach) : start] + " " + text[end : end + reach // 2]
+    return round(min(1.0, max(0.0, SCORE[kind] + 0.2 * bool(CONTEXT[kind].search(near)) - 0.3 * bool(AGAINST.search(near)))), 3)
+
+
+def find_spans(text: str, least: float = 0.5) -> list[tuple[int, int, str, float]]:
+    """All spans with scores.  Base spans stay whatever their score; others need ``least``."""
+    spans = [(s, e, k, score(text, s, e, k)) for s, e, k in base_spans(text)]
+    more = [(s, e, "iban", score(text, s, e, "iban")) for s, e in ibans(text)]
+    return sorted(spans + [x for x in more if x[3] >= least], key=lambda x: (x[0], KINDS.index(x[2])))
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
+    """id and ``found``: array of (kind, start, end, score) by start, then kind; in code points, end exclusive.
+
+    One row per row of ``docs``, whole texts; null counts as empty; repeated rows answer alike; other
+    columns are ignored; an empty table gives none.
+    """
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[{"kind": k, "start": s, "end": e, "score": x} for s, e, k, x in find_spans(t, least)] for t in strings(b.column(1)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["_id", "_found"])
+
+    read = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
+    return read.mapInArrow(run, "_id long, _found array<struct<kind:string,start:bigint,end:bigint,score:double>>").select(F.col("_id").alias(id_col), F.col("_found").alias("found"))
+
+
+def redact(text: str, spans: list[tuple[int, int, str, float]]) -> str:
+    """The text with each span replaced by its kind in brackets; of overlapping spans the first stands."""
+    out, at = [], 0
+    for s, e, k, _ in spans:
+        if s >= at:
+            out += [text[at:s], f"[{k}]"]
+            at = e
+    return "".join([*out, text[at:]])
+
+
+def span_digest(text: str) -> str:
+    """The base spans of one text as the digest query prints them."""
+    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base_spans(text)).encode()).hexdigest()
+
+
+def summarise(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Counts by base kind, the base spans' digest and all spans as text."""
+    label = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    base = F.filter("found", lambda x: x["kind"].isin(*BASE))
+    of = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    counts = [of(k).alias(f"n_{k}") for k in BASE]
+    return found.select(id_col, *counts, F.sha2(F.array_join(F.transform(base, label), ","), 256).alias("base_sha256"), F.array_join(F.transform("found", label), ",").alias("spans"), F.array_max(F.transform("found", lambda x: x["score"])).alias("top_score"))
