@@ -47,19 +47,25 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def id_type(coder) -> str:
+    """Two bytes for an id where the vocabulary allows."""
+    return "<u2" if coder.n_vocab <= 1 << 16 else "<u4"
+
+
 def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """_pid, _before (tokens before it in its partition), id, _n and _ids (little-endian unsigned 32 bit); parked once."""
+    """_pid, _before (tokens before it in its partition), id, _n and _ids (little-endian, unsigned, as wide as the vocabulary needs); parked once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pid, before = encoder(vocabulary).encode_ordinary, TaskContext.get().partitionId(), 0
+        coder, pid, before = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encode, kind = coder.encode_ordinary, id_type(coder)
         for b in batches:
-            # A few hundred rows at a time, so that ids of long texts don't pile up.
-            for i in range(0, b.num_rows, 256):
-                ids = [np.array([*encode(t), END], "<u4") for t in strings(b.column(1).slice(i, 256)).to_pylist()]
+            # A few rows at a time, so that ids of long texts don't pile up.
+            for i in range(0, b.num_rows, 64):
+                ids = [np.array([*encode(t), END], kind) for t in strings(b.column(1).slice(i, 64)).to_pylist()]
                 n = np.array([len(x) for x in ids], np.int64)
                 start = before + np.cumsum(n) - n
                 before += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), pid, np.int64)), pa.array(start), b.column(0).slice(i, 256), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())], names=["_pid", "_before", "_id", "_n", "_ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), pid, np.int64)), pa.array(start), b.column(0).slice(i, 64), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())], names=["_pid", "_before", "_id", "_n", "_ids"])
 
     read = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     return park(read.mapInArrow(run, "_pid long, _before long, _id long, _n long, _ids binary"))
@@ -76,15 +82,18 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "
     totals = parked.groupBy("_pid").agg(F.sum("_n").alias("_total"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(F.col("_pid").alias("_p"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    # A row per partition: some 16 bytes for each 128 MB of input; Spark broadcasts it below its own threshold.
+    # A row per partition: some 16 bytes for each 128 MB of input.  Parked, its size is known, and Spark
+    # broadcasts it below its threshold or joins by shuffle.
+    base = park(base)
     placed = parked.join(base, F.col("_pid") == F.col("_p")).select("_id", "_n", (F.col("_base") + F.col("_before")).alias("_at"), "_ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = id_type(encoder(vocabulary))
         names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         for b in batches:
             rows: list[tuple] = []
             for d, n, at, ids in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3), strict=True):
-                raw, start = ids.as_py(), 0
+                raw, start = np.frombuffer(ids.as_buffer(), kind).astype("<u4").tobytes(), 0
                 while start < n:
                     seq, place = divmod(at + start, width)
                     length = min(n - start, width - place)

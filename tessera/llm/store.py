@@ -17,6 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows in an Arrow batch while a table is parked, and bytes that a Parquet writer gathers: both per task.
+ARROW_ROWS, GROUP_BYTES = 1024, 16 << 20
+
+
 def park(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
@@ -25,7 +29,13 @@ def park(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parked-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(rows)
+    spark.conf.set(rows, ARROW_ROWS)
+    try:
+        df.write.option("compression", codec).option("parquet.block.size", GROUP_BYTES).parquet(path)
+    finally:
+        spark.conf.set(rows, was)
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
