@@ -152,7 +152,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     cut = known.where("_size > 0").select("s", "_row", "_id", "_at", "_size", F.explode(ids).alias("block"))
     begin = F.greatest(F.col("_at"), F.col("block") * block)
     cut = cut.select("s", "block", "_row", "_id", (begin - F.col("_at")).alias("start"), (begin - F.col("block") * block).alias("_in"), (F.least(F.col("_at") + F.col("_size"), (F.col("block") + 1) * block) - begin).alias("_len"))
-    met = drawn.join(cut, ["s", "block"]).where("_in < owed")
+    # The parked table is so compact that Spark would take its pieces for small enough to broadcast.
+    met = drawn.join(cut.hint("merge"), ["s", "block"]).where("_in < owed")
     pieces = met.select("shard", "s", "slot", "block", "_row", F.col("_id").alias(id_col), "start", F.col("_in").alias("place"), F.least(F.col("_len"), F.col("owed") - F.col("_in")).alias("length"))
     taken = pieces.groupBy("_row").agg(F.sum("length").alias("taken"))
     documents = known.join(taken.withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r"), "left").select(F.col("_id").alias(id_col), F.col("_source").alias(source), F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "_row")
