@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, ngram_join, packing, pii, pivots, shards, substrings, urls
+from . import exact, mixing, ngram_join, packing, pii, pivots, quality, shards, substrings, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(_read(spark, sf_dir, "embeddings"))
 
@@ -51,7 +55,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_packing, op5_near_vectors, op6_ngram_join, op7_pii, op8_exact_dedup, op9_sharding, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_packing, op4_quality, op5_near_vectors, op6_ngram_join, op7_pii, op8_exact_dedup, op9_sharding, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": """
