@@ -94,12 +94,13 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 7, max_sources: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 7, max_sources: int = 1_000_000, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix.
 
     documents: id, source, size, source_size, target, taken, one row per row of ``docs``.
-    pieces: shard, s (source number), slot, block, id, start, place, length: ``length`` words of a
+    pieces: shard, s (source number), slot, turn, block, _row, id, start, place, length: ``length`` words of a
     document from its word ``start`` stand at ``place`` of a slot; :func:`mixed_blocks` gives their text.
+    _row tells rows of ``docs`` apart: the unique long column ``row`` if named, else a number of our own.
 
     Sources rank by code point, null last, and weigh ``weights`` in turn.  Texts without words (null,
     empty) have size 0 and take 0.  Rows that repeat an id are documents of their own.  The plan is
@@ -108,9 +109,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     PLAN_CELLS cells; beyond that shards grow, not the plan.
     """
     spark = docs.sparkSession
-    sized = word_counts(docs, id_col, text, [source])
-    sized = sized.select(F.col(id_col).alias("_id"), F.col(source).cast("string").alias("_source"), F.col("size").alias("_size"))
-    laid = park(running(sized, [F.col("_id").asc_nulls_last(), F.col("_size")], "_size", "_at", "_source").withColumn("_row", F.monotonically_increasing_id()))
+    plain = docs.select(F.col(id_col).alias("_id"), F.col(source).cast("string").alias("_source"), F.col(text).alias("_text"), *([F.col(row).alias("_row")] if row else []))
+    sized = word_counts(plain, "_id", "_text", ["_source", *(["_row"] if row else [])]).withColumnRenamed("size", "_size")
+    order = [F.col("_id").asc_nulls_last(), F.col("_size"), *([F.col("_row")] if row else [])]
+    laid = running(sized, order, "_size", "_at", "_source")
+    laid = park(laid if row else laid.withColumn("_row", F.monotonically_increasing_id()))
     found = laid.groupBy("_source").agg(F.sum("_size").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -142,10 +145,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
                 key = mix(np.full(len(k), seed, np.uint64) + np.uint64(int(t["s"][i]) << 20) + turn.astype(np.uint64))
                 at = permute(k % n, np.full(len(k), n, np.int64), key)
                 owed = np.where(turn < t["turns"][i], block, np.minimum(block, t["rest"][i] - (k % n) * block))
-                same = lambda v: np.full(len(k), v, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (same(t["shard"][i]), same(t["s"][i]), k, at, owed.astype(np.int64))], names=["shard", "s", "slot", "block", "owed"])
+                same = lambda v: np.full(len(k), v, np.int64)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (same(t["shard"][i]), same(t["s"][i]), k, turn, at, owed.astype(np.int64))], names=["shard", "s", "slot", "turn", "block", "owed"])
 
-    drawn = runs.mapInArrow(slots_of, "shard long, s long, slot long, block long, owed long")
+    drawn = runs.mapInArrow(slots_of, "shard long, s long, slot long, turn long, block long, owed long")
     by_source = spark.createDataFrame([(i, r["_source"], int(sizes[i]), float(goal[i])) for i, r in enumerate(found)], "s long, _name string, source_size long, target double")
     known = laid.join(by_source, F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
     ids = F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("_size") - 1) / block))
@@ -154,12 +157,36 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     cut = cut.select("s", "block", "_row", "_id", (begin - F.col("_at")).alias("start"), (begin - F.col("block") * block).alias("_in"), (F.least(F.col("_at") + F.col("_size"), (F.col("block") + 1) * block) - begin).alias("_len"))
     # The parked table is so compact that Spark would take its pieces for small enough to broadcast.
     met = drawn.join(cut.hint("merge"), ["s", "block"]).where("_in < owed")
-    pieces = met.select("shard", "s", "slot", "block", "_row", F.col("_id").alias(id_col), "start", F.col("_in").alias("place"), F.least(F.col("_len"), F.col("owed") - F.col("_in")).alias("length"))
+    pieces = met.select("shard", "s", "slot", "turn", "block", "_row", F.col("_id").alias(id_col), "start", F.col("_in").alias("place"), F.least(F.col("_len"), F.col("owed") - F.col("_in")).alias("length"))
     taken = pieces.groupBy("_row").agg(F.sum("length").alias("taken"))
     documents = known.join(taken.withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r"), "left").select(F.col("_id").alias(id_col), F.col("_source").alias(source), F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "_row")
     return documents, pieces
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars", **how) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: a row for each turn in which a document gives words.
+
+    A whole document keeps its text; of a part, the words taken stand joined by one space.  ``length``, if
+    there is such a column, is set to the text's new number of characters.  Documents of which the mix
+    takes nothing are not in it.
+    """
+    names = docs.columns
+    tagged = park(docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)]).withColumn("_tag", F.monotonically_increasing_id()))
+    at = {c: f"_c{i}" for i, c in enumerate(names)}
+    documents, pieces = mix_sources(tagged, at[id_col], at[text], at[source], row="_tag", **how)
+    spans = F.array_sort(F.collect_list(F.struct("start", "length")))
+    turns = pieces.groupBy("_row", "turn").agg(F.sum("length").alias("_taken"), spans.alias("_spans"))
+    sizes = documents.select(F.col("_row").alias("_r"), "size")
+    given = turns.join(sizes, F.col("_row") == F.col("_r")).select("_row", F.when(F.col("_taken") < F.col("size"), F.col("_spans")).alias("_spans"))
+    words = F.filter(F.split(F.col(at[text]), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    part = F.transform("_spans", lambda s: F.array_join(F.slice(F.col("_words"), (s["start"] + 1).cast("int"), s["length"].cast("int")), " "))
+    joined = tagged.join(given, F.col("_tag") == F.col("_row")).withColumn("_words", F.when(F.col("_spans").isNotNull(), words))
+    out = joined.withColumn("_new", F.when(F.col("_spans").isNull(), F.col(at[text])).otherwise(F.array_join(part, " ")))
+    kinds = dict(docs.dtypes)
+    new = {c: F.col(at[c]) for c in names} | {text: F.col("_new")} | ({length: F.length("_new").cast(kinds[length])} if length in names else {})
+    return out.select(*[new[c].alias(c) for c in names])
+
+
 def mixed_blocks(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The mix itself: shard, source number, slot and the block's words joined by one space.
 
