@@ -319,7 +319,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     # One document stands for each set; its text is read again to compare the sets.
     stands = named.where("_id IS NOT NULL AND _set IS NOT NULL").groupBy("_set").agg(F.min("_id").alias("_rep"))
     wanted = park(stands.join(clusters, F.col("_set") == F.col("_node")).select("_rep", "_set", F.col("_root").alias("_cluster")))
-    again = read.join(wanted, F.col("_id") == F.col("_rep")).select("_cluster", "_set", "_text")
+    # Merged at any size: the texts of a large corpus are shuffled once, and a small one is treated alike.
+    again = read.join(wanted.hint("merge"), F.col("_id") == F.col("_rep")).select("_cluster", "_set", "_text")
 
     def path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
