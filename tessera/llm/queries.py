@@ -57,7 +57,37 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_packing, op4_quality, op5_near_vectors, op6_ngram_join, op7_pii, op8_exact_dedup, op9_sharding, op10_substring_dedup)}
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Smallest id reachable by links: needs CTEs nodes (id) and links (a, b), both directions.
+_REACH = """reach AS (SELECT id, id AS r FROM nodes UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r),
+        roots AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)"""
+
 ORACLES: dict[str, str] = {
+    "op5_near_vectors": f"""
+        WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+        nodes AS (SELECT id FROM v),
+        links AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND list_dot_product(a.v, b.v) >= 0.95 * a.n * b.n),
+        {_REACH}
+        SELECT r.id AS vec_id, (SELECT count(*) FROM links WHERE a = r.id) AS n_links, component_id, component_id = r.id AS kept FROM roots r""",
+    "op6_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id AS id, {_WORDS.replace("coalesce(text, '')", _FOLD.format("coalesce(text, '')"))} AS w FROM documents),
+        s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+        n AS (SELECT w.id, count(s.s) AS n FROM w LEFT JOIN s ON s.id = w.id GROUP BY w.id),
+        both_ AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, b.id),
+        nodes AS (SELECT id FROM n),
+        links AS (SELECT a, b FROM both_ JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        {_REACH}
+        SELECT n.id AS doc_id, n.n AS n_shingles, component_id FROM n JOIN roots ON roots.id = n.id""",
+    "op10_substring_dedup": f"""
+        WITH w AS (SELECT doc_id AS id, {_WORDS} AS w FROM documents),
+        starts AS (SELECT id, unnest(range(1, len(w) - 48)) AS i, w FROM w WHERE len(w) >= 50),
+        win AS (SELECT id, i, array_to_string(w[i:i + 49], ' ') AS t FROM starts),
+        least AS (SELECT id, i, min(id) OVER (PARTITION BY t) AS first FROM win),
+        gone AS (SELECT DISTINCT id, unnest(range(i, i + 50)) AS i FROM least WHERE first < id),
+        words AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+        kept AS (SELECT words.id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY words.i) FILTER (WHERE gone.i IS NULL) AS t FROM words LEFT JOIN gone USING (id, i) GROUP BY words.id)
+        SELECT w.id AS doc_id, len(w.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.id = w.id""",
     "op8_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
