@@ -3,10 +3,11 @@
 The n-grams' 64-bit hashes give the global order; a document's set is its path of hashes in that order.
 
 1. Which paths can meet: the order is cut into k equal ranges.  Two sets that are similar enough differ
-   in at most H n-grams, so of k > H ranges at least one holds the same, nonempty run of both paths.  Each
-   document sends the hashes of its runs; runs held by two sets give candidate links, whose connected
-   clusters are all that is compared.  A passage that many documents share is a part of their runs, not a
-   run, so it gives no cluster.
+   in at most H n-grams, so of k = H + c ranges at least c hold the same run of both paths.  Each document
+   sends the hashes of its runs.  Of the runs that it shares with others, a document leaves out the most
+   frequent ones, as many less one as any partner must share with it: by the rule of prefix filtering
+   similar documents still meet, while a passage that many documents share brings none together.
+   The connected clusters of what meets are all that is compared.
 2. Comparing: each cluster's sets go into tries.  A lookup walks the trie, sharing the overlap of
    common beginnings, and leaves a subtree once overlap plus what remains of either path is too little.
 
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 from .bytewords import Words, mix, slices, windows
 from .components import Union, components
 from .store import park
-from .streams import groups
+from .streams import groups, whole
 
 BLOCK = 256
+#: Ranges beyond the differences, as a share of them: what prefix filtering can leave out.
+SPARE = 0.25
 U = np.uint64
 
 
@@ -59,17 +62,18 @@ def _ranges(j: int, percent: int) -> tuple[int, int, float]:
     low, high = step**j, step ** (j + 1.5) * (1 + 1e-9)
     differ = int(2 * high) * (100 - percent) // (100 + percent)
     empty = (differ + 2) * math.exp(-low / (differ + 2))
-    spare = 2 + math.ceil(1.2 * empty + 3 * math.sqrt(empty))
+    spare = 2 + math.ceil(1.3 * empty + 3 * math.sqrt(empty) + SPARE * differ)
     return differ + spare, spare, high
 
 
-def run_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the runs by which a set meets every set that is similar enough.
+def run_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the runs by which a set meets every set that is similar enough, how many a partner must share).
 
     Sizes fall into intervals that overlap so that the sizes of any similar pair share one.  In an
     interval both sets use the same k ranges; a set of size n sends its first H(n) + c, H(n) being the
-    most n-grams by which it can differ from a partner.  At least c of the ranges that both send are equal;
-    a set with c or more empty ranges sends those, too, so that equal empty ranges are never all there is.
+    most n-grams by which it can differ from a partner.  At least c of the ranges that both send are equal,
+    and at least c less its own empty ranges are equal and not empty.  A set with c or more empty ranges
+    sends those, too, so that equal empty ranges are never all there is.  A hash's lowest bit tells the intervals apart.
     """
     n = len(s)
     step = (100 / percent) ** 2
@@ -80,7 +84,7 @@ def run_keys(s: np.ndarray, percent: int) -> np.ndarray:
         base -= 1
     sums = np.zeros(n + 1, U)
     np.cumsum(mix(s), out=sums[1:])
-    out = []
+    out, needs = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for j in (base, base - 1):
         k, spare, high = _ranges(j, percent)
         if n > high:
@@ -93,11 +97,14 @@ def run_keys(s: np.ndarray, percent: int) -> np.ndarray:
         if send == k:
             edges[-1] = n
         held = edges[1:] > edges[:-1]
-        if send - np.count_nonzero(held) >= spare:
+        need = spare - (send - np.count_nonzero(held))
+        if need < 1:
             held[:] = True
         at = np.flatnonzero(held)
-        out.append(mix(sums[edges[1:][at]] - sums[edges[:-1][at]] + mix(at.astype(U) + U(j + 64 << 32))))
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+        hashes = mix(sums[edges[1:][at]] - sums[edges[:-1][at]] + mix(at.astype(U) + U(j + 64 << 32)))
+        out.append((hashes & ~U(1) | U(j & 1)).view(np.int64))
+        needs.append(np.full(len(at), max(need, 1), np.int32))
+    return np.concatenate(out), np.concatenate(needs)
 
 
 @lru_cache(maxsize=4096)
@@ -209,46 +216,72 @@ def _named(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(_lead, _set): sets that share a run, as links to the run's first set; no pairs within a run."""
+    """(_lead, _set): sets that meet in a run, as links to the run's first set; no pairs within a run.
+
+    Three passes over sorted partitions, each a stream: runs with their numbers of sets, each set's runs
+    from the rarest, runs again.  A run in more than a million sets counts as a million.
+    """
+    most = 1 << 20
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            keys, nodes, held = [], [], 0
+            rows: list[tuple] = []
+            held = 0
             for s in shingle_sets(b.column(1), width):
                 node = set_id(s) if len(s) else None
                 if node is None or node in seen:
                     continue
                 seen.add(node)
-                k = run_keys(s, percent)
-                keys.append(k)
-                nodes.append(np.full(len(k), node, np.int64))
+                k, need = run_keys(s, percent)
+                rows.append((k, np.full(len(k), node, np.int64), need))
                 held += len(k)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["_key", "_set"])
-                    keys, nodes, held = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["_key", "_set"])
+                if held > 100_000:
+                    yield batch(rows, ["_key", "_set", "_need"])
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows, ["_key", "_set", "_need"])
+
+    def batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=names)
+
+    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, node, need), huge in whole(batches, 1, most):
+            once = np.ones(len(key), bool)
+            once[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, node, need = key[once], node[once], need[once]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            many = np.repeat(np.diff(np.r_[first, len(key)]), np.diff(np.r_[first, len(key)]))
+            if huge:
+                many[:] = most
+            keep = many > 1
+            yield batch([(node[keep], (key & 1)[keep].astype(np.int32), many[keep].astype(np.int32), key[keep], need[keep])], ["_set", "_odd", "_many", "_key", "_need"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (node, odd, _, key, need), _ in whole(batches, 2, most):
+            first = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (odd[1:] != odd[:-1])])
+            long = np.diff(np.r_[first, len(node)])
+            place = np.arange(len(node)) - np.repeat(first, long)
+            keep = place <= np.repeat(long, long) - need
+            yield batch([(key[keep], node[keep])], ["_key", "_set"])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = first = None
-        for b in batches:
-            k, s = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(k):
-                continue
-            new = np.ones(len(k), bool)
-            new[1:] = k[1:] != k[:-1]
-            new[0] = k[0] != key
-            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            leads = np.where(at >= 0, s[np.maximum(at, 0)], s[0] if first is None else first)
-            key, first = k[-1], leads[-1]
-            pairs = np.unique(np.stack([leads, s], axis=1)[leads != s], axis=0)
+        last = None
+        for (key, node), huge in whole(batches, 1, most):
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            leads = np.repeat(node[first], np.diff(np.r_[first, len(key)]))
+            if huge:
+                leads[:] = last[1] if last is not None and last[0] == key[0] else node[0]
+                last = (key[0], leads[0])
+            pairs = np.unique(np.stack([leads, node], axis=1)[leads != node], axis=0)
             if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["_lead", "_set"])
+                yield batch([(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))], ["_lead", "_set"])
 
-    keys = docs.select("_id", "_text").mapInArrow(send, "_key long, _set long")
-    # Rows of 16 bytes, sorted by Spark (which spills) and read as a stream: a run in very many sets needs no memory.
-    return keys.repartition("_key").sortWithinPartitions("_key", "_set").mapInArrow(lead, "_lead long, _set long").distinct()
+    # Narrow rows, sorted by Spark (which spills) and read as streams: a run in very many sets needs no memory.
+    keys = docs.select("_id", "_text").mapInArrow(send, "_key long, _set long, _need int")
+    sized = keys.repartition("_key").sortWithinPartitions("_key", "_set").mapInArrow(size, "_set long, _odd int, _many int, _key long, _need int")
+    chosen = sized.repartition("_set").sortWithinPartitions("_set", "_odd", "_many", "_key").mapInArrow(choose, "_key long, _set long")
+    return chosen.repartition("_key").sortWithinPartitions("_key", "_set").mapInArrow(lead, "_lead long, _set long").distinct()
 
 
 def _compare(rows: DataFrame, percent: int, asked: bool) -> DataFrame:

@@ -28,3 +28,41 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tup
             held.append(b.slice(i, j - i))
     if held:
         yield key, pa.Table.from_batches(held)
+
+
+def whole(batches: Iterator[pa.RecordBatch], n_keys: int, most: int = 1 << 20) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Columns as arrays that hold whole groups of equal values in the first ``n_keys`` columns of a sorted partition.
+
+    A group of more than ``most`` rows comes in parts of its own, marked True, so memory is bounded.
+    """
+    tail: list[np.ndarray] = []
+    huge = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+        if tail:
+            cols = [np.concatenate(c) for c in zip(tail, cols, strict=True)]
+        new = np.zeros(len(cols[0]), bool)
+        for c in cols[:n_keys]:
+            new[1:] |= c[1:] != c[:-1]
+        if huge is not None:
+            same = np.ones(len(new), bool)
+            for c, h in zip(cols[:n_keys], huge, strict=True):
+                same &= c == h
+            if same.any():
+                yield [c[same] for c in cols], True
+                cols, new = [c[~same] for c in cols], new[~same]
+            if not len(new):
+                tail = []
+                continue
+            huge = None
+        cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
+        if cut:
+            yield [c[:cut] for c in cols], False
+        tail = [c[cut:] for c in cols]
+        if len(tail[0]) > most:
+            yield tail, True
+            huge, tail = [c[0] for c in tail[:n_keys]], []
+    if tail and len(tail[0]):
+        yield tail, False
