@@ -29,14 +29,15 @@ APART = 0.7
 
 
 def _clean(docs: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """_id, _node (64 bits of the vector, null where it can't link), _vec (doubles)."""
-    read = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
+    """_id, _node (64 bits of the vector, null where it can't link), _vec (its numbers, floats as floats, all else as doubles)."""
+    kind = number_type(docs, vector)
+    read = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(vector).cast("array<float>" if kind == "<f4" else "array<double>").alias("_v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, vecs = [], []
             for v in b.column(1):
-                x = None if not v.is_valid or v.values.null_count or not len(v.values) else v.values.to_numpy(zero_copy_only=False) + 0.0
+                x = None if not v.is_valid or v.values.null_count or not len(v.values) else (v.values.to_numpy(zero_copy_only=False) + 0.0).astype(kind)
                 if x is None or not np.isfinite(x).all() or not x.any():
                     nodes.append(None)
                     vecs.append(None)
@@ -48,13 +49,18 @@ def _clean(docs: DataFrame, id_col: str, vector: str) -> DataFrame:
     return read.mapInArrow(run, "_id long, _node long, _vec binary")
 
 
+def number_type(vectors: DataFrame, vector: str) -> str:
+    return "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
+
+
 def unit(raw: np.ndarray) -> np.ndarray:
     """Rows of length one; scaled first, so that neither very large nor very small components over- or underflow."""
+    raw = raw.astype(float)
     raw = raw / np.abs(raw).max(axis=-1, keepdims=True)
     return raw / np.linalg.norm(raw, axis=-1, keepdims=True)
 
 
-def choose_pivots(sample: list[bytes], dim: int, count: int, seed: int = 5) -> np.ndarray:
+def choose_pivots(sample: list[np.ndarray], dim: int, count: int, seed: int = 5) -> np.ndarray:
     """At most ``count`` sample vectors no two of which are near each other, filled up with random directions.
 
     Were pivots taken as they come, a large group of near copies would be many of them, and its members
@@ -62,8 +68,8 @@ def choose_pivots(sample: list[bytes], dim: int, count: int, seed: int = 5) -> n
     """
     out = np.zeros((0, dim))
     for raw in sample:
-        if len(raw) == 8 * dim and len(out) < count:
-            x = unit(np.frombuffer(raw))
+        if len(raw) == dim and len(out) < count:
+            x = unit(raw)
             if not len(out) or (out @ x).max() < APART:
                 out = np.vstack([out, x])
     rest = np.random.default_rng(seed).normal(size=(count - len(out), dim))
@@ -78,23 +84,23 @@ def list_keys(top: np.ndarray, dim: int) -> np.ndarray:
     return mix(keys ^ np.uint64(dim << 20)).view(np.int64)
 
 
-def _compare(tasks: DataFrame, least: float) -> DataFrame:
-    """(_root, _node, _links) found in each task; rows: _key, _part, _other, _side, _node, _w, _vec, _keys."""
+def _compare(tasks: DataFrame, least: float, kind: str) -> DataFrame:
+    """(_root, _node, _links) found in each task; rows: _key, _part, _other, _side, _node, _w, _vec, _top."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, part, other), t in groups(batches, 3):
             if t.num_rows < 2:
                 continue
             node, w, side = (t.column(c).to_numpy() for c in ("_node", "_w", "_side"))
-            raw, keys = t.column("_vec").to_pylist(), t.column("_keys").to_pylist()
-            x = unit(np.stack([np.frombuffer(r) for r in raw]))
+            x = unit(np.stack([np.frombuffer(r, kind) for r in t.column("_vec").to_pylist()]))
             near = np.triu(x @ x.T >= least, 1)
             if part != other:
                 near &= side[:, None] != side[None, :]
             a, b = np.nonzero(near)
             if not len(a):
                 continue
-            own = np.sort(np.stack([np.frombuffer(k, np.int64) for k in keys]), axis=1)
+            top = np.stack([np.frombuffer(k, "<u2") for k in t.column("_top").to_pylist()])
+            own = np.sort(list_keys(top, x.shape[1]), axis=1)
             links, united = np.zeros(len(node), np.int64), Union(len(node))
             for i in range(0, len(a), 8192):
                 p, q = a[i : i + 8192], b[i : i + 8192]
@@ -132,32 +138,36 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     named = park(_clean(vectors, id_col, vector))
     entries = park(named.where("_node IS NOT NULL").groupBy("_node", "_vec").agg(F.count(F.lit(1)).alias("_w")))
     # At most `sample` rows come to the driver.
-    picked = [bytes(r["_vec"]) for r in entries.orderBy("_node").limit(sample).select("_vec").collect()]
-    made: dict[int, np.ndarray] = {d: choose_pivots(picked, d, pivots) for d in {len(r) // 8 for r in picked}}
+    kind = number_type(vectors, vector)
+    picked = [np.frombuffer(r["_vec"], kind) for r in entries.orderBy("_node").limit(sample).select("_vec").collect()]
+    made: dict[int, np.ndarray] = {d: choose_pivots(picked, d, pivots) for d in {len(r) for r in picked}}
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column(1).to_pylist()
-            keys: list[bytes] = [b""] * len(raw)
-            for dim in {len(r) // 8 for r in raw}:
-                at = [i for i, r in enumerate(raw) if len(r) == 8 * dim]
-                made.setdefault(dim, choose_pivots([], dim, pivots))
-                x = unit(np.stack([np.frombuffer(raw[i]) for i in at]))
+            raw = [np.frombuffer(r, kind) for r in b.column(1).to_pylist()]
+            tops: list[bytes] = [b""] * len(raw)
+            lists: list = [None] * len(raw)
+            for dim in {len(r) for r in raw}:
+                at = [i for i, r in enumerate(raw) if len(r) == dim]
+                if dim not in made:
+                    made[dim] = choose_pivots([], dim, pivots)
+                x = unit(np.stack([raw[i] for i in at]))
                 top = np.argpartition(-(x @ made[dim].T), depth, axis=1)[:, :depth]
-                for i, k in zip(at, list_keys(top, dim), strict=True):
-                    keys[i] = k.tobytes()
-            lists = pa.array([np.frombuffer(k, np.int64) for k in keys], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary()), lists], names=["_node", "_vec", "_w", "_keys", "_lists"])
-
-    index = park(entries.select("_node", "_vec", "_w").mapInArrow(describe, "_node long, _vec binary, _w long, _keys binary, _lists array<bigint>"))
-    listed = index.select("_node", F.explode("_lists").alias("_key"))
-    sizes = listed.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    sizes = park(sizes.select(F.col("_key").alias("_k"), F.ceil(F.col("_size") / block).cast("long").alias("_blocks")))
-    rows = index.select("_node", "_vec", "_w", "_keys", F.explode("_lists").alias("_key")).join(sizes, F.col("_key") == F.col("_k"))
+                for i, p, k in zip(at, top.astype("<u2"), list_keys(top, dim), strict=True):
+                    tops[i], lists[i] = p.tobytes(), k
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tops, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["_node", "_vec", "_w", "_top", "_lists"])
+
+    index = park(entries.select("_node", "_vec", "_w").mapInArrow(describe, "_node long, _vec binary, _w long, _top binary, _lists array<bigint>"))
+    listed = index.select(F.explode("_lists").alias("_key"))
+    # At most a row for each pair of pivots, whatever the number of vectors: small enough to broadcast.
+    large = listed.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > block)
+    large = park(large.select(F.col("_key").alias("_k"), F.ceil(F.col("_size") / block).cast("long").alias("_blocks")))
+    rows = index.select("_node", "_vec", "_w", "_top", F.explode("_lists").alias("_key")).join(F.broadcast(large), F.col("_key") == F.col("_k"), "left")
+    rows = rows.withColumn("_blocks", F.coalesce("_blocks", F.lit(1).cast("long")))
     mine = F.pmod(F.xxhash64("_node"), F.col("_blocks"))
     rows = rows.withColumn("_mine", mine).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    tasks = rows.select("_key", F.least("_mine", "_with").alias("_part"), F.greatest("_mine", "_with").alias("_other"), F.col("_mine").alias("_side"), "_node", "_w", "_vec", "_keys")
-    found = park(_compare(tasks, least))
+    tasks = rows.select("_key", F.least("_mine", "_with").alias("_part"), F.greatest("_mine", "_with").alias("_other"), F.col("_mine").alias("_side"), "_node", "_w", "_vec", "_top")
+    found = park(_compare(tasks, least, kind))
     degrees = found.groupBy(F.col("_node").alias("_d")).agg(F.sum("_links").alias("_links"))
     roots = components(found, "_root", "_node").select(F.col("_node").alias("_m"), "_root")
     all_ = named.select("_id", "_node").join(degrees, F.col("_node") == F.col("_d"), "left")
