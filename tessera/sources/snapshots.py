@@ -29,16 +29,16 @@ class Snapshots:
         self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
         self.recovered = False
         self.state = {"version": VERSION, "tables": {}}
-        pointer = self._path(f"{self.root}/_pointer.json")
+        pointer = self._path(f"{self.root}/pointer.json")
         if self._fs.exists(pointer):
             try:
-                text = "\n".join(r[0] for r in spark.read.text(f"{self.root}/_pointer.json").collect())
+                text = "\n".join(r[0] for r in spark.read.text(f"{self.root}/pointer.json").collect())
                 state = json.loads(text)
                 assert state["version"] <= VERSION and set(state["tables"]) <= set(SCHEMAS)
                 self.state = state
             except Exception:
                 self.recovered = True
-                self._fs.rename(pointer, self._path(f"{self.root}/_pointer.broken-{uuid.uuid4().hex[:8]}"))
+                self._fs.rename(pointer, self._path(f"{self.root}/pointer.broken-{uuid.uuid4().hex[:8]}"))
 
     def table(self, name: str) -> DataFrame:
         at = self.state["tables"].get(name)
@@ -57,15 +57,21 @@ class Snapshots:
                 out = out.repartitionByRange("source", "mtime").sortWithinPartitions("source", "mtime")
             out.write.parquet(f"{self.root}/{at}")
             state["tables"][name] = at
-        new = self._path(f"{self.root}/_pointer-{uuid.uuid4().hex}.tmp")
+        new = self._path(f"{self.root}/pointer-{uuid.uuid4().hex}.tmp")
         stream = self._fs.create(new)
         stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
-        pointer = self._path(f"{self.root}/_pointer.json")
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(new, pointer)
+        self._replace(new, self._path(f"{self.root}/pointer.json"))
         self.state = state
 
+    def _replace(self, new, old) -> None:
+        """One atomic rename over what is there."""
+        jvm = self.spark._jvm
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf).rename(self._fs.makeQualified(new), self._fs.makeQualified(old), how)
+
     def clear(self) -> None:
         self.commit(**{n: self.spark.createDataFrame([], s) for n, s in SCHEMAS.items()})
