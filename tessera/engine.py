@@ -38,8 +38,7 @@ class Engine:
             if mode == "visual":
                 hits = fusion.fuse(nothing, nothing, nothing, seen, limit)
             else:
-                found = text_search.text_search(self.corpus, query, limit)
-                exact = text_search.exact_hits(self.corpus, query, limit) if query.terms else found
+                found, exact = text_search.hits_and_exact(self.corpus, query, limit)
                 meant = self._nearest(self.meaning, self.meaning_query, query, limit, *vector_search.MEANING) if mode == "hybrid" else nothing
                 hits = fusion.fuse(found, exact, meant, seen, limit)
         rows = hits.join(self.corpus.drop("text"), "id").orderBy("pos")

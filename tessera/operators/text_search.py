@@ -76,11 +76,12 @@ def bm25(terms: list[str], stats: dict, k1: float = 1.2, b: float = 0.75) -> Col
     return score
 
 
-def text_search(corpus: DataFrame, query: Query, limit: int = 60) -> DataFrame:
+def text_search(corpus: DataFrame, query: Query, limit: int = 60, stats: dict | None = None) -> DataFrame:
     """At most ``limit`` hits: pos, id, source, mtime, score, snippet, matched_text.
 
     By BM25, then newest first, then id; newest first alone where no long term ranks.  The substring test
     runs before occurrences are counted; the limit is a top-k, so no more than that is sorted in one place.
+    ``stats`` are the corpus statistics of the query's long terms, where the caller has them.
     """
     if limit <= 0:
         return corpus.limit(0).select(F.lit(0).alias("pos"), "id", "source", "mtime", F.lit(0.0).alias("score"), F.col("text").alias("snippet"), F.lit(False).alias("matched_text"))
@@ -88,7 +89,7 @@ def text_search(corpus: DataFrame, query: Query, limit: int = 60) -> DataFrame:
     kept = corpus.where(term_filter(query)).where(date_filter(query))
     if query.source:
         kept = kept.where(source_like(query.source))
-    score = bm25(terms, corpus_statistics(corpus, terms)) if terms else F.lit(0.0)
+    score = bm25(terms, stats or corpus_statistics(corpus, terms)) if terms else F.lit(0.0)
     scored = kept.select("id", "source", "mtime", F.round(score, 9).alias("score"), "text")
     top = scored.orderBy("score", F.desc("mtime"), "id").limit(limit)
     place = F.row_number().over(Window.orderBy("score", F.desc("mtime"), "id"))  # over the top-k only
@@ -100,17 +101,31 @@ def phrase_query(query: Query) -> Query:
     return Query([query.phrase], query.source, query.after, query.before)
 
 
-def exact_hits(corpus: DataFrame, query: Query, limit: int) -> DataFrame:
-    """Text hits in which the terms stand as one phrase; a single term's hits are all exact."""
-    hits = text_search(corpus, query, limit)
+def hits_and_exact(corpus: DataFrame, query: Query, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(text hits, those in which the terms stand as one phrase); a single term's hits are all exact.
+
+    The terms' and the phrase's statistics come from one pass over the corpus.
+    """
     if len(query.terms) <= 1:
-        return hits
-    return hits.join(text_search(corpus, phrase_query(query), limit).select("id"), "id", "left_semi")
+        hits = text_search(corpus, query, limit)
+        return hits, hits
+    phrase, terms = phrase_query(query), query.long_terms
+    stats = corpus_statistics(corpus, terms + phrase.long_terms)
+    part = lambda df: {**stats, "df": df}
+    hits = text_search(corpus, query, limit, part(stats["df"][: len(terms)]))
+    found = text_search(corpus, phrase, limit, part(stats["df"][len(terms) :]))
+    return hits, hits.join(found.select("id"), "id", "left_semi")
+
+
+def exact_hits(corpus: DataFrame, query: Query, limit: int) -> DataFrame:
+    """Text hits in which the terms stand as one phrase."""
+    return hits_and_exact(corpus, query, limit)[1]
 
 
 def loose_hits(corpus: DataFrame, query: Query, limit: int) -> DataFrame:
     """Text hits that are not exact."""
-    return text_search(corpus, query, limit).join(exact_hits(corpus, query, limit).select("id"), "id", "left_anti")
+    hits, exact = hits_and_exact(corpus, query, limit)
+    return hits.join(exact.select("id"), "id", "left_anti")
 
 
 def get_texts(corpus: DataFrame, ids: list[int]) -> DataFrame:

@@ -281,7 +281,7 @@ _FUSED = f"""{_SPLIT}, {_VECTORS}, {_near_sql("v", VISUAL_ID)}, {_near_sql("m",
 
 def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     c = corpus(spark, sf_dir)
-    return text_search.text_search(c, TERMS, LIMIT), text_search.exact_hits(c, TERMS, LIMIT), _near(spark, sf_dir, MEANING_ID), _near(spark, sf_dir, VISUAL_ID)
+    return *text_search.hits_and_exact(c, TERMS, LIMIT), _near(spark, sf_dir, MEANING_ID), _near(spark, sf_dir, VISUAL_ID)
 
 
 @query(f"{_FUSED} SELECT id, score, text_rank, list, rank FROM fused")
