@@ -13,6 +13,10 @@ there, and only suffixes that can reach a shared node are built into trees at al
 3. A run of equal paths is a node.  Rows of a node come by document, so its first row names the smallest
    one, and reading is a stream: a node with a third of all documents needs no more memory than any other.
 
+Before either shuffle a task settles what it can see itself: an anchor in two of its own texts is shared,
+and a window that two of its documents have is a repeat in the larger one.  Of such rows only one or two
+per task go on, so a passage in a third of all documents is a few rows from each task, not a hot key.
+
 Copies of a whole document never enter the trees: the one with the smallest id stands for all.
 """
 
@@ -89,27 +93,48 @@ def _named(read: DataFrame) -> DataFrame:
     return read.mapInArrow(run, "_id long, _n long, _h1 long, _h2 long, _sha string")
 
 
-def _shared_places(read: DataFrame, width: int) -> DataFrame:
-    """(_unit, _place): anchors that stand in two different texts; a text is named by 64 bits of its words."""
+def _marks(read: DataFrame, width: int) -> DataFrame:
+    """(_anchor, _unit, _place): anchors of each text, a text being named by 64 bits of its words; parked.
+
+    Where a task's own texts share an anchor, their rows come with a null anchor: settled.  Two rows with
+    place -1 then stand for them before the others.  A task holds its anchors, 20 bytes for 13 words.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]]
         for b in batches:
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for h, _, _, _ in word_rows(b.column(1)):
                 if len(h) < width or (unit := _signed(sequence_hash(h)[0])) in seen:
                     continue
                 seen.add(unit)
                 at = np.unique(anchors(h, width))
-                out.append((windows(h, width // 2)[at].view(np.int64), np.full(len(at), unit, np.int64), at.astype(np.int32)))
-                if len(out) >= 512:
-                    yield batch(out)
-                    out = []
-            if out:
-                yield batch(out)
-
-    def batch(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["_anchor", "_unit", "_place"])
+                for c, x in zip(out, (windows(h, width // 2)[at].view(np.int64), np.full(len(at), unit, np.int64), at.astype(np.int32)), strict=True):
+                    c.append(x)
+        anchor, unit, place = (np.concatenate(c) for c in out)
+        order = np.lexsort((unit, anchor))
+        anchor, unit, place = anchor[order], unit[order], place[order]
+        first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)])
+        long = np.diff(np.r_[first, len(anchor)])
+        last = first + long - 1
+        both = unit[first] != unit[last]
+        settled = np.repeat(both, long)
+        ends = np.concatenate([first[both], last[both]])
+        yield from parts(anchor[ends], unit[ends], np.full(len(ends), -1, np.int32))
+        yield from parts(anchor[~settled], unit[~settled], place[~settled])
+        yield from parts(None, unit[settled], place[settled])
+
+    def parts(anchor: np.ndarray | None, unit: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(unit), 100_000):
+            j = min(i + 100_000, len(unit))
+            named = pa.nulls(j - i, pa.int64()) if anchor is None else pa.array(anchor[i:j])
+            yield pa.RecordBatch.from_arrays([named, pa.array(unit[i:j]), pa.array(place[i:j])], names=["_anchor", "_unit", "_place"])
+
+    return park(read.mapInArrow(send, "_anchor long, _unit long, _place int"))
+
+
+def _shared_places(marks: DataFrame) -> DataFrame:
+    """(_unit, _place): anchors that stand in two different texts."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of anchors with two units; what is held back are places of one text."""
@@ -142,14 +167,20 @@ def _shared_places(read: DataFrame, width: int) -> DataFrame:
                 held.append(pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(last)), b.column(2).filter(pa.array(last))], names=["_unit", "_place"]))
             anchor, unit = a[-1], lead[-1]
 
-    rows = read.mapInArrow(send, "_anchor long, _unit long, _place int")
-    return rows.repartition("_anchor").sortWithinPartitions("_anchor", "_unit").mapInArrow(shared, "_unit long, _place int")
+    routed = marks.where("_anchor IS NOT NULL").repartition("_anchor").sortWithinPartitions("_anchor", "_unit")
+    settled = marks.where("_anchor IS NULL").select("_unit", "_place")
+    return settled.union(routed.mapInArrow(shared, "_unit long, _place int").where("_place >= 0"))
 
 
 def _suffixes(texts: DataFrame, width: int) -> DataFrame:
-    """Paths (prefix hashes) of the windows whose anchor is shared; ``texts``: _rep, _unit, _places, _text."""
+    """Paths (prefix hashes) of the windows whose anchor is shared; ``texts``: _rep, _unit, _places, _text; parked.
+
+    A window that a smaller document of the same task has comes without its path: settled as a repeat.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in (np.int32, np.int32, np.int64, np.int64, np.int32)]
+        held = 0
         for b in batches:
             reps, units, places = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
             for i, (h, _, _, _) in enumerate(word_rows(b.column(3))):
@@ -158,12 +189,32 @@ def _suffixes(texts: DataFrame, width: int) -> DataFrame:
                 live = np.zeros(len(h), bool)
                 live[places[i].values.to_numpy()] = True
                 at = np.flatnonzero(live[anchors(h, width)])
-                if len(at):
-                    short = lambda n: (windows(h, n)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)  # noqa: E731, B023
-                    cols = [short(width // 4), short(width // 2), windows(h, width)[at].view(np.int64), np.full(len(at), reps[i], np.int64), at.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["_p1", "_p2", "_p3", "_doc", "_place"])
-
-    return texts.mapInArrow(run, "_p1 int, _p2 int, _p3 long, _doc long, _place int")
+                short = lambda n: (windows(h, n)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)  # noqa: E731, B023
+                for c, x in zip(out, (short(width // 4), short(width // 2), windows(h, width)[at].view(np.int64), np.full(len(at), reps[i], np.int64), at.astype(np.int32)), strict=True):
+                    c.append(x)
+                held += len(at)
+                if held > 2_000_000:
+                    yield from settle(out)
+                    held, out = 0, [c[:1] for c in out]
+        yield from settle(out)
+
+    def settle(out: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Sort some 56 MB of rows by path and document; all but the smallest document's are repeats."""
+        cols = [np.concatenate(c) for c in out]
+        order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
+        cols = [c[order] for c in cols]
+        new = np.ones(len(order), bool)
+        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
+        first = np.flatnonzero(new)
+        least = np.repeat(cols[3][first], np.diff(np.r_[first, len(order)]))
+        again = cols[3] > least
+        for i in range(0, len(order), 100_000):
+            part = slice(i, i + 100_000)
+            hide = pa.array(again[part])
+            paths = [pa.array(c[part], mask=again[part]) for c in cols[:3]]
+            yield pa.RecordBatch.from_arrays([*paths, *[pa.array(c[part]) for c in cols[3:]], hide], names=["_p1", "_p2", "_p3", "_doc", "_place", "_again"])
+
+    return park(texts.mapInArrow(run, "_p1 int, _p2 int, _p3 long, _doc long, _place int, _again boolean"))
 
 
 def _repeats(suffixes: DataFrame) -> DataFrame:
@@ -185,7 +236,8 @@ def _repeats(suffixes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(3).filter(again), b.column(4).filter(again)], names=["_doc", "_place"])
 
     order = ["_p1", "_p2", "_p3"]
-    return suffixes.repartitionByRange(*order).sortWithinPartitions(*order, "_doc", "_place").mapInArrow(walk, "_doc long, _place int")
+    routed = suffixes.where("NOT _again").select(*order, "_doc", "_place").repartitionByRange(*order).sortWithinPartitions(*order, "_doc", "_place")
+    return suffixes.where("_again").select("_doc", "_place").union(routed.mapInArrow(walk, "_doc long, _place int"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, texts: bool = False) -> DataFrame:
@@ -201,7 +253,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     read = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     named = park(_named(read))
     units = named.where("_id IS NOT NULL").groupBy("_h1", "_h2").agg(F.min("_id").alias("_rep"))
-    places = park(_shared_places(read, width).groupBy("_unit").agg(F.collect_set("_place").alias("_places")))
+    places = park(_shared_places(_marks(read, width)).groupBy("_unit").agg(F.collect_set("_place").alias("_places")))
     wanted = places.join(units, F.col("_unit") == F.col("_h1")).select("_unit", "_rep", "_places")
     found = read.join(wanted, F.col("_id") == F.col("_rep")).select("_rep", "_unit", "_places", "_text")
     repeats = park(_repeats(_suffixes(found, width)).groupBy("_doc").agg(F.collect_list("_place").alias("_starts")))
