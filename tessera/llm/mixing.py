@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .bytewords import Words, mix, slices
 from .ordinals import running
@@ -163,6 +164,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     return documents, pieces
 
 
+@F.arrow_udf(StringType())
+def cut_words(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """The words of (start, length) spans, joined by one space; null without spans."""
+    out: list[bytes | None] = []
+    for i, j, data, offsets in slices(text):
+        w, raw = Words(data, offsets), data.tobytes()
+        for r in range(i, j):
+            own = spans[r].as_py()
+            at = w.bounds[r - i]
+            pick = [k for s in own or () for k in range(at + s["start"], at + s["start"] + s["length"])]
+            out.append(None if own is None else b" ".join([raw[w.start[k] : w.end[k]] for k in pick]))
+    return pa.array(out, pa.binary()).cast(pa.string())
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars", **how) -> DataFrame:
     """The mix as documents, with the columns of ``docs``: a row for each turn in which a document gives words.
 
@@ -178,10 +193,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     turns = pieces.groupBy("_row", "turn").agg(F.sum("length").alias("_taken"), spans.alias("_spans"))
     sizes = documents.select(F.col("_row").alias("_r"), "size")
     given = turns.join(sizes, F.col("_row") == F.col("_r")).select("_row", F.when(F.col("_taken") < F.col("size"), F.col("_spans")).alias("_spans"))
-    words = F.filter(F.split(F.col(at[text]), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    part = F.transform("_spans", lambda s: F.array_join(F.slice(F.col("_words"), (s["start"] + 1).cast("int"), s["length"].cast("int")), " "))
-    joined = tagged.join(given, F.col("_tag") == F.col("_row")).withColumn("_words", F.when(F.col("_spans").isNotNull(), words))
-    out = joined.withColumn("_new", F.when(F.col("_spans").isNull(), F.col(at[text])).otherwise(F.array_join(part, " ")))
+    joined = tagged.join(given, F.col("_tag") == F.col("_row"))
+    # Whole documents pass the function by; only the text of a part goes through it.
+    part = cut_words(F.when(F.col("_spans").isNotNull(), F.col(at[text])), F.col("_spans"))
+    out = joined.withColumn("_new", F.when(F.col("_spans").isNull(), F.col(at[text])).otherwise(part))
     kinds = dict(docs.dtypes)
     new = {c: F.col(at[c]) for c in names} | {text: F.col("_new")} | ({length: F.length("_new").cast(kinds[length])} if length in names else {})
     return out.select(*[new[c].alias(c) for c in names])
