@@ -1,7 +1,7 @@
 """Words and their hashes for whole Arrow string columns, computed on the UTF-8 bytes with numpy.
 
 A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``; as those are ASCII, splitting bytes splits
-characters alike.  Columns are handled in slices of about a megabyte so that memory stays bounded.
+characters alike.  Columns are handled in slices of a quarter of a megabyte so that memory stays bounded.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _B, _A1, _A2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,16 +33,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def _powers_of(base: int, bits: int) -> np.ndarray:
-    out = np.full(1 << bits, base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    return _powers_of(base, max(21, int(n).bit_length()))[:n]
+    """base**0 .. base**(n-1) modulo 2**64; kept for each base, and made longer when that is needed."""
+    held = _POWERS.get(base)
+    if held is None or len(held) < n:
+        held = np.full(1 << max(14, int(n).bit_length()), base, U)
+        held[0] = 1
+        held = _POWERS[base] = np.multiply.accumulate(held)
+    return held[:n]
 
 
 @lru_cache(maxsize=4)
