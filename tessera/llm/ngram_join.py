@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .bytewords import Words, mix, slices, windows
 from .components import Union, components
 from .store import park
-from .streams import groups, whole
+from .streams import distinct_pairs, groups, whole
 
 BLOCK = 256
 #: Ranges beyond the differences, as a share of them: what prefix filtering can leave out.
@@ -273,9 +273,9 @@ def _candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
             if huge:
                 leads[:] = last[1] if last is not None and last[0] == key[0] else node[0]
                 last = (key[0], leads[0])
-            pairs = np.unique(np.stack([leads, node], axis=1)[leads != node], axis=0)
-            if len(pairs):
-                yield batch([(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))], ["_lead", "_set"])
+            other = leads != node
+            if other.any():
+                yield batch([distinct_pairs(leads[other], node[other])], ["_lead", "_set"])
 
     # Narrow rows, sorted by Spark (which spills) and read as streams: a run in very many sets needs no memory.
     keys = docs.select("_id", "_text").mapInArrow(send, "_key long, _set long, _need int")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import NOT_LETTER, Words, _byte_values, _B, mix, powers, slices, strings
 from .store import park
+from .streams import distinct_pairs
 
 #: Labelled documents that training reads at most, those whose ids hash lowest.
 TRAIN_ROWS = 6000
@@ -147,9 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         for b in batches:
             for i, j, data, offsets in slices(b.column(2)):
                 h, r, _ = terms(data, offsets)
-                pair = np.unique(np.stack([r.astype(U), h], axis=1), axis=0)
-                at = pa.array(pair[:, 0].astype(np.int64) + i)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64)), b.column(0).take(at), b.column(1).take(at)], names=["_term", "_bad", "_toxic"])
+                row, term = distinct_pairs(r, h)
+                at = pa.array(row + i)
+                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), b.column(0).take(at), b.column(1).take(at)], names=["_term", "_bad", "_toxic"])
 
     seen = sample.select("_bad", "_toxic", "_text").mapInArrow(spell, "_term long, _bad int, _toxic int").groupBy("_term")
     counts = seen.agg(F.count("_bad").alias("_nbad"), F.sum("_bad").alias("_sbad"), F.count("_toxic").alias("_ntoxic"), F.sum("_toxic").alias("_stoxic"))

@@ -66,3 +66,12 @@ def whole(batches: Iterator[pa.RecordBatch], n_keys: int, most: int = 1 << 20) -
             huge, tail = [c[0] for c in tail[:n_keys]], []
     if tail and len(tail[0]):
         yield tail, False
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair (a[i], b[i]) once, sorted."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    once = np.ones(len(a), bool)
+    once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[once], b[once]
