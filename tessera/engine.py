@@ -21,7 +21,7 @@ class Engine:
         if vectors is None or encoder is None:
             return self.corpus.limit(0).select(F.lit(0).alias("pos"), "id", F.lit(0.0).alias("score"))
         vec = encoder([query.phrase])[0].tolist()
-        return vector_search.vector_topk(vectors, vec, limit, floor, window, query)
+        return text_search.settle(vector_search.vector_topk(vectors, vec, limit, floor, window, query))
 
     def search(self, text: str, limit: int = 120, listing: DataFrame | None = None) -> DataFrame:
         """pos, id, block, score, matched_text, visual_score, meaning_score, then the corpus's columns."""

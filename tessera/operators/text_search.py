@@ -96,6 +96,11 @@ def text_search(corpus: DataFrame, query: Query, limit: int = 60, stats: dict |
     return top.select(place.alias("pos"), "id", "source", "mtime", "score", T.snippet(F.col("text"), terms[0] if terms else None).alias("snippet"), F.lit(bool(query.terms)).alias("matched_text"))
 
 
+def settle(hits: DataFrame) -> DataFrame:
+    """The rows of a top-k, computed once: at most its limit's, so that fusing it several times scans nothing again."""
+    return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
+
+
 def phrase_query(query: Query) -> Query:
     """The same filters with the terms as one phrase."""
     return Query([query.phrase], query.source, query.after, query.before)
@@ -107,14 +112,15 @@ def hits_and_exact(corpus: DataFrame, query: Query, limit: int) -> tuple[DataFra
     The terms' and the phrase's statistics come from one pass over the corpus.
     """
     if len(query.terms) <= 1:
-        hits = text_search(corpus, query, limit)
+        hits = settle(text_search(corpus, query, limit))
         return hits, hits
     phrase, terms = phrase_query(query), query.long_terms
     stats = corpus_statistics(corpus, terms + phrase.long_terms)
     part = lambda df: {**stats, "df": df}
-    hits = text_search(corpus, query, limit, part(stats["df"][: len(terms)]))
+    hits = settle(text_search(corpus, query, limit, part(stats["df"][: len(terms)])))
     found = text_search(corpus, phrase, limit, part(stats["df"][len(terms) :]))
-    return hits, hits.join(found.select("id"), "id", "left_semi")
+    exact = {r["id"] for r in found.select("id").collect()}
+    return hits, hits.where(F.col("id").isin(*exact)) if exact else hits.limit(0)
 
 
 def exact_hits(corpus: DataFrame, query: Query, limit: int) -> DataFrame:

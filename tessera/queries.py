@@ -228,8 +228,8 @@ def _near_sql(tag: str, id_: int, window: float = WINDOW, floor: float = FLOOR)
               WHERE s >= {floor} AND s >= (SELECT max(s) FROM s_{tag}) - {window} QUALIFY pos <= {LIMIT})"""
 
 
-def _near(spark, sf_dir, id_: int, window: float = WINDOW) -> DataFrame:
-    v = vectors(spark, sf_dir)
+def _near(spark, sf_dir, id_: int, window: float = WINDOW, v: DataFrame | None = None) -> DataFrame:
+    v = vectors(spark, sf_dir) if v is None else v
     return vector_search.vector_topk(v, vector_search.vector_of(v, id_), LIMIT, FLOOR, window, exclude=(id_,))
 
 
@@ -280,8 +280,9 @@ _FUSED = f"""{_SPLIT}, {_VECTORS}, {_near_sql("v", VISUAL_ID)}, {_near_sql("m",
 
 
 def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    c = corpus(spark, sf_dir)
-    return *text_search.hits_and_exact(c, TERMS, LIMIT), _near(spark, sf_dir, MEANING_ID), _near(spark, sf_dir, VISUAL_ID)
+    v = vectors(spark, sf_dir)
+    near = [text_search.settle(_near(spark, sf_dir, i, v=v)) for i in (MEANING_ID, VISUAL_ID)]
+    return *text_search.hits_and_exact(corpus(spark, sf_dir), TERMS, LIMIT), *near
 
 
 @query(f"{_FUSED} SELECT id, score, text_rank, list, rank FROM fused")
