@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.encoders import Encoder
 from tessera.operators import fusion, ingest, text_search, vector_search
 from tessera.plans.query import Query, dispatch, parse
+from tessera.plans.together import together
 
 
 class Engine:
@@ -34,12 +35,15 @@ class Engine:
         elif mode == "none":
             hits = fusion.fuse(nothing, nothing, nothing, nothing, limit)
         else:
-            seen = self._nearest(self.visual, self.image_query, query, limit, *vector_search.TEXT_TO_IMAGE) if mode != "text" else nothing
+            see = lambda: self._nearest(self.visual, self.image_query, query, limit, *vector_search.TEXT_TO_IMAGE)
+            mean = lambda: self._nearest(self.meaning, self.meaning_query, query, limit, *vector_search.MEANING)
+            read = lambda: text_search.hits_and_exact(self.corpus, query, limit)
             if mode == "visual":
-                hits = fusion.fuse(nothing, nothing, nothing, seen, limit)
+                hits = fusion.fuse(nothing, nothing, nothing, see(), limit)
+            elif mode == "text":
+                hits = fusion.fuse(*read(), nothing, nothing, limit)
             else:
-                found, exact = text_search.hits_and_exact(self.corpus, query, limit)
-                meant = self._nearest(self.meaning, self.meaning_query, query, limit, *vector_search.MEANING) if mode == "hybrid" else nothing
-                hits = fusion.fuse(found, exact, meant, seen, limit)
+                found, meant, seen = together(self.corpus.sparkSession, read, mean, see)
+                hits = fusion.fuse(*found, meant, seen, limit)
         rows = hits.join(self.corpus.drop("text"), "id").orderBy("pos")
         return ingest.drop_missing(rows, listing) if listing is not None else rows

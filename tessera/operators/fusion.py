@@ -8,35 +8,46 @@ from pyspark.sql import functions as F
 K = 10
 
 
-def _ranked(hits: DataFrame, exact: DataFrame, number: int) -> DataFrame:
-    """id and zero-based rank among the ids that are not exact; at most a limit's rows, so one partition."""
-    rest = hits.join(exact.select("id"), "id", "left_anti")
-    return rest.select("id", (F.row_number().over(Window.orderBy("pos")) - 1).alias("_rank"), F.lit(number).alias("_list"))
+def _merged(text: DataFrame, exact: DataFrame, meaning: DataFrame, visual: DataFrame, k: int) -> DataFrame:
+    """A row for each id of any list: what every list says about it, ranks counted among ids that are not exact.
+
+    One union of lists that are a limit's rows long, one aggregation by id; no joins.
+    """
+    part = lambda hits, n: hits.select("id", "pos", F.col("score").cast("double").alias("score"), F.lit(n).alias("_list"))
+    union = part(text, 0).union(part(meaning, 1)).union(part(visual, 2)).union(part(exact, 3))
+    known = union.withColumn("_exact", F.max(F.col("_list") == 3).over(Window.partitionBy("id")))
+    rank = F.row_number().over(Window.partitionBy("_list", "_exact").orderBy("pos")) - 1
+    of = lambda n, c: F.when(F.col("_list") == n, F.col(c))
+    return known.withColumn("_rank", rank).groupBy("id").agg(
+        F.max("_exact").alias("exact"),
+        F.min(of(3, "pos")).alias("exact_pos"),
+        F.round(F.sum(F.when(F.col("_list") < 3, 1.0 / (k + F.col("_rank")))), 9).alias("score"),
+        F.min(of(0, "_rank")).alias("text_rank"),
+        F.min(F.when(F.col("_list") < 3, F.struct("_list", "_rank"))).alias("_first"),
+        F.max(F.col("_list") == 0).alias("matched_text"),
+        F.round(F.max(of(2, "score")), 6).alias("visual_score"),
+        F.round(F.max(of(1, "score")), 6).alias("meaning_score"),
+    )
 
 
 def rrf_fusion(text: DataFrame, exact: DataFrame, meaning: DataFrame, visual: DataFrame, k: int = K) -> DataFrame:
     """id, score, text_rank, list, rank of the ids that are not exact; score sums 1 / (k + rank)."""
-    lists = [_ranked(h, exact, i) for i, h in enumerate((text, meaning, visual))]
-    union = lists[0].unionByName(lists[1]).unionByName(lists[2])
-    first = F.min(F.struct("_list", "_rank"))
-    fused = union.groupBy("id").agg(F.sum(1.0 / (k + F.col("_rank"))).alias("score"), F.min(F.when(F.col("_list") == 0, F.col("_rank"))).alias("text_rank"), first.alias("_first"))
-    return fused.select("id", F.round("score", 9).alias("score"), "text_rank", F.col("_first._list").alias("list"), F.col("_first._rank").alias("rank"))
+    rest = _merged(text, exact, meaning, visual, k).where(~F.col("exact"))
+    return rest.select("id", "score", "text_rank", F.col("_first._list").alias("list"), F.col("_first._rank").alias("rank"))
 
 
 def fuse(text: DataFrame, exact: DataFrame, meaning: DataFrame, visual: DataFrame, limit: int = 120, k: int = K) -> DataFrame:
-    """pos, id, block (0 exact, 1 fused), score, matched_text, visual_score, meaning_score; at most ``limit`` rows."""
-    fused = rrf_fusion(text, exact, meaning, visual, k)
+    """pos, id, block (0 exact, 1 fused), score, matched_text, visual_score, meaning_score; at most ``limit`` rows.
+
+    Exact hits keep their order; the others follow by score, then text rank, list and rank there, id.
+    """
+    all_ = _merged(text, exact, meaning, visual, k)
     none = F.lit(2_000_000_000)
-    ahead = exact.select("id", F.lit(0).alias("block"), F.lit(None).cast("double").alias("score"), F.col("pos").alias("_a"), F.lit(0).alias("_b"), F.lit(0).alias("_c"))
-    behind = fused.select("id", F.lit(1).alias("block"), "score", F.coalesce("text_rank", none).alias("_a"), F.col("list").alias("_b"), F.col("rank").alias("_c"))
-    order = ["block", F.desc_nulls_first("score"), "_a", "_b", "_c", "id"]
-    top = ahead.unionByName(behind).orderBy(*order).limit(limit)
-    placed = top.select(F.row_number().over(Window.orderBy(*order)).alias("pos"), "id", "block", "score")
-    hit = text.select(F.col("id").alias("_t")).withColumn("_hit", F.lit(True))
-    seen = visual.select(F.col("id").alias("_v"), F.round("score", 6).alias("visual_score"))
-    meant = meaning.select(F.col("id").alias("_m"), F.round("score", 6).alias("meaning_score"))
-    out = placed.join(hit, F.col("id") == F.col("_t"), "left").join(seen, F.col("id") == F.col("_v"), "left").join(meant, F.col("id") == F.col("_m"), "left")
-    return out.select("pos", "id", "block", "score", F.coalesce("_hit", F.lit(False)).alias("matched_text"), "visual_score", "meaning_score")
+    ahead = F.col("exact")
+    keyed = all_.select("id", F.when(ahead, 0).otherwise(1).alias("block"), F.when(~ahead, F.col("score")).alias("score"), "matched_text", "visual_score", "meaning_score", F.when(ahead, F.col("exact_pos")).otherwise(F.coalesce("text_rank", none)).alias("_a"), F.col("_first._list").alias("_b"), F.col("_first._rank").alias("_c"))
+    order = ["block", F.desc("score"), "_a", "_b", "_c", "id"]
+    top = keyed.orderBy(*order).limit(limit)
+    return top.select(F.row_number().over(Window.orderBy(*order)).alias("pos"), "id", "block", "score", "matched_text", "visual_score", "meaning_score")
 
 
 def match_badge(hits: DataFrame, visual_search: bool = False) -> DataFrame:

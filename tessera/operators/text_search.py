@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.plans.query import Query
+from tessera.plans.together import together
 
 RARE = 1e-6
 
@@ -117,9 +118,12 @@ def hits_and_exact(corpus: DataFrame, query: Query, limit: int) -> tuple[DataFra
     phrase, terms = phrase_query(query), query.long_terms
     stats = corpus_statistics(corpus, terms + phrase.long_terms)
     part = lambda df: {**stats, "df": df}
-    hits = settle(text_search(corpus, query, limit, part(stats["df"][: len(terms)])))
-    found = text_search(corpus, phrase, limit, part(stats["df"][len(terms) :]))
-    exact = {r["id"] for r in found.select("id").collect()}
+    hits, found = together(
+        corpus.sparkSession,
+        lambda: settle(text_search(corpus, query, limit, part(stats["df"][: len(terms)]))),
+        lambda: text_search(corpus, phrase, limit, part(stats["df"][len(terms) :])).select("id").collect(),
+    )
+    exact = {r["id"] for r in found}
     return hits, hits.where(F.col("id").isin(*exact)) if exact else hits.limit(0)
 
 

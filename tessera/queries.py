@@ -16,6 +16,7 @@ from tessera.functions import text as T
 from tessera.functions.vectors import l2_normalize
 from tessera.operators import fusion, ingest, mutations, outline, reporting, text_search, vector_search
 from tessera.plans.query import Query, parse
+from tessera.plans.together import together
 from tessera.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -280,9 +281,9 @@ _FUSED = f"""{_SPLIT}, {_VECTORS}, {_near_sql("v", VISUAL_ID)}, {_near_sql("m",
 
 
 def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    v = vectors(spark, sf_dir)
-    near = [text_search.settle(_near(spark, sf_dir, i, v=v)) for i in (MEANING_ID, VISUAL_ID)]
-    return *text_search.hits_and_exact(corpus(spark, sf_dir), TERMS, LIMIT), *near
+    near = lambda i: lambda: text_search.settle(_near(spark, sf_dir, i))
+    found, meant, seen = together(spark, lambda: text_search.hits_and_exact(corpus(spark, sf_dir), TERMS, LIMIT), near(MEANING_ID), near(VISUAL_ID))
+    return *found, meant, seen
 
 
 @query(f"{_FUSED} SELECT id, score, text_rank, list, rank FROM fused")
