@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact, mixing, ngram_join, packing, quality
-from tessera.llm.store import park
+from tessera.llm.store import park, parked, sweep
 
 VOCABULARY = os.environ.get("TESSERA_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
 
@@ -65,10 +65,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``; each stage's result is written and read again."""
+    """All stages on the documents of ``sf_dir``.
+
+    Each stage's result is written and read again; the tables that the stage parked on its way, and the
+    stage's input, are swept then.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = parked()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = park(docs)
+            sweep(spark, mark)
     return docs

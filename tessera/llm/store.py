@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class _Here(threading.local):
+    def __init__(self):
+        self.parked: list[str] = []
+
+
+#: Folders parked by this thread and not swept yet.
+_here = _Here()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests) one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,7 +34,7 @@ ARROW_ROWS, GROUP_BYTES = 1024, 16 << 20
 def park(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
-    The files go when the application ends.  Later jobs read them instead of repeating the work, so a
+    The files go when they are swept, at the latest when the application ends.  Later jobs read them instead of repeating the work, so a
     lost executor costs a re-read, and values such as partition numbers stay what they were.
     """
     spark = df.sparkSession
@@ -36,7 +46,23 @@ def park(df: DataFrame, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).option("parquet.block.size", GROUP_BYTES).parquet(path)
     finally:
         spark.conf.set(rows, was)
+    _here.parked.append(path)
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def parked() -> int:
+    """A mark for :func:`sweep`."""
+    return len(_here.parked)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete what was parked after the mark, but for the last table: the caller's result, which must not be lazy."""
+    own = _here.parked
+    gone, own[since:] = own[since:-1], own[max(since, len(own) - 1) :]
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)

@@ -188,3 +188,15 @@ def test_stages(spark, docs, none, labels, tmp_path):
             n = at.count()
             assert n == 0 if start is none else n > 0
             assert name == "packing" or n <= 3 * len(ROWS)
+
+
+def test_sweep(spark, docs):
+    from tessera.llm.store import park, parked, sweep
+
+    mark = parked()
+    first = park(docs.select("doc_id"))
+    second = park(first)
+    sweep(spark, mark)
+    assert second.count() == len(ROWS) and parked() == mark + 1
+    with pytest.raises(Exception, match="(?i)not.?exist|FILE_NOT_EXIST|no such file"):
+        first.collect()
