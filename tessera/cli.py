@@ -1,4 +1,4 @@
-"""python -m tessera.cli index|embed|search|stats ROOT ...: a thin command line over the engine."""
+"""python -m tessera.cli index|embed|search|stats|eval|bench ROOT ...: a thin command line over the engine."""
 
 from __future__ import annotations
 
@@ -7,17 +7,19 @@ import argparse
 from pyspark.sql import functions as F
 
 from tessera.engine import Engine
+from tessera.evaluate import evaluate, latencies
 from tessera.functions.encoders import hash_projection
 from tessera.operators import reporting, vector_search
 from tessera.pipeline import embed_pass, index_pass
 from tessera.session import session
+from tessera.sources.config import eval_queries
 from tessera.sources.folder import FolderSource
 from tessera.sources.snapshots import Snapshots
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="tessera")
-    p.add_argument("verb", choices=["index", "embed", "search", "stats"])
+    p.add_argument("verb", choices=["index", "embed", "search", "stats", "eval", "bench"])
     p.add_argument("root")
     p.add_argument("rest", nargs="*")
     p.add_argument("--limit", type=int, default=20)
@@ -38,7 +40,14 @@ def main(argv: list[str] | None = None) -> None:
     else:
         images = store.table("images")
         meaning = vector_search.load_embeddings(images, store.table("text_embeddings"), "hash-projection")
-        Engine(images, None, meaning, None, hash_projection).search(" ".join(args.rest), args.limit).show(args.limit, truncate=60)
+        engine = Engine(images, None, meaning, None, hash_projection)
+        if args.verb == "eval":
+            queries = [(r["q"], r["a"]) for r in eval_queries(spark, args.rest[0]).collect()]
+            evaluate({"text": Engine(images), "text and meaning": engine}, queries).show()
+        elif args.verb == "bench":
+            print(latencies(engine, args.rest))
+        else:
+            engine.search(" ".join(args.rest), args.limit).show(args.limit, truncate=60)
 
 
 if __name__ == "__main__":

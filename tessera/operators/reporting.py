@@ -21,6 +21,15 @@ def file_count_bytes(listing: DataFrame) -> DataFrame:
     return listing.agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
+def capped_count(listing: DataFrame, most: int = 50_000) -> int:
+    """How many files a folder holds, as far as anyone wants to know."""
+    return listing.limit(most).count()
+
+
+def kb_per_image(listing: DataFrame) -> DataFrame:
+    return listing.agg((F.sum("size") / 1024 / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("kb_per_image"))
+
+
 def nearest_index(values: DataFrame, value: str, points: dict[str, float], by: str) -> DataFrame:
     """The sorted values at [int(n * p)] for each group: picked, not interpolated.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.encoders import Encoder, encode_column, hash_projection
 from tessera.operators import ingest, mutations
+from tessera.sources.config import Source
 from tessera.sources.snapshots import Snapshots
 
 
@@ -37,10 +38,29 @@ def index_pass(store: Snapshots, listing: DataFrame, read_text: Column, hydrate:
 
 
 def embed_pass(store: Snapshots, model: str, table: str = "text_embeddings", encoder: Encoder = hash_projection) -> int:
-    """Vectors for images that lack one of this model; returns how many were made."""
+    """Vectors for images that lack one of this model; returns how many were made.
+
+    Failures are kept as empty vectors and not tried again, unless nothing worked: then nothing is kept.
+    """
     missing = ingest.missing_meaning if table == "text_embeddings" else ingest.missing_embedding
     work = missing(store.table("images"), store.table(table), model)
     new = work.select(F.col("id").alias("image_id"), F.lit(model).alias("model"), encode_column(T.doc_prompt(F.col("text")), encoder).alias("vec"))
-    before = store.table(table).where(F.col("model") == model).count()
-    store.commit(**{table: mutations.save_embeddings(store.table(table), new)})
-    return store.table(table).where(F.col("model") == model).count() - before
+    new = new.cache()
+    made = new.where(F.size("vec") > 0).count()
+    if made:
+        store.commit(**{table: mutations.save_embeddings(store.table(table), new)})
+    new.unpersist()
+    return made
+
+
+def apply_config(store: Snapshots, previous: list[Source], following: list[Source]) -> list[str]:
+    """Forget sources that are gone or point elsewhere; returns their names.  A renamed source is removed and added."""
+    spark = store.spark
+    rows = lambda sources: spark.createDataFrame([(s.name, s.path) for s in sources], "name string, path string")
+    gone = [r["name"] for r in mutations.removed_sources(rows(previous), rows(following)).collect()]
+    if gone:
+        images = store.table("images")
+        ids = images.where(F.col("source").isin(*gone)).select("id")
+        vectors = {n: mutations.drop_vectors(store.table(n), ids) for n in ("embeddings", "text_embeddings")}
+        store.commit(images=mutations.remove_many(images, ids), **vectors)
+    return sorted(gone)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import ingest, mutations, reporting
-from tessera.pipeline import embed_pass, index_pass
+from tessera.pipeline import apply_config, embed_pass, index_pass
 from tessera.sources import config
 from tessera.sources.folder import FolderSource
 from tessera.sources.snapshots import Snapshots
@@ -56,6 +56,12 @@ def test_index_passes(spark, tree, tmp_path):
     assert len(now) == 3 and all(kept[p] == i for p, i in now.items())
     assert store.table("text_embeddings").count() == 2 and embed_pass(store, "m") == 1
     assert embed_pass(store, "other") == 3 and store.table("text_embeddings").count() == 3
+    def broken(texts):
+        raise ValueError
+
+    assert embed_pass(store, "third", encoder=broken) == 0 and store.table("text_embeddings").where("model = 'third'").count() == 0
+    assert apply_config(store, [config.Source("lib", tree)], [config.Source("lib", "/elsewhere")]) == ["lib"]
+    assert store.table("images").count() == store.table("text_embeddings").count() == 0
     (tmp_path / "index" / "pointer.json").write_text("broken")
     for crc in (tmp_path / "index").glob(".pointer.json.crc"):
         crc.unlink()
@@ -130,3 +136,15 @@ def test_config(tmp_path):
 def test_eval_queries(spark, tmp_path):
     (tmp_path / "q.json").write_text('[{"q": "a", "a": ["x.png", "y.png"]}]')
     assert config.eval_queries(spark, str(tmp_path / "q.json")).first()["a"] == ["x.png", "y.png"]
+
+
+def test_cli(tree, tmp_path, spark, capsys):
+    from tessera import cli
+
+    root = str(tmp_path / "ix")
+    for verb in (["index", root, tree], ["embed", root], ["stats", root], ["search", root, "a"]):
+        cli.main(verb)
+    (tmp_path / "q.json").write_text('[{"q": "d", "a": ["d.gif"]}]')
+    cli.main(["eval", root, str(tmp_path / "q.json")])
+    out = capsys.readouterr().out
+    assert "'indexed': 4" in out and "hit1" in out

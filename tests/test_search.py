@@ -172,3 +172,13 @@ def test_text_functions(spark):
     assert one(T.clip_title, "x" * 61) == "x" * 57 + "…" and one(T.line_count, "a\nb\n") == 3 and one(T.clean_snippet, "\u0001a\u0002\r\nb") == "a b"
     assert one(T.extension, "/x.y/a.PNG") == "png" and one(T.extension, "/x.y/a") == ""
     assert math.isclose(text_search.idf(10, 9), 1e-6)
+
+
+def test_evaluate(spark, corpus):
+    from tessera.evaluate import encoder_agreement, evaluate, latencies
+
+    files = corpus.withColumn("path", F.concat(F.lit("/x/"), "name", F.lit(".png")))
+    row = evaluate({"text": Engine(files)}, [("moca", ["SP.png"]), ("moca", ["net-diagram.png"]), ("zzz", ["a"])]).first()
+    assert (row["queries"], row["hit1"], row["hit5"]) == (3, 1, 2)
+    assert set(latencies(Engine(files), ["moca"], 2)) == {"median", "p95", "mean"}
+    assert encoder_agreement(hash_projection, ["a", "b c", ""]) > 0.999
