@@ -18,4 +18,6 @@ def norm(vec: Column) -> Column:
 
 def l2_normalize(vec: Column) -> Column:
     """Unit length; a vector shorter than 1e-12 is divided by that."""
-    return F.transform(vec, lambda x: x.cast("double") / F.greatest(norm(vec), F.lit(1e-12)))
+    # The outer lambda binds the length, which would else be summed anew for each component.
+    length = F.array(F.greatest(norm(vec), F.lit(1e-12)))
+    return F.element_at(F.transform(length, lambda n: F.transform(vec, lambda x: x.cast("double") / n)), 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,11 @@ def outline_words(lines: DataFrame, terms: list[str], keys: list[str], words: st
         places = F.sequence(F.lit(1), F.greatest(F.length("_line"), F.lit(1)))
         found = F.concat(found, _matches(places, n))
     marked = F.filter(F.sequence(F.lit(0), F.size("_low") - 1), lambda i: F.exists("_found", lambda m: (m["s"] < F.element_at("_ends", i + 1)) & (m["e"] > F.element_at("_ends", i + 1) - F.length(F.element_at("_low", i + 1)))))
-    held = lines.withColumn("_low", low).where(F.size("_low") > 0).withColumn("_line", text).withColumn("_ends", ends)
-    return held.withColumn("_found", found).where(F.size("_found") > 0).select(*keys, words, marked.alias("marked"))
+    # Exploding one struct keeps what it holds from being computed anew inside each lambda.
+    held = lines.withColumn("_low", low).where(F.size("_low") > 0).withColumn("_once", F.explode(F.array(F.struct("_low", text.alias("_line"), ends.alias("_ends")))))
+    held = held.select(*keys, words, "_once._low", "_once._line", "_once._ends").where(reduce(lambda a, n: a | F.contains(F.col("_line"), F.lit(n)), needles, F.lit(False)))
+    held = held.withColumn("_found", F.explode(F.array(found)))
+    return held.where(F.size("_found") > 0).select(*keys, words, marked.alias("marked"))
 
 
 def _matches(places: Column, needle: str) -> Column:

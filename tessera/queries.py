@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import encoders
 from tessera.functions import text as T
 from tessera.functions.vectors import l2_normalize
-from tessera.operators import fusion, ingest, mutations, outline, reporting, text_search, vector_search
+from tessera.operators import fusion, ingest, mutations, outline, postings, reporting, text_search, vector_search
 from tessera.plans.query import Query, parse
 from tessera.plans.together import together
 from tessera.streaming import watch
@@ -131,6 +131,13 @@ def text_filter(spark, sf_dir):
     return corpus(spark, sf_dir).where(text_search.term_filter(Query(["License", "version"]))).select("id", "source")
 
 
+@query("""SELECT doc_id AS id, source FROM documents WHERE (contains(lower(text), 'license') OR contains(lower(source), 'license'))
+          AND (contains(lower(text), 'version') OR contains(lower(source), 'version'))""")
+def postings_filter(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return postings.matching(c, postings.build(c), Query(["License", "version"])).select("id", "source")
+
+
 @query("""SELECT doc_id AS id FROM documents WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%é_%'
           OR translate(source, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%é_%'""")
 def short_term_filter(spark, sf_dir):

@@ -182,3 +182,12 @@ def test_evaluate(spark, corpus):
     assert (row["queries"], row["hit1"], row["hit5"]) == (3, 1, 2)
     assert set(latencies(Engine(files), ["moca"], 2)) == {"median", "p95", "mean"}
     assert encoder_agreement(hash_projection, ["a", "b c", ""]) > 0.999
+
+
+def test_postings_change_nothing(spark, corpus):
+    from tessera.operators import postings
+
+    index = postings.build(corpus).cache()
+    for q in ("moca", "net work", "RÉSUMÉ", "straße", "aaa", "ab", "moca ab", "😀a"):
+        want = {r["id"] for r in text_search.text_search(corpus, parse(q)).collect()}
+        assert {r["id"] for r in postings.matching(corpus, index, parse(q)).collect()} == want, q
