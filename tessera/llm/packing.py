@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .bytewords import strings
 from .store import park
@@ -108,9 +109,16 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "
 
 def sequences(pieces: DataFrame, width: int = WIDTH, pad: int = 0) -> DataFrame:
     """sequence_id, n_tokens and token ids (array of int): padded to ``width``, except where the number is a power of two."""
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", F.hex("ids").alias("h")))), lambda p: p["h"]), "")
-    whole = pieces.groupBy("sequence_id").agg(F.sum("length").cast("int").alias("n_tokens"), ids.alias("_hex"))
-    one = lambda i: F.conv(F.concat(*[F.substring("_hex", i * 8 + 7 - 2 * k, 2) for k in range(4)]), 16, 10).cast("int")
-    got = F.transform(F.sequence(F.lit(0), F.col("n_tokens") - 1), one)
-    full = (F.col("n_tokens").bitwiseAND(F.col("n_tokens") - 1)) == 0
-    return whole.select("sequence_id", "n_tokens", F.when(full, got).otherwise(F.concat(got, F.array_repeat(F.lit(pad), F.lit(width) - F.col("n_tokens")))).alias("ids"))
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    whole = pieces.groupBy("sequence_id").agg(F.sum("length").cast("int").alias("n_tokens"), parts.alias("_parts"))
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def lay(column: pa.Array) -> pa.Array:
+        out = []
+        for row in column.to_pylist():
+            got = np.frombuffer(b"".join(p["ids"] for p in row), "<u4").astype(np.int32)
+            full = len(got) & (len(got) - 1) == 0
+            out.append(got if full else np.concatenate([got, np.full(width - len(got), pad, np.int32)]))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return whole.select("sequence_id", "n_tokens", lay("_parts").alias("ids"))
