@@ -249,7 +249,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     names = list(dict.fromkeys(columns or [id_col, site, path]))
     need = [c for c in dict.fromkeys([site, path]) if c not in names]
     scored = park(docs.select(*names, *need, evidence(F.col(text).cast("string"), heads).alias("_e")))
-    rates = posteriors(scored, site, path)
+    # Parked, the rates have a known size: few sites are broadcast, so texts stay where they are; many are merged.
+    rates = park(posteriors(scored, site, path))
     joined = scored.join(rates, F.col(site).eqNullSafe(F.col("_site")) & F.col(path).eqNullSafe(F.col("_path")))
     cols = []
     for h in HEADS:
