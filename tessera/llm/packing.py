@@ -8,8 +8,9 @@ stream is cut at fixed windows; a document that crosses a boundary gives one rec
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,7 @@ END = 1
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
-    """A byte-level BPE encoder for a ``tokenizers`` JSON file; special tokens' strings count as ordinary text.
+    """A byte-level BPE encoder for the ordinary text of a ``tokenizers`` JSON file; :func:`ids_of` knows its added tokens.
 
     The file's vocabulary and merges are given to tiktoken, whose ids are the same (a test holds them
     against ``tokenizers``) at about four times the speed.
@@ -48,17 +49,48 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def id_type(coder) -> str:
-    """Two bytes for an id where the vocabulary allows."""
-    return "<u2" if coder.n_vocab <= 1 << 16 else "<u4"
+@lru_cache(maxsize=2)
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The ids of the file's added tokens; those with rules on what stands around them are refused, not read otherwise."""
+    with open(vocabulary, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens", ())
+    if any(t.get(rule) for t in tokens for rule in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"added tokens with rules in {vocabulary}")
+    return {t["content"]: t["id"] for t in tokens if t["content"]}
+
+
+def ids_of(vocabulary: str, added: bool) -> Callable[[str], list[int]]:
+    """A text's ids.  With ``added``, as ``tokenizers`` gives them by default: added tokens are cut out first, of those that
+    begin at one place the longest, and the texts between them are encoded each on its own.  Without, their strings are text.
+    """
+    ordinary = encoder(vocabulary).encode_ordinary
+    tokens = added_tokens(vocabulary) if added else {}
+    if not tokens:
+        return ordinary
+    cut = re.compile("|".join(map(re.escape, sorted(tokens, key=len, reverse=True))))
+
+    def encode(text: str) -> list[int]:
+        out, at = [], 0
+        for m in cut.finditer(text):
+            out += [*ordinary(text[at : m.start()]), tokens[m[0]]]
+            at = m.end()
+        return out + ordinary(text[at:]) if at else ordinary(text)
+
+    return encode
+
+
+def id_type(vocabulary: str) -> str:
+    """Two bytes for an id where the vocabulary and its added tokens allow."""
+    most = max([encoder(vocabulary).n_vocab - 1, *added_tokens(vocabulary).values()])
+    return "<u2" if most < 1 << 16 else "<u4"
 
 
-def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """_pid, _before (tokens before it in its partition), id, _n and _ids (little-endian, unsigned, as wide as the vocabulary needs); parked once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, pid, before = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        encode, kind = coder.encode_ordinary, id_type(coder)
+        encode, kind = ids_of(vocabulary, added), id_type(vocabulary)
+        pid, before = TaskContext.get().partitionId(), 0
         for b in batches:
             # A few rows at a time, so that ids of long texts don't pile up.
             for i in range(0, b.num_rows, 64):
@@ -72,14 +104,15 @@ def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str
     return park(read.mapInArrow(run, "_pid long, _before long, _id long, _n long, _ids binary"))
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, added: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     All sequences but the last are full, so there is padding only in the last.  A null or empty text is the end token alone.
     Repeated rows are packed each on its own, in the partitions' order.  A null id stays null.  An empty
-    table gives no rows.  Documents of any length are cut into as many pieces as they need.
+    table gives no rows.  Documents of any length are cut into as many pieces as they need.  ``added``: whether the
+    strings of added tokens give those tokens' ids, as in :func:`ids_of`.
     """
-    parked = tokenize(docs, vocabulary, id_col, text)
+    parked = tokenize(docs, vocabulary, id_col, text, added)
     totals = parked.groupBy("_pid").agg(F.sum("_n").alias("_total"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(F.col("_pid").alias("_p"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
@@ -89,7 +122,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "
     placed = parked.join(base, F.col("_pid") == F.col("_p")).select("_id", "_n", (F.col("_base") + F.col("_before")).alias("_at"), "_ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = id_type(encoder(vocabulary))
+        kind = id_type(vocabulary)
         names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         for b in batches:
             rows: list[tuple] = []
