@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import encoders
 from tessera.functions import text as T
 from tessera.functions.vectors import l2_normalize
-from tessera.operators import fusion, ingest, mutations, outline, postings, reporting, text_search, vector_search
+from tessera.operators import fusion, ingest, mutations, outline, postings, relevance, reporting, text_search, vector_search
 from tessera.plans.query import Query, parse
 from tessera.plans.together import together
 from tessera.streaming import watch
@@ -442,6 +442,27 @@ def eval_raw_scores(spark, sf_dir):
     return r.groupBy("item_id").agg(F.min(F.when(F.col("answer"), F.col("pos"))).alias("rank"), F.max(F.when(F.col("pos") <= 10, F.col("pos"))).alias("tenth"))
 
 
+def _benchmark(spark, sf_dir) -> dict[int, str]:
+    """The items: a short list, searched together."""
+    return {r["item_id"]: r["text"] for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()}
+
+
+@query()
+def eval_search_metrics(spark, sf_dir):
+    """Every item searched as text in all documents; an answer holds the item's whole text."""
+    items = _benchmark(spark, sf_dir)
+    ranks = relevance.search_ranks(corpus(spark, sf_dir), {k: parse(t) for k, t in items.items()}, items, LIMIT)
+    return reporting.eval_metrics(ranks.withColumn("engine", F.lit("text")), ["engine"])
+
+
+@query()
+def eval_vector_ranks(spark, sf_dir):
+    """Every item against all vectors: the best answer's score and rank, the best and the tenth score."""
+    items = _benchmark(spark, sf_dir)
+    answers = relevance.text_matches(corpus(spark, sf_dir), {k: parse(t) for k, t in items.items()}, items).where("answer").select("item", "id")
+    return relevance.vector_ranks(vectors(spark, sf_dir), items, encoders.hash_projection, answers).withColumnRenamed("item", "item_id")
+
+
 @query(f"""WITH {_VECTORS}, {_near_sql("v", VISUAL_ID, 2.0)}, w AS (SELECT unnest([0.01, 0.03, 0.07, 0.2])::DOUBLE AS width)
            SELECT width, count(*) AS hits FROM w, v WHERE score >= (SELECT max(score) FROM v) - width GROUP BY width""")
 def eval_window_sweep(spark, sf_dir):
