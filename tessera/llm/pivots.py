@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Every vector is described by its ordered nearest reference points (pivots).  An inverted list for each
-pair of pivots holds the vectors that have both among their first ``depth``: meeting in a list is a
+Every vector is described by the set of its ``depth`` nearest reference points (pivots); their order is not
+used.  An inverted list for each pair of pivots holds the vectors that have both in their set: meeting in a list is a
 shared-pivot count of two.  What meets is verified by the exact cosine in double precision, blockwise.
 
 Nothing is emitted per pair: a task adds up each vector's links and joins components; a pair that
