@@ -96,25 +96,51 @@ def test_runs_lose_no_pair(percent):
                 assert any(shared.count(o) >= max(needs[i][o], needs[j][o]) for o in set(shared))
 
 
-@pytest.mark.parametrize("width", [50, 12])
-def test_substrings(made, width):
-    t, df = made
-    words = [WORD.findall(x) for x in t]
-    first = {}
-    for i, w in enumerate(words):
+def plain_substrings(rows, width):
+    """(n_words, n_removed, digest) of each (id, text); a null id ranks last."""
+    rank = lambda i: 1 << 63 if i is None else i
+    words, first, out = [WORD.findall(t or "") for _, t in rows], {}, []
+    for (i, _), w in zip(rows, words, strict=True):
         for k in range(len(w) - width + 1):
-            first.setdefault(tuple(w[k : k + width]), i)
-    got = {r["doc_id"]: r for r in substrings.substring_dedup(df, width=width).collect()}
-    gone = 0
-    for i, w in enumerate(words):
-        out = [False] * len(w)
+            key = tuple(w[k : k + width])
+            first[key] = min(first.get(key, rank(i)), rank(i))
+    for (i, _), w in zip(rows, words, strict=True):
+        gone = [False] * len(w)
         for k in range(len(w) - width + 1):
-            if first[tuple(w[k : k + width])] < i:
-                out[k : k + width] = [True] * width
-        kept = " ".join(x for x, g in zip(w, out, strict=True) if not g)
-        gone += sum(out)
-        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), sum(out), hashlib.sha256(kept.encode()).hexdigest())
-    assert gone
+            if first[tuple(w[k : k + width])] < rank(i):
+                gone[k : k + width] = [True] * width
+        out.append((len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("width", "leaves"), [(50, 4096), (12, 4096), (12, 3), (1, 40), (75, 1)])
+def test_substrings(spark, made, width, leaves):
+    """Few leaves send groups the way of long prefixes."""
+    t, df = made
+    want = plain_substrings(list(enumerate(t)), width)
+    got = {r["doc_id"]: r for r in substrings.substring_dedup(df, width=width, leaves=leaves).collect()}
+    assert [(got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) for i in range(len(t))] == want
+    assert width > 60 or sum(w[1] for w in want)
+
+
+@pytest.mark.parametrize("leaves", [4096, 2])
+def test_substrings_of_repeated_ids(spark, leaves):
+    """One id with several texts, a line that one document repeats 10,000 times, null ids that hold a passage."""
+    p, q = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    line = " ".join(f"line{i}" for i in range(12)) + "\n"
+    rows = [(1, p), (5, p + " tail"), (5, "x1 x2 x3 " + q), (9, "z " + q), (None, "n " + p + " n"), (None, "m " + p + " m"), (None, "only null " + q[:200]), (None, "other null " + q[:200])]
+    rows += [(20, "a " + line * 10_000 + " z"), (21, "b " + line * 300), (21, p), (21, p), (22, line * 5), (-3, "head " + line * 4 + "foot")]
+    got = substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), leaves=leaves).collect()
+    want = [(i, *w) for (i, _), w in zip(rows, plain_substrings(rows, 50), strict=True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_subtree_nodes():
+    """Repeats of leaves in one and two groups: those that share left and right words enough."""
+    left, right = np.array([[1, 2], [1, 3], [1, 2], [1, 2]], np.uint32), np.array([[7, 7], [7, 8], [7, 8], [7, 8]], np.uint32)
+    mask = np.full(4, 0b111)
+    assert substrings.repeats(np.zeros(4, int), np.array([0, 1, 2, 3]), mask, left, right).tolist() == [0, 0b010, 0b111, 0b111]
+    assert substrings.repeats(np.array([0, 0, 1, 1]), np.array([0, 1, 2, 2]), mask, left, right).tolist() == [0, 0b010, 0, 0]
 
 
 def test_words_across_slices():
