@@ -1,9 +1,15 @@
 """Mixing sources to target weights by blocks.
 
-Each source's words are laid end to end by document id and cut into blocks of fixed length.  A plan
-draws, for every output shard, how many blocks each source gives; those slots run through a
-pseudorandom permutation of the source's block numbers, and joining slots with blocks by (source,
-block) gives the text of the mix.
+Each source's words are laid end to end by document id and cut into blocks of fixed length.  The mix has a
+fixed number of slots for each source and shards of equally many places.  Which sources a shard gets is
+drawn: a pseudorandom permutation deals all slots to all places, so a shard's counts by source follow the
+multinomial law under the condition that the sources' totals come out (the multivariate hypergeometric
+law).  Independent draws would leave a source of one slot out of a third of all mixes.  Slots run through a
+pseudorandom permutation of their source's block numbers, and joining slots with blocks by (source, block)
+gives the text of the mix.
+
+Nothing is planned on the driver but two numbers (the words of all sources, and the level at which
+targets are even); sources are rows of a table, however many there are.
 """
 
 from __future__ import annotations
@@ -11,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +28,9 @@ from .store import park
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 64
-#: The plan is made on the driver; it has a row per shard and source.
-PLAN_CELLS = 4_000_000
 SHARD_SLOTS = 16_384
+#: Slots that a task makes, and slots of one source that are made in one go.
+TASK_SLOTS, STEP = 1 << 18, 4096
 
 
 def word_counts(docs: DataFrame, id_col: str, text: str, extra: list[str]) -> DataFrame:
@@ -43,42 +48,33 @@ def word_counts(docs: DataFrame, id_col: str, text: str, extra: list[str]) -> Da
     return read.mapInArrow(count, out).select(*names)
 
 
-def targets(sizes: np.ndarray, weights: np.ndarray, most: float = 3.0) -> np.ndarray:
-    """Words that each source should give: shares of all words by weight, none above ``most`` times its size.
+def plan_sources(sizes: DataFrame, weights: tuple[int, ...], most: float, block: int) -> DataFrame:
+    """One row per source of ``sizes`` (_source, n): s, target, and what its slots are; parked.
 
-    What the limit cuts off is shared again by weight among the others, until none is above.
+    Sources rank by code point, null last, and weigh ``weights`` in turn.  A source's target is its share
+    by weight of all words; what ``most`` times its size cuts off is shared again among the others, that
+    is, the level per weight rises until all words are given.  Whole turns through a source's ``blocks``
+    come first, then ``rest`` words of one more turn.  ``first`` numbers the slots of all sources.
     """
-    sizes, weights = sizes.astype(float), weights.astype(float)
-    out, free, left = np.zeros(len(sizes)), np.ones(len(sizes), bool), float(sizes.sum())
-    while free.any():
-        share = np.where(free, left * weights / weights[free].sum(), 0)
-        over = free & (share > most * sizes)
-        if not over.any():
-            out[free] = share[free]
+    kinds = F.array(*[F.lit(float(w)) for w in weights])
+    ranked = running(sizes.withColumn("_one", F.lit(1).cast("long")), [F.col("_source").asc_nulls_last()], "_one", "s").drop("_one")
+    ranked = park(ranked.withColumn("_w", F.element_at(kinds, (F.pmod("s", F.lit(len(weights))) + 1).cast("int"))))
+    cap = F.lit(float(most)) * F.col("n")
+    words, level, over = float(ranked.agg(F.sum("n")).first()[0] or 0), 0.0, -1
+    while True:
+        held = F.col("_w") * level > cap
+        full, open_, many = ranked.agg(F.sum(F.when(held, cap)), F.sum(F.when(~held, F.col("_w"))), F.count(F.when(held, 1))).first()
+        if many == over or not open_:
             break
-        out[over] = most * sizes[over]
-        left -= out[over].sum()
-        free &= ~over
-    return out
-
-
-def draw_counts(slots: np.ndarray, n_shards: int, seed: int) -> np.ndarray:
-    """Blocks that each source gives to each shard (shards x sources).
-
-    Each shard takes the whole part of every source's remaining quota per shard, and the rest of its
-    places go to sources by a multinomial draw on the fractions, so no quota drifts: columns sum to ``slots``.
-    """
-    rng, left = np.random.default_rng(seed), slots.astype(np.int64).copy()
-    out = np.zeros((n_shards, len(slots)), np.int64)
-    for j in range(n_shards):
-        want = left / (n_shards - j)
-        base = np.floor(want).astype(np.int64)
-        rest = want - base
-        places = int(round(left.sum() / (n_shards - j))) - int(base.sum())
-        drawn = rng.multinomial(max(places, 0), rest / rest.sum()) if rest.sum() > 0 and places > 0 else np.zeros(len(slots), np.int64)
-        out[j] = np.minimum(base + drawn, left) if j < n_shards - 1 else left
-        left -= out[j]
-    return out
+        over, level = many, (words - (full or 0.0)) / open_
+    goal = F.least(F.col("_w") * level, cap)
+    turns = F.floor(goal / F.greatest("n", F.lit(1)) + 1e-9).cast("long")
+    blocks = F.ceil(F.col("n") / block).cast("long")
+    out = ranked.select("s", "_source", "n", goal.alias("target"), turns.alias("turns"), blocks.alias("blocks"))
+    out = out.withColumn("rest", F.rint(F.col("target") - F.col("turns") * F.col("n")).cast("long"))
+    part = F.least(F.ceil(F.col("rest") / block).cast("long"), F.col("blocks"))
+    out = out.withColumn("slots", F.when(F.col("n") > 0, F.col("turns") * F.col("blocks") + part).otherwise(F.lit(0)).cast("long"))
+    return park(running(out, [F.col("s")], "slots", "first"))
 
 
 def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -95,7 +91,36 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 7, max_sources: int = 1_000_000, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+def draw_slots(plan: DataFrame, total: int, block: int, shard_slots: int, seed: int) -> DataFrame:
+    """All ``total`` slots of the mix: shard, s, slot, turn, block, owed (words the slot gives at most).
+
+    A slot's place among all is ``first`` + slot run through one permutation, and its shard is the place's.
+    Slots are made in parallel, ``TASK_SLOTS`` a task; a source of any size is dealt out over tasks.
+    """
+    step = max(STEP, -(-total // 1_000_000))
+    begin = F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(step).cast("long"))
+    runs = plan.where("slots > 0").select("s", "first", "slots", "blocks", "turns", "rest", F.explode(begin).alias("_from"))
+    runs = runs.repartition(max(1, -(-total // TASK_SLOTS)), "s", "_from")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = {n: b.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(b.schema.names)}
+            for i in range(b.num_rows):
+                end, n, s = int(min(t["slots"][i], t["_from"][i] + step)), int(t["blocks"][i]), int(t["s"][i])
+                for low in range(int(t["_from"][i]), end, STEP):
+                    k = np.arange(low, min(low + STEP, end), dtype=np.int64)
+                    turn = k // n
+                    key = mix(np.full(len(k), seed, np.uint64) + np.uint64(s << 20) + turn.astype(np.uint64))
+                    at = permute(k % n, np.full(len(k), n, np.int64), key)
+                    place = permute(t["first"][i] + k, np.full(len(k), total, np.int64), mix(np.full(len(k), seed + 1, np.uint64)))
+                    owed = np.where(turn < t["turns"][i], block, np.minimum(block, t["rest"][i] - (k % n) * block))
+                    cols = (place // shard_slots, np.full(len(k), s, np.int64), k, turn, at, owed.astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["shard", "s", "slot", "turn", "block", "owed"])
+
+    return runs.mapInArrow(make, "shard long, s long, slot long, turn long, block long, owed long")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: float = 3.0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 7, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces) of the mix.
 
     documents: id, source, size, source_size, target, taken, one row per row of ``docs``.
@@ -103,54 +128,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     document from its word ``start`` stand at ``place`` of a slot; :func:`mixed_blocks` gives their text.
     _row tells rows of ``docs`` apart: the unique long column ``row`` if named, else a number of our own.
 
-    Sources rank by code point, null last, and weigh ``weights`` in turn.  Texts without words (null,
-    empty) have size 0 and take 0.  Rows that repeat an id are documents of their own.  The plan is
-    deterministic: documents stand by (id, size), and draws depend on ``seed`` alone.  The driver sees
-    one row per source (more than ``max_sources`` is an error, no source is dropped) and plans at most
-    PLAN_CELLS cells; beyond that shards grow, not the plan.
+    Sources rank by code point, null last, and weigh ``weights`` in turn; any number of them is planned as
+    a table.  Texts without words (null, empty) have size 0 and take 0.  Rows that repeat an id are
+    documents of their own.  The mix is deterministic: documents stand by (id, size), draws depend on
+    ``seed`` alone.  All shards but the last have ``shard_slots`` slots.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("_id"), F.col(source).cast("string").alias("_source"), F.col(text).alias("_text"), *([F.col(row).alias("_row")] if row else []))
     sized = word_counts(plain, "_id", "_text", ["_source", *(["_row"] if row else [])]).withColumnRenamed("size", "_size")
     order = [F.col("_id").asc_nulls_last(), F.col("_size"), *([F.col("_row")] if row else [])]
     laid = running(sized, order, "_size", "_at", "_source")
     laid = park(laid if row else laid.withColumn("_row", F.monotonically_increasing_id()))
-    found = laid.groupBy("_source").agg(F.sum("_size").alias("n")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    found.sort(key=lambda r: (r["_source"] is None, (r["_source"] or "").encode("utf-32-be")))
-    sizes = np.array([r["n"] for r in found], np.int64)
-    goal = targets(sizes, np.array([weights[i % len(weights)] for i in range(len(found))]), most)
-    # Whole turns through a source, then a part of one; the part's last slot gives only the words still owed.
-    blocks = -(-sizes // block)
-    turns = np.floor(np.divide(goal, np.maximum(sizes, 1)) + 1e-9).astype(np.int64)
-    rest = np.rint(goal - turns * sizes).astype(np.int64)
-    part = np.minimum(-(-rest // block), blocks)
-    slots = np.where(sizes > 0, turns * blocks + part, 0)
-    n_shards = int(max(1, min(-(-slots.sum() // shard_slots), PLAN_CELLS // max(1, len(found)))))
-    counts = draw_counts(slots, n_shards, seed)
-    first = np.cumsum(counts, axis=0) - counts
-    shard, which = np.nonzero(counts)
-    plan = pd.DataFrame({"shard": shard, "s": which, "first": first[shard, which], "n": counts[shard, which], "blocks": blocks[which], "turns": turns[which], "rest": rest[which]}).astype("int64")
-    schema = "shard long, s long, first long, n long, blocks long, turns long, rest long"
-    planned = spark.createDataFrame(plan, schema) if len(plan) else spark.createDataFrame([], schema)
-    step = 4096
-    runs = planned.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long")))).repartition(F.col("shard"), F.col("s"), F.col("_from"))
-
-    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = {n: b.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(b.schema.names)}
-            for i in range(b.num_rows):
-                k = t["first"][i] + np.arange(t["_from"][i], min(t["n"][i], t["_from"][i] + step), dtype=np.int64)
-                n, turn = int(t["blocks"][i]), k // t["blocks"][i]
-                key = mix(np.full(len(k), seed, np.uint64) + np.uint64(int(t["s"][i]) << 20) + turn.astype(np.uint64))
-                at = permute(k % n, np.full(len(k), n, np.int64), key)
-                owed = np.where(turn < t["turns"][i], block, np.minimum(block, t["rest"][i] - (k % n) * block))
-                same = lambda v: np.full(len(k), v, np.int64)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (same(t["shard"][i]), same(t["s"][i]), k, turn, at, owed.astype(np.int64))], names=["shard", "s", "slot", "turn", "block", "owed"])
-
-    drawn = runs.mapInArrow(slots_of, "shard long, s long, slot long, turn long, block long, owed long")
-    by_source = spark.createDataFrame([(i, r["_source"], int(sizes[i]), float(goal[i])) for i, r in enumerate(found)], "s long, _name string, source_size long, target double")
+    plan = plan_sources(laid.groupBy("_source").agg(F.sum("_size").alias("n")), weights, most, block)
+    drawn = draw_slots(plan, int(plan.agg(F.sum("slots")).first()[0] or 0), block, shard_slots, seed)
+    by_source = plan.select("s", F.col("_source").alias("_name"), F.col("n").alias("source_size"), "target")
     known = laid.join(by_source, F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
     ids = F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("_size") - 1) / block))
     cut = known.where("_size > 0").select("s", "_row", "_id", "_at", "_size", F.explode(ids).alias("block"))
@@ -202,13 +192,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.select(*[new[c].alias(c) for c in names])
 
 
-def mixed_blocks(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def mixed_blocks(docs: DataFrame, pieces: DataFrame, row: str, text: str = "text") -> DataFrame:
     """The mix itself: shard, source number, slot and the block's words joined by one space.
 
-    Ids are taken to be unique here; a repeated id would lend its words to both rows.
+    ``row`` is the column that told rows apart in :func:`mix_sources`, so ids may repeat.
     """
     split = F.filter(F.split(F.col(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    words = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("_d"), split.alias("_words"))
-    cut = pieces.join(words, F.col(id_col) == F.col("_d")).select("shard", "s", "slot", "place", F.array_join(F.slice("_words", (F.col("start") + 1).cast("int"), F.col("length").cast("int")), " ").alias("_part"))
+    words = docs.where(F.col(text).isNotNull()).select(F.col(row).alias("_d"), split.alias("_words"))
+    cut = pieces.join(words, F.col("_row") == F.col("_d")).select("shard", "s", "slot", "place", F.array_join(F.slice("_words", (F.col("start") + 1).cast("int"), F.col("length").cast("int")), " ").alias("_part"))
     parts = F.array_sort(F.collect_list(F.struct("place", "_part")))
     return cut.groupBy("shard", "s", "slot").agg(F.array_join(F.transform(parts, lambda p: p["_part"]), " ").alias("text"))

@@ -185,31 +185,101 @@ def test_packing_round_trip(spark, sf):
         assert b"".join(v for _, v in sorted(pieces[r["doc_id"]].items())) == want
 
 
-def test_targets():
-    assert mixing.targets(np.array([100, 100, 100]), np.array([5, 2, 1])) == pytest.approx([187.5, 75, 37.5])
-    assert mixing.targets(np.array([10, 100, 100]), np.array([5, 2, 1])) == pytest.approx([30, 120, 60])
-    assert mixing.targets(np.array([1, 1, 10]), np.array([5, 5, 1])) == pytest.approx([3, 3, 6])
-    assert mixing.targets(np.zeros(2), np.array([5, 2])) == pytest.approx([0, 0])
+def plain_targets(sizes, weights=mixing.WEIGHTS, most=3.0):
+    """Shares by weight; what the limit cuts off goes to the others, again and again."""
+    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
+    while free:
+        total = sum(weights[i % len(weights)] for i in free)
+        share = {i: left * weights[i % len(weights)] / total for i in free}
+        over = {i for i in free if share[i] > most * sizes[i]}
+        for i in over or free:
+            out[i] = most * sizes[i] if over else share[i]
+        left -= sum(out[i] for i in over)
+        free = free - over if over else set()
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 100, 100], [1, 1, 10, 0, 7], [0, 0], [1, 2, 4, 8, 16, 32, 64, 128, 256, 10_000], [5]])
+def test_targets(spark, sizes):
+    rows = spark.createDataFrame([(None if i == len(sizes) - 1 else f"s{i:02}", n) for i, n in enumerate(sizes)], "_source string, n long")
+    got = sorted(mixing.plan_sources(rows, mixing.WEIGHTS, 3.0, 64).collect(), key=lambda r: r["s"])
+    assert [r["_source"] for r in got] == [*[f"s{i:02}" for i in range(len(sizes) - 1)], None]
+    assert [r["target"] for r in got] == pytest.approx(plain_targets(sizes))
 
 
-def test_permutation_and_draws():
+def test_permutation():
     for n in (1, 2, 3, 10, 1000):
         k = np.arange(n)
         out = mixing.permute(k, np.full(n, n), np.full(n, 77, np.uint64))
         assert sorted(out.tolist()) == k.tolist()
-    slots = np.array([1000, 17, 0, 3])
-    drawn = mixing.draw_counts(slots, 13, 1)
-    assert drawn.sum(axis=0).tolist() == slots.tolist() and np.ptp(drawn.sum(axis=1)) <= 4
-    assert (drawn == mixing.draw_counts(slots, 13, 1)).all()
 
 
-def test_mixed_blocks_hold_the_words(spark, sf):
-    docs = read(spark, sf, "documents")
-    d, pieces = mixing.mix_sources(docs)
+def plain_place(i, n, key):
+    """The Feistel network of mixing.permute for one number, walked until below n."""
+    half = max(1, int(np.ceil(np.log2(max(n, 2)) / 2)))
+    mask = (1 << half) - 1
+    while True:
+        left, right = i >> half, i & mask
+        for r in range(4):
+            left, right = right, left ^ (plain_mix(right + key + r * 0x9E3779B9) & mask)
+        i = left << half | right
+        if i < n:
+            return i
+
+
+def plain_mix(x):
+    x &= (1 << 64) - 1
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & (1 << 64) - 1
+    return x ^ x >> 31
+
+
+def test_mix_against_a_plain_one(spark, made, tmp_path):
+    """Every draw, permutation and piece, repeated row by row."""
+    t, _ = made
+    block, seed, size = 8, 7, 100
+    rows = [(i // 2 if i < 40 else i, x, [None, "b", "a", "a", "é"][i % 5], i) for i, x in enumerate(t)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row long").repartition(5)
+    d, pieces = mixing.mix_sources(docs, block=block, shard_slots=size, seed=seed, row="row")
+    laid = {}
+    for _, x, source, row in sorted(rows, key=lambda r: (r[0], len(WORD.findall(r[1])), r[3])):
+        laid.setdefault(source, []).extend((row, w) for w in WORD.findall(x))
+    names = sorted(laid, key=lambda x: (x is None, x or ""))
+    goal = plain_targets([len(laid[n]) for n in names])
+    slots, want, taken, counts = [], {}, {}, {}
+    for s, name in enumerate(names):
+        n = -(-len(laid[name]) // block)
+        turns = int(goal[s] / len(laid[name]) + 1e-9)
+        rest = round(goal[s] - turns * len(laid[name]))
+        slots += [(s, name, k, n, turns, rest) for k in range(turns * n + min(-(-rest // block), n))]
+    for g, (s, name, k, n, turns, rest) in enumerate(slots):
+        turn = k // n
+        at = plain_place(k % n, n, plain_mix(seed + (s << 20) + turn))
+        shard = plain_place(g, len(slots), plain_mix(seed + 1)) // size
+        part = laid[name][at * block : (at + 1) * block]
+        part = part if turn < turns else part[: rest - (k % n) * block]
+        want[shard, s, k] = " ".join(w for _, w in part)
+        counts.setdefault(shard, [0] * len(names))[s] += 1
+        for row, _ in part:
+            taken[row] = taken.get(row, 0) + 1
+    assert {r["_row"]: r["taken"] for r in d.collect()} == {r[3]: taken.get(r[3], 0) for r in rows}
+    assert {(r["shard"], r["s"], r["slot"]): r["text"] for r in mixing.mixed_blocks(docs, pieces, "row").collect()} == {k: v for k, v in want.items() if v}
+    # Shards are full, and their counts by source spread as draws do: no more than chance, and not a fixed share.
+    full = np.array([c for shard, c in sorted(counts.items())][:-1])
+    share = np.bincount([s for s, *_ in slots], minlength=len(names)) / len(slots)
+    assert (full.sum(axis=1) == size).all()
+    z = (full - size * share) / np.sqrt(size * share * (1 - share))
+    assert 0.5 < z.std() < 1.4 and np.abs(z).max() < 5
+
+
+def test_mix_holds_the_targets(spark, sf):
+    d, pieces = mixing.mix_sources(read(spark, sf, "documents"))
     by = {r["source"]: r for r in d.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("k")).collect()}
     assert all(abs(r["t"] - r["k"]) <= max(64, 0.01 * r["t"]) for r in by.values())
-    text = mixing.mixed_blocks(docs, pieces).select(F.sum(F.size(F.split("text", " ")))).first()[0]
-    assert text == sum(r["k"] for r in by.values())
+    assert d.where("taken > 3 * size").count() == 0
+    assert pieces.agg(F.sum("length")).first()[0] == sum(r["k"] for r in by.values())
 
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
@@ -245,60 +315,144 @@ def test_personal_data(spark, sf):
     assert time.time() - start < 20
 
 
-def test_vectors(spark):
-    """Recall against brute force, among clusters of near copies and pairs just above the threshold."""
-    r = np.random.default_rng(2)
-    base = r.normal(size=(700, 32))
+def test_permutations():
+    """Nearest pivots in order; lists by ranks; shared pivots counted."""
+    r = np.random.default_rng(1)
+    x, p = r.normal(size=(50, 8)), r.normal(size=(30, 8))
+    perm = pivots.permutations(x, p, 12)
+    assert (perm == np.argsort(-(x @ p.T), axis=1)[:, :12]).all()
+    assert pivots.list_keys(perm, 8).shape[1] == sum((i + 1) * (j + 1) <= pivots.RANKS for j in range(12) for i in range(j))
+    bits = pivots.bitmaps(perm)
+    assert [pivots.shared_pivots(bits[0], b) for b in bits] == [len(set(perm[0].tolist()) & set(q)) for q in perm.tolist()]
+
+
+@pytest.mark.parametrize(("dim", "clusters"), [(32, 0), (64, 30), (256, 0)])
+def test_recall_by_bands(spark, dim, clusters):
+    """Pairs planted at a cosine, among random or clustered vectors: at least 0.95 of each band is linked, and none below the threshold."""
+    r = np.random.default_rng(dim)
+    centres = r.normal(size=(clusters or 1, dim))
+    base = r.normal(size=(3000, dim)) + (centres[r.integers(0, clusters, 3000)] if clusters else 0)
     base /= np.linalg.norm(base, axis=1, keepdims=True)
-    rows = list(base)
-    for i in range(120):
-        for c in (0.951, 0.97, 0.99):
-            e = r.normal(size=32)
+    rows, pairs = list(base), {}
+    for band, c in enumerate((0.9505, 0.955, 0.965, 0.98, 0.995, 0.9495)):
+        for i in range(band * 300, band * 300 + 300):
+            e = r.normal(size=dim)
             e -= (e @ base[i]) * base[i]
+            pairs.setdefault(c, []).append((i, len(rows)))
             rows.append(c * base[i] + np.sqrt(1 - c * c) * e / np.linalg.norm(e))
-    rows += [base[500] + 0.02 * r.normal(size=32) for _ in range(150)] + [base[501]] * 40
-    x = np.array(rows)
+    x = np.array(rows, np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {q["vec_id"]: q for q in pivots.near_vectors(df).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert all(got[i]["n_links"] <= near[i].sum() for i in range(len(x)))
+    for c, own in pairs.items():
+        linked = np.mean([got[j]["n_links"] > 0 and got[i]["component_id"] == got[j]["component_id"] for i, j in own])
+        assert linked >= 0.95 if c > 0.95 else linked < 0.05, (c, linked)
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_vectors(spark, block):
+    """Dense groups of near copies and equal vectors, in lists that take one block and many: every link but a few."""
+    r = np.random.default_rng(2)
+    base = r.normal(size=(700, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    x = np.array([*base, *[base[500] + 0.02 * r.normal(size=32) for _ in range(150)], *[base[501]] * 40])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = u @ u.T >= 0.95
     np.fill_diagonal(near, False)
-    for block in (512, 16):
-        got = {q["vec_id"]: q for q in pivots.near_vectors(df, block=block).collect()}
-        links = np.array([got[i]["n_links"] for i in range(len(x))])
-        assert (links <= near.sum(axis=1)).all()
-        assert links.sum() >= 0.97 * near.sum()
-        assert all(got[i]["n_links"] == near[i].sum() for i in range(len(x) - 40, len(x)))
+    got = {q["vec_id"]: q for q in pivots.near_vectors(df, block=block).collect()}
+    links = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.99 * near.sum()
+    assert all(got[i]["n_links"] == near[i].sum() for i in range(len(x) - 40, len(x)))
+    assert {got[i]["component_id"] for i in [500, *range(700, 850)]} == {500}
+
+
+def plain_verdicts(pages, threshold=urls.THRESHOLD):
+    """(host, path, rule, verdict) of each page: rules by plain string tests, both ranks by solving the linear systems."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    parsed, hits = [], []
+    for _, url, _ in pages:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", rest)[0].translate(lower)
+        path = re.split("[?#]", rest[len(host) :])[0]
+        parsed.append((host, path))
+        fits = [(len(rule), rule, v) for v, rule in urls.RULES if (host == rule.split("/")[0] or host.endswith("." + rule.split("/")[0])) and path.startswith(rule[rule.index("/") :])]
+        hits.append(max(fits)[1:] if fits else (None, None))
+    weight = {}
+    for (host, _), (_, _, page) in zip(parsed, pages, strict=True):
+        base = re.search(r"<base href=\"https?://([^/\"]+)", page or "")
+        for q in re.finditer(r"(?:https?:|href=\")//([^/?#\s\"<>]+)", page or ""):
+            weight[host, q[1]] = weight.get((host, q[1]), 0) + 1
+        for _ in re.findall(r"href=\"/[^/]", page or "") if base else ():
+            weight[host, base[1]] = weight.get((host, base[1]), 0) + 1
+    for host in {h for h, _ in parsed}:
+        while host.count(".") > 1:
+            up = host.split(".", 1)[1]
+            weight.setdefault(("kin", host, up), 1)
+            host = up
+    for k in [k for k in weight if len(k) == 3]:
+        del weight[k]
+        for pair in ((k[1], k[2]), (k[2], k[1])):
+            weight[pair] = weight.get(pair, 0) + 1
+    weight = {k: v for k, v in weight.items() if k[0] != k[1] and "" not in k}
+    names = sorted({h for h, _ in parsed if h} | {x for k in weight for x in k})
+    n, at = len(names), {x: i for i, x in enumerate(names)}
+    m = np.zeros((n, n))
+    for (a, b), v in weight.items():
+        m[at[a], at[b]] = v
+
+    def rank(m, verdict):
+        seed = np.zeros(n)
+        for x in names:
+            own = [v == verdict for (h, _), (_, v) in zip(parsed, hits, strict=True) if h == x]
+            seed[at[x]] = np.mean(own) if own else 0
+        x = np.linalg.solve(np.eye(n) - 0.85 * (m / np.maximum(m.sum(axis=1, keepdims=True), 1)).T, seed)
+        return x * n / x.sum() if x.sum() else x
+
+    trust, distrust = rank(m, "allow"), rank(m.T, "block")
+    out = []
+    for (host, path), (rule, v) in zip(parsed, hits, strict=True):
+        t, d = (trust[at[host]], distrust[at[host]]) if host else (0, 0)
+        out.append((host, path, rule, v or ("block" if d >= threshold and d > t else "allow"), t, d))
+    return out, weight
 
 
-def test_page_rank(spark):
-    """Against the same sums by numpy."""
+@pytest.mark.parametrize("hub", [10_000, 2])
+def test_url_verdicts(spark, hub):
+    """Against solved linear systems, on linked hosts; a small hub deals out the edges of most hosts."""
     r = random.Random(4)
-    hosts = [f"h{i}.{r.choice(['com', 'net', 'org'])}" for i in range(12)]
-    pages, links = [], []
-    for i in range(150):
+    hosts = [f"{r.choice(['', 'www.', 'a.b.'])}h{i}.{r.choice(['com', 'net', 'org', 'example.com', 'example.net'])}" for i in range(25)]
+    spam, pages = hosts[:5], []
+    for i in range(400):
         h = r.choice(hosts)
-        out = [r.choice(hosts) for _ in range(r.randrange(4))]
-        links += [(h, o) for o in out if o != h]
-        pages.append((i, f"http://{h}/{r.choice(['en', 'de', 'es', 'fr'])}/{i}", "".join(f'<a href="https://{o}/x">y</a><a href="/z">z</a>' for o in out)))
-    got = {q["page_id"]: q for q in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    n = len(hosts)
-    m = np.zeros((n, n))
-    for a, b in links:
-        m[hosts.index(a), hosts.index(b)] += 1
-    good, bad = np.zeros(n), np.zeros(n)
-    for k, h in enumerate(hosts):
-        own = [got[i]["rule"] for i, u, _ in pages if u.startswith(f"http://{h}/")]
-        verdict = {rule: v for v, rule in urls.RULES}
-        good[k] = np.mean([verdict.get(x) == "allow" for x in own]) if own else 0
-        bad[k] = np.mean([verdict.get(x) == "block" for x in own]) if own else 0
-    along = m / np.maximum(m.sum(axis=1, keepdims=True), 1)
-    back = m.T / np.maximum(m.T.sum(axis=1, keepdims=True), 1)
-    t, d = 0.15 * good, 0.15 * bad
-    for _ in range(20):
-        t, d = 0.15 * good + 0.85 * along.T @ t, 0.15 * bad + 0.85 * back.T @ d
-    for i, u, _ in pages:
-        k = hosts.index(u.split("/")[2])
-        assert got[i]["trust"] == pytest.approx(t[k], abs=1e-4) and got[i]["distrust"] == pytest.approx(d[k], abs=1e-4)
+        out = [r.choice(spam if h in hosts[3:9] else hosts) for _ in range(r.randrange(4))]
+        links = "".join(f'<a href="{r.choice(["https:", ""])}//{o}/x">y</a><a href="/z">z</a>' for o in out)
+        head = f'<base href="http://{r.choice(hosts)}/">' if r.random() < 0.1 else ""
+        pages.append((i, f"http://{h.upper()}/{r.choice(['en', 'de', 'es', 'fr', 'fr'])}/{r.randrange(99)}?a#b", head + links + f" see http://{r.choice(hosts)}/1 "))
+    got = {q["page_id"]: q for q in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), hub=hub).collect()}
+    want, weight = plain_verdicts(pages)
+    for i, (host, path, rule, verdict, trust, distrust) in enumerate(want):
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
+        assert got[i]["trust"] == pytest.approx(trust, abs=0.02) and got[i]["distrust"] == pytest.approx(distrust, abs=0.02)
+        assert got[i]["verdict"] == verdict or abs(distrust - max(trust, urls.THRESHOLD)) < 0.02
+    # Propagation decides: without links other verdicts come out.
+    bare, _ = plain_verdicts([(i, u, "") for i, u, _ in pages])
+    assert sum(a[3] != b[3] for a, b in zip(want, bare, strict=True)) > 10
+
+
+def test_url_edges_of_the_tables(spark, sf):
+    """The shared pages name no other host but by kinship and in addresses of mail, which are no links."""
+    pages = read(spark, sf, "pages").select("page_id", "url", "html")
+    rows = [tuple(r) for r in pages.collect()]
+    want, weight = plain_verdicts(rows)
+    got = {q["page_id"]: q for q in urls.judge_urls(pages).collect()}
+    assert weight and {v for *_, v in [(got[i]["verdict"],) for i, _, _ in rows]} == {"allow", "block"}
+    for (i, _, _), (host, path, rule, verdict, trust, distrust) in zip(rows, want, strict=True):
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
+        assert got[i]["verdict"] == verdict or abs(distrust - max(trust, urls.THRESHOLD)) < 0.02
 
 
 def test_labels_gather_groups(spark):
@@ -351,7 +505,7 @@ def test_pipeline(spark, sf, tmp_path):
         elif name.startswith("mixing"):
             size = lambda d: d.assign(n=d.text.map(lambda t: len(WORD.findall(t)))).groupby("source").n.sum()
             sizes = size(before)
-            goal = mixing.targets(sizes.to_numpy(), np.array([mixing.WEIGHTS[i % 3] for i in range(len(sizes))]))
+            goal = np.array(plain_targets(sizes.tolist()))
             assert (np.abs(size(after).to_numpy() - goal) <= np.maximum(64, 0.01 * goal)).all()
             assert after.doc_id.value_counts().max() <= 3
         else:
