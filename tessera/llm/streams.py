@@ -75,3 +75,29 @@ def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     once = np.ones(len(a), bool)
     once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     return a[once], b[once]
+
+
+def sorted_tables(batches: Iterator[pa.RecordBatch], most: int, rows: int = 8192) -> Iterator[tuple[pa.Table, int | None]]:
+    """(table of about ``rows`` rows, key) that hold whole groups of equal values in the first column, a long without nulls.
+
+    A group of more than ``most`` rows comes in parts, so memory is bounded; the key names the group, if any, of which
+    such a part came before.
+    """
+    held: list[pa.RecordBatch] = []
+    n, huge = 0, None
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n <= max(rows, most):
+            continue
+        t = pa.Table.from_batches(held)
+        key = t.column(0).to_numpy()
+        cut = int(np.searchsorted(key == key[-1], True))
+        part = len(key) - cut > most
+        cut = len(key) if part else cut
+        if cut:
+            yield t.slice(0, cut).combine_chunks(), huge
+            huge = int(key[-1]) if part else huge
+        held, n = t.slice(cut).combine_chunks().to_batches(), len(key) - cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks(), huge
