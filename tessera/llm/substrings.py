@@ -36,8 +36,8 @@ from .bytewords import Words, mix, sequence_hash, slices, windows
 from .store import park
 
 WIDTH = 50
-#: Leaves of a subtree that is built in memory, some 250 bytes each; beyond that its prefixes are lengthened.
-LEAVES = 4096
+#: Leaves of a subtree that is built as one; beyond that its prefixes are lengthened, so that no prefix is a hot key.
+LEAVES = 512
 #: A null id ranks after all others.
 LAST = (1 << 63) - 1
 U = np.uint64

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,14 @@ from .store import park
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST_PATH = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+#: Hosts that a page names, the host of its base, and its relative links.
+LINK = r"(?i)(?:\b[a-z][a-z0-9+.-]*:|\b(?:href|src|action)\s*=\s*[\"']?)//([^/?#\s\"'<>]+)"
+BASE = r"(?i)<base\s[^>]*?\bhref\s*=\s*[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\s\"'<>]+)"
+RELATIVE = r"(?i)\b(?:href|src|action)\s*=\s*[\"']?(/?[^/#:?\s\"'<>][^:\s\"'<>]*)[\s\"'>]"
+#: Distrust from which a host is blocked, as a multiple of the mean; edges of a host that stay together.
+THRESHOLD, HUB = 2.0, 10_000
+#: Edges of a partition, where the session's number of partitions allows so few.
+EDGES = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -35,61 +46,98 @@ def match_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """(_src, _dst, _n): links between different hosts, summed before anything is joined.
+    """(_src, _dst, _n): links between different hosts, summed before anything is joined; ``pages`` has _host and _html.
 
-    ``pages`` has _host and _html.  Relative links stay on their host and are no edges.  Only links that
-    name a host are exploded.
+    A link is what names a host after ``scheme://`` anywhere in the page (attributes, canonical links, plain
+    addresses in text) or after ``//`` at the beginning of an attribute's value.  Relative links stay on
+    their host and are no edges, unless the page has a base on another host, which each of them then counts for.
     """
-    found = F.regexp_extract_all("_html", F.lit(r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1))
-    full = F.transform(F.filter(found, lambda x: x.contains("://") | x.startswith("//")), lambda x: F.translate(F.regexp_extract(x, r"^[^/?#]*//([^/?#]*)", 1), UPPER, LOWER))
-    links = pages.select(F.col("_host").alias("_src"), F.explode(full).alias("_dst"))
-    return links.where((F.col("_src") != F.col("_dst")) & (F.col("_src") != "") & (F.col("_dst") != "")).groupBy("_src", "_dst").agg(F.count(F.lit(1)).alias("_n"))
+    named = F.transform(F.regexp_extract_all("_html", F.lit(LINK), F.lit(1)), lambda x: F.translate(x, UPPER, LOWER))
+    base = F.translate(F.regexp_extract("_html", BASE, 1), UPPER, LOWER)
+    seen = pages.select("_host", named.alias("_to"), F.when(base != "", base).alias("_base"), F.when(base != "", F.size(F.regexp_extract_all("_html", F.lit(RELATIVE), F.lit(1)))).alias("_many"))
+    one = seen.select(F.col("_host").alias("_src"), F.explode("_to").alias("_dst"), F.lit(1).cast("long").alias("_n"))
+    based = seen.where("_base IS NOT NULL").select(F.col("_host").alias("_src"), F.col("_base").alias("_dst"), F.col("_many").cast("long").alias("_n"))
+    links = one.unionByName(based)
+    return links.where((F.col("_src") != F.col("_dst")) & (F.col("_src") != "") & (F.col("_dst") != "") & (F.col("_n") > 0)).groupBy("_src", "_dst").agg(F.sum("_n").alias("_n"))
+
+
+def kinship(hosts: DataFrame) -> DataFrame:
+    """(_src, _dst, _n): a host and its parent domain (the name without its first label, while two remain) link to each other once.
+
+    ``hosts`` has _h.  Parents have parents in turn.  Only names as the name system allows have kin: 253
+    characters at most, the last label beginning with a letter, so addresses in digits have none.
+    """
+    named = hosts.where((F.length("_h") <= 253) & F.col("_h").rlike(r"\.[a-z][a-z0-9-]*$")).select(F.split("_h", r"\.").alias("_l"))
+    steps = named.where(F.size("_l") > 2).select("_l", F.explode(F.sequence(F.lit(1), F.size("_l") - 2)).alias("_i"))
+    name = lambda i: F.array_join(F.slice("_l", i, F.size("_l")), ".")
+    kin = steps.select(name(F.col("_i")).alias("_c"), name(F.col("_i") + 1).alias("_p")).distinct()
+    one = F.lit(1).cast("long").alias("_n")
+    return kin.select(F.col("_c").alias("_src"), F.col("_p").alias("_dst"), one).union(kin.select(F.col("_p").alias("_src"), F.col("_c").alias("_dst"), one))
+
+
+def rounds_for(damping: float, tolerance: float) -> int:
+    """Rounds after which less than ``tolerance`` of the seeds' mass is still under way, on any graph: each leaves ``damping`` of it."""
+    return max(1, math.ceil(math.log(tolerance) / math.log(damping)))
 
 
-def spread(hosts: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
-    """(_h, _trust, _distrust) for every host: personalised PageRank from trusted seeds along links, and from blocked seeds against them.
+def spread(hosts: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 0.01, hub: int = HUB, stride: int = 5) -> DataFrame:
+    """(_h, _trust, _distrust) of every host: personalised PageRank from trusted seeds along links, and from blocked seeds against them.
 
-    ``hosts`` has _h, _good and _bad, the seeds' mass (0 where none).  Each round is two joins on narrow
-    tables and one sum; it is parked, so lineage stays short.  Rounds end early once no score moves by
-    more than ``tolerance``.
+    ``hosts`` has _h, _good and _bad, the seeds' weights (0 where none).  Scores are multiples of the mean:
+    each vector is normalised to a sum of the number of hosts, so a threshold means the same on a graph of any
+    size.  The number of rounds follows from ``damping`` and ``tolerance`` alone: what is not spread by then is less than
+    ``tolerance`` of all.  Edges are dealt out once, by host, a host with more than ``hub`` edges in parts; a round
+    shuffles only scores and sums.  Scores are parked every ``stride`` rounds, so lineage stays short and a lost
+    executor costs some rounds.
     """
     out = links.groupBy(F.col("_src").alias("_k")).agg(F.sum("_n").alias("_all"))
     into = links.groupBy(F.col("_dst").alias("_k")).agg(F.sum("_n").alias("_all"))
     along = links.join(out, F.col("_src") == F.col("_k")).select(F.col("_src").alias("_from"), F.col("_dst").alias("_to"), (F.col("_n") / F.col("_all")).alias("_good_w"), F.lit(0.0).alias("_bad_w"))
     back = links.join(into, F.col("_dst") == F.col("_k")).select(F.col("_dst").alias("_from"), F.col("_src").alias("_to"), F.lit(0.0).alias("_good_w"), (F.col("_n") / F.col("_all")).alias("_bad_w"))
-    edges = park(along.unionByName(back))
-    ends = edges.select(F.col("_to").alias("_h"), F.lit(0.0).alias("_good"), F.lit(0.0).alias("_bad"))
-    seeds = park(hosts.unionByName(ends).groupBy("_h").agg(F.max("_good").alias("_good"), F.max("_bad").alias("_bad")))
-    zero = F.lit(0.0)
-    start = seeds.select("_h", (F.col("_good") * (1 - damping)).alias("_trust"), (F.col("_bad") * (1 - damping)).alias("_distrust"))
+    summed = park(along.unionByName(back).groupBy("_from", "_to").agg(F.sum("_good_w").alias("_good_w"), F.sum("_bad_w").alias("_bad_w")))
+    ends = summed.select(F.col("_to").alias("_h"), F.lit(0.0).alias("_good"), F.lit(0.0).alias("_bad"), F.lit(0).cast("long").alias("_edges"))
+    starts = summed.select(F.col("_from").alias("_h"), F.lit(0.0).alias("_good"), F.lit(0.0).alias("_bad"), F.lit(1).cast("long").alias("_edges"))
+    own = hosts.select("_h", "_good", "_bad", F.lit(0).cast("long").alias("_edges"))
+    nodes = own.unionByName(ends).unionByName(starts).groupBy("_h").agg(F.sum("_good").alias("_good"), F.sum("_bad").alias("_bad"), F.greatest(F.lit(1), F.ceil(F.sum("_edges") / hub)).cast("long").alias("_cuts"))
+    nodes = park(nodes)
+    good, bad, n = nodes.agg(F.sum("_good"), F.sum("_bad"), F.count(F.lit(1))).first()
+    per = lambda c, total: (F.col(c) * (float(n) / total if total else 0.0) * (1 - damping)).alias("_trust" if c == "_good" else "_distrust")
+    start = nodes.select("_h", per("_good", good), per("_bad", bad), "_cuts")
+    edges = summed.join(nodes.select(F.col("_h").alias("_k"), "_cuts"), F.col("_from") == F.col("_k")).select("_from", F.pmod(F.xxhash64("_to"), F.col("_cuts")).alias("_part"), "_to", (F.col("_good_w") * damping).alias("_good_w"), (F.col("_bad_w") * damping).alias("_bad_w"))
+    most = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = edges.repartition(max(1, min(most, -(-summed.count() // EDGES))), "_from", "_part").persist(StorageLevel.DISK_ONLY)
     now = start
-    for _ in range(rounds):
-        sent = edges.join(now, F.col("_from") == F.col("_h")).select(F.col("_to").alias("_h"), (F.col("_trust") * F.col("_good_w") * damping).alias("_trust"), (F.col("_distrust") * F.col("_bad_w") * damping).alias("_distrust"), zero.alias("_was_t"), zero.alias("_was_d"))
-        kept = start.select("_h", "_trust", "_distrust", zero.alias("_was_t"), zero.alias("_was_d"))
-        was = now.select("_h", zero.alias("_trust"), zero.alias("_distrust"), F.col("_trust").alias("_was_t"), F.col("_distrust").alias("_was_d"))
-        step = park(sent.unionByName(kept).unionByName(was).groupBy("_h").agg(*[F.sum(c).alias(c) for c in ("_trust", "_distrust", "_was_t", "_was_d")]))
-        now = step.select("_h", "_trust", "_distrust")
-        moved = step.agg(F.max(F.greatest(F.abs(F.col("_trust") - F.col("_was_t")), F.abs(F.col("_distrust") - F.col("_was_d"))))).first()[0]
-        if moved is None or moved <= tolerance:
-            break
-    return now
-
-
-def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url: str = "url", html: str = "html", damping: float = 0.85, threshold: float = 0.05) -> DataFrame:
+    rounds = rounds_for(damping, tolerance)
+    for turn in range(rounds):
+        sent = now.select(F.col("_h").alias("_from"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1)).alias("_part"), "_trust", "_distrust")
+        sent = edges.join(sent, ["_from", "_part"]).select(F.col("_to").alias("_h"), (F.col("_trust") * F.col("_good_w")).alias("_trust"), (F.col("_distrust") * F.col("_bad_w")).alias("_distrust"), F.lit(0).cast("long").alias("_cuts"))
+        now = sent.unionByName(start).groupBy("_h").agg(F.sum("_trust").alias("_trust"), F.sum("_distrust").alias("_distrust"), F.max("_cuts").alias("_cuts"))
+        if (turn + 1) % stride == 0 or turn + 1 == rounds:
+            now = park(now)
+    edges.unpersist()
+    # A host without links gives its mass to no one: what is lost so is made up by the sum.
+    trust, distrust = now.agg(F.sum("_trust"), F.sum("_distrust")).first()
+    return now.select("_h", (F.col("_trust") * (float(n) / trust if trust else 0.0)).alias("_trust"), (F.col("_distrust") * (float(n) / distrust if distrust else 0.0)).alias("_distrust"))
+
+
+def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url: str = "url", html: str = "html", damping: float = 0.85, threshold: float = THRESHOLD, hub: int = HUB) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, trust, distrust.
 
     A rule decides where one fits.  Else the page's host is blocked if its distrust is at least
-    ``threshold`` and above its trust, and allowed otherwise.  A host's seeds are the shares of its pages
-    that rules allow and block.  A null url, or one without ``://``, has empty host and path and is
-    allowed unless a rule fits; null html has no links.  Repeated rows are judged alike; an empty table
-    gives none.  Hosts of any size are summed before joining.
+    ``threshold`` times the mean of all hosts and above its trust, and allowed otherwise.  A host's seeds
+    are the shares of its pages that rules allow and block; edges are links between hosts and kinship (a
+    host and its parent domain).  A null url, or one without ``://``, has empty host and path and is
+    allowed unless a rule fits; null html has no links, and very long html is searched whole.  Repeated
+    rows are judged alike; an empty table gives none.  Hosts of any size are summed before joining.
     """
     read = pages.select(F.col(id_col).alias("_page"), F.col(url).cast("string").alias("_url"), F.col(html).cast("string").alias("_html"))
     named = read.select("_page", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path"), "_html")
     ruled = named.select("_page", "_host", "_path", match_rule(F.col("_host"), F.col("_path"), rules).alias("_hit"))
     share = lambda verdict: F.avg(F.when(F.col("_hit.verdict") == verdict, 1.0).otherwise(0.0))
-    hosts = ruled.where("_host != ''").groupBy(F.col("_host").alias("_h")).agg(share("allow").alias("_good"), share("block").alias("_bad"))
-    scores = spread(hosts, park(host_links(named)), damping)
+    hosts = park(ruled.where("_host != ''").groupBy(F.col("_host").alias("_h")).agg(share("allow").alias("_good"), share("block").alias("_bad")))
+    links = park(host_links(named).unionByName(kinship(hosts)).groupBy("_src", "_dst").agg(F.sum("_n").alias("_n")))
+    # Parked, the scores have a known size: few hosts are broadcast, many are merged.
+    scores = park(spread(hosts, links, damping, hub=hub))
     joined = ruled.join(scores, F.col("_host") == F.col("_h"), "left")
     trust, distrust = F.coalesce("_trust", F.lit(0.0)), F.coalesce("_distrust", F.lit(0.0))
     by_method = F.when((distrust >= threshold) & (distrust > trust), F.lit("block")).otherwise(F.lit("allow"))
