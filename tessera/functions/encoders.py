@@ -8,26 +8,33 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
-import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Encoder = Callable[[list[str]], np.ndarray]
 
 
+@lru_cache(maxsize=1 << 16)
+def _trigram(run: str) -> tuple[int, int]:
+    """A trigram's axis, before it is cut to the dimension, and sign."""
+    d = hashlib.md5(run.encode("utf-8", "surrogatepass")).digest()
+    return d[0], 1 if d[1] & 1 else -1
+
+
 def hash_projection(texts: list[str], dim: int = 64) -> np.ndarray:
     """Signed hashed trigrams, unit length; an empty text is the first axis."""
     out = np.zeros((len(texts), dim))
     for i, t in enumerate(texts):
         low = f"  {t.lower()} "
         for j in range(len(low) - 2):
-            d = hashlib.blake2b(low[j : j + 3].encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            out[i, d[0] % dim] += 1 if d[1] & 1 else -1
+            place, sign = _trigram(low[j : j + 3])
+            out[i, place % dim] += sign
         if not out[i].any():
             out[i, 0] = 1
     return out / np.linalg.norm(out, axis=1, keepdims=True)
@@ -67,36 +74,45 @@ def preprocess_image(rgb: np.ndarray, side: int = 224, mean=(0.48145466, 0.45782
 
 
 def merge_pairs(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Byte-pair merging, lowest rank first and leftmost among equals, by a heap over a linked list."""
-    n = len(parts)
-    after, before, live, word = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n, list(parts)
-    heap: list[tuple[int, int, str, str]] = []
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < n and (r := ranks.get((word[i], word[j]))) is not None:
-            heapq.heappush(heap, (r, i, word[i], word[j]))
-
-    for i in range(n - 1):
-        offer(i)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = after[i] if live[i] else n
-        if j >= n or word[i] != a or word[j] != b:
-            continue
-        word[i], live[j], after[i] = a + b, False, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
-    return [w for w, k in zip(word, live, strict=True) if k]
+    """Byte-pair merging: the neighbours of lowest rank become one part wherever they stand, from the left, until no pair has a rank.
+
+    Each pair has an index of the places where its left part begins, so a merge touches only what it changes.
+    """
+    part = dict(enumerate(parts))
+    right = {i: i + 1 for i in part}
+    left = {i: i - 1 for i in part}
+    places: dict[tuple[str, str], set[int]] = {}
+    queue: list[tuple[int, tuple[str, str]]] = []
+
+    def meet(i: int) -> None:
+        """Index the pair that begins at ``i``, if it can merge."""
+        pair = (part.get(i), part.get(right.get(i)))
+        if pair in ranks:
+            if pair not in places:
+                heapq.heappush(queue, (ranks[pair], pair))
+            places.setdefault(pair, set()).add(i)
+
+    for i in list(part):
+        meet(i)
+    while queue:
+        _, pair = heapq.heappop(queue)
+        for i in sorted(places.pop(pair, ())):
+            j = right.get(i)
+            if (part.get(i), part.get(j)) != pair:
+                continue
+            part[i] = pair[0] + part.pop(j)
+            right[i] = right.pop(j)
+            left[right[i]] = i
+            meet(left[i])
+            meet(i)
+    return [part[i] for i in sorted(part)]
 
 
 class ClipTokens:
     """Byte-level BPE with word ends, to a fixed number of ids: start, text, end; padded with the end id."""
 
-    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+|_+", re.IGNORECASE)
+    #: Fixed value: how the public model splits words; letters and numbers are Unicode classes.
+    WORDS = regex.compile(r"<\|startoftext\|>|<\|endoftext\|>|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", regex.IGNORECASE)
 
     def __init__(self, vocab: dict[str, int], ranks: dict[tuple[str, str], int], start: int, end: int, length: int = 77):
         self.vocab, self.ranks, self.start, self.end, self.length = vocab, ranks, start, end, length
@@ -127,7 +143,7 @@ class PieceTokens:
 
     def encode(self, text: str, most: int = 512) -> list[int]:
         parts: list[str] = []
-        for c in unicodedata.normalize("NFC", text).replace(" ", "▁"):
+        for c in text.replace(" ", "▁"):
             parts += [c] if c in self.vocab else [f"<0x{b:02X}>" for b in c.encode()]
         ids = [self.vocab.get(p, self.unknown) for p in merge_pairs(parts, self.ranks)]
         return [self.begin, *ids[: most - 2], self.end]

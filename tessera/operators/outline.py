@@ -25,6 +25,12 @@ def rescale(lines: Column, scale: float) -> Column:
     return F.transform(lines, lambda line: F.struct(line["text"].alias("text"), F.transform(line["words"], box).alias("words")))
 
 
+def padded(words: Column, share: float = 0.2) -> Column:
+    """Boxes as they are drawn: larger on every side by a share of the word's height."""
+    more = lambda w: w["height"] * share
+    return F.transform(words, lambda w: F.struct(w["text"].alias("text"), (w["x"] - more(w)).alias("x"), (w["y"] - more(w)).alias("y"), (w["width"] + 2 * more(w)).alias("width"), (w["height"] + 2 * more(w)).alias("height")))
+
+
 def outline_words(lines: DataFrame, terms: list[str], keys: list[str], words: str = "words") -> DataFrame:
     """Adds ``marked``: zero-based places of the words that a match of any term overlaps.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,23 +32,37 @@ def kb_per_image(listing: DataFrame) -> DataFrame:
     return listing.agg((F.sum("size") / 1024 / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("kb_per_image"))
 
 
-def nearest_index(values: DataFrame, value: str, points: dict[str, float], by: str) -> DataFrame:
-    """The sorted values at [int(n * p)] for each group: picked, not interpolated.
+def nearest_index(values: DataFrame, value: str, points: dict[str, float], by: str, accuracy: int = 10_000) -> DataFrame:
+    """The sorted values at [int(n * p)] for each group: picked, not interpolated, and exact.
 
-    Values are counted before they are ordered, so a group's window holds distinct values only.
+    A sketch brackets each point first; then values below the bracket are counted, and only the few distinct ones
+    inside are put in order, so no group is sorted as a whole.  ``accuracy`` is the sketch's: brackets hold some 4 / ``accuracy`` of a group.
     """
-    counted = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(by).orderBy(value)
-    cum = counted.withColumn("_to", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(Window.partitionBy(by)))
-    at = {k: F.least((F.col("_all") * p).cast("long"), F.col("_all") - 1) for k, p in points.items()}
-    pick = lambda i: (F.col("_to") > i) & (F.col("_to") - F.col("_n") <= i)
-    return cum.groupBy(by).agg(F.max("_all").alias("n"), *[F.max(F.when(pick(i), F.col(value))).alias(k) for k, i in at.items()])
+    own = values.where(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).alias("_v"))
+    names, room = list(points), 2.0 / accuracy
+    marks = [F.lit(min(1.0, max(0.0, p + d))) for p in points.values() for d in (-room, room)]
+    sketch = own.groupBy("_by").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", F.array(*marks), accuracy).alias("_marks"))
+    ranges = [F.struct(F.lit(k).alias("point"), F.lit(p).alias("p"), F.get("_marks", F.lit(2 * i)).alias("low"), F.get("_marks", F.lit(2 * i + 1)).alias("high")) for i, (k, p) in enumerate(points.items())]
+    asked = sketch.select(F.col("_by").alias("_g"), "_n", F.explode(F.array(*ranges)).alias("_r"))
+    met = own.join(asked, F.col("_by").eqNullSafe(F.col("_g"))).where(F.col("_v") <= F.col("_r.high"))
+    # All values below a bracket are one row, by a null value.
+    counted = met.groupBy("_by", "_n", F.col("_r.point").alias("_point"), F.col("_r.p").alias("_p"), F.when(F.col("_v") >= F.col("_r.low"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy("_by", "_point").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("_to", F.sum("_c").over(upto))
+    index = F.least((F.col("_n") * F.col("_p")).cast("long"), F.col("_n") - 1)
+    hit = placed.where((F.col("_to") > index) & (F.col("_to") - F.col("_c") <= index))
+    return hit.groupBy(F.col("_by").alias(by)).agg(F.max("_n").alias("n"), *[F.max(F.when(F.col("_point") == k, F.col("_v"))).alias(k) for k in names])
 
 
 def latency_percentiles(samples: DataFrame, value: str = "value", by: str = "event_type") -> DataFrame:
     return nearest_index(samples, value, {"median": 0.5, "p95": 0.95}, by)
 
 
+def model_bytes(folder: str) -> int:
+    """Bytes of the files of a model's folder, those below it included; 0 without one."""
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+
 def first_answer(results: DataFrame, is_answer: Column, by: list[str], pos: str = "pos") -> DataFrame:
     """rank: place of the first answer in each query's results, null if there is none."""
     return results.groupBy(*by).agg(F.min(F.when(is_answer, F.col(pos))).alias("rank"))

@@ -77,17 +77,18 @@ def bm25(terms: list[str], stats: dict, k1: float = 1.2, b: float = 0.75) -> Col
     return score
 
 
-def text_search(corpus: DataFrame, query: Query, limit: int = 60, stats: dict | None = None) -> DataFrame:
+def text_search(corpus: DataFrame, query: Query, limit: int = 60, stats: dict | None = None, rows: DataFrame | None = None) -> DataFrame:
     """At most ``limit`` hits: pos, id, source, mtime, score, snippet, matched_text.
 
     By BM25, then newest first, then id; newest first alone where no long term ranks.  The substring test
     runs before occurrences are counted; the limit is a top-k, so no more than that is sorted in one place.
-    ``stats`` are the corpus statistics of the query's long terms, where the caller has them.
+    ``stats`` are the corpus statistics of the query's long terms, where the caller has them; ``rows`` the rows of the
+    corpus that can match, where an index knows them (:func:`tessera.operators.postings.matching`).
     """
     if limit <= 0:
         return corpus.limit(0).select(F.lit(0).alias("pos"), "id", "source", "mtime", F.lit(0.0).alias("score"), F.col("text").alias("snippet"), F.lit(False).alias("matched_text"))
     terms = query.long_terms
-    kept = corpus.where(term_filter(query)).where(date_filter(query))
+    kept = (corpus if rows is None else rows).where(term_filter(query)).where(date_filter(query))
     if query.source:
         kept = kept.where(source_like(query.source))
     score = bm25(terms, stats or corpus_statistics(corpus, terms)) if terms else F.lit(0.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,34 +11,70 @@ from tessera.functions import text as T
 from tessera.functions.encoders import Encoder, encode_column, hash_projection
 from tessera.operators import ingest, mutations
 from tessera.sources.config import Source
+from tessera.sources.reader import on_disk
 from tessera.sources.snapshots import Snapshots
 
 
-def index_pass(store: Snapshots, listing: DataFrame, read_text: Column, hydrate: bool = False) -> dict:
+def read_entries(files: DataFrame, read_text: Column) -> DataFrame:
+    """Entries of the images table for listed files; ``read_text`` is a file's text, or a struct of :data:`tessera.sources.reader.READ`.
+
+    A file that could not be read has status ``error`` and the reason; its text is empty.
+    """
+    found = files.withColumn("_read", read_text)
+    kind = found.schema["_read"].dataType
+    of = lambda name, cast: F.col(f"_read.{name}") if hasattr(kind, "fieldNames") else F.lit(None).cast(cast)
+    text = F.col("_read.text") if hasattr(kind, "fieldNames") else F.col("_read")
+    done = found.withColumns({"text": F.coalesce(text, F.lit("")), "error": of("error", "string"), "ocr_json": of("ocr_json", "string"), "width": of("width", "int"), "height": of("height", "int")})
+    done = done.withColumns({"name": T.file_stem(F.col("path")), "indexed_at": F.current_timestamp(), "status": F.when(F.col("error").isNull(), "ok").otherwise("error")})
+    return done.drop("_read")
+
+
+def _store(store: Snapshots, images: DataFrame, entries: DataFrame, gone: DataFrame) -> None:
+    """Commit entries and forget ``gone`` ids; files that were read anew lose their vectors."""
+    left = mutations.remove_many(images, gone)
+    stale = mutations.changed_ids(left, entries).unionByName(gone)
+    vectors = {n: mutations.drop_vectors(store.table(n), stale) for n in ("embeddings", "text_embeddings")}
+    store.commit(images=mutations.upsert(left, entries), **vectors)
+
+
+def index_pass(store: Snapshots, listing: DataFrame, read_text: Column, hydrate: bool = False, sources: list[str] | None = None, on_disk: Callable[[Column], Column] | None = on_disk) -> dict:
     """Bring the images table in line with a listing (path, source, source_ord, size, mtime, attributes); ``read_text`` recognises a file's text.
 
-    Returns the counters.  Changed files lose their vectors; files gone from every listed source go.
+    Returns the counters.  Only ``sources`` (default: those listed) are compared: what others hold stays.  A
+    known file goes if it is neither listed nor ``on_disk``.  Placeholders in a cloud are scanned and
+    skipped.  Changed files lose their vectors; unreadable ones are kept with status ``error`` and counted as failed.
     """
     claimed = ingest.claim_first_source(listing)
-    cloud = F.lit(False) if hydrate else ingest.cloud_only(F.col("attributes"))
-    skipped = claimed.where(cloud).count()
+    names = sorted({r["source"] for r in claimed.select("source").distinct().collect()} if sources is None else set(sources))
     images = store.table("images")
-    diff = ingest.ingest_diff(claimed, images).cache()
-    work = claimed.where(~cloud).join(diff.where(F.col("status").isin("new", "changed")).select("path"), "path", "left_semi")
-    done = work.withColumns({"text": read_text, "name": T.file_stem(F.col("path")), "indexed_at": F.current_timestamp(), "status": F.lit("ok")})
-    for c in ("width", "height"):
-        done = done.withColumn(c, F.lit(None).cast("int"))
-    done = done.withColumns({"error": F.lit(None).cast("string"), "ocr_json": F.lit(None).cast("string")})
-    gone = diff.where("status = 'gone'").select("path")
-    left = images.join(gone, "path", "left_anti")
-    stale = mutations.changed_ids(left, done).unionByName(images.join(gone, "path", "left_semi").select("id"))
-    report = ingest.ingest_report(diff, skipped=skipped).first().asDict()
-    vectors = {n: mutations.drop_vectors(store.table(n), stale) for n in ("embeddings", "text_embeddings")}
-    store.commit(images=mutations.upsert(left, done), **vectors)
+    diff = ingest.ingest_diff(claimed, images, names, F.lit(False) if hydrate else ingest.cloud_only(F.col("attributes")), on_disk).cache()
+    work = claimed.join(diff.where(F.col("status").isin("new", "changed")).select("path"), "path", "left_semi")
+    done = read_entries(work, read_text).cache()
+    gone = images.join(diff.where("status = 'gone'").select("path"), "path", "left_semi").select("id")
+    report = ingest.ingest_report(diff, done.where("status = 'error'").count()).first().asDict()
+    _store(store, images, done, gone)
+    done.unpersist()
     diff.unpersist()
     return report
 
 
+def index_files(store: Snapshots, files: DataFrame, read_text: Column) -> int:
+    """Index listed files, whatever is known of them; returns how many could be read."""
+    done = read_entries(files, read_text).cache()
+    good = done.where("status = 'ok'").count()
+    images = store.table("images")
+    _store(store, images, done, images.limit(0).select("id"))
+    done.unpersist()
+    return good
+
+
+def forget(store: Snapshots, ids: list[int]) -> None:
+    """Remove images and their vectors."""
+    rows = store.spark.createDataFrame([(i,) for i in ids], "id long")
+    vectors = {n: mutations.drop_vectors(store.table(n), rows) for n in ("embeddings", "text_embeddings")}
+    store.commit(images=mutations.remove_many(store.table("images"), rows), **vectors)
+
+
 def embed_pass(store: Snapshots, model: str, table: str = "text_embeddings", encoder: Encoder = hash_projection) -> int:
     """Vectors for images that lack one of this model; returns how many were made.
 

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import encoders
 from tessera.functions import text as T
 from tessera.functions.vectors import l2_normalize
+from tessera.engine import Engine
 from tessera.operators import fusion, ingest, mutations, outline, postings, relevance, reporting, text_search, vector_search
 from tessera.plans.query import Query, parse
 from tessera.plans.together import together
@@ -115,6 +117,18 @@ def text_search_(spark, sf_dir):
     return text_search.text_search(corpus(spark, sf_dir), TERMS, LIMIT).select(*_HIT)
 
 
+@query(f"WITH {_TEXT} SELECT pos, id, source, mtime, score, true AS matched_text FROM hits")
+def text_search_postings(spark, sf_dir):
+    """The same by trigram postings, which name the rows whose texts are read."""
+    c = corpus(spark, sf_dir)
+    return text_search.text_search(c, TERMS, LIMIT, rows=postings.matching(c, postings.build(c), TERMS)).select(*_HIT)
+
+
+@query("SELECT doc_id AS id, doc_id AS pos FROM documents WHERE false")
+def text_search_no_limit(spark, sf_dir):
+    return text_search.text_search(corpus(spark, sf_dir), TERMS, 0).select("id", F.col("pos").cast("long").alias("pos"))
+
+
 @query(f"{_SPLIT} SELECT pos, id, source, mtime, score, true AS matched_text FROM ex")
 def exact_hits(spark, sf_dir):
     return text_search.exact_hits(corpus(spark, sf_dir), TERMS, LIMIT).select(*_HIT)
@@ -190,6 +204,16 @@ def doc_prompt(spark, sf_dir):
     return corpus(spark, sf_dir).select("id", T.doc_prompt(F.col("text")).alias("prompt"))
 
 
+@query(r"""SELECT doc_id AS id, lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS flat FROM documents""")
+def collapse(spark, sf_dir):
+    return corpus(spark, sf_dir).select("id", T.collapse(F.col("text")).alias("flat"))
+
+
+@query(r"""SELECT page_id AS id, regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '\.[^.]*$', '') AS stem FROM pages""")
+def file_stem(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), T.file_stem(F.col("url")).alias("stem"))
+
+
 @query("SELECT doc_id AS id, len(string_split(text, chr(10))) AS lines FROM documents")
 def line_counts(spark, sf_dir):
     return corpus(spark, sf_dir).select("id", T.line_count(F.col("text")).cast("long").alias("lines"))
@@ -251,6 +275,15 @@ def vector_window(spark, sf_dir):
     return _near(spark, sf_dir, VISUAL_ID, 0.07).withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH {_VECTORS}, s AS (SELECT id, list_dot_product(v, (SELECT v FROM vecs WHERE id = {VISUAL_ID})) AS s FROM vecs WHERE starts_with(lower(source), 'src1') AND mtime >= 500)
+           SELECT row_number() OVER (ORDER BY s DESC, id) AS pos, id, round(s, 6) AS score FROM s WHERE s >= 0 QUALIFY pos <= {LIMIT}""")
+def vector_in_source(spark, sf_dir):
+    """A source and a date narrow the vectors before they are ranked."""
+    v = vectors(spark, sf_dir)
+    q = Query(["x"], source="SRC1", after=500)
+    return vector_search.vector_topk(v, vector_search.vector_of(v, VISUAL_ID), LIMIT, 0.0, 2.0, q).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {_VECTORS}, {_near_sql('v', VISUAL_ID, 1.0)} SELECT pos, id, round(score, 6) AS score FROM v UNION ALL SELECT 0, id, 1.0 FROM vecs WHERE id = {VISUAL_ID}")
 def more_like_this(spark, sf_dir):
     return vector_search.more_like_this(vectors(spark, sf_dir), VISUAL_ID, LIMIT, floor=FLOOR).withColumn("score", F.round("score", 6))
@@ -298,6 +331,16 @@ def rrf_fusion(spark, sf_dir):
     return fusion.rrf_fusion(*_parts(spark, sf_dir))
 
 
+@query(f"""{_FUSED}, w AS (SELECT h.*, d.source, d.n_chars AS mtime, d.text, instr(lower(d.text), 'under') AS p, length(d.text) AS n FROM hybrid h JOIN documents d ON d.doc_id = h.id),
+           b AS (SELECT *, greatest(1, least(p - 30, n - 65)) AS b FROM w)
+           SELECT pos, id, block, score, matched_text, visual_score, meaning_score, source, source AS name, mtime,
+             CASE WHEN NOT matched_text OR p = 0 OR length(lower(text)) <> n THEN substr(text, 1, 160) ELSE (CASE WHEN b > 1 THEN '…' ELSE '' END) || substr(text, b, p - b) || chr(1) || substr(text, p, 5) || chr(2)
+             || substr(text, p + 5, greatest(0, b + 66 - (p + 5))) || (CASE WHEN b + 65 < n THEN '…' ELSE '' END) END AS snippet FROM b""")
+def hybrid_snippets(spark, sf_dir):
+    """What the engine returns for the fused hits: attributes and snippets."""
+    return Engine(corpus(spark, sf_dir))._described(text_search.settle(hybrid_search(spark, sf_dir)), TERMS, "hybrid")
+
+
 @query(f"{_FUSED} SELECT * FROM hybrid")
 def hybrid_search(spark, sf_dir):
     return fusion.fuse(*_parts(spark, sf_dir), LIMIT)
@@ -350,6 +393,36 @@ def ingest_report(spark, sf_dir):
     return ingest.ingest_report(ingest_diff(spark, sf_dir))
 
 
+_SCOPED = f"""{_LISTS}, mine AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN CASE WHEN b.mtime % 3 = 0 THEN 'elsewhere' ELSE 'gone' END WHEN a.mtime % 5 = 0 THEN 'cloud'
+      WHEN b.path IS NULL THEN 'new' WHEN a.size = b.size AND a.mtime = b.mtime THEN 'unchanged' ELSE 'changed' END AS status
+      FROM (SELECT * FROM listed WHERE source IN ('src1', 'src2')) a FULL OUTER JOIN (SELECT * FROM known WHERE source IN ('src1', 'src2')) b ON lower(a.path) = lower(b.path))"""
+
+
+@query(f"WITH {_SCOPED} SELECT * FROM mine")
+def gone_by_source(spark, sf_dir):
+    """A listing of two sources: others are left alone, placeholders skipped, what is still on disk (a third, here) stays."""
+    on_disk = lambda path: F.regexp_extract(path, "(\\d+)[.]PNG$", 1).cast("long") % 3 == 0
+    own = listing(spark, sf_dir).where(F.col("source").isin("src1", "src2"))
+    return ingest.ingest_diff(own, known(spark, sf_dir), ["src1", "src2"], F.col("mtime") % 5 == 0, on_disk)
+
+
+@query(f"""WITH {_SCOPED} SELECT count(*) FILTER (WHERE status NOT IN ('gone', 'elsewhere')) AS scanned, count(*) FILTER (WHERE status IN ('new', 'changed')) - 2 AS indexed, count(*) FILTER (WHERE status = 'unchanged') AS unchanged,
+           count(*) FILTER (WHERE status = 'gone') AS removed, 2::BIGINT AS failed, count(*) FILTER (WHERE status = 'cloud') AS skipped FROM mine""")
+def ingest_counters(spark, sf_dir):
+    return ingest.ingest_report(gone_by_source(spark, sf_dir), failed=2)
+
+
+@query(f"""WITH {_LISTS}, up AS (SELECT path, source FROM listed), old AS (SELECT id, path, source FROM known),
+           kept AS (SELECT o.id, u.path, u.source FROM up u JOIN old o ON lower(u.path) = lower(o.path)),
+           rest AS (SELECT * FROM old WHERE lower(path) NOT IN (SELECT lower(path) FROM up))
+           SELECT id, path, source FROM kept UNION ALL SELECT * FROM rest""")
+def upsert(spark, sf_dir):
+    """Entries replace rows of the same path; new ones get ids after the largest, left out here as their order is free."""
+    entries = listing(spark, sf_dir).select("path", "source", F.lit(0).alias("indexed_at"))
+    top = known(spark, sf_dir).agg(F.max("id")).first()[0]
+    return mutations.upsert(known(spark, sf_dir).select("id", "path", "source"), entries).where(F.col("id") <= top).select("id", "path", "source")
+
+
 @query(f"WITH {_LISTS} SELECT id, path FROM known WHERE lower(path) IN (SELECT lower(path) FROM listed)")
 def drop_missing(spark, sf_dir):
     return ingest.drop_missing(known(spark, sf_dir), listing(spark, sf_dir)).select("id", "path")
@@ -396,11 +469,22 @@ def stats_by_source(spark, sf_dir):
     return reporting.stats_by_source(corpus(spark, sf_dir))
 
 
-@query("""SELECT count(*) AS images, count(*) FILTER (WHERE length(text) > 0) AS with_text, 0::BIGINT AS errors, (SELECT count(*) FROM embeddings) AS embedded,
+@query("SELECT sum(n_chars) / 1024.0::DOUBLE / count(*) AS kb_per_image FROM documents")
+def kb_per_image(spark, sf_dir):
+    return reporting.kb_per_image(known(spark, sf_dir))
+
+
+@query("SELECT least(count(*), 150) AS files FROM documents")
+def capped_count(spark, sf_dir):
+    return spark.createDataFrame([(reporting.capped_count(known(spark, sf_dir), 150),)], "files long")
+
+
+@query("""SELECT count(*) AS images, count(*) FILTER (WHERE length(text) > 0) AS with_text, count(*) FILTER (WHERE doc_id % 7 = 0) AS errors, (SELECT count(*) FROM embeddings) AS embedded,
           (SELECT count(*) FROM embeddings WHERE label < 5) AS meaning_embedded FROM documents""")
 def stats_totals(spark, sf_dir):
     m = made(spark, sf_dir)
-    return reporting.stats_totals(images(spark, sf_dir), m, m.where("model = 'm1'"))
+    seen = images(spark, sf_dir).withColumn("status", F.when(F.col("id") % 7 == 0, "error").otherwise("ok"))
+    return reporting.stats_totals(seen, m, m.where("model = 'm1'"))
 
 
 @query("SELECT count(*) AS files, sum(n_chars)::BIGINT AS bytes FROM documents")
@@ -436,10 +520,21 @@ def eval_metrics(spark, sf_dir):
     return reporting.eval_metrics(ranks, ["engine"])
 
 
-@query(f"WITH {_EVAL} SELECT item_id, rank, max(pos) FILTER (WHERE pos <= 10) AS tenth FROM ranks JOIN pairs USING (item_id) GROUP BY item_id, rank")
+_ASKED = "(VALUES (3), (7), (11), (42), (99)) AS a(q)"
+
+
+@query(f"""WITH {_VECTORS}, l AS (SELECT vec_id AS id, label FROM embeddings),
+           s AS (SELECT q, v.id, l.label = k.label AND v.id <> q AS answer, round(list_dot_product(v.v, w.v), 9) AS s FROM {_ASKED} JOIN vecs w ON w.id = q JOIN l k ON k.id = q CROSS JOIN vecs v JOIN l ON l.id = v.id),
+           r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS pos FROM s)
+           SELECT q, min(pos) FILTER (WHERE answer) AS rank, round(max(s) FILTER (WHERE answer), 6) AS answer, round(max(s) FILTER (WHERE pos = 1), 6) AS best, round(max(s) FILTER (WHERE pos = 10), 6) AS tenth FROM r GROUP BY q""")
 def eval_raw_scores(spark, sf_dir):
-    r = _results(spark, sf_dir)
-    return r.groupBy("item_id").agg(F.min(F.when(F.col("answer"), F.col("pos"))).alias("rank"), F.max(F.when(F.col("pos") <= 10, F.col("pos"))).alias("tenth"))
+    """Five vectors as queries; other vectors of the same label are their answers."""
+    v = vectors(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
+    asked = {r["id"]: (list(r["vec"]), r["label"]) for r in v.where(F.col("id").isin(3, 7, 11, 42, 99)).collect()}
+    kin = spark.createDataFrame([(q, label) for q, (_, label) in asked.items()], "item long, label int")
+    answers = v.select("id", "label").join(F.broadcast(kin), "label").where("id <> item").select("item", "id")  # five rows
+    found = relevance.vector_ranks(v, {q: str(q) for q in asked}, lambda texts: np.array([asked[int(t)][0] for t in texts]), answers)
+    return found.select(F.col("item").alias("q"), "rank", F.round("score", 6).alias("answer"), F.round("best", 6).alias("best"), F.round("tenth", 6).alias("tenth"))
 
 
 def _benchmark(spark, sf_dir) -> dict[int, str]:
@@ -507,10 +602,34 @@ def ext_filter(spark, sf_dir):
     return ingest.extension_filter(_events(spark, sf_dir)).select("event_id", "path")
 
 
-@query()
+@query(r"""WITH p AS (SELECT doc_id AS id, '  ' || lower('title: none | text: ' || trim(regexp_replace(text, '[ \n\r\t]+', ' ', 'g'))) || ' ' AS t FROM documents),
+           r AS (SELECT id, substr(t, unnest(range(1, length(t) - 1)), 3) AS run FROM p), h AS (SELECT id, run, md5(run) AS m, count(*) AS n FROM r GROUP BY id, run),
+           d AS (SELECT id, ('0x' || substr(m, 1, 2))::INT % 64 AS axis, sum(CASE WHEN ('0x' || substr(m, 3, 2))::INT % 2 = 1 THEN n ELSE -n END)::DOUBLE AS x FROM h GROUP BY id, axis),
+           l AS (SELECT id, sqrt(sum(x * x)) AS l FROM d GROUP BY id)
+           SELECT id, count(*) FILTER (WHERE x <> 0) AS axes, round(max(x / l), 4) AS largest, round(sum(axis * x / l), 3) AS moment FROM d JOIN l USING (id) GROUP BY id""")
 def encoder_stub(spark, sf_dir):
-    vec = encoders.encode_column(T.doc_prompt(F.col("text")))
-    return corpus(spark, sf_dir).select("id", vec.alias("vec"))
+    """Vectors of the stub encoder, as a few numbers each."""
+    vec = corpus(spark, sf_dir).select("id", encoders.encode_column(T.doc_prompt(F.col("text"))).alias("vec"))
+    axes = F.size(F.filter("vec", lambda x: x != 0)).cast("long")
+    moment = F.aggregate(F.transform("vec", lambda x, i: x.cast("double") * i), F.lit(0.0), lambda s, x: s + x)
+    return vec.select("id", axes.alias("axes"), F.round(F.array_max("vec").cast("double"), 4).alias("largest"), F.round(moment, 3).alias("moment"))
+
+
+@query("""WITH e AS (SELECT *, CASE event_id % 4 WHEN 0 THEN 'created' WHEN 1 THEN 'changed' WHEN 2 THEN 'renamed' ELSE 'deleted' END AS op, '/a/' || event_id % 211 || CASE event_id % 3 WHEN 0 THEN '.txt' ELSE '.PNG' END AS path, '/a/' || user_id % 211 || '.PNG' AS old_path FROM events),
+          m AS (SELECT path, event_type AS source, event_id * 4 + event_id % 4 AS place, true AS here FROM e WHERE op <> 'deleted' AND path LIKE '%.PNG'
+            UNION ALL SELECT path, event_type, event_id * 4 + 3, false FROM e WHERE op = 'deleted' UNION ALL SELECT old_path, event_type, event_id * 4 + 2, false FROM e WHERE op = 'renamed')
+          SELECT path, arg_max(source, place) AS source FROM m GROUP BY path HAVING arg_max(here, place)""")
+def watch_plan(spark, sf_dir):
+    """What is left to index after a burst.  An event that renames a file to itself doesn't occur here."""
+    e = _events(spark, sf_dir).drop("path", "old_path").join(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("source")), "event_id")
+    path = F.concat(F.lit("/a/"), (F.col("event_id") % 211).cast("string"), F.when(F.col("event_id") % 3 == 0, ".txt").otherwise(".PNG"))
+    return watch.still_pending(e.withColumns({"path": path, "old_path": F.concat(F.lit("/a/"), (F.col("user_id") % 211).cast("string"), F.lit(".PNG"))}))
+
+
+@query("SELECT user_id::VARCHAR AS path, arg_max(event_type, event_id) AS source FROM events GROUP BY user_id")
+def watch_pending(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("source"), "ts")
+    return watch.pending(e).select("path", "source")
 
 
 for _name in ("text_search_", "l2_normalize_"):

@@ -17,6 +17,6 @@ def answer(engine: Engine, line: str) -> str:
         return json.dumps({"ok": False, "error": f"unknown op: {op}"})
     limit = max(1, min(120, request.get("limit", 40)))
     rows = engine.search(request.get("query", ""), limit).collect()
-    camel = {"visual_score": "visualScore", "meaning_score": "meaningScore", "matched_text": "matchedText"}
+    camel = {"visual_score": "visualScore", "meaning_score": "meaningScore", "matched_text": "matchedText", "local_time": "localTime"}
     hits = [{camel.get(k, k): v for k, v in r.asDict().items() if v is not None} for r in rows]
     return json.dumps({"ok": True, "hits": hits}, default=str, ensure_ascii=False)

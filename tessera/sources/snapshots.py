@@ -1,14 +1,18 @@
-"""The index as immutable Parquet snapshots behind a pointer file.
+"""The index as immutable Parquet snapshots behind numbered pointer files.
 
-A commit writes the changed tables to a new version and then renames the pointer, so readers see a whole
-version or the one before.  An unreadable pointer starts an empty index and says so in ``recovered``.
+A commit writes the changed tables to a new version and then adds the next pointer, so readers see a whole
+version or the one before.  A pointer is never replaced: of two writers that read the same version the second finds
+its number taken and gets a Conflict instead of undoing the first.  A last pointer that can't be read starts an
+empty index and says so in ``recovered``.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 VERSION = 4
@@ -19,6 +23,10 @@ SCHEMAS = {
 }
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed since this version was read."""
+
+
 class Snapshots:
     """Tables of one index below ``root``, any path that Spark's file systems know."""
 
@@ -27,18 +35,29 @@ class Snapshots:
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        self.recovered = False
+        self.recovered, self.serial = False, 0
         self.state = {"version": VERSION, "tables": {}}
-        pointer = self._path(f"{self.root}/pointer.json")
-        if self._fs.exists(pointer):
+        numbers = self._pointers()
+        if numbers:
+            self.serial = numbers[-1]
             try:
-                text = "\n".join(r[0] for r in spark.read.text(f"{self.root}/pointer.json").collect())
-                state = json.loads(text)
+                state = self._read(self.serial)
                 assert state["version"] <= VERSION and set(state["tables"]) <= set(SCHEMAS)
                 self.state = state
             except Exception:
                 self.recovered = True
-                self._fs.rename(pointer, self._path(f"{self.root}/pointer.broken-{uuid.uuid4().hex[:8]}"))
+
+    def _pointers(self) -> list[int]:
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"pointer-(\d{12})\.json", n)))
+
+    def _pointer(self, serial: int) -> str:
+        return f"{self.root}/pointer-{serial:012d}.json"
+
+    def _read(self, serial: int) -> dict:
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(self._pointer(serial)).collect()))
 
     def table(self, name: str) -> DataFrame:
         at = self.state["tables"].get(name)
@@ -57,21 +76,49 @@ class Snapshots:
                 out = out.repartitionByRange("source", "mtime").sortWithinPartitions("source", "mtime")
             out.write.parquet(f"{self.root}/{at}")
             state["tables"][name] = at
-        new = self._path(f"{self.root}/pointer-{uuid.uuid4().hex}.tmp")
+        new = self._path(f"{self.root}/tmp-{uuid.uuid4().hex}")
         stream = self._fs.create(new)
         stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
-        self._replace(new, self._path(f"{self.root}/pointer.json"))
-        self.state = state
+        self._add(new, self._path(self._pointer(self.serial + 1)))
+        self.state, self.serial = state, self.serial + 1
 
-    def _replace(self, new, old) -> None:
-        """One atomic rename over what is there."""
+    def _add(self, new, pointer) -> None:
+        """One rename that fails if the pointer is there."""
         jvm = self.spark._jvm
-        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-        how = self.spark.sparkContext._gateway.new_array(kind, 1)
-        how[0] = kind.OVERWRITE
+        how = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         conf = self.spark._jsparkSession.sessionState().newHadoopConf()
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf).rename(self._fs.makeQualified(new), self._fs.makeQualified(old), how)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf).rename(self._fs.makeQualified(new), self._fs.makeQualified(pointer), how)
+        except Py4JJavaError as e:
+            self._fs.delete(new, False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise Conflict(f"version {self.serial + 1} was committed by another writer") from e
+            raise
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete tables that none of the last ``keep`` versions names, and older pointers; returns how many tables went.
+
+        Readers of older versions lose their files, so keep as many as are in use; run it while nobody commits, as files
+        that are not named yet go, too.
+        """
+        numbers = self._pointers()
+        held = set()
+        for n in numbers[-keep:]:
+            try:
+                held |= set(self._read(n)["tables"].values())
+            except Exception:  # a broken pointer names nothing
+                continue
+        gone = 0
+        for s in self._fs.listStatus(self._path(self.root)):
+            name = s.getPath().getName()
+            if s.isDirectory() and name.rpartition("-")[0] in SCHEMAS and name not in held:
+                gone += bool(self._fs.delete(s.getPath(), True))
+        for n in numbers[:-keep]:
+            self._fs.delete(self._path(self._pointer(n)), False)
+        return gone
 
     def clear(self) -> None:
+        """Empty tables; with the files of all versions before."""
         self.commit(**{n: self.spark.createDataFrame([], s) for n, s in SCHEMAS.items()})
+        self.vacuum(1)

@@ -45,4 +45,9 @@ def test_entry(spark):
 
 
 def test_encoder_stub(spark, sf):
-    assert engine.encoder_stub(spark, sf).where("size(vec) <> 64").count() == 0
+    from pyspark.sql import functions as F
+
+    from tessera.functions import encoders
+
+    vec = encoders.encode_column(F.col("text"))
+    assert engine.corpus(spark, sf).select(vec.alias("vec")).where("size(vec) <> 64").count() == 0

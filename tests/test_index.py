@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import os
 
 import pytest
@@ -6,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.operators import ingest, mutations, reporting
 from tessera.pipeline import apply_config, embed_pass, index_pass
-from tessera.sources import config
+from tessera.sources import config, reader
 from tessera.sources.folder import FolderSource
-from tessera.sources.snapshots import Snapshots
+from tessera.sources.snapshots import Conflict, Snapshots
 from tessera.streaming import watch
 
 NOW = dt.datetime(2024, 1, 1)
+EVENTS = "ts timestamp, op string, path string, old_path string, source string"
 
 
 @pytest.fixture()
@@ -62,8 +64,9 @@ def test_index_passes(spark, tree, tmp_path):
     assert embed_pass(store, "third", encoder=broken) == 0 and store.table("text_embeddings").where("model = 'third'").count() == 0
     assert apply_config(store, [config.Source("lib", tree)], [config.Source("lib", "/elsewhere")]) == ["lib"]
     assert store.table("images").count() == store.table("text_embeddings").count() == 0
-    (tmp_path / "index" / "pointer.json").write_text("broken")
-    for crc in (tmp_path / "index").glob(".pointer.json.crc"):
+    last = max((tmp_path / "index").glob("pointer-*.json"))
+    last.write_text("broken")
+    for crc in (tmp_path / "index").glob(".pointer-*.crc"):
         crc.unlink()
     again = Snapshots(spark, str(tmp_path / "index"))
     assert again.recovered and again.table("images").count() == 0
@@ -117,13 +120,101 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert got <= batch and len(batch) - len(got) <= 5
 
 
+def entry_list(rows, spark):
+    return spark.createDataFrame(rows, "path string, source string, source_ord int, size long, mtime timestamp, attributes int")
+
+
+def test_sources_apart(spark, tmp_path):
+    """Listing one source leaves another's images; placeholders and unreadable files are counted; files still on disk stay."""
+    store = Snapshots(spark, str(tmp_path / "ix"))
+    read = F.when(F.col("path").contains("bad"), F.lit(None)).otherwise(F.concat(F.lit("text "), "path"))
+    read = F.struct(read.alias("text"), F.lit(None).cast("string").alias("ocr_json"), F.lit(3).alias("width"), F.lit(4).alias("height"), F.when(F.col("path").contains("bad"), "unreadable").alias("error"))
+    gone = lambda path: path.contains("/kept/")
+    a = [("/a/1.png", "a", 1, 10, NOW, 0), ("/a/cloud.png", "a", 1, 10, NOW, 0x1000), ("/a/bad.png", "a", 1, 10, NOW, 0), ("/a/kept/2.png", "a", 1, 10, NOW, 0)]
+    got = index_pass(store, entry_list(a, spark), read, on_disk=gone)
+    assert (got["scanned"], got["indexed"], got["skipped"], got["failed"], got["removed"]) == (4, 2, 1, 1, 0)
+    got = index_pass(store, entry_list([("/b/1.png", "b", 1, 10, NOW, 0)], spark), read, on_disk=gone)
+    assert (got["indexed"], got["removed"]) == (1, 0)
+    rows = {r["path"]: r for r in store.table("images").collect()}
+    assert set(rows) == {"/a/1.png", "/a/bad.png", "/a/kept/2.png", "/b/1.png"}
+    assert (rows["/a/bad.png"]["status"], rows["/a/bad.png"]["error"], rows["/a/bad.png"]["text"]) == ("error", "unreadable", "") and rows["/a/1.png"]["width"] == 3
+    got = index_pass(store, entry_list([], spark), read, sources=["a"], on_disk=gone)
+    assert (got["scanned"], got["removed"]) == (0, 2)
+    assert {r["path"] for r in store.table("images").collect()} == {"/a/kept/2.png", "/b/1.png"}
+
+
+def test_conflict_and_vacuum(spark, tmp_path):
+    root = str(tmp_path / "ix")
+    one, two = Snapshots(spark, root), Snapshots(spark, root)
+    one.commit(embeddings=spark.createDataFrame([(1, "m", [1.0])], "image_id long, model string, vec array<float>"))
+    with pytest.raises(Conflict):
+        two.commit(embeddings=one.table("embeddings").limit(0))
+    two = Snapshots(spark, root)
+    assert two.serial == 1 and two.table("embeddings").count() == 1
+    for _ in range(3):
+        two.commit(embeddings=two.table("embeddings"))
+    # Two old versions, and the files of the commit that came to nothing.
+    assert two.vacuum() == 3 and Snapshots(spark, root).table("embeddings").count() == 1
+    two.clear()
+    assert Snapshots(spark, root).table("embeddings").count() == 0 and len(list((tmp_path / "ix").glob("pointer-*.json"))) == 1
+
+
+def test_reader(tmp_path):
+    import json
+    import struct
+
+    png = tmp_path / "a.png"
+    png.write_bytes(b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + struct.pack(">II", 30, 40))
+    (tmp_path / "a.png.json").write_text(json.dumps([{"text": "one two", "words": []}, {"text": "three", "words": []}]))
+    got = reader.read_beside(str(png))
+    assert (got["text"], got["width"], got["height"], got["error"]) == ("one two\nthree", 30, 40, None)
+    (tmp_path / "b.gif").write_bytes(b"GIF89a" + struct.pack("<HH", 5, 6))
+    (tmp_path / "b.txt").write_text("beside")
+    assert reader.read_beside(str(tmp_path / "b.gif"))["text"] == "beside" and reader.dimensions(b"GIF89a" + struct.pack("<HH", 5, 6)) == (5, 6)
+    (tmp_path / "c.png").write_bytes(b"x")
+    (tmp_path / "c.png.json").write_text("{broken")
+    assert reader.read_beside(str(tmp_path / "c.png"))["error"] and "FileNotFound" in reader.read_beside(str(tmp_path / "none.png"))["error"]
+    assert reader.there(str(png)) and not reader.there(str(tmp_path / "none.png")) and reader.there("/no-such-drive/x.png")
+
+
 def test_watch(spark, tmp_path):
-    rows = [("/a.png", "s", NOW), ("/a.png", "t", NOW + dt.timedelta(seconds=1)), ("/b.png", "s", NOW)]
-    spark.createDataFrame(rows, "path string, source string, ts timestamp").write.parquet(str(tmp_path / "in"))
-    seen = []
-    stream = spark.readStream.schema("path string, source string, ts timestamp").parquet(str(tmp_path / "in"))
-    watch.watch(stream, lambda df, n: seen.extend((r["path"], r["source"]) for r in df.collect()), str(tmp_path / "cp"), once=True).awaitTermination(60)
-    assert sorted(seen) == [("/a.png", "t"), ("/b.png", "s")]
+    """Files are created, renamed and deleted; the index follows, without reading again what moved."""
+    lib = tmp_path / "lib"
+    lib.mkdir()
+    store = Snapshots(spark, str(tmp_path / "ix"))
+    read = F.concat(F.lit("read at "), "path")
+    for name in ("a.png", "b.png", "c.png"):
+        (lib / name).write_text(name)
+    index_pass(store, scan(spark, str(lib)), read)
+    embed_pass(store, "m")
+    ids = {os.path.basename(r["path"]): r["id"] for r in store.table("images").collect()}
+    at = lambda n: str(lib / n)
+    second = lambda k: NOW + dt.timedelta(seconds=k)
+    (lib / "a.png").rename(lib / "moved.png")
+    (lib / "b.png").unlink()
+    (lib / "new.png").write_text("new")
+    (lib / "shot.png").write_text("from a temporary file")
+    events = [
+        (second(1), "renamed", at("moved.png"), at("a.png"), "lib"),
+        (second(2), "created", at("b.png"), None, "lib"),
+        (second(3), "deleted", at("b.png"), None, "lib"),
+        (second(4), "created", at("new.png"), None, "lib"),
+        (second(5), "changed", at("new.png"), None, "lib"),
+        (second(6), "created", at("vanished.png"), None, "lib"),
+        (second(7), "renamed", at("shot.png"), at("shot.tmp.png"), "lib"),
+        (second(8), "renamed", at("c.png.bak"), at("c.png"), "lib"),
+        (second(9), "changed", at("notes.txt"), None, "lib"),
+    ]
+    spark.createDataFrame(events, EVENTS).write.parquet(str(tmp_path / "in"))
+    done = []
+    stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+    act = lambda df, n: done.append(watch.apply_events(store, df, read, lambda s: embed_pass(s, "m")))
+    watch.watch(stream, act, str(tmp_path / "cp"), once=True).awaitTermination(120)
+    rows = {os.path.basename(r["path"]): r for r in Snapshots(spark, str(tmp_path / "ix")).table("images").collect()}
+    assert set(rows) == {"moved.png", "new.png", "shot.png"}
+    assert rows["moved.png"]["id"] == ids["a.png"] and rows["moved.png"]["text"] == "read at " + at("a.png") and rows["moved.png"]["name"] == "moved"
+    assert done == [{"moved": 1, "forgotten": 2, "indexed": 2}]
+    assert {r["image_id"] for r in store.table("text_embeddings").collect()} == {r["id"] for r in rows.values()}
 
 
 def test_config(tmp_path):
@@ -142,9 +233,20 @@ def test_cli(tree, tmp_path, spark, capsys):
     from tessera import cli
 
     root = str(tmp_path / "ix")
-    for verb in (["index", root, tree], ["embed", root], ["stats", root], ["search", root, "a"]):
+    lines = [{"text": "hello wide world", "words": [{"text": w, "x": 10.0, "y": 5.0, "width": 20.0, "height": 10.0} for w in ("hello", "wide", "world")]}]
+    with open(f"{tree}/a.PNG.json", "w") as f:
+        json.dump(lines, f)
+    for verb in (["index", root, tree], ["embed", root], ["stats", root], ["sources", root], ["search", root, "wide"], ["ocr", f"{tree}/a.PNG"], ["vacuum", root]):
         cli.main(verb)
+    shown = capsys.readouterr().out
+    assert "hello [wide] world" in shown and "'ocr_json'" in shown
+    id_ = Snapshots(spark, root).table("images").where("name = 'a'").first()["id"]
+    assert cli.marked(Snapshots(spark, root).table("images"), id_, ["wide world"]).first()["marked"] == [1, 2]
+    assert cli.marked(Snapshots(spark, root).table("images"), id_, ["wide"]).first()["boxes"][0].asDict() == {"text": "wide", "x": 8.0, "y": 3.0, "width": 24.0, "height": 14.0}
+    (tmp_path / "texts.json").write_text('["a b", "c"]')
+    cli.main(["meaning-check", str(tmp_path / "texts.json")])
+    cli.main(["model", tree])
     (tmp_path / "q.json").write_text('[{"q": "d", "a": ["d.gif"]}]')
     cli.main(["eval", root, str(tmp_path / "q.json")])
     out = capsys.readouterr().out
-    assert "'indexed': 4" in out and "hit1" in out
+    assert "'indexed': 4" in shown and "hit1" in out and "1.0" in out

@@ -128,6 +128,7 @@ def test_engine_and_service(spark, corpus):
 
     got = json.loads(answer(engine, '{"op": "search", "query": "moca", "limit": 2}'))
     assert [h["id"] for h in got["hits"]] == [8, 7] and "score" not in got["hits"][0]
+    assert got["hits"][0]["snippet"] == "\u0001moca\u0002 network" 
     assert json.loads(answer(engine, '{"op": "ping"}'))["ok"] and not json.loads(answer(engine, '{"op": "no"}'))["ok"]
 
 
@@ -157,11 +158,45 @@ def test_encoders(spark):
     assert preprocess_image(np.zeros((300, 500, 3), np.uint8)).shape == (3, 224, 224)
 
 
+def test_described_and_healed_hits(spark, tmp_path):
+    """Hits have a snippet and local time; files that are gone are dropped and forgotten."""
+    import datetime as dt
+    import threading
+
+    (tmp_path / "a.png").write_text("a")
+    rows = [(1, "the moca text " * 30, "a", "s", dt.datetime(2024, 1, 1, 12), str(tmp_path / "a.png")), (2, "moca", "b", "s", dt.datetime(2024, 1, 2), str(tmp_path / "b.png"))]
+    corpus = spark.createDataFrame(rows, "id long, text string, name string, source string, mtime timestamp, path string")
+    forgotten, done = [], threading.Event()
+
+    def forget(found):
+        forgotten.extend(found)
+        done.set()
+
+    engine = Engine(corpus, tz="Europe/Berlin", present=lambda p: (tmp_path / p).exists(), forget=forget)
+    got = engine.search("moca").collect()
+    assert [r["id"] for r in got] == [1] and done.wait(10) and forgotten == [2]
+    assert got[0]["local_time"] == dt.datetime(2024, 1, 1, 13) and "\u0001moca\u0002" in got[0]["snippet"] and len(got[0]["snippet"]) <= 70 and "text" not in got[0].asDict()
+    assert [r["snippet"] for r in Engine(corpus).search("").orderBy("id").collect()] == [("the moca text " * 30)[:160], "moca"]
+
+
 def test_tokens():
     ranks = {("a", "b"): 0, ("ab", "c"): 1, ("b", "c"): 2}
     assert merge_pairs(list("abcbc"), ranks) == ["abc", "bc"] and merge_pairs(list("aab"), ranks) == ["a", "ab"] and merge_pairs([], ranks) == []
     clip = ClipTokens({"ab</w>": 5, "a": 6, "c</w>": 7}, {("a", "b</w>"): 0}, 1, 2, 6)
     assert clip.encode("AB  c") == [1, 5, 7, 2, 2, 2] and clip.mask([1, 5, 7, 2, 2, 2]) == [1, 1, 1, 1, 0, 0]
+    assert ClipTokens.WORDS.findall("a_-b ½x e\u0301 it's 12 <|endoftext|>") == ["a", "_-", "b", "½", "x", "e", "\u0301", "it", "'s", "1", "2", "<|endoftext|>"]
+    assert PieceTokens({"e": 4, "\u0301": 5, "é": 6}, {}, 1, 2).encode("e\u0301é") == [1, 4, 5, 6, 2]
+    import random
+
+    r = random.Random(2)
+    for _ in range(300):
+        word = [r.choice("abc") for _ in range(r.randrange(12))]
+        table = {p: i for i, p in enumerate(sorted({("".join(r.choice("abc") for _ in range(r.randrange(1, 3))), "".join(r.choice("abc") for _ in range(r.randrange(1, 3)))) for _ in range(12)}))}
+        plain = list(word)
+        while any(p in table for p in zip(plain, plain[1:])):  # one merge at a time: lowest rank, then leftmost
+            k = min((table[p], i) for i, p in enumerate(zip(plain, plain[1:])) if p in table)[1]
+            plain[k : k + 2] = [plain[k] + plain[k + 1]]
+        assert merge_pairs(word, table) == plain
     piece = PieceTokens({"a": 4, "▁": 5, "▁a": 6, "<0xC3>": 7, "<0xA9>": 8}, {("▁", "a"): 0}, 1, 2)
     assert piece.encode("a a é") == [1, 4, 6, 5, 7, 8, 2]
 
