@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import park
+from .store import beside, park
 
 
 def _mark(pairs: DataFrame) -> tuple:
@@ -17,7 +17,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Nodes are longs.  Self-links and repeated links count for nothing, null ends are left out; no links give
     no rows.  Every step is two aggregations (with map-side sums, so a node with very many links is no
-    single row's burden) and two joins on narrow tables, and is parked; the number of steps grows with the
+    single row's burden) and two joins with their answers, and is parked; the number of steps grows with the
     logarithm of a component's width.
     """
     now = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -26,9 +26,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while mark[0]:
         both = now.union(now.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
         least = both.groupBy(F.col("_a").alias("_k")).agg(F.min("_b").alias("_m")).withColumn("_m", F.least("_k", "_m"))
+        least = beside(least, 2 * mark[0])
         large = both.where("_b > _a").join(least, F.col("_a") == F.col("_k")).select(F.col("_b").alias("_a"), F.col("_m").alias("_b"))
         large = large.where("_a != _b").distinct()
-        down = large.groupBy(F.col("_a").alias("_k")).agg(F.min("_b").alias("_m"))
+        down = beside(large.groupBy(F.col("_a").alias("_k")).agg(F.min("_b").alias("_m")), 2 * mark[0])
         small = large.join(down, F.col("_a") == F.col("_k"))
         moved = small.where("_b != _m").select(F.col("_b").alias("_a"), F.col("_m").alias("_b"))
         now = park(moved.union(down.select(F.col("_k").alias("_a"), F.col("_m").alias("_b"))).distinct())

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class _Here(threading.local):
@@ -19,9 +22,15 @@ _here = _Here()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests) one of our own."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (tests) gets a folder of its own; on a cluster it is an error, as
+    executors would not see one of the driver's.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -31,6 +40,42 @@ def shared_dir(spark: SparkSession) -> str:
 ARROW_ROWS, GROUP_BYTES = 1024, 16 << 20
 
 
+_lock = threading.Lock()
+#: For each session how many tables are being written, and its batch size before the first of them.
+_writing: dict[int, list] = {}
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """ARROW_ROWS holds while any thread parks; the last to leave restores what was set before."""
+    name, key = "spark.sql.execution.arrow.maxRecordsPerBatch", id(spark._jsparkSession)
+    with _lock:
+        held = _writing.setdefault(key, [0, spark.conf.get(name)])
+        held[0] += 1
+        spark.conf.set(name, ARROW_ROWS)
+    try:
+        yield
+    finally:
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(name, held[1])
+                del _writing[key]
+
+
+#: Rows of some numbers that may be broadcast: a few dozen megabytes as a hash table.
+SMALL = 200_000
+
+
+def beside(df: DataFrame, most: int) -> DataFrame:
+    """A narrow table of at most ``most`` rows, ready to be joined: broadcast where that bound is small, else parked.
+
+    Parked, it meets the other side in a plain shuffle, whose skewed partitions Spark can split; an
+    aggregation in the same stage as the join would forbid that.
+    """
+    return F.broadcast(df) if most <= SMALL else park(df)
+
+
 def park(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
@@ -39,13 +84,8 @@ def park(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parked-{uuid.uuid4().hex}"
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(rows)
-    spark.conf.set(rows, ARROW_ROWS)
-    try:
+    with _small_batches(spark):
         df.write.option("compression", codec).option("parquet.block.size", GROUP_BYTES).parquet(path)
-    finally:
-        spark.conf.set(rows, was)
     _here.parked.append(path)
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
