@@ -32,6 +32,8 @@ from .store import park
 from .streams import distinct_pairs, groups, whole
 
 BLOCK = 256
+#: Bytes of paths that a block holds at most, but for a single set's.
+BLOCK_BYTES = 16 << 20
 #: Ranges beyond the differences, as a share of them: what prefix filtering can leave out.
 SPARE = 0.25
 U = np.uint64
@@ -284,8 +286,8 @@ def _candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return chosen.repartition("_key").sortWithinPartitions("_key", "_set").mapInArrow(lead, "_lead long, _set long").distinct()
 
 
-def _compare(rows: DataFrame, percent: int, asked: bool) -> DataFrame:
-    """Links (_a, _b) found within each (_cluster, _task); rows carry _set, _asks and _path."""
+def _compare(rows: DataFrame, percent: int, asked: bool, width: int) -> DataFrame:
+    """Links (_a, _b) found within each (_cluster, _task), dealt out to ``width`` partitions; rows carry _set, _asks and _path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in groups(batches, 2):
@@ -303,7 +305,7 @@ def _compare(rows: DataFrame, percent: int, asked: bool) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["_a", "_b"])
 
-    tasks = rows.select("_cluster", "_task", "_set", "_asks", "_path").repartition("_cluster", "_task").sortWithinPartitions("_cluster", "_task")
+    tasks = rows.select("_cluster", "_task", "_set", "_asks", "_path").repartition(max(1, width), "_cluster", "_task").sortWithinPartitions("_cluster", "_task")
     return tasks.mapInArrow(run, "_a long, _b long")
 
 
@@ -314,19 +316,25 @@ def _verify(paths: DataFrame, percent: int, block: int) -> DataFrame:
     component by then, every set outside its largest component is compared with all sets of the cluster,
     block by block: a link not yet followed has at least one such end.
     """
-    counted = paths.groupBy("_cluster").agg(F.count(F.lit(1)).alias("_size")).select(F.col("_cluster").alias("_c"), F.ceil(F.col("_size") / block).cast("long").alias("_blocks"))
+    # Blocks are bounded by sets and by bytes: sets of very long texts come few at a time.
+    blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES)).cast("long")
+    size = F.octet_length("_path").cast("long")
+    paths = park(paths)
+    counted = park(paths.groupBy("_cluster").agg(blocks(F.count(F.lit(1)), F.sum(size)).alias("_blocks")).select(F.col("_cluster").alias("_c"), "_blocks"))
+    width = -(-paths.count() // BLOCK)
     paths = park(paths.join(counted, F.col("_cluster") == F.col("_c")).drop("_c").withColumn("_block", F.pmod(F.xxhash64("_set"), F.col("_blocks"))))
     zero = F.lit(0).cast("long")
     everywhere = F.sequence(zero, F.col("_blocks") - 1)
     own = F.when(F.col("_block") == 0, everywhere).otherwise(F.array("_block"))
-    first = park(_compare(paths.select("_cluster", "_set", "_path", F.lit(False).alias("_asks"), F.explode(own).alias("_task")), percent, False))
+    first = park(_compare(paths.select("_cluster", "_set", "_path", F.lit(False).alias("_asks"), F.explode(own).alias("_task")), percent, False, width))
     if not paths.where("_blocks > 1").limit(1).count():
         return first
     roots = components(first, "_a", "_b")
     labelled = paths.where("_blocks > 1").join(roots, F.col("_set") == F.col("_node"), "left").withColumn("_root", F.coalesce("_root", "_set")).drop("_node")
-    sizes = labelled.groupBy("_cluster", "_root").agg(F.count(F.lit(1)).alias("_n"))
-    main = sizes.groupBy("_cluster").agg(F.max_by("_root", "_n").alias("_main"), (F.sum("_n") - F.max("_n")).alias("_over")).where("_over > 0")
-    main = main.select(F.col("_cluster").alias("_c"), "_main", F.ceil(F.col("_over") / block).cast("long").alias("_parts"))
+    sizes = labelled.groupBy("_cluster", "_root").agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_bytes"))
+    over, more = F.sum("_n") - F.max("_n"), F.sum("_bytes") - F.max_by("_bytes", F.struct("_n", "_root"))
+    main = sizes.groupBy("_cluster").agg(F.max_by("_root", F.struct("_n", "_root")).alias("_main"), over.alias("_over"), blocks(over, more).alias("_parts")).where("_over > 0")
+    main = park(main.select(F.col("_cluster").alias("_c"), "_main", "_parts"))
     open_ = park(labelled.join(main, F.col("_cluster") == F.col("_c")).drop("_c"))
     if not open_.limit(1).count():
         return first
@@ -334,7 +342,7 @@ def _verify(paths: DataFrame, percent: int, block: int) -> DataFrame:
     answer = open_.select("_cluster", "_set", "_path", F.lit(False).alias("_asks"), "_blocks", "_block", F.explode(parts).alias("_part"))
     ask = open_.where("_root != _main").select("_cluster", "_set", "_path", F.lit(True).alias("_asks"), "_blocks", F.explode(everywhere).alias("_block"), F.pmod(F.xxhash64("_set", F.lit(3)), F.col("_parts")).alias("_part"))
     tasks = answer.unionByName(ask).withColumn("_task", F.col("_part") * F.col("_blocks") + F.col("_block"))
-    return first.union(park(_compare(tasks, percent, True)))
+    return first.union(park(_compare(tasks, percent, True, width)))
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -364,7 +372,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     paths = again.mapInArrow(path, "_cluster long, _set long, _path binary")
     roots = park(components(_verify(paths, percent, block), "_a", "_b"))
     grouped = named.join(roots, F.col("_set") == F.col("_node"), "left").select("_id", "_n", F.coalesce("_root", "_set").alias("_group"))
-    least = grouped.where("_group IS NOT NULL").groupBy(F.col("_group").alias("_g")).agg(F.min("_id").alias("_least"))
+    # Parked, it is broadcast while small; beyond that a group with very many rows is a skewed join, which Spark splits.
+    least = park(grouped.where("_group IS NOT NULL").groupBy(F.col("_group").alias("_g")).agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_g", "_least"))
     out = grouped.join(least, F.col("_group") == F.col("_g"), "left")
     own = F.when(F.col("_id").isNotNull(), F.coalesce("_least", "_id"))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), own.alias("component_id"))
