@@ -219,7 +219,7 @@ def _strength(groups: DataFrame, name: str, rate: float) -> float:
 def posteriors(scored: DataFrame, site: str, path: str) -> DataFrame:
     """(_site, _path, and for each head the rates of site and path): shrunk from path to site to corpus.
 
-    ``scored`` has _e, the heads' log odds.  Documents are summed by (site, path) before anything else,
+    With them come the sums and strengths that :func:`without` needs.  ``scored`` has _e, the heads' log odds.  Documents are summed by (site, path) before anything else,
     so a site with a third of all rows is one row per task.
     """
     odds = {h: 1 / (1 + F.exp(-F.col(f"_e.{h}"))) for h in HEADS}
@@ -233,14 +233,22 @@ def posteriors(scored: DataFrame, site: str, path: str) -> DataFrame:
         top, low = _strength(sites, h, rate), _strength(paths, h, rate)
         host = (F.col(f"_hs{h}") + top * rate) / (F.col("_hn") + top)
         cols += [host.alias(f"_site_{h}"), ((F.col(f"_s{h}") + low * host) / (F.col("_n") + low)).alias(f"_path_{h}")]
-    return out.select("_site", "_path", *cols)
+        cols += [f"_s{h}", f"_hs{h}", F.lit(rate).alias(f"_rate_{h}"), F.lit(top).alias(f"_top_{h}"), F.lit(low).alias(f"_low_{h}")]
+    return out.select("_site", "_path", "_n", "_hn", *cols)
+
+
+def without(own: Column, h: str) -> Column:
+    """The rate of a document's path by all other documents: its own evidence, a probability, must not count twice."""
+    top, low = F.col(f"_top_{h}"), F.col(f"_low_{h}")
+    host = (F.col(f"_hs{h}") - own + top * F.col(f"_rate_{h}")) / (F.col("_hn") - 1 + top)
+    return F.greatest(F.lit(1e-9), (F.col(f"_s{h}") - own + low * host) / (F.col("_n") - 1 + low))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", site: str = "source", path: str = "lang", columns: list[str] | None = None, threshold: float = 0.5, train_on: DataFrame | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
     """The given ``columns`` of every document (default: id, site, path), then its scores and ``kept``.
 
     p_bad and p_toxic are posteriors of low quality and toxicity, evidence_* the document's own log odds,
-    site_* and path_* the shrunk rates; a document is kept if both posteriors are below ``threshold``.
+    site_* and path_* the shrunk rates; a document's prior is its path's rate by all other documents; a document is kept if both posteriors are below ``threshold``.
     Null and empty texts are judged by their measures like any other.  Null sites and paths are sites and
     paths of their own.  Repeated rows are judged alike; an empty table gives no rows; without labels of
     both kinds a head decides nothing.  Other columns are ignored, or carried where ``columns`` names them.
@@ -255,7 +263,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
     cols = []
     for h in HEADS:
         base = float(np.clip(heads[h].rate, 1e-6, 1 - 1e-6))
-        shift = _logit(F.col(f"_path_{h}")) - float(np.log(base / (1 - base)))
+        others = without(1 / (1 + F.exp(-F.col(f"_e.{h}"))), h)
+        shift = _logit(others) - float(np.log(base / (1 - base)))
         cols.append(F.round(1 / (1 + F.exp(-(F.col(f"_e.{h}") + shift))), 6).alias(f"p_{h}"))
     judged = joined.select(*names, *cols, *[F.round(F.col(f"_e.{h}"), 6).alias(f"evidence_{h}") for h in HEADS], *[F.round(F.col(f"_{k}_{h}"), 6).alias(f"{k}_{h}") for h in HEADS for k in ("site", "path")])
     return judged.withColumn("kept", (F.col("p_bad") < threshold) & (F.col("p_toxic") < threshold))
