@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix
-from .components import Union, components
+from .components import components
 from .store import park
 from .streams import groups, sorted_tables
 
@@ -148,6 +148,20 @@ def _retrieve(entries: DataFrame, depth: int, shared: int, block: int) -> DataFr
     return entries.repartition("_key").sortWithinPartitions("_key", "_node").mapInArrow(run, "_key long, _node long")
 
 
+def smallest_reachable(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the smallest row that links lead to, itself included."""
+    label = np.arange(len(linked))
+    rows = np.flatnonzero(linked.any(axis=1))
+    part = linked[np.ix_(rows, rows)]
+    while len(rows):
+        least = np.minimum(label[rows], np.where(part, label[rows][None, :], len(linked)).min(axis=1))
+        least = label[least]  # a label's own label is at least as small
+        if (least == label[rows]).all():
+            break
+        label[rows] = least
+    return label
+
+
 def _compare(tasks: DataFrame, least: float, kind: str, depth: int, shared: int) -> DataFrame:
     """(_root, _node, _links) found in each task; rows: _key, _part, _other, _side, _node, _w, _vec, _perm."""
 
@@ -156,7 +170,7 @@ def _compare(tasks: DataFrame, least: float, kind: str, depth: int, shared: int)
             if t.num_rows < 2:
                 continue
             node, w, side = (t.column(c).to_numpy() for c in ("_node", "_w", "_side"))
-            x = unit(np.stack([np.frombuffer(r, kind) for r in t.column("_vec").to_pylist()]))
+            x = unit(np.frombuffer(b"".join(t.column("_vec").to_pylist()), kind).reshape(len(node), -1))
             near = np.triu(x @ x.T >= least, 1)
             if part != other:
                 near &= side[:, None] != side[None, :]
@@ -165,20 +179,19 @@ def _compare(tasks: DataFrame, least: float, kind: str, depth: int, shared: int)
                 continue
             perm = _perms(t.column("_perm"), depth)
             bits, own = bitmaps(perm), np.sort(list_keys(perm, x.shape[1]), axis=1)
-            links, united = np.zeros(len(node), np.int64), Union(len(node))
+            mine = np.zeros_like(near)
             for i in range(0, len(a), 8192):
                 p, q = a[i : i + 8192], b[i : i + 8192]
                 enough = shared_pivots(bits[p], bits[q]) >= shared
                 p, q = p[enough], q[enough]
                 same = (own[p][:, :, None] == own[q][:, None, :]).any(axis=2)
                 first = own[p, same.argmax(axis=1)] == key
-                np.add.at(links, p[first], w[q[first]])
-                np.add.at(links, q[first], w[p[first]])
-                for s, e in zip(p.tolist(), q.tolist(), strict=True):
-                    united.join(s, e)
-            at = np.flatnonzero((links > 0) | np.array([united.root(i) != i for i in range(len(node))]))
+                mine[p[first], q[first]] = mine[q[first], p[first]] = True
+            # Only links counted here: the others are those of another list, which joins their ends as well.
+            links = mine @ w
+            at = np.flatnonzero(links)
             if len(at):
-                roots = node[[united.root(i) for i in at.tolist()]]
+                roots = node[smallest_reachable(mine)[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(roots), pa.array(node[at]), pa.array(links[at])], names=["_root", "_node", "_links"])
 
     ready = tasks.repartition("_key", "_part", "_other").sortWithinPartitions("_key", "_part", "_other", "_node")

@@ -305,6 +305,12 @@ def test_personal_data(spark, sf):
         assert pii.base_spans(t) == plain_spans(t), t
     found = pii.find_spans("IBAN DE89 3704 0044 0532 0130 00 and DE88370400440532013000")
     assert [(s, e, k) for s, e, k, _ in found if k == "iban"] == [(5, 32, "iban")]
+    # Words nearby decide: an account falls to a word against it unless one speaks for it; some digits need a word for them.
+    kinds = lambda t: [k for _, _, k, _ in pii.find_spans(t)]
+    account = "DE89370400440532013000"
+    assert kinds(f"see {account} there") == ["iban"] and kinds(f"invalid {account} serial") == [] and kinds(f"invalid IBAN {account}") == ["iban"]
+    assert kinds("part 219-09-9999 of it") == [] and kinds("SSN 219-09-9999") == ["ssn"] and kinds("social security number: 219-09-9999.") == ["ssn"]
+    assert kinds("SSN 219-09-9999 of order") == [] and kinds("SSN 000-09-9999, 666-12-1234, 219-00-9999, 1219-09-9999") == []
     assert pii.redact("mail a@b.co now", pii.find_spans("mail a@b.co now")) == "mail [email] now"
     assert pii.score("card number 4111", 12, 16, "card") > pii.score("order number 4111", 13, 17, "card")
     import time
@@ -326,6 +332,18 @@ def test_permutations():
     assert [pivots.shared_pivots(bits[0], b) for b in bits] == [len(set(perm[0].tolist()) & set(q)) for q in perm.tolist()]
 
 
+def test_smallest_reachable():
+    r = np.random.default_rng(3)
+    for n, k in ((1, 0), (40, 25), (200, 150), (200, 400)):
+        m = np.zeros((n, n), bool)
+        pairs = r.integers(0, n, (k, 2))
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        m[pairs[:, 0], pairs[:, 1]] = m[pairs[:, 1], pairs[:, 0]] = True
+        assert pivots.smallest_reachable(m).tolist() == components(n, pairs.tolist())
+    chain = np.eye(300, k=1, dtype=bool) | np.eye(300, k=-1, dtype=bool)
+    assert pivots.smallest_reachable(chain[::-1, ::-1]).tolist() == [0] * 300
+
+
 @pytest.mark.parametrize(("dim", "clusters"), [(32, 0), (64, 30), (256, 0)])
 def test_recall_by_bands(spark, dim, clusters):
     """Pairs planted at a cosine, among random or clustered vectors: at least 0.95 of each band is linked, and none below the threshold."""
@@ -455,6 +473,41 @@ def test_url_edges_of_the_tables(spark, sf):
         assert got[i]["verdict"] == verdict or abs(distrust - max(trust, urls.THRESHOLD)) < 0.04
 
 
+def test_shard_law(spark, sf):
+    """Law ``rows``, sizes, checksums and slots against plain Python; another partitioning gives the same shards."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in shards.shard_documents(docs).collect()}
+    again = {r["doc_id"]: r["shard"] for r in shards.shard_documents(docs.repartition(7)).collect()}
+    held = {}
+    for r in docs.collect():
+        g, raw = got[r["doc_id"]], (r["text"] or "").encode()
+        assert (g["size"], g["text_crc32"], g["law"], g["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "rows", None)
+        assert again[r["doc_id"]] == g["shard"]
+        held.setdefault(g["shard"], []).append(g["slot"])
+    assert sorted(held) == list(range(24)) and max(map(len, held.values())) - min(map(len, held.values())) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in held.values())
+
+
+def test_posterior_arithmetic(spark):
+    """Rates shrunk from path to site to corpus, and each document's prior by all others, against plain sums."""
+    r = random.Random(8)
+    rows = [(i, r.choice("abc"), r.choice("xy"), r.gauss(-1, 2), r.gauss(-3, 1)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, site string, path string, bad double, toxic double").select("id", "site", "path", F.struct("bad", "toxic").alias("_e"))
+    rates = quality.posteriors(df, "site", "path")
+    on = (F.col("site") == F.col("_site")) & (F.col("path") == F.col("_path"))
+    got = {q["id"]: q for q in df.join(rates, on).select("id", "_path_bad", "_site_bad", "_top_bad", "_low_bad", "_rate_bad", quality.without(1 / (1 + F.exp(-F.col("_e.bad"))), "bad").alias("prior")).collect()}
+    p = {i: 1 / (1 + np.exp(-b)) for i, _, _, b, _ in rows}
+    rate = sum(p.values()) / len(p)
+    for i, site, path, _, _ in rows:
+        top, low = got[i]["_top_bad"], got[i]["_low_bad"]
+        of_site, of_path = [j for j, s, _, _, _ in rows if s == site], [j for j, s, q, _, _ in rows if (s, q) == (site, path)]
+        shrunk = lambda ids, to, k: (sum(p[j] for j in ids) + k * to) / (len(ids) + k)
+        assert got[i]["_rate_bad"] == pytest.approx(rate) and got[i]["_site_bad"] == pytest.approx(shrunk(of_site, rate, top))
+        assert got[i]["_path_bad"] == pytest.approx(shrunk(of_path, shrunk(of_site, rate, top), low))
+        rest = lambda ids: [j for j in ids if j != i]  # noqa: B023, E731
+        assert got[i]["prior"] == pytest.approx(shrunk(rest(of_path), shrunk(rest(of_site), rate, top), low))
+
+
 def test_labels_gather_groups(spark):
     """Equal texts end in one shard but for those that the even cut divides."""
     rows = [(i, f"group {i % 40}" if i < 400 else f"single {i}") for i in range(1000)]
