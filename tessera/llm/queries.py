@@ -14,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    return urls.judge_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,33 @@ _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _REACH = """reach AS (SELECT id, id AS r FROM nodes UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r),
         roots AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)"""
 
+_RULES = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in urls.RULES)
+_QUOTED = {k: v.replace("'", "''") for k, v in (("link", urls.LINK), ("base", urls.BASE), ("relative", urls.RELATIVE))}
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
+    "op1_url_filter": f"""
+        WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, html, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        rules(v, rule, name, begins) AS (VALUES {_RULES}),
+        ruled AS (SELECT page_id, host, path, arg_max(v, length(rule)) AS v, arg_max(rule, length(rule)) AS rule FROM p LEFT JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, begins) GROUP BY page_id, host, path),
+        hosts AS (SELECT host AS h, avg((coalesce(v, '') = 'allow')::INT) AS good, avg((coalesce(v, '') = 'block')::INT) AS bad FROM ruled WHERE host <> '' GROUP BY host),
+        based AS (SELECT host, {_LOWER.format(f"regexp_extract(html, '{_QUOTED['base']}', 1)")} AS base, len(regexp_extract_all(html, '{_QUOTED['relative']}', 1)) AS n FROM p WHERE html IS NOT NULL),
+        labels_ AS (SELECT string_split(h, '.') AS l FROM hosts WHERE length(h) <= 253 AND regexp_matches(h, '\\.[a-z][a-z0-9-]*$')),
+        steps AS (SELECT l, unnest(range(1, len(l) - 1)) AS i FROM labels_ WHERE len(l) > 2),
+        kin AS (SELECT DISTINCT array_to_string(l[i:], '.') AS c, array_to_string(l[i + 1:], '.') AS p FROM steps),
+        named AS (SELECT host AS src, {_LOWER.format(f"unnest(regexp_extract_all(html, '{_QUOTED['link']}', 1))")} AS dst, 1 AS n FROM p WHERE html IS NOT NULL
+            UNION ALL SELECT host, base, n FROM based WHERE base <> '' AND n > 0 UNION ALL SELECT c, p, 1 FROM kin UNION ALL SELECT p, c, 1 FROM kin),
+        links AS (SELECT src, dst, sum(n)::DOUBLE AS n FROM named WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
+        nodes AS (SELECT h, sum(good) AS good, sum(bad) AS bad FROM (SELECT * FROM hosts UNION ALL SELECT src, 0, 0 FROM links UNION ALL SELECT dst, 0, 0 FROM links) GROUP BY h),
+        all_ AS (SELECT count(*)::DOUBLE AS n, sum(good) AS good, sum(bad) AS bad FROM nodes),
+        seeds AS (SELECT h, CASE WHEN a.good > 0 THEN nodes.good * a.n / a.good * 0.15 ELSE 0 END::DOUBLE AS t, CASE WHEN a.bad > 0 THEN nodes.bad * a.n / a.bad * 0.15 ELSE 0 END::DOUBLE AS d FROM nodes, all_ a),
+        edges AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS g, 0::DOUBLE AS b FROM links UNION ALL SELECT dst, src, 0, n / sum(n) OVER (PARTITION BY dst) FROM links UNION ALL SELECT h, h, 0, 0 FROM nodes),
+        turns AS (SELECT 0 AS i, h, t, d FROM seeds UNION ALL
+            SELECT turns.i + 1, e.dst, any_value(s.t) + 0.85 * sum(turns.t * e.g), any_value(s.d) + 0.85 * sum(turns.d * e.b) FROM turns JOIN edges e ON e.src = turns.h JOIN seeds s ON s.h = e.dst WHERE turns.i < {urls.rounds_for(0.85, 0.01)} GROUP BY turns.i + 1, e.dst),
+        last AS (SELECT h, t, d FROM turns WHERE i = {urls.rounds_for(0.85, 0.01)}),
+        scores AS (SELECT h, CASE WHEN a.t > 0 THEN last.t * a.n / a.t ELSE 0 END AS t, CASE WHEN a.d > 0 THEN last.d * a.n / a.d ELSE 0 END AS d FROM last, (SELECT sum(t) AS t, sum(d) AS d, count(*) AS n FROM last) a)
+        SELECT page_id, host, path, rule, coalesce(v, CASE WHEN d >= {urls.THRESHOLD} AND d > t THEN 'block' ELSE 'allow' END) AS verdict FROM ruled LEFT JOIN scores ON scores.h = ruled.host""",
     "op5_near_vectors": f"""
         WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
         nodes AS (SELECT id FROM v),
