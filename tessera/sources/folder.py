@@ -5,11 +5,12 @@ Differs from Spark's file listing: underscore names count, hidden ones don't, ex
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import stat
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 from tessera.functions.text import IMAGE_EXTENSIONS
@@ -56,8 +57,6 @@ class FolderReader(DataSourceReader):
         return out
 
     def read(self, partition: Folder) -> Iterator[tuple]:
-        import datetime as dt
-
         extensions = tuple(self.options.get("extensions", ",".join(IMAGE_EXTENSIONS)).lower().split(","))
         for e in scan(partition.path, partition.recursive, extensions):
             s = e.stat()
@@ -76,3 +75,78 @@ class FolderSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return FolderReader(dict(self.options))
+
+
+EVENTS = "ts timestamp, op string, path string, old_path string, source string"
+
+
+def differences(before: dict[str, tuple], now: dict[str, tuple]) -> list[tuple[str, str, str | None, str]]:
+    """(op, path, old_path, source) between two listings {path: (identity, size, mtime, source)}.
+
+    A file that is gone here and new there with the same identity was renamed.  Renames and deletions come first.
+    """
+    lost = {v[0]: p for p, v in before.items() if p not in now}
+    out, moved = [], set()
+    for p, v in now.items():
+        if p not in before and v[0] in lost:
+            moved.add(lost[v[0]])
+            out.append(("renamed", p, lost[v[0]], v[3]))
+    out += [("deleted", p, None, v[3]) for p, v in before.items() if p not in now and p not in moved]
+    out += [("created", p, None, v[3]) for p, v in now.items() if p not in before and v[0] not in lost]
+    return out + [("changed", p, None, v[3]) for p, v in now.items() if p in before and before[p][1:3] != v[1:3]]
+
+
+class FolderEventsReader(SimpleDataSourceStreamReader):
+    """Lists the folders at each trigger, on the driver, and tells what changed since the last one.
+
+    What changed while nothing was running is not told: an index pass catches up with that first.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.options, self.seen = options, None
+        self.told: dict[int, list[tuple]] = {}
+
+    def _listing(self) -> dict[str, tuple]:
+        extensions = tuple(self.options.get("extensions", ",".join(IMAGE_EXTENSIONS)).lower().split(","))
+        out: dict[str, tuple] = {}
+        for f in FolderReader(self.options).partitions():
+            for e in scan(f.path, f.recursive, extensions):
+                try:
+                    s = e.stat()
+                except OSError:
+                    continue  # gone between the listing and the look
+                out.setdefault(e.path, ((s.st_dev, s.st_ino), s.st_size, s.st_mtime_ns, f.name))
+        return out
+
+    def initialOffset(self) -> dict:
+        return {"turn": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        now, before = self._listing(), self.seen
+        self.seen = now
+        found = [] if before is None else differences(before, now)
+        if not found:
+            return iter([]), start
+        at, turn = dt.datetime.now(dt.timezone.utc), start["turn"] + 1
+        self.told[turn] = [(at + dt.timedelta(microseconds=i), op, p, old, source) for i, (op, p, old, source) in enumerate(found)]
+        return iter(self.told[turn]), {"turn": turn}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter([row for turn in range(start["turn"] + 1, end["turn"] + 1) for row in self.told.get(turn, [])])
+
+    def commit(self, end: dict) -> None:
+        self.told = {k: v for k, v in self.told.items() if k > end["turn"]}
+
+
+class FolderEvents(DataSource):
+    """``spark.readStream.format("folder-events").option("path", ...)``: events for :func:`tessera.streaming.watch.watch`."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "folder-events"
+
+    def schema(self) -> StructType | str:
+        return EVENTS
+
+    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+        return FolderEventsReader(dict(self.options))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import ingest, mutations, reporting
 from tessera.pipeline import apply_config, embed_pass, index_pass
 from tessera.sources import config, reader
-from tessera.sources.folder import FolderSource
+from tessera.sources.folder import FolderEvents, FolderSource, differences
 from tessera.sources.snapshots import Conflict, Snapshots
 from tessera.streaming import watch
 
@@ -217,6 +217,34 @@ def test_watch(spark, tmp_path):
     assert {r["image_id"] for r in store.table("text_embeddings").collect()} == {r["id"] for r in rows.values()}
 
 
+def test_folder_events(spark, tmp_path):
+    """A watched folder: the stream tells what happens in it, and the index follows."""
+    import time
+
+    one = {"/a": (1, 5, 5, "s"), "/b": (2, 5, 5, "s"), "/c": (3, 5, 5, "s")}
+    two = {"/a2": (1, 5, 5, "s"), "/c": (3, 6, 7, "s"), "/d": (4, 1, 1, "s")}
+    assert differences(one, two) == [("renamed", "/a2", "/a", "s"), ("deleted", "/b", None, "s"), ("created", "/d", None, "s"), ("changed", "/c", None, "s")]
+    lib = tmp_path / "lib"
+    lib.mkdir()
+    (lib / "a.png").write_text("a")
+    store = Snapshots(spark, str(tmp_path / "ix"))
+    index_pass(store, scan(spark, str(lib)), F.col("path"))
+    spark.dataSource.register(FolderEvents)
+    stream = spark.readStream.format("folder-events").option("path", str(lib)).option("name", "lib").load()
+    query = watch.watch(stream, lambda df, n: watch.apply_events(store, df, F.col("path")), str(tmp_path / "cp"), gather="1 second")
+    try:
+        names = lambda: sorted(r["name"] for r in store.table("images").collect())
+        for act, want in ((lambda: (lib / "b.png").write_text("b"), ["a", "b"]), (lambda: (lib / "a.png").rename(lib / "z.png"), ["b", "z"]), ((lib / "b.png").unlink, ["z"])):
+            time.sleep(5)  # the listing before
+            act()
+            end = time.time() + 60
+            while names() != want and time.time() < end:
+                time.sleep(0.5)
+            assert names() == want
+    finally:
+        query.stop()
+
+
 def test_config(tmp_path):
     c = config.Config([config.Source("x", "/x")], meaning_search=True)
     config.save(c, str(tmp_path / "c.json"))
