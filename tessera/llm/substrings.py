@@ -396,7 +396,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = park(_named(read))
     # One row's text stands for each sequence of words; it is found again by its id and a hash.
     units = named.groupBy("_h1", "_h2").agg(F.min(F.struct(F.coalesce("_id", F.lit(LAST)).alias("_rep"), F.col("_raw").alias("_rawrep"))).alias("_s"))
-    units = units.select("_h1", "_h2", "_s._rep", "_s._rawrep")
+    # Parked: it is read three times, and a text with very many copies is then a skewed join, which Spark splits.
+    units = park(units.select("_h1", "_h2", "_s._rep", "_s._rawrep"))
     places = park(_shared_places(_marks(read, width)).groupBy("_unit").agg(F.collect_set("_place").alias("_places")))
     wanted = places.join(units, F.col("_unit") == F.col("_h1")).select("_unit", "_rep", "_rawrep", "_places")
     ranked = docs.select(rank.alias("_rank"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("_raw"), body.alias("_text"))
