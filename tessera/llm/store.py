@@ -21,6 +21,10 @@ class _Here(threading.local):
 _here = _Here()
 
 
+#: Folders of local applications that named none.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -31,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessera-shared-"))
     return found
 
 
@@ -42,13 +46,13 @@ ARROW_ROWS, GROUP_BYTES = 1024, 16 << 20
 
 _lock = threading.Lock()
 #: For each session how many tables are being written, and its batch size before the first of them.
-_writing: dict[int, list] = {}
+_writing: dict[str, list] = {}
 
 
 @contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
     """ARROW_ROWS holds while any thread parks; the last to leave restores what was set before."""
-    name, key = "spark.sql.execution.arrow.maxRecordsPerBatch", id(spark._jsparkSession)
+    name, key = "spark.sql.execution.arrow.maxRecordsPerBatch", spark._jsparkSession.sessionUUID()
     with _lock:
         held = _writing.setdefault(key, [0, spark.conf.get(name)])
         held[0] += 1
