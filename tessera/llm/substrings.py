@@ -269,7 +269,7 @@ def _leaves(texts: DataFrame, width: int) -> DataFrame:
             else:
                 # Only the words that a window of this leaf needs; the rest is 0.
                 k = np.arange(more)
-                left = np.where(k < far[own][:, None], code[np.maximum(base[t] + p, more)[:, None] - 1 - k], 0) if more else np.zeros((n, 0))
+                left = np.where(k < far[own][:, None], code[np.maximum((base[t] + p)[:, None] - 1 - k, 0)], 0) if more else np.zeros((n, 0))
                 right = np.where(k < more - near[own][:, None], code[np.minimum((base[t] + p + half)[:, None] + k, len(code) - 1)], 0) if more else left
                 cols += [_fixed(left), _fixed(right)]
             yield pa.RecordBatch.from_arrays(cols, names=["_anchor", "_rep", "_unit", "_place", "_mask", "_left", "_right"])

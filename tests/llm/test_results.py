@@ -123,14 +123,15 @@ def test_substrings(spark, made, width, leaves):
     assert width > 60 or sum(w[1] for w in want)
 
 
-@pytest.mark.parametrize("leaves", [4096, 2])
-def test_substrings_of_repeated_ids(spark, leaves):
+@pytest.mark.parametrize("leaves", [4096, 2, 1])
+@pytest.mark.parametrize("parts", [1, 4, 14])
+def test_substrings_of_repeated_ids(spark, leaves, parts):
     """One id with several texts, a line that one document repeats 10,000 times, null ids that hold a passage."""
     p, q = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
     line = " ".join(f"line{i}" for i in range(12)) + "\n"
     rows = [(1, p), (5, p + " tail"), (5, "x1 x2 x3 " + q), (9, "z " + q), (None, "n " + p + " n"), (None, "m " + p + " m"), (None, "only null " + q[:200]), (None, "other null " + q[:200])]
     rows += [(20, "a " + line * 10_000 + " z"), (21, "b " + line * 300), (21, p), (21, p), (22, line * 5), (-3, "head " + line * 4 + "foot")]
-    got = substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), leaves=leaves).collect()
+    got = substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), leaves=leaves).collect()
     want = [(i, *w) for (i, _), w in zip(rows, plain_substrings(rows, 50), strict=True)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
