@@ -128,6 +128,13 @@ def test_pii(docs, none):
     got = pii.summarise(pii.find_personal_data(docs)).collect()
     assert len(got) == len(ROWS) and {r["spans"] for r in got} == {""}
     assert pii.summarise(pii.find_personal_data(none)).count() == 0
+    mail = F.concat(F.coalesce("text", F.lit("")), F.lit(" a@b.co 1.2.3.4"))
+    got = pii.summarise(pii.find_personal_data(docs.withColumn("text", mail))).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        body = next((t or "") + " a@b.co 1.2.3.4" for i, t, *_ in ROWS if i == r["doc_id"] and (i is not None or f"email:{len(t or '') + 1}:" in r["spans"]))
+        at = len(body) - 14
+        assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 0, 0) and r["spans"] == f"email:{at}:{at + 6},ip:{at + 7}:{at + 14}"
 
 
 def test_quality(docs, none, labels):
@@ -135,6 +142,11 @@ def test_quality(docs, none, labels):
     assert quality.classify(none, labels).count() == 0
     empty = quality.classify(docs, labels.limit(0))
     assert empty.count() == len(ROWS) and empty.where("kept").count() == len(ROWS)  # without labels nothing is decided
+    # With labels of both kinds for both heads: repeated rows are judged alike, every score is a number.
+    marks = labels.limit(0).unionByName(labels.sparkSession.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, 0), (6, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int"))
+    got = quality.classify(docs, marks).collect()
+    assert len(got) == len(ROWS) and all(0 <= r["p_bad"] <= 1 and 0 <= r["p_toxic"] <= 1 for r in got)
+    assert len({(r["p_bad"], r["p_toxic"], r["kept"]) for r in got if r["doc_id"] == 1}) == 1
 
 
 def test_vectors(spark):
@@ -172,6 +184,11 @@ def test_urls(spark):
     assert (by[4]["host"], by[4]["path"], by[4]["verdict"]) == ("", "", "allow") and by[5]["host"] == ""
     assert (by[6]["host"], by[6]["path"]) == ("a.net", "") and by[7]["verdict"] == "block" and by[8]["host"] == "y:"
     assert by[9]["rule"] is None
+    # Very long html is searched whole: only its last link makes the host of page 3 a neighbour of the blocked one.
+    filler = "<p>x</p>" * 300_000
+    long = [(1, "http://far.site.net/fr", filler + '<a href="http://bad.org/es/">'), (2, "http://bad.org/es/1", None), (3, "http://good.net/fr", None), (4, "http://other.net/fr", None), (5, "http://third.net/fr", None)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark.createDataFrame(long, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
