@@ -424,7 +424,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     reps = units.select(F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2"), F.col("_rep"), "_rawrep")
     again = gone.join(units.select("_h1", F.col("_rep").alias("_r"), "_rawrep"), (F.col("_unit") == F.col("_h1")) & (F.col("_rep") == F.col("_r"))).select("_rep", "_unit", "_places", "_bits", "_rawrep")
     held = ranked.join(again, (F.col("_rank") == F.col("_rep")) & (F.col("_raw") == F.col("_rawrep"))).select("_rep", "_unit", "_places", "_bits", "_text")
-    changed = held.mapInArrow(cut, "_d long, _u long, _gone long, _kept string, _left string").dropDuplicates(["_d", "_u"])
+    # Parked for the same reason as the names: the copies of one text all ask for one answer.
+    changed = park(held.mapInArrow(cut, "_d long, _u long, _gone long, _kept string, _left string").dropDuplicates(["_d", "_u"]))
     out = named.join(reps, (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))).join(changed, (F.col("_rep") == F.col("_d")) & (F.col("_h1") == F.col("_u")), "left")
     copy = (F.col("_n") >= width) & (F.coalesce("_id", F.lit(LAST)) > F.col("_rep"))
     some = F.col("_gone").isNotNull()
