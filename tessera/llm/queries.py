@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, ngram_join, packing, pii, pivots, quality, shards, substrings, urls
+from . import centroids, collocations, exact, licenses, mixing, ngram_join, packing, pii, pivots, quality, shards, substrings, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,7 +55,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_mixing, op3_packing, op4_quality, op5_near_vectors, op6_ngram_join, op7_pii, op8_exact_dedup, op9_sharding, op10_substring_dedup)}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_url_filter, op2_mixing, op3_packing, op4_quality, op5_near_vectors, op6_ngram_join, op7_pii, op8_exact_dedup, op9_sharding, op10_substring_dedup, op11_license_scan, op12_collocations, op13_centroids)
+}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -67,7 +82,58 @@ _RULES = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')
 _QUOTED = {k: v.replace("'", "''") for k, v in (("link", urls.LINK), ("base", urls.BASE), ("relative", urls.RELATIVE))}
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TEMPLATES = ", ".join(f"({k}, '{t.label}', {str(t.phrase).lower()}, string_split('{t.text}', ' '), {licenses.slack_of(t)}, {licenses.votes_needed(t, licenses.LEAST)})" for k, t in enumerate(licenses.TEMPLATES))
+_FAR = "list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+
+
+def _lloyd(rounds: int) -> str:
+    """CTEs c0, a0, c1, a1 ...: centroids and the vectors they get, round by round."""
+    out = [f"a0 AS MATERIALIZED (SELECT i, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.i, c.c, {_FAR} AS d FROM v, c0 c) GROUP BY i)"]
+    for r in range(1, rounds + 1):
+        sums = f"SELECT c, generate_subscripts(v.v, 1) AS k, unnest(v.v) AS x FROM a{r - 1} a JOIN v USING (i)"
+        moved = "SELECT c, list_transform(list_sort(list({'k': k, 's': s, 'n': n})), lambda x: ((x.s - ((x.s % x.n) + x.n) % x.n) // x.n)::BIGINT) AS v FROM (SELECT c, k, sum(x) AS s, count(*) AS n FROM (" + sums + ") GROUP BY c, k) GROUP BY c"
+        out.append(f"c{r} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{r - 1} o LEFT JOIN ({moved}) m USING (c))")
+        out.append(f"a{r} AS MATERIALIZED (SELECT i, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.i, c.c, {_FAR} AS d FROM v, c{r} c) GROUP BY i)")
+    return ", ".join(out)
+
+
 ORACLES: dict[str, str] = {
+    "op11_license_scan": rf"""
+        WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        t(k, label, phrase, t, slack, need) AS (VALUES {_TEMPLATES}),
+        tg AS (SELECT k, slack, need, unnest(range(1, len(t) - 1)) AS p, array_to_string(t[p:p + 2], ' ') AS g FROM t),
+        dg AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, array_to_string(w[i:i + 2], ' ') AS g FROM w),
+        hits AS (SELECT doc_id, k, slack, need, i - p AS d, p FROM dg JOIN tg USING (g)),
+        lines AS (SELECT DISTINCT doc_id, k, slack, d FROM hits),
+        cuts AS (SELECT *, coalesce(d - lag(d) OVER (PARTITION BY doc_id, k ORDER BY d) > slack, false)::INT AS cut FROM lines),
+        spans AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, k ORDER BY d) AS s FROM cuts),
+        voted AS (SELECT doc_id, k, s FROM hits JOIN spans USING (doc_id, k, d) GROUP BY doc_id, k, s, need HAVING count(DISTINCT p) >= need),
+        places AS (SELECT k, label, phrase, len(t) AS n, unnest(range(1, len(t) + 1)) AS p, t[p] AS word FROM t),
+        held AS (SELECT doc_id, k, s, label, phrase, n, count(DISTINCT p) AS m, min(d + p) - 1 AS first FROM voted JOIN spans USING (doc_id, k, s) JOIN places USING (k) JOIN w USING (doc_id) WHERE d + p >= 1 AND w[d + p] = word GROUP BY ALL),
+        good AS (SELECT * FROM held WHERE m >= n * CASE WHEN phrase THEN 1 ELSE {licenses.LEAST} END - 1e-9)
+        SELECT w.doc_id, any_value(len(w)) AS n_words, count(*) FILTER (WHERE phrase) AS n_base, min(first) FILTER (WHERE phrase) AS first_word, max(first) FILTER (WHERE phrase) AS last_word,
+            coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE phrase)), ','), '') AS base_labels, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE label IS NOT NULL)), ','), '') AS labels,
+            round(coalesce(max(m::DOUBLE / n), 0), 6) AS score FROM w LEFT JOIN good USING (doc_id) GROUP BY w.doc_id""",
+    "op12_collocations": rf"""
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+        p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d),
+        w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM w, (VALUES (1), (2), (3)) ks(k)),
+        f AS (SELECT lang, k, s, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+        cuts AS (SELECT lang, k, s, a, unnest(range(1, k)) AS cut, string_split(s, ' ') AS l FROM f WHERE k > 1),
+        scored AS (SELECT c.lang, c.k, c.s, c.a, cut, x.a AS l, y.a AS r, ((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a))::BIGINT AS score FROM cuts c
+            JOIN f x ON x.lang = c.lang AND x.s = array_to_string(c.l[:cut], ' ') JOIN f y ON y.lang = c.lang AND y.s = array_to_string(c.l[cut + 1:], ' ')),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, cut) = 1),
+        inner_ AS (SELECT lang, s, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(string_split(s, ' ')[:2], ' '), array_to_string(string_split(s, ' ')[2:], ' ')]) AS s FROM f WHERE k = 3) GROUP BY ALL),
+        left_ AS (SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.s = b.s WHERE i.a IS NULL OR 100 * i.a < {collocations.INSIDE} * b.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS rank, s AS phrase, a, l, r, n, score FROM left_ JOIN n USING (lang) QUALIFY rank <= {collocations.TOP}""",
+    "op13_centroids": f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM v ORDER BY sha256('3:' || vec_id) LIMIT 8),
+        {_lloyd(centroids.ROUNDS)}, own AS (SELECT c, sum(d)::BIGINT AS s FROM a{centroids.ROUNDS} GROUP BY c)
+        SELECT vec_id, c::INT AS cluster, d AS distance, own.s AS cluster_inertia, (SELECT sum(s)::BIGINT FROM own) AS inertia, sha256(array_to_string(o.v, ',')) AS centroid_sha256
+        FROM a{centroids.ROUNDS} JOIN v USING (i) JOIN own USING (c) JOIN c{centroids.ROUNDS} o USING (c)""",
     "op1_url_filter": f"""
         WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         p AS (SELECT page_id, html, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
