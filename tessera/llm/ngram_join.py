@@ -32,6 +32,8 @@ from .store import park
 from .streams import distinct_pairs, groups, whole
 
 BLOCK = 256
+#: Rows of one run, or runs of one set, that a task holds at once.
+HELD = 1 << 20
 #: Bytes of paths that a block holds at most, but for a single set's.
 BLOCK_BYTES = 16 << 20
 #: Ranges beyond the differences, as a share of them: what prefix filtering can leave out.
@@ -217,13 +219,13 @@ def _named(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "_id long, _n long, _set long")
 
 
-def _candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _candidates(docs: DataFrame, width: int, percent: int, most: int) -> DataFrame:
     """(_lead, _set): sets that meet in a run, as links to the run's first set; no pairs within a run.
 
     Three passes over sorted partitions, each a stream: runs with their numbers of sets, each set's runs
-    from the rarest, runs again.  A run in more than a million sets counts as a million.
+    from the rarest, runs again.  A run in more than ``most`` sets counts as in ``most``; sets with more
+    than ``most`` runs are read in parts.
     """
-    most = 1 << 20
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -260,7 +262,17 @@ def _candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield batch([(node[keep], (key & 1)[keep].astype(np.int32), many[keep].astype(np.int32), key[keep], need[keep])], ["_set", "_odd", "_many", "_key", "_need"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (node, odd, _, key, need), _ in whole(batches, 2, most):
+        # Of a set that comes in parts, the last need - 1 runs so far are held back until more are seen: only the very last are left out.
+        whose, back = None, np.zeros(0, np.int64)
+        for (node, odd, _, key, need), part in whole(batches, 2, most):
+            if part:
+                own = (int(node[0]), int(odd[0]))
+                key = np.concatenate([back, key]) if own == whose else key
+                cut = max(0, len(key) - int(need[0]) + 1)
+                whose, back = own, key[cut:]
+                if cut:
+                    yield batch([(key[:cut], np.full(cut, node[0], np.int64))], ["_key", "_set"])
+                continue
             first = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (odd[1:] != odd[:-1])])
             long = np.diff(np.r_[first, len(node)])
             place = np.arange(len(node)) - np.repeat(first, long)
@@ -345,7 +357,7 @@ def _verify(paths: DataFrame, percent: int, block: int) -> DataFrame:
     return first.union(park(_compare(tasks, percent, True, width)))
 
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK, held: int = HELD) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links, itself included).
 
     Two documents link when 100 * intersection >= ``percent`` * union of their sets of ``width``-word
@@ -356,7 +368,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     """
     read = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     named = park(_named(read, width))
-    clusters = components(_candidates(read, width, percent), "_lead", "_set")
+    clusters = components(_candidates(read, width, percent, held), "_lead", "_set")
     # One document stands for each set; its text is read again to compare the sets.
     stands = named.where("_id IS NOT NULL AND _set IS NOT NULL").groupBy("_set").agg(F.min("_id").alias("_rep"))
     wanted = park(stands.join(clusters, F.col("_set") == F.col("_node")).select("_rep", "_set", F.col("_root").alias("_cluster")))

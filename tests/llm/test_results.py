@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bytewords, exact, mixing, ngram_join, packing, pii, pivots, quality, shards, substrings, urls
+from tessera.llm import bytewords, exact, mixing, ngram_join, packing, pii, pivots, quality, shards, store, substrings, urls
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,6 +77,29 @@ def test_ngram_join(made, width, percent, block):
     assert [got[i]["component_id"] for i in range(len(t))] == want
 
 
+@pytest.mark.parametrize("held", [16, 40, 1 << 20])
+def test_sets_read_in_parts(spark, monkeypatch, held):
+    """Sets with more runs than a task holds, whose common runs are the frequent ones, keep their links."""
+    monkeypatch.setattr(store, "ARROW_ROWS", 6)
+    r = random.Random(held)
+    word = lambda: f"v{r.randrange(100_000)}"
+    shared = [[word() for _ in range(900)] for _ in range(3)]
+    rows = []
+    for base in shared:
+        for _ in range(4):
+            # Sets that hold parts of the base make its runs frequent; near copies share hardly any others.
+            t = list(base)
+            for _ in range(r.choice([2, 5, 9])):
+                t[r.randrange(len(t))] = word()
+            rows.append(t)
+        rows += [base[k : k + 450] + [word() for _ in range(400)] for k in (0, 100, 450)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    s = [shingles(" ".join(t), 3) for t in rows]
+    links = [(i, j) for i in range(len(s)) for j in range(i) if 100 * len(s[i] & s[j]) >= 90 * len(s[i] | s[j])]
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.ngram_jaccard(docs, width=3, percent=90, held=held).collect()}
+    assert len(links) > 6 and [got[i] for i in range(len(s))] == components(len(s), links)
+
+
 @pytest.mark.parametrize("percent", [50, 70, 80, 90])
 def test_runs_lose_no_pair(percent):
     t = texts(200, percent)
@@ -509,12 +532,110 @@ def test_posterior_arithmetic(spark):
         assert got[i]["prior"] == pytest.approx(shrunk(rest(of_path), shrunk(rest(of_site), rate, top), low))
 
 
-def test_labels_gather_groups(spark):
-    """Equal texts end in one shard but for those that the even cut divides."""
-    rows = [(i, f"group {i % 40}" if i < 400 else f"single {i}") for i in range(1000)]
-    got = shards.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8)
-    cut = got.groupBy("text_crc32").agg(F.countDistinct("shard").alias("n")).where("n > 1").count()
-    assert cut <= 7
+def test_groups_stay_whole(spark):
+    """Fewer groups are cut than by sorting on the hash of the text, whose even cut divides some."""
+    rows = [(i, f"group {i % 4000}" if i < 20_000 else f"single {i}") for i in range(24_000)]
+    got = shards.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    sizes = got.groupby("shard").size()
+    assert sizes.max() == sizes.min() == 1000
+    assert all(sorted(g["slot"]) == list(range(1000)) for _, g in got.groupby("shard"))
+    cut = int((got.groupby("text_crc32")["shard"].nunique() > 1).sum())
+    by_hash = sorted(rows, key=lambda r: hashlib.md5(r[1].encode()).digest())
+    plain = {}
+    for at, (_, t) in enumerate(by_hash):
+        plain.setdefault(t, set()).add(at // 1000)
+    assert cut == 0 < sum(len(v) > 1 for v in plain.values())
+
+
+def families(seed=4):
+    """(id, text): families of documents that share lines, and a line that all have."""
+    r = random.Random(seed)
+    line = lambda *k: " ".join([f"w{x}" for x in k] * 9)
+    out = []
+    for f in range(120):
+        own = [line(f, k) for k in range(6)]
+        for m in range(r.choice([2, 4, 8])):
+            body = [*r.sample(own, 4), line("m", f, m), "short", line("all")]
+            out += ["\n".join(body)] * r.choice([1, 1, 3])
+    r.shuffle(out)
+    return list(enumerate(out))
+
+
+def spark_share(group, turn):
+    """The hash that decides who moves, in plain Python."""
+    import xxhash
+
+    at = xxhash.xxh64(group.to_bytes(8, "little", signed=True), seed=42).intdigest()
+    at = xxhash.xxh64(turn.to_bytes(4, "little", signed=True), seed=at).intdigest()
+    return (at % (1 << 30) if at < 1 << 63 else (at - (1 << 64)) % (1 << 30)) / (1 << 30)
+
+
+def plain_rounds(labels, lines, n_shards, total, rounds, slack):
+    """labels: {group: [n, label]}; lines: {line: groups}."""
+    quota = total / n_shards * (1 + slack)
+    for turn in range(rounds):
+        sizes = {}
+        for n, label in labels.values():
+            sizes[label] = sizes.get(label, 0) + n
+        votes = {}
+        for held in lines.values():
+            count = {}
+            for g in held:
+                count[labels[g][1]] = count.get(labels[g][1], 0) + 1
+            to = min(count, key=lambda x: (-count[x], x))
+            for g in held:
+                votes.setdefault(g, {}).setdefault(to, 0)
+                votes[g][to] += count[to] * 1000 // len(held)
+        wish = {}
+        for g, v in votes.items():
+            to = min(v, key=lambda x: (-v[x], x))
+            if to != labels[g][1] and v[to] > v.get(labels[g][1], 0):
+                wish[g] = to
+        flow = {}
+        for g, to in wish.items():
+            flow[to] = flow.get(to, 0) + labels[g][0]
+        part = {to: min(1.0, max(0.0, quota - sizes.get(to, 0)) / n) for to, n in flow.items()}
+        if not any(part.values()):
+            break
+        for g, to in wish.items():
+            if spark_share(g, turn) < part[to]:
+                labels[g][1] = to
+    return labels
+
+
+def test_label_rounds(spark):
+    """The rounds against a plain version, and what they are for: families gather, and sizes stay even."""
+    rows, n = families(), 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.col("text").alias("_body"), F.xxhash64("text").alias("_group"))
+    edges = shards.shared_lines(docs, len(rows) / n)
+    of = {r["_body"]: r["_group"] for r in docs.collect()}
+    lines = {}
+    for t, g in of.items():
+        for x in set(t.split("\n")):
+            if len(x) >= shards.LINE:
+                lines.setdefault(x, set()).add(g)
+    lines = {x: g for x, g in lines.items() if 1 < len(g) <= len(rows) / n}
+    assert edges.count() == sum(map(len, lines.values())) and not any("wall" in x for x in lines)
+    start = {}
+    for _, t in rows:
+        start.setdefault(of[t], [0, of[t] % n])[0] += 1
+    before = {g: list(v) for g, v in start.items()}
+    frame = spark.createDataFrame([(g, m, s) for g, (m, s) in start.items()], "_group long, _n long, _label int")
+    got = {r["_group"]: [r["_n"], r["_label"]] for r in shards.propagate(frame, edges, n, len(rows), 4, 0.1).collect()}
+    assert got == plain_rounds(start, lines, n, len(rows), 4, 0.1)
+    spread = lambda labels: sum(len({labels[g][1] for g in held}) - 1 for held in lines.values())
+    assert spread(got) < 0.5 * spread(before)
+    held = shards.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), n).toPandas().groupby("shard").size()
+    assert held.max() - held.min() <= 1 and len(held) == n
+
+
+def test_one_text_larger_than_a_shard(spark):
+    rows = [(i, "the same" if i % 3 else f"other {i}") for i in range(1000)]
+    got = shards.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 24).toPandas()
+    sizes = got.groupby("shard").size()
+    assert len(sizes) == 24 and sizes.max() - sizes.min() <= 1
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+    assert got[got.doc_id % 3 > 0].shard.nunique() <= 17
 
 
 def test_quality_held_out(spark, sf):
