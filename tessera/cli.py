@@ -34,6 +34,8 @@ VERBS = {
     "eval": "QUERIES.json [WINDOW ...]: relevance, also by other windows under the best meaning score",
     "bench": "QUERY ...: latencies",
     "vacuum": "delete files of old versions",
+    "compact": "merge the segments of all tables",
+    "check": "read all files and name the damaged ones",
 }
 
 
@@ -90,6 +92,11 @@ def main(argv: list[str] | None = None) -> None:
         print(embed_pass(store, "hash-projection"))
     elif args.verb == "vacuum":
         print(store.vacuum())
+    elif args.verb == "compact":
+        for name in store.state["tables"]:
+            store.compact(name, whole=True)
+    elif args.verb == "check":
+        print("\n".join(store.damaged()) or "all files are as they were written")
     elif args.verb == "stats":
         reporting.stats_totals(store.table("images"), store.table("embeddings"), store.table("text_embeddings")).show()
         reporting.stats_by_source(store.table("images")).show()
@@ -100,12 +107,13 @@ def main(argv: list[str] | None = None) -> None:
     else:
         images = store.table("images")
         meaning = vector_search.load_embeddings(images, store.table("text_embeddings"), "hash-projection")
-        engine = Engine(images, None, meaning, None, hash_projection, present=there, forget=lambda ids: forget(store, ids))
+        index = store.text_index()
+        engine = Engine(images, None, meaning, None, hash_projection, present=there, forget=lambda ids: forget(store, ids), index=index)
         if args.verb == "eval":
             queries = [(r["q"], r["a"]) for r in eval_queries(spark, args.rest[0]).collect()]
-            engines = {"text": Engine(images), "text and meaning": engine}
+            engines = {"text": Engine(images, index=index), "text and meaning": engine}
             for w in args.rest[1:]:
-                engines[f"window {w}"] = Engine(images, None, meaning, None, hash_projection, meaning_window=float(w))
+                engines[f"window {w}"] = Engine(images, None, meaning, None, hash_projection, meaning_window=float(w), index=index)
             evaluate(engines, queries).show()
         elif args.verb == "bench":
             print(latencies(engine, args.rest))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.encoders import Encoder
-from tessera.operators import fusion, ingest, text_search, vector_search
+from tessera.operators import fusion, ingest, postings, text_search, vector_search
 from tessera.plans.query import Query, dispatch, parse
 from tessera.plans.together import together
 
@@ -18,11 +18,12 @@ from tessera.plans.together import together
 class Engine:
     """``corpus``: id, text, name, source, mtime (and path where files are checked); vector sets: id, source, mtime, vec.
 
-    With ``present`` hits whose file it says is gone are dropped after the limit, and their ids go to ``forget``,
+    With ``index``, the kept postings of the corpus, text search reads no text but that of its hits.  With ``present`` hits whose file it says is gone are dropped after the limit, and their ids go to ``forget``,
     on a thread of its own, so that no search waits for the index to be rewritten.
     """
 
-    def __init__(self, corpus: DataFrame, visual: DataFrame | None = None, meaning: DataFrame | None = None, encode_image_query: Encoder | None = None, encode_meaning_query: Encoder | None = None, tz: str = "UTC", meaning_window: float = vector_search.MEANING[1], present: Callable[[str], bool] | None = None, forget: Callable[[list[int]], None] | None = None):
+    def __init__(self, corpus: DataFrame, visual: DataFrame | None = None, meaning: DataFrame | None = None, encode_image_query: Encoder | None = None, encode_meaning_query: Encoder | None = None, tz: str = "UTC", meaning_window: float = vector_search.MEANING[1], present: Callable[[str], bool] | None = None, forget: Callable[[list[int]], None] | None = None, index: postings.TextIndex | None = None):
+        self.index = index
         self.corpus, self.visual, self.meaning, self.tz = corpus, visual, meaning, tz
         self.image_query, self.meaning_query = encode_image_query, encode_meaning_query
         self.meaning_window, self.present, self.forget = meaning_window, present, forget
@@ -46,7 +47,7 @@ class Engine:
         else:
             see = lambda: self._nearest(self.visual, self.image_query, query, limit, *vector_search.TEXT_TO_IMAGE)
             mean = lambda: self._nearest(self.meaning, self.meaning_query, query, limit, vector_search.MEANING[0], self.meaning_window)
-            read = lambda: text_search.hits_and_exact(self.corpus, query, limit)
+            read = lambda: text_search.hits_and_exact(self.corpus, query, limit) if self.index is None else postings.indexed_hits(self.corpus, self.index, query, limit)
             if mode == "visual":
                 hits = fusion.fuse(nothing, nothing, nothing, see(), limit)
             elif mode == "text":

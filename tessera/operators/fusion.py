@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 K = 10
 
 
-def _merged(text: DataFrame, exact: DataFrame, meaning: DataFrame, visual: DataFrame, k: int) -> DataFrame:
+def _merged(text: DataFrame, exact: DataFrame, meaning: DataFrame, visual: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """A row for each id of any list: what every list says about it, ranks counted among ids that are not exact.
 
-    One union of lists that are a limit's rows long, one aggregation by id; no joins.
+    One union of lists that are a limit's rows long, one aggregation by id; no joins.  Lists of many queries are told apart by ``by``.
     """
-    part = lambda hits, n: hits.select("id", "pos", F.col("score").cast("double").alias("score"), F.lit(n).alias("_list"))
+    part = lambda hits, n: hits.select(*by, "id", "pos", F.col("score").cast("double").alias("score"), F.lit(n).alias("_list"))
     union = part(text, 0).union(part(meaning, 1)).union(part(visual, 2)).union(part(exact, 3))
-    known = union.withColumn("_exact", F.max(F.col("_list") == 3).over(Window.partitionBy("id")))
-    rank = F.row_number().over(Window.partitionBy("_list", "_exact").orderBy("pos")) - 1
+    known = union.withColumn("_exact", F.max(F.col("_list") == 3).over(Window.partitionBy(*by, "id")))
+    rank = F.row_number().over(Window.partitionBy(*by, "_list", "_exact").orderBy("pos")) - 1
     of = lambda n, c: F.when(F.col("_list") == n, F.col(c))
-    return known.withColumn("_rank", rank).groupBy("id").agg(
+    return known.withColumn("_rank", rank).groupBy(*by, "id").agg(
         F.max("_exact").alias("exact"),
         F.min(of(3, "pos")).alias("exact_pos"),
         F.round(F.sum(F.when(F.col("_list") < 3, 1.0 / (k + F.col("_rank")))), 9).alias("score"),
@@ -36,16 +36,19 @@ def rrf_fusion(text: DataFrame, exact: DataFrame, meaning: DataFrame, visual: Da
     return rest.select("id", "score", "text_rank", F.col("_first._list").alias("list"), F.col("_first._rank").alias("rank"))
 
 
-def fuse(text: DataFrame, exact: DataFrame, meaning: DataFrame, visual: DataFrame, limit: int = 120, k: int = K) -> DataFrame:
-    """pos, id, block (0 exact, 1 fused), score, matched_text, visual_score, meaning_score; at most ``limit`` rows.
+def fuse(text: DataFrame, exact: DataFrame, meaning: DataFrame, visual: DataFrame, limit: int = 120, k: int = K, by: tuple[str, ...] = ()) -> DataFrame:
+    """pos, id, block (0 exact, 1 fused), score, matched_text, visual_score, meaning_score; at most ``limit`` rows, for each value of ``by``.
 
     Exact hits keep their order; the others follow by score, then text rank, list and rank there, id.
     """
-    all_ = _merged(text, exact, meaning, visual, k)
+    all_ = _merged(text, exact, meaning, visual, k, by)
     none = F.lit(2_000_000_000)
     ahead = F.col("exact")
-    keyed = all_.select("id", F.when(ahead, 0).otherwise(1).alias("block"), F.when(~ahead, F.col("score")).alias("score"), "matched_text", "visual_score", "meaning_score", F.when(ahead, F.col("exact_pos")).otherwise(F.coalesce("text_rank", none)).alias("_a"), F.col("_first._list").alias("_b"), F.col("_first._rank").alias("_c"))
+    keyed = all_.select(*by, "id", F.when(ahead, 0).otherwise(1).alias("block"), F.when(~ahead, F.col("score")).alias("score"), "matched_text", "visual_score", "meaning_score", F.when(ahead, F.col("exact_pos")).otherwise(F.coalesce("text_rank", none)).alias("_a"), F.col("_first._list").alias("_b"), F.col("_first._rank").alias("_c"))
     order = ["block", F.desc("score"), "_a", "_b", "_c", "id"]
+    if by:
+        placed = keyed.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("pos") <= limit)
+        return placed.select(*by, "pos", "id", "block", "score", "matched_text", "visual_score", "meaning_score")
     top = keyed.orderBy(*order).limit(limit)
     return top.select(F.row_number().over(Window.orderBy(*order)).alias("pos"), "id", "block", "score", "matched_text", "visual_score", "meaning_score")
 

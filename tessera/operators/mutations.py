@@ -17,6 +17,14 @@ def upsert(images: DataFrame, entries: DataFrame) -> DataFrame:
     Of several entries for a path the last by ``indexed_at`` counts.
     """
     key = T.ascii_lower(F.col("path"))
+    kept = images.join(entries.select(key.alias("_key")).distinct(), key == F.col("_key"), "left_anti")
+    new = upserted(images, entries)
+    return kept.unionByName(new.select(*[c for c in images.columns if c in new.columns]), allowMissingColumns=True)
+
+
+def upserted(images: DataFrame, entries: DataFrame) -> DataFrame:
+    """The rows that :func:`upsert` adds or puts in place of others, with their ids."""
+    key = T.ascii_lower(F.col("path"))
     latest = Window.partitionBy("_key").orderBy(F.desc("indexed_at"), F.desc("path"))
     one = entries.withColumn("_key", key).withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
     known = images.select(F.col("id").alias("_known"), key.alias("_k"))
@@ -29,9 +37,7 @@ def upsert(images: DataFrame, entries: DataFrame) -> DataFrame:
     sizes = fresh.groupBy("_bucket").count()
     base = sizes.select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     numbered = fresh.join(base, F.col("_bucket") == F.col("_b")).withColumn("_known", F.lit(top) + F.col("_base") + F.row_number().over(Window.partitionBy("_bucket").orderBy("_key")))
-    new = matched.where("_known IS NOT NULL").unionByName(numbered.drop("_bucket", "_b", "_base")).withColumn("id", F.col("_known").cast("long"))
-    kept = images.join(one.select("_key"), key == F.col("_key"), "left_anti")
-    return kept.unionByName(new.select(*[c for c in images.columns if c in new.columns]), allowMissingColumns=True)
+    return matched.where("_known IS NOT NULL").unionByName(numbered.drop("_bucket", "_b", "_base")).withColumn("id", F.col("_known").cast("long")).drop("_known", "_key")
 
 
 def changed_ids(images: DataFrame, entries: DataFrame) -> DataFrame:
@@ -72,9 +78,14 @@ def remove_source(images: DataFrame, source: str) -> DataFrame:
     return images.where(~F.col("source").eqNullSafe(source))
 
 
+def one_vector(new: DataFrame) -> DataFrame:
+    """Of several vectors of an image that of the largest ``model``."""
+    return new.withColumn("_n", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("model")))).where("_n = 1").drop("_n")
+
+
 def save_embeddings(vectors: DataFrame, new: DataFrame) -> DataFrame:
     """One vector per image: new ones replace old ones of any model; of several new ones the largest ``model`` counts."""
-    one = new.withColumn("_n", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("model")))).where("_n = 1").drop("_n")
+    one = one_vector(new)
     return vectors.join(one.select("image_id"), "image_id", "left_anti").unionByName(one)
 
 

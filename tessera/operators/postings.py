@@ -1,46 +1,306 @@
-"""Trigram postings: which rows can hold a long term, without reading any text.
+"""Trigram postings with places: text search that reads no text but that of its hits.
 
-Optional.  A corpus that is searched often keeps ``build(corpus)`` written, sorted by trigram: a search then reads
-the row groups of its terms' trigrams only, and texts of the rows that survive.  What comes back is verified
-with the exact predicate, so results are the same with and without it.
+An index is kept as rows (seq, trigram, block, ids, sizes, places), sorted by trigram: which rows of a block hold the
+trigram, at how many places each, and where.  The row with an empty trigram lists all ids of its block, with the lengths that
+BM25 needs as sizes.  A search reads the rows of its terms' trigrams only.  A term stands wherever its trigrams follow each
+other, so occurrences, document frequencies and scores come from places alone, and are those of the exact predicates.
+
+Segments are such tables; merging them is a union in the order of trigrams.  ``seq`` says in which commit a row was
+written: a row of the corpus that was replaced or deleted by a later one is passed over (see :func:`visible`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.text_search import term_filter
+from tessera.functions import text as T
+from tessera.operators import text_search
 from tessera.plans.query import Query
 
+SCHEMA = "seq long, trigram string, block long, ids array<bigint>, sizes array<int>, places array<int>"
+#: Places in a row's name begin here; texts are shorter.
+NAME = 1 << 30
+#: Characters and rows that a block gathers before it is written.
+CHARACTERS, ROWS = 1 << 21, 1 << 14
+#: Rows whose texts are named one by one where they are read; more are joined.
+NAMED = 10_000
+
+
+class TextIndex(NamedTuple):
+    """Postings of a corpus, what of them is out of date (id, seq; None: nothing), and the corpus's number of rows and mean length."""
+
+    postings: DataFrame
+    gone: DataFrame | None
+    n: int
+    mean: float
+
+
+def _length() -> Column:
+    """Characters of text and name less two each, as BM25 counts them."""
+    part = lambda c: F.greatest(F.length(F.coalesce(c, F.lit(""))) - 2, F.lit(0))
+    return (part("text") + part("name")).cast("int")
+
+
+def _block(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows of one block; ``held``: (id, length, folded text, folded name)."""
+    held.sort(key=lambda r: r[0])
+    ids = np.array([r[0] for r in held], np.int64)
+    block = int.from_bytes(hashlib.md5(ids.tobytes()).digest()[:8], "little", signed=True)
+    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for r in held for t in r[2:]]
+    size = np.array([len(p) for p in points])
+    begin = np.r_[0, np.cumsum(size)]
+    unit = np.repeat(np.arange(len(points)), size)
+    point = np.concatenate(points).astype(np.uint64) if len(unit) else np.zeros(0, np.uint64)
+    at = np.flatnonzero(unit[2:] == unit[:-2])
+    code = point[at] << np.uint64(42) | point[at + 1] << np.uint64(21) | point[at + 2]
+    order = np.argsort(code, kind="stable")
+    code, at = code[order], at[order]
+    row = unit[at] // 2
+    place = (at - begin[unit[at]] + NAME * (unit[at] % 2)).astype(np.int32)
+    new = np.r_[True, code[1:] != code[:-1]][: len(code)]
+    first = np.flatnonzero(new | np.r_[True, row[1:] != row[:-1]][: len(code)])
+    many = np.diff(np.r_[first, len(code)]).astype(np.int32)
+    lead = np.flatnonzero(new)
+    names = code[lead]
+    letters = np.stack([names >> np.uint64(s) & np.uint64(0x1FFFFF) for s in (42, 21, 0)], axis=1).astype("<u4")
+    trigrams = [r.tobytes().decode("utf-32-le", "surrogatepass") for r in letters]
+    lists = lambda cuts, values: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
+    cuts = np.r_[np.searchsorted(first, lead), len(first)]
+    cols = [pa.array(["", *trigrams], pa.string()), pa.array(np.full(len(lead) + 1, block, np.int64))]
+    cols.append(lists(np.r_[0, cuts + len(ids)], np.r_[ids, ids[row[first]]]))
+    cols.append(lists(np.r_[0, cuts + len(ids)], np.r_[np.array([r[1] for r in held], np.int32), many]))
+    cols.append(lists(np.r_[0, lead, len(code)], place))
+    yield pa.RecordBatch.from_arrays(cols, names=["trigram", "block", "ids", "sizes", "places"])
+
+
+def build(corpus: DataFrame, seq: int = 0) -> DataFrame:
+    """The postings of a corpus (id, text, name), sorted by trigram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(r)
+                n += len(r[2]) + len(r[3])
+                if n > CHARACTERS or len(held) >= ROWS:
+                    yield from _block(held)
+                    held, n = [], 0
+        if held:
+            yield from _block(held)
+
+    fold = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    read = corpus.select(F.col("id").cast("long"), _length().alias("length"), fold("text").alias("_text"), fold("name").alias("_name"))
+    made = read.mapInArrow(run, "trigram string, block long, ids array<bigint>, sizes array<int>, places array<int>")
+    return merge(made.select(F.lit(seq).cast("long").alias("seq"), "*"))
 
-def _trigrams(text: Column) -> Column:
-    """Distinct runs of three characters, case folded; over an array of characters, so linear in the text."""
-    chars = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
-    # The outer lambda binds the characters, which would else be split anew for each of them.
-    runs = F.transform(F.array(chars), lambda a: F.transform(a, lambda c, i: F.concat(c, F.get(a, i + 1), F.get(a, i + 2))))
-    return F.array_distinct(F.filter(F.flatten(runs), lambda r: F.length(r) == 3))
 
+def merge(*segments: DataFrame) -> DataFrame:
+    """One segment of several, in the order of trigrams."""
+    out = segments[0]
+    for s in segments[1:]:
+        out = out.unionByName(s)
+    return out.repartitionByRange("trigram", "block").sortWithinPartitions("trigram", "block")
 
-def build(corpus: DataFrame) -> DataFrame:
-    """(trigram, id) for text and name, each pair once, sorted by trigram."""
-    both = F.array_union(_trigrams(F.col("text")), _trigrams(F.col("name")))
-    rows = corpus.select("id", F.explode(both).alias("trigram"))
-    return rows.repartitionByRange("trigram", "id").sortWithinPartitions("trigram", "id")
 
+def statistics(postings: DataFrame, gone: DataFrame | None = None) -> tuple[int, int]:
+    """(number of rows, sum of their lengths), from the lists of ids alone."""
+    row = visible(listed(postings), gone).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("s")).first()
+    return row["n"], row["s"] or 0
 
-def candidates(postings: DataFrame, term: str) -> DataFrame:
-    """Ids that have all of a term's trigrams: one read of a few row groups and one aggregation."""
+
+def listed(postings: DataFrame) -> DataFrame:
+    """(seq, id, length) of all rows of the corpus that the postings hold."""
+    pairs = postings.where("trigram = ''").select("seq", F.explode(F.arrays_zip("ids", "sizes")).alias("_p"))
+    return pairs.select("seq", F.col("_p.ids").alias("id"), F.col("_p.sizes").alias("length"))
+
+
+def visible(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """Rows (seq, id, ...) that no later commit replaced or deleted; ``gone``: id, seq, one row for an id."""
+    if gone is None:
+        return rows
+    return rows.join(gone.select(F.col("id").alias("_gone"), F.col("seq").alias("_until")), F.col("id") == F.col("_gone"), "left").where("_until IS NULL OR seq >= _until").drop("_gone", "_until")
+
+
+def open_index(postings: DataFrame, gone: DataFrame | None = None) -> TextIndex:
+    n, total = statistics(postings, gone)
+    return TextIndex(postings, gone, n, total / n if n else 0.0)
+
+
+def trigrams_of(term: str) -> list[str]:
     low = term.lower()
-    needed = sorted({low[i : i + 3] for i in range(len(low) - 2)})
-    found = postings.where(F.col("trigram").isin(*needed))
-    return found.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(needed)).select("id")
-
-
-def matching(corpus: DataFrame, postings: DataFrame, query: Query) -> DataFrame:
-    """Rows that hold all terms of a query, short ones included; terms of three characters and more narrow the rows first."""
-    rows = corpus
-    for term in query.long_terms:
-        if len(term) >= 3:
-            rows = rows.join(candidates(postings, term), "id", "left_semi")
-    return rows.where(term_filter(query))
+    return [low[i : i + 3] for i in range(len(low) - 2)]
+
+
+def _follow(keys: dict[str, np.ndarray], grams: list[str]) -> np.ndarray:
+    """Where the trigrams follow each other: row and place as one number each; from the rarest trigram on."""
+    order = sorted(range(len(grams)), key=lambda j: len(keys.get(grams[j], ())))
+    out = keys.get(grams[order[0]], np.zeros(0, np.int64)) - order[0]
+    for j in order[1:]:
+        if not len(out):
+            break
+        there = keys[grams[j]]
+        at = np.minimum(np.searchsorted(there, out + j), len(there) - 1)
+        out = out[there[at] == out + j]
+    return out
+
+
+def _answered(index: TextIndex, terms: list[str], emit: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``emit`` makes of each block: seq, ids, lengths, and counts by row and term.  One read of the terms' trigrams; blocks come whole."""
+    asked = [trigrams_of(t) for t in terms]
+    needed = sorted({g for grams in asked for g in grams})
+
+    def answer(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        names = t.column("trigram").to_pylist()
+        if names[0] != "" or len(names) < 2:
+            return
+        ids, length = (t.column(c)[0].values.to_numpy() for c in ("ids", "sizes"))
+        keys = {}
+        for i, g in enumerate(names[1:], 1):
+            row = np.searchsorted(ids, t.column("ids")[i].values.to_numpy())
+            keys[g] = (np.repeat(row, t.column("sizes")[i].values.to_numpy()) << 31) + t.column("places")[i].values.to_numpy()
+        counts = np.stack([np.bincount(_follow(keys, grams) >> 31, minlength=len(ids)).astype(np.int32) for grams in asked], axis=1)
+        yield from emit(t.column("seq")[0].as_py(), ids, length.astype(np.int32), counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = np.stack([b.column(i).to_numpy() for i in (0, 2)])
+            cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if key != (own := tuple(at[:, i].tolist())):
+                    if held:
+                        yield from answer(held)
+                    key, held = own, []
+                held.append(b.slice(i, j - i))
+        if held:
+            yield from answer(held)
+
+    read = index.postings.where(F.col("trigram").isin("", *needed)).repartition("seq", "block").sortWithinPartitions("seq", "block", "trigram")
+    return read.mapInArrow(run, schema)
+
+
+def number_lists(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists of longs."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.astype(np.int64).ravel()))
+
+
+def term_counts(index: TextIndex, terms: list[str]) -> DataFrame:
+    """(id, length, counts): how often each of the terms, of three characters or more, stands in the rows that have any of them."""
+
+    def emit(seq, ids, length, counts):
+        at = np.flatnonzero(counts.any(axis=1))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), seq, np.int64)), pa.array(ids[at]), pa.array(length[at]), number_lists(counts[at])], names=["seq", "id", "length", "counts"])
+
+    return visible(_answered(index, terms, emit, "seq long, id long, length int, counts array<bigint>"), index.gone).drop("seq")
+
+
+def document_frequencies(index: TextIndex, terms: list[str]) -> dict[str, int]:
+    """In how many rows each of the terms stands; sums come from each block, and from rows where some are out of date."""
+
+    def sums(seq, ids, length, counts):
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms))), pa.array((counts > 0).sum(axis=0))], names=["term", "n"])
+
+    def rows(seq, ids, length, counts):
+        at, term = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), seq, np.int64)), pa.array(ids[at]), pa.array(term)], names=["seq", "id", "term"])
+
+    if not terms:
+        return {}
+    if index.gone is None:
+        found = _answered(index, terms, sums, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    else:
+        found = visible(_answered(index, terms, rows, "seq long, id long, term long"), index.gone).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    own = {r["term"]: r["n"] for r in found.collect()}
+    return {t: own.get(i, 0) for i, t in enumerate(terms)}
+
+
+def _has(i: int) -> Column:
+    return F.col("counts")[i] > 0
+
+
+def _survivors(corpus: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the corpus with these ids; few are named, so that Parquet reads their pages only."""
+    named = [r["id"] for r in ids.select("id").limit(NAMED + 1).collect()]
+    if len(named) <= NAMED:
+        return corpus.where(F.col("id").isin(*named)) if named else corpus.limit(0)
+    return corpus.join(ids.select("id"), "id", "left_semi")
+
+
+def matching(corpus: DataFrame, index: TextIndex, query: Query) -> DataFrame:
+    """Rows of the corpus that hold all terms of a query, short ones included; only rows that hold the long ones are read."""
+    terms = query.long_terms
+    if any(len(t) < 3 for t in terms):
+        return corpus.limit(0)
+    if not terms:
+        return corpus.where(text_search.term_filter(query))
+    found = term_counts(index, terms)
+    for i in range(len(terms)):
+        found = found.where(_has(i))
+    rows = corpus.join(found.select("id"), "id", "left_semi") if not query.short_terms else _survivors(corpus, found)
+    return rows.where(text_search.term_filter(Query(query.short_terms)))
+
+
+def indexed_hits(corpus: DataFrame, index: TextIndex, query: Query, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(text hits, those in which the terms stand as one phrase) as :func:`tessera.operators.text_search.hits_and_exact` gives them.
+
+    Columns are pos, id, source, mtime, score, matched_text.  Document frequencies of terms and phrase come from one read of
+    their postings, which is kept for both rankings.  Of the corpus only id, source and mtime are read, and the
+    texts of rows with all long terms where there are short ones.
+    """
+    terms = query.long_terms
+    if limit <= 0 or not terms or any(len(t) < 3 for t in terms):
+        return tuple(h.drop("snippet") for h in text_search.hits_and_exact(corpus, query, limit))
+    several = len(query.terms) > 1
+    phrase = text_search.phrase_query(query).long_terms if several else []
+    counts = term_counts(index, [*terms, *[p for p in phrase if len(p) >= 3]]).persist()
+    width = len(terms) + len([p for p in phrase if len(p) >= 3])
+    row = counts.agg(*[F.count_if(_has(i)).alias(f"n{i}") for i in range(width)]).first()
+    stats = {"n": index.n, "avg": index.mean, "df": [row[f"n{i}"] for i in range(width)]}
+
+    def ranked(places: list[int], short: list[str]) -> DataFrame:
+        kept = counts
+        for i in places:
+            kept = kept.where(_has(i))
+        rows = corpus
+        if short:
+            rows = _survivors(corpus, kept).where(text_search.term_filter(Query(short)))
+        rows = rows.where(text_search.date_filter(query))
+        if query.source:
+            rows = rows.where(text_search.source_like(query.source))
+        score = text_search.bm25_of([F.col("counts")[i] for i in places], F.col("length"), {**stats, "df": [stats["df"][i] for i in places]})
+        scored = rows.select("id", "source", "mtime").join(kept, "id").select("id", "source", "mtime", F.round(score, 9).alias("score"))
+        top = scored.orderBy("score", F.desc("mtime"), "id").limit(limit)
+        place = F.row_number().over(Window.orderBy("score", F.desc("mtime"), "id"))  # over the top-k only
+        return text_search.settle(top.select(place.alias("pos"), "id", "source", "mtime", "score", F.lit(True).alias("matched_text")))
+
+    hits = ranked(list(range(len(terms))), query.short_terms)
+    if not several:
+        exact = hits
+    elif width == len(terms):
+        exact = hits.limit(0)
+    else:
+        own = {r["id"] for r in ranked([width - 1], []).select("id").collect()}
+        exact = hits.where(F.col("id").isin(*own)) if own else hits.limit(0)
+    counts.unpersist()
+    return hits, exact
+
+
+def indexed_search(corpus: DataFrame, index: TextIndex, query: Query, limit: int = 60) -> DataFrame:
+    """The rows of :func:`tessera.operators.text_search.text_search`, snippets included, whose texts are all that is read."""
+    hits = indexed_hits(corpus, index, query, limit)[0]
+    ids = [r["id"] for r in hits.select("id").collect()]
+    texts = corpus.where(F.col("id").isin(*ids)) if ids else corpus.limit(0)
+    snippet = T.snippet(F.col("text"), query.long_terms[0] if query.long_terms else None)
+    return hits.join(texts.select("id", snippet.alias("snippet")), "id").select("pos", "id", "source", "mtime", "score", "snippet", "matched_text")

@@ -1,6 +1,6 @@
-"""Relevance of text search and of raw vector scores for a whole list of queries at once.
+"""Relevance of text search, of fused search and of raw vector scores for a whole list of queries at once.
 
-A list of queries is short (hundreds) and lies on the driver; the corpus and the vectors are scanned, with
+A list of queries is short (hundreds) and lies on the driver; the kept text index and the vectors are read with
 all queries in each pass.  Ranks are those that the engine's search gives query by query.
 """
 
@@ -13,123 +13,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text as T
 from tessera.functions.encoders import Encoder
-from tessera.operators.text_search import idf
-from tessera.plans.query import Query, utf16_length
+from tessera.operators import batch, postings, vector_search
+from tessera.operators.postings import TextIndex
+from tessera.plans.query import Query
 
-FOLD = str.maketrans(T.UPPER, T.LOWER)
 
+def _answered(hits: DataFrame, corpus: DataFrame, answers: dict[int, str]) -> DataFrame:
+    """(item, rank): place of each query's first hit whose text holds its answer; only texts of hits are read."""
+    spark = corpus.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(list(answers.items()), "item long, _answer string"))
+    texts = corpus.select(F.col("id").cast("long").alias("id"), "text")
+    known = hits.select("item", "id", "pos").join(wanted, "item").join(texts, "id").where(F.contains("text", F.col("_answer")))
+    ranks = known.groupBy("item").agg(F.min("pos").cast("long").alias("rank"))
+    return spark.createDataFrame([(k,) for k in answers], "item long").join(ranks, "item", "left")
 
-def _count(text: str, needle: str) -> int:
-    """Occurrences, overlaps included where the needle can overlap itself."""
-    if not T.has_border(needle):
-        return text.count(needle)
-    n, at = 0, text.find(needle)
-    while at >= 0:
-        n, at = n + 1, text.find(needle, at + 1)
-    return n
 
+def _exact_first(hits: DataFrame) -> DataFrame:
+    """Text hits in the order of a search that has no vectors: exact ones first."""
+    order = Window.partitionBy("item").orderBy(F.when(F.col("exact"), 0).otherwise(1), "pos")
+    return hits.withColumn("pos", F.row_number().over(order))
 
-def _plain(queries: dict[int, Query]) -> None:
-    for q in queries.values():
-        if q.source or q.after or q.before or q.like is not None or q.visual_only or not q.terms:
-            raise ValueError("queries with filters, or without terms, are searched one by one")
-        if any(c in t for t in q.short_terms for c in "%_"):
-            raise ValueError("short terms with wildcards are searched one by one")
 
+def search_ranks(corpus: DataFrame, index: TextIndex, queries: dict[int, Query], answers: dict[int, str], limit: int = 120) -> DataFrame:
+    """item, rank: place of the first row whose text holds the answer among the query's ``limit`` hits of text search, exact ones first; null if there is none."""
+    return _answered(_exact_first(batch.text_hits(corpus, index, queries, limit)), corpus, answers)
 
-def text_matches(corpus: DataFrame, queries: dict[int, Query], answers: dict[int, str]) -> DataFrame:
-    """item, id, mtime, length, counts of the long terms, count of the phrase (null: not in it), answer: a row for each query and row of the corpus that has all its terms."""
-    _plain(queries)
-    asked = []
-    for k, q in queries.items():
-        long = [t.lower() for t in q.long_terms]
-        whole = q.phrase.lower() if utf16_length(q.phrase) >= 3 else None
-        if all(len(t) >= 3 for t in q.long_terms):
-            asked.append((k, sorted(set(long), key=len, reverse=True), [t.translate(FOLD) for t in q.short_terms], long, whole, answers[k]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            for id_, mtime, text, name, low, low_name in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                folded = None
-                for k, rare, short, long, whole, answer in asked:
-                    if not all(t in low or t in low_name for t in rare):
-                        continue
-                    if short:
-                        folded = folded or (text.translate(FOLD), name.translate(FOLD))
-                        if not all(t in folded[0] or t in folded[1] for t in short):
-                            continue
-                    counts = [float(_count(low, t) + _count(low_name, t)) for t in long]
-                    phrase = _count(low, whole) + _count(low_name, whole) if whole and (whole in low or whole in low_name) else None
-                    rows.append((k, id_, mtime, max(len(text) - 2, 0) + max(len(name) - 2, 0), counts, phrase, answer in text))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.bool_()]
-            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["item", "id", "mtime", "length", "counts", "phrase", "answer"])
-
-    text, name = F.coalesce("text", F.lit("")), F.coalesce("name", F.lit(""))
-    read = corpus.select(F.col("id").cast("long"), F.col("mtime").cast("long"), text.alias("text"), name.alias("name"), F.lower(text).alias("low"), F.lower(name).alias("low_name"))
-    return read.mapInArrow(run, "item long, id long, mtime long, length long, counts array<double>, phrase long, answer boolean")
-
-
-def document_frequencies(corpus: DataFrame, terms: list[str]) -> tuple[int, float, dict[str, int]]:
-    """Number of rows, mean length, and in how many rows each term stands; one pass for all terms."""
-
-    # A term without white space stands inside a word, so the words' substrings are looked up, each word's once.
-    at = {t: i for i, t in enumerate(terms) if not any(c.isspace() for c in t)}
-    lengths = sorted({len(t) for t in at})
-    spaced = [(i, t, max((p for p in t.split() if p in at), key=len, default=None)) for i, t in enumerate(terms) if t not in at]
-    asked = [(i, t, at.get(p)) for i, t, p in spaced]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, known = [0] * len(terms), {}
-        for b in batches:
-            for low, low_name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                present: set[int] = set()
-                for w in {*low.split(), *low_name.split()}:
-                    inside = known.get(w)
-                    if inside is None:
-                        if len(known) >= 1 << 17:
-                            known.clear()
-                        inside = known[w] = tuple({at[x] for n in lengths for k in range(len(w) - n + 1) if (x := w[k : k + n]) in at})
-                    present.update(inside)
-                present.update([i for i, t, key in asked if (key is None or key in present) and (t in low or t in low_name)])
-                for i in present:
-                    found[i] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(terms)), pa.int64()), pa.array(found, pa.int64())], names=["term", "n"])
-
-    text, name = F.coalesce("text", F.lit("")), F.coalesce("name", F.lit(""))
-    length = F.greatest(F.length(text) - 2, F.lit(0)) + F.greatest(F.length(name) - 2, F.lit(0))
-    row = corpus.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avg")).first()
-    parts = corpus.select(F.lower(text).alias("low"), F.lower(name).alias("low_name")).mapInArrow(run, "term long, n long")
-    found = {terms[r["term"]]: r["n"] for r in parts.groupBy("term").agg(F.sum("n").alias("n")).collect()} if terms else {}
-    return row["n"], row["avg"] or 0.0, found
-
-
-def search_ranks(corpus: DataFrame, queries: dict[int, Query], answers: dict[int, str], limit: int = 120) -> DataFrame:
-    """item, rank: place of the first row whose text holds the answer among the query's ``limit`` hits of text search, exact ones first; null if there is none."""
+def engine_ranks(corpus: DataFrame, index: TextIndex, visual: DataFrame, meaning: DataFrame, queries: dict[int, Query], seen: dict[int, list[float]], meant: dict[int, list[float]], answers: dict[int, str], limit: int = 120, window: float = vector_search.MEANING[1], floors: tuple[float, float] = (vector_search.TEXT_TO_IMAGE[0], vector_search.MEANING[0])) -> DataFrame:
+    """engine, item, rank for text alone, with images, with meaning and with both; ``seen`` and ``meant`` are the queries' vectors.
+
+    Each ranking is made once and fused in four ways.
+    """
+    text = batch.text_hits(corpus, index, queries, limit).persist()
+    spark = corpus.sparkSession
+    look = batch.vector_hits(visual, seen, limit, floors[0], vector_search.TEXT_TO_IMAGE[1], spark).persist()
+    mean = batch.vector_hits(meaning, meant, limit, floors[1], window, spark).persist()
+    none = look.limit(0)
+    out = None
+    for name, m, v in (("text", none, none), ("text and images", none, look), ("text and meaning", mean, none), ("all", mean, look)):
+        hits = _exact_first(text) if name == "text" else batch.hybrid_hits(text, m, v, limit)
+        one = _answered(hits, corpus, answers).select(F.lit(name).alias("engine"), "item", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def holders(corpus: DataFrame, index: TextIndex, answers: dict[int, str]) -> DataFrame:
+    """(item, id): rows whose text holds an item's text; the index names the rows to look into."""
     spark = corpus.sparkSession
-    found = text_matches(corpus, queries, answers).cache()
-    items = [r["item"] for r in found.select("item").distinct().collect()]
-    wanted = {t.lower() for k in items for t in [*queries[k].long_terms, queries[k].phrase] if len(t) >= 3}
-    n, avg, df = document_frequencies(corpus, sorted(wanted))
-    weights = [(k, [idf(n, df[t.lower()]) for t in queries[k].long_terms], idf(n, df.get(queries[k].phrase.lower(), 0)), len(queries[k].terms) == 1) for k in items]
-    known = found.join(F.broadcast(spark.createDataFrame(weights, "item long, idf array<double>, phrase_idf double, single boolean")), "item")
-    weigh = 1.2 * (0.25 + 0.75 * F.col("length") / F.lit(avg or 1.0))
-    known = known.withColumn("_w", weigh)
-    one = lambda f, i: i * f * 2.2 / (f + F.col("_w"))
-    score = F.round(-F.aggregate(F.zip_with("counts", "idf", one), F.lit(0.0), lambda s, x: s + x), 9)
-    phrase = F.when(F.col("phrase").isNotNull(), F.round(-one(F.col("phrase"), F.col("phrase_idf")), 9))
-    scored = known.select("item", "id", "mtime", "answer", "single", score.alias("score"), phrase.alias("_phrase"))
-    by = lambda c: Window.partitionBy("item").orderBy(F.col(c).asc_nulls_last(), F.desc("mtime"), "id")
-    exact = scored.where("_phrase IS NOT NULL").withColumn("_at", F.row_number().over(by("_phrase"))).where(F.col("_at") <= limit).select("item", "id", F.lit(True).alias("_exact"))
-    hits = scored.withColumn("pos", F.row_number().over(by("score"))).where(F.col("pos") <= limit).join(exact, ["item", "id"], "left")
-    ahead = F.when(F.col("single") | F.coalesce("_exact", F.lit(False)), 0).otherwise(1)
-    placed = hits.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(ahead, "pos")))
-    ranks = placed.groupBy("item").agg(F.min(F.when(F.col("answer"), F.col("place"))).alias("rank"))
-    all_ = spark.createDataFrame([(k,) for k in queries], "item long")
-    return all_.join(ranks, "item", "left")
+    texts = sorted({t.lower() for t in answers.values() if len(t) >= 3})
+    found = postings.term_counts(index, texts) if texts else spark.createDataFrame([], "id long, counts array<bigint>")
+    place = {t: i for i, t in enumerate(texts)}
+    wanted = F.broadcast(spark.createDataFrame([(k, t, place.get(t.lower())) for k, t in answers.items()], "item long, _answer string, _at int"))
+    pairs = found.select("id", F.posexplode("counts").alias("_at", "_n")).where("_n > 0").join(wanted.where("_at IS NOT NULL"), "_at")
+    read = corpus.select(F.col("id").cast("long").alias("id"), "text")
+    return pairs.join(read, "id").where(F.contains("text", F.col("_answer"))).select("item", "id")
 
 
 def vector_ranks(vectors: DataFrame, queries: dict[int, str], encoder: Encoder, answers: DataFrame) -> DataFrame:

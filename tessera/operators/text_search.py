@@ -69,26 +69,30 @@ def idf(n: int, df: int) -> float:
 def bm25(terms: list[str], stats: dict, k1: float = 1.2, b: float = 0.75) -> Column:
     """Negative, so that ascending order is best first; statistics are literals from :func:`corpus_statistics`."""
     length = F.greatest(F.length("text") - 2, F.lit(0)) + F.greatest(F.length("name") - 2, F.lit(0))
+    return bm25_of([_matched(F.col("text"), t) + _matched(F.col("name"), t) for t in terms], length, stats, k1, b)
+
+
+def bm25_of(counts: list[Column], length: Column, stats: dict, k1: float = 1.2, b: float = 0.75) -> Column:
+    """The same from the terms' numbers of occurrences."""
     weigh = k1 * (1 - b + b * length / F.lit(stats["avg"] or 1.0))
     score = F.lit(0.0)
-    for t, df in zip(terms, stats["df"], strict=True):
-        f = _matched(F.col("text"), t) + _matched(F.col("name"), t)
+    for f, df in zip(counts, stats["df"], strict=True):
         score = score - F.lit(idf(stats["n"], df)) * f * (k1 + 1) / (f + weigh)
     return score
 
 
-def text_search(corpus: DataFrame, query: Query, limit: int = 60, stats: dict | None = None, rows: DataFrame | None = None) -> DataFrame:
+def text_search(corpus: DataFrame, query: Query, limit: int = 60, stats: dict | None = None) -> DataFrame:
     """At most ``limit`` hits: pos, id, source, mtime, score, snippet, matched_text.
 
     By BM25, then newest first, then id; newest first alone where no long term ranks.  The substring test
     runs before occurrences are counted; the limit is a top-k, so no more than that is sorted in one place.
-    ``stats`` are the corpus statistics of the query's long terms, where the caller has them; ``rows`` the rows of the
-    corpus that can match, where an index knows them (:func:`tessera.operators.postings.matching`).
+    ``stats`` are the corpus statistics of the query's long terms, where the caller has them.  With a kept index
+    :func:`tessera.operators.postings.indexed_search` gives the same rows without reading the corpus's texts.
     """
     if limit <= 0:
         return corpus.limit(0).select(F.lit(0).alias("pos"), "id", "source", "mtime", F.lit(0.0).alias("score"), F.col("text").alias("snippet"), F.lit(False).alias("matched_text"))
     terms = query.long_terms
-    kept = (corpus if rows is None else rows).where(term_filter(query)).where(date_filter(query))
+    kept = corpus.where(term_filter(query)).where(date_filter(query))
     if query.source:
         kept = kept.where(source_like(query.source))
     score = bm25(terms, stats or corpus_statistics(corpus, terms)) if terms else F.lit(0.0)

@@ -15,6 +15,9 @@ from tessera.sources.reader import on_disk
 from tessera.sources.snapshots import Snapshots
 
 
+VECTORS = ("embeddings", "text_embeddings")
+
+
 def read_entries(files: DataFrame, read_text: Column) -> DataFrame:
     """Entries of the images table for listed files; ``read_text`` is a file's text, or a struct of :data:`tessera.sources.reader.READ`.
 
@@ -30,11 +33,10 @@ def read_entries(files: DataFrame, read_text: Column) -> DataFrame:
 
 
 def _store(store: Snapshots, images: DataFrame, entries: DataFrame, gone: DataFrame) -> None:
-    """Commit entries and forget ``gone`` ids; files that were read anew lose their vectors."""
+    """Commit entries and forget ``gone`` ids; files that were read anew lose their vectors.  Writes what changes, not the tables."""
     left = mutations.remove_many(images, gone)
     stale = mutations.changed_ids(left, entries).unionByName(gone)
-    vectors = {n: mutations.drop_vectors(store.table(n), stale) for n in ("embeddings", "text_embeddings")}
-    store.commit(images=mutations.upsert(left, entries), **vectors)
+    store.change(images=(mutations.upserted(left, entries), gone), **dict.fromkeys(VECTORS, (None, stale)))
 
 
 def index_pass(store: Snapshots, listing: DataFrame, read_text: Column, hydrate: bool = False, sources: list[str] | None = None, on_disk: Callable[[Column], Column] | None = on_disk) -> dict:
@@ -71,8 +73,7 @@ def index_files(store: Snapshots, files: DataFrame, read_text: Column) -> int:
 def forget(store: Snapshots, ids: list[int]) -> None:
     """Remove images and their vectors."""
     rows = store.spark.createDataFrame([(i,) for i in ids], "id long")
-    vectors = {n: mutations.drop_vectors(store.table(n), rows) for n in ("embeddings", "text_embeddings")}
-    store.commit(images=mutations.remove_many(store.table("images"), rows), **vectors)
+    store.change(**dict.fromkeys(("images", *VECTORS), (None, rows)))
 
 
 def embed_pass(store: Snapshots, model: str, table: str = "text_embeddings", encoder: Encoder = hash_projection) -> int:
@@ -86,7 +87,7 @@ def embed_pass(store: Snapshots, model: str, table: str = "text_embeddings", enc
     new = new.cache()
     made = new.where(F.size("vec") > 0).count()
     if made:
-        store.commit(**{table: mutations.save_embeddings(store.table(table), new)})
+        store.change(**{table: (mutations.one_vector(new), None)})
     new.unpersist()
     return made
 
@@ -97,8 +98,6 @@ def apply_config(store: Snapshots, previous: list[Source], following: list[Sourc
     rows = lambda sources: spark.createDataFrame([(s.name, s.path) for s in sources], "name string, path string")
     gone = [r["name"] for r in mutations.removed_sources(rows(previous), rows(following)).collect()]
     if gone:
-        images = store.table("images")
-        ids = images.where(F.col("source").isin(*gone)).select("id")
-        vectors = {n: mutations.drop_vectors(store.table(n), ids) for n in ("embeddings", "text_embeddings")}
-        store.commit(images=mutations.remove_many(images, ids), **vectors)
+        ids = store.table("images").where(F.col("source").isin(*gone)).select("id")
+        store.change(**dict.fromkeys(("images", *VECTORS), (None, ids)))
     return sorted(gone)

@@ -6,6 +6,7 @@ vector sets, ``events`` the event stream.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -19,6 +20,8 @@ from tessera.engine import Engine
 from tessera.operators import fusion, ingest, mutations, outline, postings, relevance, reporting, text_search, vector_search
 from tessera.plans.query import Query, parse
 from tessera.plans.together import together
+from tessera.sources.shared import shared_folder
+from tessera.sources.snapshots import Snapshots
 from tessera.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +57,34 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.load_embeddings(corpus(spark, sf_dir), e, "m")
 
 
+_kept: dict[tuple[str, str], Snapshots] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str) -> Snapshots:
+    """The documents as an index on disk, made once for an application: what a search reads is there before it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _kept:
+        _kept[key] = new_store(spark, sf_dir)
+    return _kept[key]
+
+
+def new_store(spark: SparkSession, sf_dir: str) -> Snapshots:
+    store = Snapshots(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    store.commit(images=entries(corpus(spark, sf_dir)))
+    return store
+
+
+def entries(rows: DataFrame) -> DataFrame:
+    """Rows of a corpus as the images of an index; times are seconds."""
+    of = {"path": F.concat(F.lit("/Lib/"), "source", F.lit("/"), F.col("id").cast("string"), F.lit(".PNG")), "size": F.col("mtime"), "mtime": F.timestamp_seconds("mtime"), "indexed_at": F.timestamp_seconds(F.lit(0)), "status": F.lit("ok")}
+    none = {"width": "int", "height": "int", "error": "string", "ocr_json": "string"}
+    return rows.withColumns({**of, **{c: F.lit(None).cast(t) for c, t in none.items()}})
+
+
+def seconds(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("mtime", F.unix_timestamp("mtime"))
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).withColumn("status", F.lit("ok"))
 
@@ -119,9 +150,15 @@ def text_search_(spark, sf_dir):
 
 @query(f"WITH {_TEXT} SELECT pos, id, source, mtime, score, true AS matched_text FROM hits")
 def text_search_postings(spark, sf_dir):
-    """The same by trigram postings, which name the rows whose texts are read."""
-    c = corpus(spark, sf_dir)
-    return text_search.text_search(c, TERMS, LIMIT, rows=postings.matching(c, postings.build(c), TERMS)).select(*_HIT)
+    """The same from a kept index, which reads no text."""
+    store = kept(spark, sf_dir)
+    return seconds(postings.indexed_hits(store.table("images"), store.text_index(), TERMS, LIMIT)[0]).select(*_HIT)
+
+
+@query(f"{_SPLIT} SELECT pos, id, source, mtime, score, true AS matched_text FROM ex")
+def exact_hits_postings(spark, sf_dir):
+    store = kept(spark, sf_dir)
+    return seconds(postings.indexed_hits(store.table("images"), store.text_index(), TERMS, LIMIT)[1]).select(*_HIT)
 
 
 @query("SELECT doc_id AS id, doc_id AS pos FROM documents WHERE false")
@@ -148,8 +185,8 @@ def text_filter(spark, sf_dir):
 @query("""SELECT doc_id AS id, source FROM documents WHERE (contains(lower(text), 'license') OR contains(lower(source), 'license'))
           AND (contains(lower(text), 'version') OR contains(lower(source), 'version'))""")
 def postings_filter(spark, sf_dir):
-    c = corpus(spark, sf_dir)
-    return postings.matching(c, postings.build(c), Query(["License", "version"])).select("id", "source")
+    store = kept(spark, sf_dir)
+    return postings.matching(store.table("images"), store.text_index(), Query(["License", "version"])).select("id", "source")
 
 
 @query("""SELECT doc_id AS id FROM documents WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%é_%'
@@ -423,6 +460,82 @@ def upsert(spark, sf_dir):
     return mutations.upsert(known(spark, sf_dir).select("id", "path", "source"), entries).where(F.col("id") <= top).select("id", "path", "source")
 
 
+# An index on disk as a first segment and what changed since; SQL sees the documents as they are then.
+_CHANGED = """later AS (SELECT doc_id, lang, source, n_chars, CASE WHEN source = 'src2' THEN text || ' under the' ELSE text END AS text FROM documents WHERE source <> 'src1')"""
+
+
+def changed_store(spark, sf_dir) -> Snapshots:
+    """A store in which the images of one source went and those of another have new texts, as two changes."""
+    store = new_store(spark, sf_dir)
+    store.change(images=(None, store.table("images").where("source = 'src1'").select("id")))
+    store.change(images=(store.table("images").where("source = 'src2'").withColumn("text", F.concat("text", F.lit(" under the"))), None))
+    return store
+
+
+def _found(store: Snapshots) -> DataFrame:
+    return seconds(postings.indexed_hits(store.table("images"), store.text_index(), TERMS, LIMIT)[0]).select(*_HIT)
+
+
+_LATER = f"WITH {_CHANGED}, {_TEXT.replace('FROM documents', 'FROM later')} SELECT pos, id, source, mtime, score, true AS matched_text FROM hits"
+
+
+@query(_LATER)
+def segment_search(spark, sf_dir):
+    """Text search on the kept index over a first segment and two changes."""
+    return _found(changed_store(spark, sf_dir))
+
+
+@query(_LATER)
+def segment_search_compacted(spark, sf_dir):
+    """The same after the changes were merged."""
+    store = changed_store(spark, sf_dir)
+    store.compact("images")
+    return _found(store)
+
+
+@query(f"WITH {_CHANGED} SELECT doc_id AS id, source, text FROM later")
+def segment_merged(spark, sf_dir):
+    """The table that readers see over a first segment and two changes, merged in full afterwards."""
+    store = changed_store(spark, sf_dir)
+    store.compact("images", whole=True)
+    return store.table("images").select("id", "source", "text")
+
+
+@query(f"""WITH {_LISTS}, up AS (SELECT path, source FROM listed), old AS (SELECT id, path, source FROM known),
+           kept AS (SELECT o.id, u.path, u.source FROM up u JOIN old o ON lower(u.path) = lower(o.path)),
+           rest AS (SELECT * FROM old WHERE lower(path) NOT IN (SELECT lower(path) FROM up)),
+           fresh AS (SELECT path, source FROM up WHERE lower(path) NOT IN (SELECT lower(path) FROM old))
+           SELECT id, path, source FROM kept UNION ALL SELECT * FROM rest UNION ALL SELECT NULL, path, source FROM fresh""")
+def segment_upsert(spark, sf_dir):
+    """Entries as a change: known paths keep their ids, new ones (whose ids are free) come with theirs left out."""
+    store = new_store(spark, sf_dir)
+    images_, top = store.table("images"), known(spark, sf_dir).agg(F.max("id")).first()[0]
+    files = listing(spark, sf_dir).select("path", "source", F.col("size").alias("mtime"), F.lit("").alias("text"), F.lit("").alias("name"), F.lit(0).alias("id"))
+    new = entries(files.withColumnRenamed("path", "_p")).withColumn("path", F.col("_p")).drop("_p", "id")
+    store.change(images=(mutations.upserted(images_, new), None))
+    return store.table("images").select(F.when(F.col("id") <= top, F.col("id")).alias("id"), "path", "source")
+
+
+@query("SELECT doc_id AS id, source FROM documents WHERE lower(source) <> 'src3'")
+def segment_remove_path(spark, sf_dir):
+    """A folder that went, as a change."""
+    store = new_store(spark, sf_dir)
+    rows = store.table("images")
+    store.change(images=(None, rows.join(mutations.remove_path(rows, "/lib/SRC3"), "id", "left_anti").select("id")))
+    return store.table("images").select("id", "source")
+
+
+@query(f"WITH {_MADE} SELECT image_id, 'm0' AS model FROM made WHERE image_id NOT IN (SELECT doc_id FROM documents) AND model = 'm0' UNION ALL SELECT image_id, 'm1' FROM made WHERE model = 'm1' UNION ALL SELECT doc_id, 'm1' FROM documents WHERE doc_id NOT IN (SELECT image_id FROM made WHERE model = 'm1')")
+def segment_save_embeddings(spark, sf_dir):
+    """Vectors of a new model as a change, merged with those before."""
+    store = Snapshots(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    store.commit(embeddings=made(spark, sf_dir))
+    new = ingest.missing_embedding(images(spark, sf_dir), store.table("embeddings"), "m1").select(F.col("id").alias("image_id"), F.lit("m1").alias("model"), F.array().cast("array<float>").alias("vec"))
+    store.change(embeddings=(mutations.one_vector(new), None))
+    store.compact("embeddings")
+    return store.table("embeddings").select("image_id", "model")
+
+
 @query(f"WITH {_LISTS} SELECT id, path FROM known WHERE lower(path) IN (SELECT lower(path) FROM listed)")
 def drop_missing(spark, sf_dir):
     return ingest.drop_missing(known(spark, sf_dir), listing(spark, sf_dir)).select("id", "path")
@@ -542,19 +655,74 @@ def _benchmark(spark, sf_dir) -> dict[int, str]:
     return {r["item_id"]: r["text"] for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()}
 
 
-@query()
+_ITEMS = r"""items AS (SELECT item_id AS item, text AS answer, list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda x: x <> '') AS terms FROM benchmark),
+    q AS (SELECT item, answer, lower(array_to_string(terms, ' ')) AS phrase, list_transform(list_filter(terms, lambda x: length(x) >= 3), lambda x: lower(x)) AS long, list_transform(list_filter(terms, lambda x: length(x) < 3), lambda x: lower(x)) AS short FROM items)"""
+
+
+def _count_sql(t: str, needle: str) -> str:
+    """Occurrences, overlaps included: where the needle can overlap itself, every place is looked at."""
+    plain = f"((length({t}) - length(replace({t}, {needle}, ''))) // length({needle}))"
+    border = f"len(list_filter(range(1, length({needle})), lambda k: {needle}[:k] = {needle}[-k:])) > 0"
+    return f"(CASE WHEN {border} THEN len(list_filter(range(1, length({t}) + 1), lambda i: substr({t}, i, length({needle})) = {needle})) ELSE {plain} END)"
+
+
+_WEIGH = "ln((cnt - d + 0.5) / (d + 0.5))"
+_TEXTS = f"""{_STATS}, {_ITEMS},
+    found AS (SELECT item, id, phrase, long, t, n, dl, mtime, source FROM q JOIN base ON len(list_filter(long, lambda x: contains(t, x) OR contains(n, x))) = len(long) AND len(list_filter(short, lambda x: contains(t, x) OR contains(n, x))) = len(short)),
+    words AS (SELECT DISTINCT unnest(long) AS w FROM q UNION SELECT phrase FROM q),
+    df AS (SELECT w, (SELECT count(*) FROM base WHERE contains(t, w) OR contains(n, w)) AS d FROM words),
+    per AS (SELECT item, id, mtime, dl, t, n, unnest(long) AS w, generate_subscripts(long, 1) AS k FROM found),
+    parts AS (SELECT item, id, mtime, k, CASE WHEN {_WEIGH} > 0 THEN {_WEIGH} ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / av)) AS part
+      FROM (SELECT per.*, {_count_sql('t', 'w')} + {_count_sql('n', 'w')} AS f, d FROM per JOIN df USING (w)), corp),
+    scored AS (SELECT item, id, mtime, round(-sum(part ORDER BY k), 9) AS score FROM parts GROUP BY item, id, mtime),
+    hits AS (SELECT item, id, score, row_number() OVER (PARTITION BY item ORDER BY score, mtime DESC, id) AS pos FROM scored QUALIFY pos <= {LIMIT}),
+    ph AS (SELECT item, id, mtime, round(-(CASE WHEN {_WEIGH} > 0 THEN {_WEIGH} ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / av))), 9) AS score
+      FROM (SELECT found.*, {_count_sql('t', 'phrase')} + {_count_sql('n', 'phrase')} AS f, d FROM found JOIN df ON w = phrase WHERE contains(t, phrase) OR contains(n, phrase)), corp),
+    ex AS (SELECT item, id FROM ph QUALIFY row_number() OVER (PARTITION BY item ORDER BY score, mtime DESC, id) <= {LIMIT})"""
+
+
+@query(f"""WITH {_TEXTS}, placed AS (SELECT h.item, h.id, row_number() OVER (PARTITION BY h.item ORDER BY (ex.id IS NULL)::INT, h.pos) AS pos FROM hits h LEFT JOIN ex ON ex.item = h.item AND ex.id = h.id),
+    first AS (SELECT p.item, min(pos) AS rank FROM placed p JOIN q USING (item) JOIN documents d ON d.doc_id = p.id WHERE contains(d.text, q.answer) GROUP BY p.item)
+    SELECT 'text' AS engine, count(*) AS queries, count(*) FILTER (WHERE rank = 1) AS hit1, count(*) FILTER (WHERE rank <= 5) AS hit5, round(coalesce(sum(1.0::DOUBLE / rank), 0) / count(*), 9) AS mrr FROM q LEFT JOIN first USING (item)""")
 def eval_search_metrics(spark, sf_dir):
     """Every item searched as text in all documents; an answer holds the item's whole text."""
     items = _benchmark(spark, sf_dir)
-    ranks = relevance.search_ranks(corpus(spark, sf_dir), {k: parse(t) for k, t in items.items()}, items, LIMIT)
+    store = kept(spark, sf_dir)
+    ranks = relevance.search_ranks(store.table("images"), store.text_index(), {k: parse(t) for k, t in items.items()}, items, LIMIT)
     return reporting.eval_metrics(ranks.withColumn("engine", F.lit("text")), ["engine"])
 
 
+def _near_items(tag: str, shift: int, window: float) -> str:
+    return f"""s_{tag} AS (SELECT item, v.id, list_dot_product(v.v, e.v) AS s FROM q JOIN vecs e ON e.id = (item + {shift}) % (SELECT count(*) FROM q), vecs v),
+    {tag} AS (SELECT item, id, s, row_number() OVER (PARTITION BY item ORDER BY s DESC, id) AS pos FROM s_{tag} WHERE s >= {FLOOR} QUALIFY s >= max(s) OVER (PARTITION BY item) - {window} AND pos <= {LIMIT})"""
+
+
+@query(f"""WITH {_TEXTS}, {_VECTORS}, {_near_items("seen", 0, 0.07)}, {_near_items("meant", 1, 0.03)},
+    lists AS (SELECT item, id, pos, 0 AS l FROM hits UNION ALL SELECT item, id, pos, 1 FROM meant UNION ALL SELECT item, id, pos, 2 FROM seen),
+    engines(engine, l) AS (VALUES ('text', 0), ('text and images', 0), ('text and images', 2), ('text and meaning', 0), ('text and meaning', 1), ('all', 0), ('all', 1), ('all', 2)),
+    exact AS (SELECT DISTINCT engine, h.item, h.id, h.pos FROM engines, hits h JOIN ex USING (item, id)),
+    ranks AS (SELECT engine, item, id, l, row_number() OVER (PARTITION BY engine, item, l ORDER BY pos) - 1 AS r FROM lists JOIN engines USING (l) WHERE (engine, item, id) NOT IN (SELECT engine, item, id FROM exact)),
+    fused AS (SELECT engine, item, id, round(sum(1.0::DOUBLE / (10 + r)), 9) AS score, min(r) FILTER (WHERE l = 0) AS text_rank, min(l) AS list, arg_min(r, l * 1000000 + r) AS rank FROM ranks GROUP BY ALL),
+    alls AS (SELECT engine, item, id, 0 AS block, NULL::DOUBLE AS score, pos AS a, 0 AS b, 0 AS c FROM exact UNION ALL SELECT engine, item, id, 1, score, coalesce(text_rank, 2000000000), list, rank FROM fused),
+    placed AS (SELECT engine, item, id, row_number() OVER (PARTITION BY engine, item ORDER BY block, score DESC NULLS FIRST, a, b, c, id) AS pos FROM alls QUALIFY pos <= {LIMIT}),
+    first AS (SELECT engine, p.item, min(pos) AS rank FROM placed p JOIN q USING (item) JOIN documents d ON d.doc_id = p.id WHERE contains(d.text, q.answer) GROUP BY ALL)
+    SELECT e.engine, count(*) AS queries, count(*) FILTER (WHERE rank = 1) AS hit1, count(*) FILTER (WHERE rank <= 5) AS hit5, round(coalesce(sum(1.0::DOUBLE / rank), 0) / count(*), 6) AS mrr FROM (SELECT DISTINCT engine FROM engines) e CROSS JOIN q LEFT JOIN first f ON f.engine = e.engine AND f.item = q.item GROUP BY e.engine""")
+def eval_engines(spark, sf_dir):
+    """Every item searched by text, with images, with meaning and with both; an item's number names the vectors it looks like."""
+    items = _benchmark(spark, sf_dir)
+    store, v = kept(spark, sf_dir), vectors(spark, sf_dir)
+    own = {r["id"]: list(r["vec"]) for r in v.where(F.col("id") < len(items)).select("id", "vec").collect()}
+    of = lambda shift: {k: own[(k + shift) % len(items)] for k in items if (k + shift) % len(items) in own}
+    ranks = relevance.engine_ranks(store.table("images"), store.text_index(), v, v, {k: parse(t) for k, t in items.items()}, of(0), of(1), items, LIMIT, floors=(FLOOR, FLOOR))
+    return reporting.eval_metrics(ranks, ["engine"]).withColumn("mrr", F.round("mrr", 6))
+
+
 @query()
 def eval_vector_ranks(spark, sf_dir):
     """Every item against all vectors: the best answer's score and rank, the best and the tenth score."""
     items = _benchmark(spark, sf_dir)
-    answers = relevance.text_matches(corpus(spark, sf_dir), {k: parse(t) for k, t in items.items()}, items).where("answer").select("item", "id")
+    store = kept(spark, sf_dir)
+    answers = relevance.holders(store.table("images"), store.text_index(), items)
     return relevance.vector_ranks(vectors(spark, sf_dir), items, encoders.hash_projection, answers).withColumnRenamed("item", "item_id")
 
 

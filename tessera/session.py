@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def session(name: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
-    """UTC, adaptive execution with skew handling, Arrow transfer; ``conf`` overrides."""
+    """UTC, adaptive execution with skew handling, Arrow transfer, a state store that keeps timers; ``conf`` overrides."""
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
@@ -15,6 +15,7 @@ def session(name: str = "tessera", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     for k, v in {**base, **conf}.items():
         builder = builder.config(k, v)

@@ -5,7 +5,7 @@ import numpy as np
 from tessera import queries as registered
 from tessera.engine import Engine
 from tessera.functions.encoders import hash_projection
-from tessera.operators import relevance
+from tessera.operators import batch, postings, relevance, vector_search
 from tessera.plans.query import parse
 
 
@@ -15,8 +15,9 @@ def test_search_ranks_are_the_engines(spark):
     rows += [(40, "the moca network\nof two", "moca", "s", 9), (41, "network MOCA of", "x", "s", 1), (42, "moca network of two", "y", "s", 1), (43, "", "", "s", 0)]
     corpus = spark.createDataFrame(rows, "id long, text string, name string, source string, mtime long").repartition(3)
     items = {1: "moca Network", 2: "network\nof two", 3: "of", 4: "moca", 5: "zzz none", 6: "aa aaaa", 7: "moca moca network of", 8: "network aaaa", 9: "row 7"}
+    index = postings.open_index(postings.build(corpus))
     for limit in (120, 5):
-        got = {r["item"]: r["rank"] for r in relevance.search_ranks(corpus, {k: parse(t) for k, t in items.items()}, items, limit).collect()}
+        got = {r["item"]: r["rank"] for r in relevance.search_ranks(corpus, index, {k: parse(t) for k, t in items.items()}, items, limit).collect()}
         want = {}
         for k, t in items.items():
             hits = Engine(corpus).search(t, limit).select("pos", "id").collect()
@@ -45,3 +46,28 @@ def test_registered_queries_rank_every_item(spark, sf):
         assert r["rank"] == (None if place is None else place + 1)
         assert np.allclose([r["best"], r["tenth"]], s[order[[0, 9]]], atol=2e-9) and (place is None) == (r["score"] is None)
         assert place is None or abs(r["score"] - s[order[place]]) < 2e-9
+
+
+def test_many_hybrid_searches_are_the_engines(spark):
+    """Every query's fused hits, scores and badges, with text, images and meaning, as the engine gives them one by one."""
+    rng = np.random.default_rng(3)
+    rows = [(i, f"row {i} {'moca ' * (i % 4)}Network aa aaaa", f"n{i}", "s", i % 5) for i in range(40)]
+    corpus = spark.createDataFrame(rows, "id long, text string, name string, source string, mtime long").repartition(3)
+    unit = lambda x: (x / np.linalg.norm(x)).tolist()
+    base = rng.normal(size=16)
+    vecs = [(i, "s", i % 5, unit(base + rng.normal(size=16) * 0.25) if i % 9 else unit(base)) for i in range(40)]
+    vectors = spark.createDataFrame(vecs, "id long, source string, mtime long, vec array<float>").repartition(4)
+    items = {1: "moca Network", 2: "row 7", 3: "aa", 4: "zzz none", 5: "network aaaa"}
+    asked = {k: unit(base + rng.normal(size=16) * 0.1) for k in items}
+    index = postings.open_index(postings.build(corpus))
+    text = batch.text_hits(corpus, index, {k: parse(t) for k, t in items.items()}, 12)
+    look = batch.vector_hits(vectors, asked, 12, *vector_search.TEXT_TO_IMAGE)
+    mean = batch.vector_hits(vectors, asked, 12, *vector_search.MEANING)
+    got = {}
+    for r in batch.hybrid_hits(text, mean, look, 12).orderBy("pos").collect():
+        got.setdefault(r["item"], []).append(tuple(r)[1:])
+    for k, t in items.items():
+        encode = lambda texts: np.array([asked[k] for _ in texts])  # noqa: B023, E731
+        engine = Engine(corpus, vectors, vectors, encode, encode)
+        want = engine.search(t, 12).select("pos", "id", "block", "score", "matched_text", "visual_score", "meaning_score").collect()
+        assert got.get(k, []) == [tuple(r) for r in want], t
