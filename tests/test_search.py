@@ -222,7 +222,7 @@ def test_evaluate(spark, corpus):
 def test_postings_change_nothing(spark, corpus):
     from tessera.operators import postings
 
-    index = postings.build(corpus).cache()
+    index = postings.open_index(postings.build(corpus).cache())
     for q in ("moca", "net work", "RÉSUMÉ", "straße", "aaa", "ab", "moca ab", "😀a"):
         want = {r["id"] for r in text_search.text_search(corpus, parse(q)).collect()}
         assert {r["id"] for r in postings.matching(corpus, index, parse(q)).collect()} == want, q
