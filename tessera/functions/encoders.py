@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.diagnostics import Errors
+
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -40,8 +42,11 @@ def hash_projection(texts: list[str], dim: int = 64) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def encode_column(text: Column, encoder: Encoder = hash_projection, batch: int = 16) -> Column:
-    """Vectors for a text column, ``batch`` texts at a time; a text that fails gets an empty vector, which means: tried, failed."""
+def encode_column(text: Column, encoder: Encoder = hash_projection, batch: int = 16, errors: Errors | None = None) -> Column:
+    """Vectors for a text column, ``batch`` texts at a time; a text that fails gets an empty vector, which means: tried, failed.
+
+    Why it failed goes to ``errors``.
+    """
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -55,8 +60,10 @@ def encode_column(text: Column, encoder: Encoder = hash_projection, batch: int =
                     for v in values[i : i + batch]:
                         try:
                             out.append(encoder([v])[0].astype(np.float32))
-                        except Exception:
+                        except Exception as e:
                             out.append(np.zeros(0, np.float32))
+                            if errors is not None:
+                                errors.add(e)
             yield pd.Series(out)
 
     return run(text)

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.diagnostics import Errors
 from tessera.functions import text as T
 from tessera.functions.encoders import Encoder, encode_column, hash_projection
 from tessera.operators import ingest, mutations
-from tessera.sources.config import Source
+from tessera.sources.config import Config, Source, differs
 from tessera.sources.reader import on_disk
 from tessera.sources.snapshots import Snapshots
 
@@ -76,14 +77,14 @@ def forget(store: Snapshots, ids: list[int]) -> None:
     store.change(**dict.fromkeys(("images", *VECTORS), (None, rows)))
 
 
-def embed_pass(store: Snapshots, model: str, table: str = "text_embeddings", encoder: Encoder = hash_projection) -> int:
-    """Vectors for images that lack one of this model; returns how many were made.
+def embed_pass(store: Snapshots, model: str, table: str = "text_embeddings", encoder: Encoder = hash_projection, errors: Errors | None = None) -> int:
+    """Vectors for images that lack one of this model; returns how many were made.  Why texts failed goes to ``errors``.
 
     Failures are kept as empty vectors and not tried again, unless nothing worked: then nothing is kept.
     """
     missing = ingest.missing_meaning if table == "text_embeddings" else ingest.missing_embedding
     work = missing(store.table("images"), store.table(table), model)
-    new = work.select(F.col("id").alias("image_id"), F.lit(model).alias("model"), encode_column(T.doc_prompt(F.col("text")), encoder).alias("vec"))
+    new = work.select(F.col("id").alias("image_id"), F.lit(model).alias("model"), encode_column(T.doc_prompt(F.col("text")), encoder, errors=errors).alias("vec"))
     new = new.cache()
     made = new.where(F.size("vec") > 0).count()
     if made:
@@ -101,3 +102,20 @@ def apply_config(store: Snapshots, previous: list[Source], following: list[Sourc
         ids = store.table("images").where(F.col("source").isin(*gone)).select("id")
         store.change(**dict.fromkeys(("images", *VECTORS), (None, ids)))
     return sorted(gone)
+
+
+def follow_config(store: Snapshots, previous: Config, following: Config, listing: Callable[[Config], DataFrame], read_text: Column, encoders: dict[str, Encoder]) -> dict:
+    """Bring the index in line with a new configuration; returns what was done.
+
+    Sources that are gone or point elsewhere leave the index.  If sources (their order counts, as the first claims a
+    path), extensions or placeholders changed, ``listing`` of the new configuration is indexed; if a model changed, or a search
+    was switched on, images without its vectors get them by ``encoders``.  What did not change is left alone.
+    """
+    todo = differs(previous, following)
+    done: dict = {**todo, "forgotten": apply_config(store, previous.sources, following.sources)}
+    if todo["indexing"]:
+        done["report"] = index_pass(store, listing(following), read_text, following.hydrate_cloud_files, [s.name for s in following.sources])
+    for kind, table, on, model in (("visual", "embeddings", following.visual_search, following.visual_model), ("meaning", "text_embeddings", following.meaning_search, following.meaning_model)):
+        if on and model in encoders and (todo[kind] or todo["indexing"]):
+            done[f"{kind}_vectors"] = embed_pass(store, model, table, encoders[model])
+    return done

@@ -29,6 +29,16 @@ class Config:
     meaning_model: str = "hash-projection"
 
 
+def differs(previous: Config, following: Config) -> dict[str, bool]:
+    """What a new configuration asks to be done again: indexing (sources and extensions in their order), image vectors, meaning vectors."""
+    a, b = previous, following
+    return {
+        "indexing": a.sources != b.sources or [x.lower() for x in a.extensions] != [x.lower() for x in b.extensions] or a.hydrate_cloud_files != b.hydrate_cloud_files,
+        "visual": (a.visual_search, a.visual_model) != (b.visual_search, b.visual_model),
+        "meaning": (a.meaning_search, a.meaning_model) != (b.meaning_search, b.meaning_model),
+    }
+
+
 def _camel(name: str) -> str:
     first, *rest = name.split("_")
     return first + "".join(r.title() for r in rest)

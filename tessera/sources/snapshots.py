@@ -22,6 +22,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import diagnostics
 from tessera.operators import postings
 
 VERSION = 5
@@ -61,8 +62,9 @@ class Snapshots:
                 if not self.damaged(state, check):
                     self.state = state
                     break
-            except Exception:  # a pointer that can't be read is passed over like one whose files are damaged
-                pass
+                diagnostics.report(f"version {n} of {self.root} has damaged files")
+            except Exception as e:  # a pointer that can't be read is passed over like one whose files are damaged
+                diagnostics.report(e)
             self.recovered = True
 
     # --- pointers -------------------------------------------------------------------------------
@@ -87,19 +89,73 @@ class Snapshots:
     def _publish(self, tables: dict[str, list[dict]]) -> None:
         state = {"version": VERSION, "tables": tables}
         new = self._path(f"{self.root}/tmp-{uuid.uuid4().hex}")
-        stream = self._fs.create(new)
-        stream.write(bytearray(json.dumps(state).encode()))
-        stream.close()
+        self._create(new, json.dumps(state))
         self._add(new, self._path(self._pointer(self.serial + 1)))
-        self.state, self.serial = state, self.serial + 1
+        before, self.state, self.serial = self.state, state, self.serial + 1
+        self._tell(before)
 
-    def _add(self, new, pointer) -> None:
-        """One rename that fails if the pointer is there."""
+    def _create(self, at, text: str) -> None:
+        stream = self._fs.create(at)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def put(self, path: str, text: str, overwrite: bool = False) -> None:
+        """A small file, whole or not at all; FileExistsError if it is there and not to be overwritten."""
+        new, to = self._path(f"{self.root}/tmp-{uuid.uuid4().hex}"), self._path(path)
+        self._fs.mkdirs(to.getParent())
+        self._create(new, text)
+        try:
+            self._rename(new, to, overwrite)
+        except Py4JJavaError as e:
+            self._fs.delete(new, False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise FileExistsError(path) from e
+            raise
+
+    def get(self, path: str) -> str:
+        """A small file's text."""
+        stream = self._fs.open(self._path(path))
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def move_away(self, path: str) -> bool:
+        """Delete a file; of several that try, one succeeds."""
+        gone = self._path(f"{self.root}/tmp-{uuid.uuid4().hex}")
+        try:
+            self._rename(self._path(path), gone, False)
+        except Py4JJavaError:
+            return False
+        return bool(self._fs.delete(gone, False))
+
+    def _rename(self, new, to, overwrite: bool) -> None:
         jvm = self.spark._jvm
-        how = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, int(overwrite))
+        if overwrite:
+            how[0] = kind.OVERWRITE
         conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf).rename(self._fs.makeQualified(new), self._fs.makeQualified(to), how)
+
+    # --- what commits say -----------------------------------------------------------------------
+
+    def by_source(self, state: dict | None = None) -> dict[str, int]:
+        """How many images each source has, as the pointer says."""
+        segments = (state or self.state)["tables"].get("images", [])
+        return dict(segments[-1].get("by_source", {})) if segments else {}
+
+    def _tell(self, before: dict) -> None:
+        """One small file for each commit that changes these numbers: what :mod:`tessera.streaming.stats` adds up."""
+        old, new = self.by_source(before), self.by_source()
+        lines = [json.dumps({"seq": self.serial, "source": s, "n": new.get(s, 0) - old.get(s, 0)}) for s in sorted({*old, *new}) if new.get(s, 0) != old.get(s, 0)]
+        if lines:
+            self.put(f"{self.root}/feed/{self.serial:012d}.json", "\n".join(lines))
+
+    def _add(self, new, pointer) -> None:
+        """One rename that fails if the pointer is there."""
         try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf).rename(self._fs.makeQualified(new), self._fs.makeQualified(pointer), how)
+            self._rename(new, pointer, False)
         except Py4JJavaError as e:
             self._fs.delete(new, False)
             if "FileAlreadyExists" in e.java_exception.getClass().getName():
@@ -199,6 +255,8 @@ class Snapshots:
             if rows is not None:
                 segment["postings"] = self._write("postings", postings.build(rows, segment["seq"]))
             added = postings.statistics(self._scan(segment["postings"], postings.SCHEMA)) if rows is not None else (0, 0)
+            of = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()} if rows is not None else {}
+            sources = dict(before[-1].get("by_source", {})) if before else {}
             count, length = (before[-1]["count"], before[-1]["length"]) if before and "count" in before[-1] else (0, 0)
             if before and segment.get("gone"):
                 # What the ids that go held until now, from the lists of ids alone.
@@ -210,7 +268,12 @@ class Snapshots:
                         all_ = all_.unionByName(h)
                     lost = postings.visible(all_.join(ids, F.col("id") == F.col("_i"), "left_semi"), self.gone(before)).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("s")).first()
                     count, length = count - lost["n"], length - lost["s"]
-            segment |= {"count": count + added[0], "length": length + added[1]}
+                left = self._merged(name, before).select("id", "source").join(ids, F.col("id") == F.col("_i"), "left_semi")
+                for r in left.groupBy("source").count().collect():
+                    sources[r["source"]] = sources.get(r["source"], 0) - r["count"]
+            for name_, n in of.items():
+                sources[name_] = sources.get(name_, 0) + n
+            segment |= {"count": count + added[0], "length": length + added[1], "by_source": {k: v for k, v in sources.items() if v}}
         folders = [segment[k] for k in ("rows", "gone", "postings") if segment.get(k)]
         return segment | {"files": self._sums(folders)}
 
@@ -271,7 +334,7 @@ class Snapshots:
         if held:
             made["postings"] = self._write("postings", postings.merge(*held))
         if "count" in rest[-1]:
-            made |= {"count": rest[-1]["count"], "length": rest[-1]["length"]}
+            made |= {k: rest[-1][k] for k in ("count", "length", "by_source")}
         state[name] = [first, made | {"files": self._sums([made[k] for k in ("rows", "gone", "postings") if made.get(k)])}]
         self._publish(state)
 
