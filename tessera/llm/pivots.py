@@ -256,7 +256,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     weights = entries.select(F.col("_node").alias("_e"), "_w")
     all_ = all_.join(weights, F.col("_node") == F.col("_e"), "left").join(roots, F.col("_node") == F.col("_m"), "left")
     all_ = all_.select("_id", (F.coalesce("_w", F.lit(1)) - 1 + F.coalesce("_links", F.lit(0))).alias("_n"), F.coalesce("_root", "_node").alias("_group"))
-    least_id = all_.where("_group IS NOT NULL").groupBy(F.col("_group").alias("_g")).agg(F.min("_id").alias("_least"))
+    # Parked: a group with very many vectors is then a skewed join, which Spark splits.
+    least_id = park(all_.where("_group IS NOT NULL").groupBy(F.col("_group").alias("_g")).agg(F.min("_id").alias("_least")))
     out = all_.join(least_id, F.col("_group") == F.col("_g"), "left")
     own = F.when(F.col("_id").isNotNull(), F.coalesce("_least", "_id"))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("_id") == own, F.lit(False)).alias("kept"))

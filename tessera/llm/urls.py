@@ -90,8 +90,9 @@ def spread(hosts: DataFrame, links: DataFrame, damping: float = 0.85, tolerance:
     shuffles only scores and sums.  Scores are parked every ``stride`` rounds, so lineage stays short and a lost
     executor costs some rounds.
     """
-    out = links.groupBy(F.col("_src").alias("_k")).agg(F.sum("_n").alias("_all"))
-    into = links.groupBy(F.col("_dst").alias("_k")).agg(F.sum("_n").alias("_all"))
+    # Parked, so that a hub's edges meet its sum in a plain join, which Spark can split.
+    out = park(links.groupBy(F.col("_src").alias("_k")).agg(F.sum("_n").alias("_all")))
+    into = park(links.groupBy(F.col("_dst").alias("_k")).agg(F.sum("_n").alias("_all")))
     along = links.join(out, F.col("_src") == F.col("_k")).select(F.col("_src").alias("_from"), F.col("_dst").alias("_to"), (F.col("_n") / F.col("_all")).alias("_good_w"), F.lit(0.0).alias("_bad_w"))
     back = links.join(into, F.col("_dst") == F.col("_k")).select(F.col("_dst").alias("_from"), F.col("_src").alias("_to"), F.lit(0.0).alias("_good_w"), (F.col("_n") / F.col("_all")).alias("_bad_w"))
     summed = park(along.unionByName(back).groupBy("_from", "_to").agg(F.sum("_good_w").alias("_good_w"), F.sum("_bad_w").alias("_bad_w")))
@@ -105,13 +106,17 @@ def spread(hosts: DataFrame, links: DataFrame, damping: float = 0.85, tolerance:
     start = nodes.select("_h", per("_good", good), per("_bad", bad), "_cuts")
     edges = summed.join(nodes.select(F.col("_h").alias("_k"), "_cuts"), F.col("_from") == F.col("_k")).select("_from", F.pmod(F.xxhash64("_to"), F.col("_cuts")).alias("_part"), "_to", (F.col("_good_w") * damping).alias("_good_w"), (F.col("_bad_w") * damping).alias("_bad_w"))
     most = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = edges.repartition(max(1, min(most, -(-summed.count() // EDGES))), "_from", "_part").persist(StorageLevel.DISK_ONLY)
+    parts = max(1, min(most, -(-summed.count() // EDGES)))
+    # A graph of one partition needs no shuffle in its rounds.
+    near = lambda df: df.coalesce(1) if parts == 1 else df
+    edges = edges.repartition(parts, "_from", "_part").persist(StorageLevel.DISK_ONLY)
+    start = near(start)
     now = start
     rounds = rounds_for(damping, tolerance)
     for turn in range(rounds):
         sent = now.select(F.col("_h").alias("_from"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1)).alias("_part"), "_trust", "_distrust")
-        sent = edges.join(sent, ["_from", "_part"]).select(F.col("_to").alias("_h"), (F.col("_trust") * F.col("_good_w")).alias("_trust"), (F.col("_distrust") * F.col("_bad_w")).alias("_distrust"), F.lit(0).cast("long").alias("_cuts"))
-        now = sent.unionByName(start).groupBy("_h").agg(F.sum("_trust").alias("_trust"), F.sum("_distrust").alias("_distrust"), F.max("_cuts").alias("_cuts"))
+        sent = near(edges).join(near(sent).hint("shuffle_hash"), ["_from", "_part"]).select(F.col("_to").alias("_h"), (F.col("_trust") * F.col("_good_w")).alias("_trust"), (F.col("_distrust") * F.col("_bad_w")).alias("_distrust"), F.lit(0).cast("long").alias("_cuts"))
+        now = near(sent.unionByName(start)).groupBy("_h").agg(F.sum("_trust").alias("_trust"), F.sum("_distrust").alias("_distrust"), F.max("_cuts").alias("_cuts"))
         if (turn + 1) % stride == 0 or turn + 1 == rounds:
             now = park(now)
     edges.unpersist()
