@@ -2,7 +2,7 @@
 
 Every vector is described by its ``depth`` nearest reference points (pivots), nearest first: a prefix of the
 permutation of all pivots by distance.  Inverted lists belong to pairs of pivots; a vector stands in those whose
-ranks in its permutation have a product of at most RANKS, so the nearest pivot pairs with far ones, and
+ranks in its permutation have a product of at most RANKS (more with many pivots), so the nearest pivot pairs with far ones, and
 far ones not with each other.  Lists hold ids and permutations only.  In a list, entries are retrieved that share enough
 pivots with another entry; then the vectors are fetched for what is left, and verified by the exact cosine in
 double precision, blockwise.
@@ -15,6 +15,7 @@ meets in several lists counts in the first one they share.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,8 +34,10 @@ PIVOTS, MOST_PIVOTS, GROWTH = 512, 16_384, 2.0
 DEPTH, RANKS, SAMPLE, BLOCK = 12, 12, 4096, 512
 #: Pivots are less alike than this.
 APART = 0.7
-#: Shared pivots are counted on bitmaps; pivots whose numbers are equal modulo BITS count as one.
-BITS = 512
+#: Pivots that two vectors must share.
+SHARED = 4
+#: Deeper by so much, and lists by so many ranks more, for each doubling of the pivots beyond PIVOTS: where pivots are dense, near vectors agree on fewer of the nearest ones.
+DEEPER, WIDER = 1.6, 3.2
 
 
 def _clean(docs: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -95,19 +98,25 @@ def permutations(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def list_keys(perm: np.ndarray, dim: int) -> np.ndarray:
+def reach(pivots: int, depth: int = DEPTH, ranks: int = RANKS) -> tuple[int, int]:
+    """(depth, greatest rank product) for a number of pivots; recall is held against brute force in the tests up to MOST_PIVOTS."""
+    doublings = max(0.0, math.log2(pivots / PIVOTS))
+    return min(pivots, depth + math.ceil(DEEPER * doublings)), ranks + math.ceil(WIDER * doublings)
+
+
+def list_keys(perm: np.ndarray, dim: int, ranks: int = RANKS) -> np.ndarray:
     """The lists of each row of nearest pivots, which come nearest first."""
-    pairs = [(i, j) for i, j in combinations(range(perm.shape[1]), 2) if (i + 1) * (j + 1) <= RANKS]
+    pairs = [(i, j) for i, j in combinations(range(perm.shape[1]), 2) if (i + 1) * (j + 1) <= ranks]
     perm = perm.astype(np.uint64)
     low = np.stack([np.minimum(perm[:, i], perm[:, j]) for i, j in pairs], axis=1)
     high = np.stack([np.maximum(perm[:, i], perm[:, j]) for i, j in pairs], axis=1)
     return mix(((low << np.uint64(32)) | high) ^ np.uint64(dim << 20)).view(np.int64)
 
 
-def bitmaps(perm: np.ndarray) -> np.ndarray:
-    """The pivots of each row as a set of bits."""
-    out = np.zeros((len(perm), BITS // 64), np.uint64)
-    at = perm.astype(np.int64) % BITS
+def bitmaps(perm: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
+    """The pivots of each row as a set of bits, one for each pivot."""
+    out = np.zeros((len(perm), -(-pivots // 64)), np.uint64)
+    at = perm.astype(np.int64)
     for k in range(perm.shape[1]):
         out[np.arange(len(perm)), at[:, k] // 64] |= np.uint64(1) << (at[:, k] % 64).astype(np.uint64)
     return out
@@ -122,7 +131,7 @@ def _perms(column: pa.Array | pa.ChunkedArray, depth: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), depth)
 
 
-def _retrieve(entries: DataFrame, depth: int, shared: int, block: int) -> DataFrame:
+def _retrieve(entries: DataFrame, depth: int, pivots: int, shared: int, block: int) -> DataFrame:
     """(_key, _node) of entries (_key, _node, _perm) that share ``shared`` pivots with another of their list.
 
     Lists of more than ``block`` entries go on whole; no more than that is compared or held.
@@ -135,7 +144,7 @@ def _retrieve(entries: DataFrame, depth: int, shared: int, block: int) -> DataFr
             size = np.diff(np.r_[first, len(key)])
             end, size = np.repeat(first + size, size), np.repeat(size, size)
             keep = (size > block) | (key == huge if huge is not None else False)
-            bits = bitmaps(_perms(t.column(2), depth))
+            bits = bitmaps(_perms(t.column(2), depth), pivots)
             at = np.flatnonzero((size > 1) & ~keep)
             step = 1
             while len(at := at[at + step < end[at]]):
@@ -162,7 +171,7 @@ def smallest_reachable(linked: np.ndarray) -> np.ndarray:
     return label
 
 
-def _compare(tasks: DataFrame, least: float, kind: str, depth: int, shared: int) -> DataFrame:
+def _compare(tasks: DataFrame, least: float, kind: str, depth: int, ranks: int, pivots: int, shared: int) -> DataFrame:
     """(_root, _node, _links) found in each task; rows: _key, _part, _other, _side, _node, _w, _vec, _perm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,10 +187,11 @@ def _compare(tasks: DataFrame, least: float, kind: str, depth: int, shared: int)
             if not len(a):
                 continue
             perm = _perms(t.column("_perm"), depth)
-            bits, own = bitmaps(perm), np.sort(list_keys(perm, x.shape[1]), axis=1)
+            bits, own = bitmaps(perm, pivots), np.sort(list_keys(perm, x.shape[1], ranks), axis=1)
             mine = np.zeros_like(near)
-            for i in range(0, len(a), 8192):
-                p, q = a[i : i + 8192], b[i : i + 8192]
+            step = max(64, (1 << 19) // bits.shape[1] // 8)
+            for i in range(0, len(a), step):
+                p, q = a[i : i + step], b[i : i + step]
                 enough = shared_pivots(bits[p], bits[q]) >= shared
                 p, q = p[enough], q[enough]
                 same = (own[p][:, :, None] == own[q][:, None, :]).any(axis=2)
@@ -220,8 +230,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     entries = park(named.where("_node IS NOT NULL").groupBy("_node", "_vec").agg(F.count(F.lit(1)).alias("_w")))
     kind, total = number_type(vectors, vector), entries.count()
     pivots = pivots or int(min(max(PIVOTS, GROWTH * total**0.5), MOST_PIVOTS))
-    depth = min(depth, pivots)
-    shared = max(2, depth // 3)
+    depth, ranks = reach(pivots, depth)
+    shared = max(2, min(SHARED, depth // 3))
     # At most max(sample, 2 * MOST_PIVOTS) rows come to the driver.
     picked = [np.frombuffer(r["_vec"], kind) for r in entries.orderBy("_node").limit(max(sample, 2 * pivots)).select("_vec").collect()]
     made: dict[int, np.ndarray] = {d: choose_pivots(picked, d, pivots).astype(np.float32) for d in {len(r) for r in picked}}
@@ -236,12 +246,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
                 if dim not in made:
                     made[dim] = choose_pivots([], dim, pivots).astype(np.float32)
                 perm = permutations(unit(np.stack([raw[i] for i in at])).astype(np.float32), made[dim], depth)
-                for i, p, k in zip(at, perm.astype("<u2"), list_keys(perm, dim), strict=True):
+                for i, p, k in zip(at, perm.astype("<u2"), list_keys(perm, dim, ranks), strict=True):
                     perms[i], lists[i] = p.tobytes(), k
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(perms, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["_node", "_vec", "_w", "_perm", "_lists"])
 
     index = park(entries.select("_node", "_vec", "_w").mapInArrow(describe, "_node long, _vec binary, _w long, _perm binary, _lists array<bigint>"))
-    left = park(_retrieve(index.select(F.explode("_lists").alias("_key"), "_node", "_perm"), depth, shared, block))
+    left = park(_retrieve(index.select(F.explode("_lists").alias("_key"), "_node", "_perm"), depth, pivots, shared, block))
     # Parked, the table of large lists has a known size, by which Spark chooses its join.
     large = left.groupBy(F.col("_key").alias("_k")).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("_blocks")).where("_blocks > 1")
     rows = left.join(park(large), F.col("_key") == F.col("_k"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1).cast("long")))
@@ -249,7 +259,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     rows = rows.withColumn("_mine", mine).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     rows = rows.select("_key", F.least("_mine", "_with").alias("_part"), F.greatest("_mine", "_with").alias("_other"), F.col("_mine").alias("_side"), F.col("_node").alias("_entry"))
     tasks = rows.join(index.select("_node", "_w", "_vec", "_perm"), F.col("_entry") == F.col("_node")).drop("_entry")
-    found = park(_compare(tasks, least, kind, depth, shared))
+    found = park(_compare(tasks, least, kind, depth, ranks, pivots, shared))
     degrees = found.groupBy(F.col("_node").alias("_d")).agg(F.sum("_links").alias("_links"))
     roots = components(found, "_root", "_node").select(F.col("_node").alias("_m"), "_root")
     all_ = named.select("_id", "_node").join(degrees, F.col("_node") == F.col("_d"), "left")

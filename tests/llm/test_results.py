@@ -368,6 +368,25 @@ def test_smallest_reachable():
     assert pivots.smallest_reachable(chain[::-1, ::-1]).tolist() == [0] * 300
 
 
+@pytest.mark.parametrize("dim", [8, 16, 32, 64, 256, 768])
+def test_recall_with_many_pivots(dim):
+    """The part of near pairs that meet in a list and share enough pivots, by cosine and number of pivots, up to the most there are."""
+    r = np.random.default_rng(dim)
+    for count in (512, 2048, 16_384):
+        depth, ranks = pivots.reach(count)
+        points = pivots.choose_pivots([], dim, count).astype(np.float32)
+        for cosine in (0.9505, 0.97, 0.99):
+            a, b = pivots.unit(r.normal(size=(300, dim))), r.normal(size=(300, dim))
+            b = pivots.unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+            b = cosine * a + (1 - cosine**2) ** 0.5 * b
+            one, two = (pivots.permutations(x.astype(np.float32), points, depth) for x in (a, b))
+            same = (pivots.list_keys(one, dim, ranks)[:, :, None] == pivots.list_keys(two, dim, ranks)[:, None, :]).any(axis=(1, 2))
+            share = pivots.shared_pivots(pivots.bitmaps(one, count), pivots.bitmaps(two, count))
+            assert (share == [len({*x} & {*y}) for x, y in zip(one.tolist(), two.tolist(), strict=True)]).all()
+            # In 8 dimensions 16,384 pivots stand closer than the vectors that are looked for.
+            assert (same & (share >= pivots.SHARED)).mean() >= (0.95 if dim > 8 or count < 16_384 else 0.9), (count, cosine)
+
+
 @pytest.mark.parametrize(("dim", "clusters"), [(32, 0), (64, 30), (256, 0)])
 def test_recall_by_bands(spark, dim, clusters):
     """Pairs planted at a cosine, among random or clustered vectors: at least 0.95 of each band is linked, and none below the threshold."""
