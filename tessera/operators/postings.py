@@ -1,8 +1,8 @@
 """Trigram postings with places: text search that reads no text but that of its hits.
 
 An index is kept as rows (seq, trigram, block, ids, sizes, places), sorted by trigram: which rows of a block hold the
-trigram, at how many places each, and where.  The row with an empty trigram lists all ids of its block, with the lengths that
-BM25 needs as sizes.  A search reads the rows of its terms' trigrams only.  A term stands wherever its trigrams follow each
+trigram (as numbers in the block's list of ids), at how many places each, and where (as steps from the place before, which pack
+well).  The row with an empty trigram is that list, with the lengths that BM25 needs as sizes.  A search reads the rows of its terms' trigrams only.  A term stands wherever its trigrams follow each
 other, so occurrences, document frequencies and scores come from places alone, and are those of the exact predicates.
 
 Segments are such tables; merging them is a union in the order of trigrams.  ``seq`` says in which commit a row was
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -23,14 +24,15 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import text_search
 from tessera.plans.query import Query
+from tessera.plans.together import together
 
 SCHEMA = "seq long, trigram string, block long, ids array<bigint>, sizes array<int>, places array<int>"
 #: Places in a row's name begin here; texts are shorter.
 NAME = 1 << 30
 #: Characters and rows that a block gathers before it is written.
 CHARACTERS, ROWS = 1 << 21, 1 << 14
-#: Rows whose texts are named one by one where they are read; more are joined.
-NAMED = 10_000
+#: Rows whose texts are named one by one where they are read; more are joined.  Matches that are broadcast: a few dozen megabytes.
+NAMED, BROADCAST = 10_000, 200_000
 
 
 class TextIndex(NamedTuple):
@@ -74,9 +76,11 @@ def _block(held: list[tuple]) -> Iterator[pa.RecordBatch]:
     lists = lambda cuts, values: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
     cuts = np.r_[np.searchsorted(first, lead), len(first)]
     cols = [pa.array(["", *trigrams], pa.string()), pa.array(np.full(len(lead) + 1, block, np.int64))]
-    cols.append(lists(np.r_[0, cuts + len(ids)], np.r_[ids, ids[row[first]]]))
+    cols.append(lists(np.r_[0, cuts + len(ids)], np.r_[ids, row[first]]))
     cols.append(lists(np.r_[0, cuts + len(ids)], np.r_[np.array([r[1] for r in held], np.int32), many]))
-    cols.append(lists(np.r_[0, lead, len(code)], place))
+    step = np.diff(place, prepend=place[:1])
+    step[first] = place[first]
+    cols.append(lists(np.r_[0, lead, len(code)], step.astype(np.int32)))
     yield pa.RecordBatch.from_arrays(cols, names=["trigram", "block", "ids", "sizes", "places"])
 
 
@@ -165,8 +169,11 @@ def _answered(index: TextIndex, terms: list[str], emit: Callable[..., Iterator[p
         ids, length = (t.column(c)[0].values.to_numpy() for c in ("ids", "sizes"))
         keys = {}
         for i, g in enumerate(names[1:], 1):
-            row = np.searchsorted(ids, t.column("ids")[i].values.to_numpy())
-            keys[g] = (np.repeat(row, t.column("sizes")[i].values.to_numpy()) << 31) + t.column("places")[i].values.to_numpy()
+            row, size = t.column("ids")[i].values.to_numpy(), t.column("sizes")[i].values.to_numpy()
+            place = np.cumsum(t.column("places")[i].values.to_numpy(), dtype=np.int64)
+            # Steps begin anew in each row.
+            before = np.r_[0, place[np.cumsum(size)[:-1] - 1]]
+            keys[g] = np.repeat((row << 31) - before, size) + place
         counts = np.stack([np.bincount(_follow(keys, grams) >> 31, minlength=len(ids)).astype(np.int32) for grams in asked], axis=1)
         yield from emit(t.column("seq")[0].as_py(), ids, length.astype(np.int32), counts)
 
@@ -252,21 +259,22 @@ def matching(corpus: DataFrame, index: TextIndex, query: Query) -> DataFrame:
     return rows.where(text_search.term_filter(Query(query.short_terms)))
 
 
-def indexed_hits(corpus: DataFrame, index: TextIndex, query: Query, limit: int) -> tuple[DataFrame, DataFrame]:
+def indexed_hits(corpus: DataFrame, index: TextIndex, query: Query, limit: int, exact: bool = True) -> tuple[DataFrame, DataFrame]:
     """(text hits, those in which the terms stand as one phrase) as :func:`tessera.operators.text_search.hits_and_exact` gives them.
 
     Columns are pos, id, source, mtime, score, matched_text.  Document frequencies of terms and phrase come from one read of
     their postings, which is kept for both rankings.  Of the corpus only id, source and mtime are read, and the
-    texts of rows with all long terms where there are short ones.
+    texts of rows with all long terms where there are short ones.  Without ``exact`` the phrase is not looked for, and the second is empty.
     """
     terms = query.long_terms
     if limit <= 0 or not terms or any(len(t) < 3 for t in terms):
         return tuple(h.drop("snippet") for h in text_search.hits_and_exact(corpus, query, limit))
-    several = len(query.terms) > 1
+    several = exact and len(query.terms) > 1
     phrase = text_search.phrase_query(query).long_terms if several else []
     counts = term_counts(index, [*terms, *[p for p in phrase if len(p) >= 3]]).persist()
     width = len(terms) + len([p for p in phrase if len(p) >= 3])
-    row = counts.agg(*[F.count_if(_has(i)).alias(f"n{i}") for i in range(width)]).first()
+    long = reduce(lambda a, b: a & b, [_has(i) for i in range(len(terms))])
+    row = counts.agg(*[F.count_if(_has(i)).alias(f"n{i}") for i in range(width)], F.count_if(long).alias("hits")).first()
     stats = {"n": index.n, "avg": index.mean, "df": [row[f"n{i}"] for i in range(width)]}
 
     def ranked(places: list[int], short: list[str]) -> DataFrame:
@@ -280,26 +288,26 @@ def indexed_hits(corpus: DataFrame, index: TextIndex, query: Query, limit: int)
         if query.source:
             rows = rows.where(text_search.source_like(query.source))
         score = text_search.bm25_of([F.col("counts")[i] for i in places], F.col("length"), {**stats, "df": [stats["df"][i] for i in places]})
-        scored = rows.select("id", "source", "mtime").join(kept, "id").select("id", "source", "mtime", F.round(score, 9).alias("score"))
+        # Their number is known: few are broadcast, so that nothing of the corpus is shuffled.
+        met = row["hits"] if len(places) == len(terms) else row[f"n{places[0]}"]
+        scored = rows.select("id", "source", "mtime").join(F.broadcast(kept) if met <= BROADCAST else kept, "id").select("id", "source", "mtime", F.round(score, 9).alias("score"))
         top = scored.orderBy("score", F.desc("mtime"), "id").limit(limit)
         place = F.row_number().over(Window.orderBy("score", F.desc("mtime"), "id"))  # over the top-k only
         return text_search.settle(top.select(place.alias("pos"), "id", "source", "mtime", "score", F.lit(True).alias("matched_text")))
 
-    hits = ranked(list(range(len(terms))), query.short_terms)
-    if not several:
-        exact = hits
-    elif width == len(terms):
-        exact = hits.limit(0)
-    else:
-        own = {r["id"] for r in ranked([width - 1], []).select("id").collect()}
-        exact = hits.where(F.col("id").isin(*own)) if own else hits.limit(0)
+    jobs = [lambda: ranked(list(range(len(terms))), query.short_terms)]
+    if width > len(terms):
+        jobs.append(lambda: {r["id"] for r in ranked([width - 1], []).select("id").collect()})
+    hits, *own = together(corpus.sparkSession, *jobs)
     counts.unpersist()
-    return hits, exact
+    if exact and not several:
+        return hits, hits
+    return hits, hits.where(F.col("id").isin(*own[0])) if own and own[0] else hits.limit(0)
 
 
 def indexed_search(corpus: DataFrame, index: TextIndex, query: Query, limit: int = 60) -> DataFrame:
     """The rows of :func:`tessera.operators.text_search.text_search`, snippets included, whose texts are all that is read."""
-    hits = indexed_hits(corpus, index, query, limit)[0]
+    hits = indexed_hits(corpus, index, query, limit, exact=False)[0]
     ids = [r["id"] for r in hits.select("id").collect()]
     texts = corpus.where(F.col("id").isin(*ids)) if ids else corpus.limit(0)
     snippet = T.snippet(F.col("text"), query.long_terms[0] if query.long_terms else None)

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import encoders
@@ -22,7 +22,7 @@ from tessera.plans.query import Query, parse
 from tessera.plans.together import together
 from tessera.sources.shared import shared_folder
 from tessera.sources.snapshots import Snapshots
-from tessera.streaming import watch
+from tessera.streaming import bursts, watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,7 +152,7 @@ def text_search_(spark, sf_dir):
 def text_search_postings(spark, sf_dir):
     """The same from a kept index, which reads no text."""
     store = kept(spark, sf_dir)
-    return seconds(postings.indexed_hits(store.table("images"), store.text_index(), TERMS, LIMIT)[0]).select(*_HIT)
+    return seconds(postings.indexed_hits(store.table("images"), store.text_index(), TERMS, LIMIT, exact=False)[0]).select(*_HIT)
 
 
 @query(f"{_SPLIT} SELECT pos, id, source, mtime, score, true AS matched_text FROM ex")
@@ -473,7 +473,7 @@ def changed_store(spark, sf_dir) -> Snapshots:
 
 
 def _found(store: Snapshots) -> DataFrame:
-    return seconds(postings.indexed_hits(store.table("images"), store.text_index(), TERMS, LIMIT)[0]).select(*_HIT)
+    return seconds(postings.indexed_hits(store.table("images"), store.text_index(), TERMS, LIMIT, exact=False)[0]).select(*_HIT)
 
 
 _LATER = f"WITH {_CHANGED}, {_TEXT.replace('FROM documents', 'FROM later')} SELECT pos, id, source, mtime, score, true AS matched_text FROM hits"
@@ -619,8 +619,6 @@ _EVAL = """
 
 def _results(spark, sf_dir) -> DataFrame:
     """Results to evaluate: for each item the documents that begin with its first word, longest first; answers hold its whole text."""
-    from pyspark.sql import Window
-
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"), F.split_part("text", F.lit(" "), F.lit(1)).alias("w"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", F.split_part(F.trim("text"), F.lit(" "), F.lit(1)).alias("w"))
     pos = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n_chars"), "doc_id"))
@@ -762,7 +760,7 @@ def _events(spark, sf_dir) -> DataFrame:
            WHEN op = 'deleted' THEN CASE WHEN image OR event_id % 3 = 2 THEN 'forget' ELSE 'ignore' END WHEN image THEN 'index' ELSE 'ignore' END AS action FROM ev""")
 def watch_rename_action(spark, sf_dir):
     e = _events(spark, sf_dir)
-    return e.select("event_id", watch.rename_action(F.col("op"), F.col("path"), F.col("old_path"), F.col("indexed")).alias("action"))
+    return e.select("event_id", bursts.rename_action(F.col("op"), F.col("path"), F.col("old_path"), F.col("indexed")).alias("action"))
 
 
 @query(f"WITH {_EVENTS} SELECT event_id, path FROM ev WHERE image")
@@ -794,6 +792,22 @@ def watch_plan(spark, sf_dir):
     return watch.still_pending(e.withColumns({"path": path, "old_path": F.concat(F.lit("/a/"), (F.col("user_id") % 211).cast("string"), F.lit(".PNG"))}))
 
 
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS g, min(CASE WHEN event_id % 397 = 0 THEN ts END) OVER (PARTITION BY user_id) AS cut FROM events),
+          l AS (SELECT user_id, max(g) FILTER (WHERE cut IS NULL OR ts < cut) AS g, any_value(cut) IS NOT NULL AS gone, arg_max(event_type, ts) FILTER (WHERE cut IS NULL OR ts < cut) AS source FROM e GROUP BY user_id)
+          SELECT user_id AS id, CASE WHEN NOT gone THEN '/a/u' || user_id || '-' || g || '.png' END AS path, CASE WHEN NOT gone THEN source END AS source, gone FROM l""")
+def burst_resolved(spark, sf_dir):
+    """Every event renames a user's file to the next number, some delete it: long chains of renames, resolved as tables."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("source"))
+    g = F.row_number().over(Window.partitionBy("user_id").orderBy("ts"))
+    name = lambda n: F.concat(F.lit("/a/u"), F.col("user_id").cast("string"), F.lit("-"), n.cast("string"), F.lit(".png"))
+    e = e.withColumn("_g", g)
+    dies = F.col("event_id") % 397 == 0
+    events = e.select("ts", F.when(dies, "deleted").otherwise("renamed").alias("op"), F.when(dies, name(F.col("_g") - 1)).otherwise(name(F.col("_g"))).alias("path"), F.when(~dies, name(F.col("_g") - 1)).alias("old_path"), "source")
+    users = e.select("user_id").distinct().select(F.col("user_id").cast("long").alias("id"), name(F.lit(0)).alias("path"), F.lit("first").alias("source"))
+    ends, _ = bursts.resolve(users, bursts.numbered(events))
+    return ends.select("id", F.when(~F.col("gone"), F.col("path")).alias("path"), F.when(~F.col("gone"), F.col("source")).alias("source"), "gone")
+
+
 @query("SELECT user_id::VARCHAR AS path, arg_max(event_type, event_id) AS source FROM events GROUP BY user_id")
 def watch_pending(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("source"), "ts")

@@ -10,7 +10,7 @@ from tessera.pipeline import apply_config, embed_pass, index_pass
 from tessera.sources import config, reader
 from tessera.sources.folder import FolderEvents, FolderSource, differences
 from tessera.sources.snapshots import Conflict, Snapshots
-from tessera.streaming import watch
+from tessera.streaming import bursts, watch
 
 NOW = dt.datetime(2024, 1, 1)
 EVENTS = "ts timestamp, op string, path string, old_path string, source string"
@@ -106,7 +106,7 @@ def test_metrics(spark):
 def test_rename_rules(spark):
     rows = [("renamed", "/a.txt", "/b.txt", False, "ignore"), ("renamed", "/a.txt", "/b.png", True, "forget"), ("renamed", "/a.png", "/b.png", True, "move"), ("renamed", "/a.png", "/b.txt", False, "index"), ("deleted", "/dir", None, True, "forget"), ("deleted", "/a.txt", None, False, "ignore"), ("created", "/a.JPG", None, False, "index"), ("changed", "/a.md", None, False, "ignore")]
     df = spark.createDataFrame(rows, "op string, path string, old_path string, indexed boolean, want string")
-    assert df.where(watch.rename_action(F.col("op"), F.col("path"), F.coalesce("old_path", F.lit("")), F.col("indexed")) != F.col("want")).count() == 0
+    assert df.where(bursts.rename_action(F.col("op"), F.col("path"), F.coalesce("old_path", F.lit("")), F.col("indexed")) != F.col("want")).count() == 0
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):

@@ -36,6 +36,8 @@ def same(store, queries=QUERIES[-6:], limits=(5,)):
             got, phrase = postings.indexed_hits(images, index, parse(q), limit)
             assert [tuple(r)[:5] for r in got.select("pos", "id", "source", "mtime", "score").collect()] == [tuple(r) for r in want.select("pos", "id", "source", "mtime", "score").collect()], q
             assert {r["id"] for r in phrase.collect()} == {r["id"] for r in exact.collect()}, q
+    for q in ("moca network", "ab"):
+        assert [tuple(r) for r in postings.indexed_search(images, index, parse(q), 7).collect()] == [tuple(r) for r in text_search.text_search(images, parse(q), 7).collect()]
 
 
 def test_segments_and_their_index(spark, tmp_path):
