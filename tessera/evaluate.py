@@ -24,9 +24,10 @@ def evaluate(engines: dict[str, Engine], queries: list[tuple[str, list[str]]], l
     for name, engine in engines.items():
         for n, (q, answers) in enumerate(queries):
             hits = engine.search(q, limit).select("pos", "path").collect()
-            rows += [(name, n, h["pos"], any(h["path"].lower().endswith(a.lower()) for a in answers)) for h in hits] or [(name, n, 0, False)]
-    results = spark.createDataFrame(rows, "engine string, q int, pos int, answer boolean")
-    return reporting.eval_metrics(reporting.first_answer(results, F.col("answer"), ["engine", "q"]), ["engine"])
+            rows += [(name, n, h["pos"], h["path"], answers) for h in hits] or [(name, n, 0, "", [])]
+    results = spark.createDataFrame(rows, "engine string, q int, pos int, path string, answers array<string>")
+    hit = reporting.is_answer(F.col("path"), F.col("answers"))
+    return reporting.eval_metrics(reporting.first_answer(results, hit, ["engine", "q"]), ["engine"])
 
 
 def latencies(engine: Engine, queries: list[str], rounds: int = 20, limit: int = 60) -> dict[str, float]:

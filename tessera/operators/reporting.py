@@ -63,6 +63,11 @@ def model_bytes(folder: str) -> int:
     return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
 
 
+def is_answer(path: Column, answers: Column) -> Column:
+    """Whether a path ends with one of an array of answers, in any case."""
+    return F.exists(answers, lambda a: F.endswith(F.lower(path), F.lower(a)))
+
+
 def first_answer(results: DataFrame, is_answer: Column, by: list[str], pos: str = "pos") -> DataFrame:
     """rank: place of the first answer in each query's results, null if there is none."""
     return results.groupBy(*by).agg(F.min(F.when(is_answer, F.col(pos))).alias("rank"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from tessera.functions import encoders
 from tessera.functions import text as T
 from tessera.functions.vectors import l2_normalize
 from tessera.engine import Engine
-from tessera.operators import fusion, ingest, mutations, outline, postings, relevance, reporting, text_search, vector_search
+from tessera.operators import batch, fusion, ingest, mutations, outline, postings, relevance, reporting, text_search, vector_search
 from tessera.plans.query import Query, parse
 from tessera.plans.together import together
 from tessera.sources.shared import shared_folder
@@ -166,6 +167,13 @@ def text_search_no_limit(spark, sf_dir):
     return text_search.text_search(corpus(spark, sf_dir), TERMS, 0).select("id", F.col("pos").cast("long").alias("pos"))
 
 
+@query(f"WITH {_TEXT} SELECT n AS lim, pos, id, source, mtime, score, true AS matched_text FROM hits, (VALUES (-1), (0), (1), (7), (50)) l(n) WHERE pos <= n")
+def text_limits(spark, sf_dir):
+    """The same search under several limits; none and fewer than none give no hits."""
+    rows = [text_search.text_search(corpus(spark, sf_dir), TERMS, n).select(F.lit(n).alias("lim"), *_HIT).withColumn("pos", F.col("pos").cast("long")) for n in (-1, 0, 1, 7, 50)]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query(f"{_SPLIT} SELECT pos, id, source, mtime, score, true AS matched_text FROM ex")
 def exact_hits(spark, sf_dir):
     return text_search.exact_hits(corpus(spark, sf_dir), TERMS, LIMIT).select(*_HIT)
@@ -312,6 +320,19 @@ def vector_window(spark, sf_dir):
     return _near(spark, sf_dir, VISUAL_ID, 0.07).withColumn("score", F.round("score", 6))
 
 
+_SEVERAL = (7, 11, 42, 99, 150)
+
+
+@query(f"""WITH {_VECTORS}, s AS (SELECT a.id AS item, v.id, list_dot_product(v.v, a.v) AS s FROM vecs a, vecs v WHERE a.id IN {_SEVERAL}),
+           r AS (SELECT item, id, s, row_number() OVER (PARTITION BY item ORDER BY s DESC, id) AS pos FROM s WHERE s >= 0.1 QUALIFY pos <= 30 AND s >= max(s) OVER (PARTITION BY item) - 0.8)
+           SELECT item, pos, id, round(s, 6) AS score FROM r""")
+def vector_batch(spark, sf_dir):
+    """Several vectors searched in one pass, each with its own best rows and window."""
+    v = vectors(spark, sf_dir)
+    own = {r["id"]: list(r["vec"]) for r in v.where(F.col("id").isin(*_SEVERAL)).select("id", "vec").collect()}
+    return batch.vector_hits(v, own, 30, 0.1, 0.8, spark).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {_VECTORS}, s AS (SELECT id, list_dot_product(v, (SELECT v FROM vecs WHERE id = {VISUAL_ID})) AS s FROM vecs WHERE starts_with(lower(source), 'src1') AND mtime >= 500)
            SELECT row_number() OVER (ORDER BY s DESC, id) AS pos, id, round(s, 6) AS score FROM s WHERE s >= 0 QUALIFY pos <= {LIMIT}""")
 def vector_in_source(spark, sf_dir):
@@ -724,6 +745,13 @@ def eval_vector_ranks(spark, sf_dir):
     return relevance.vector_ranks(vectors(spark, sf_dir), items, encoders.hash_projection, answers).withColumnRenamed("item", "item_id")
 
 
+@query(f"""SELECT doc_id AS id, ends_with(lower({_PATH}), (doc_id % 7) || '.png') OR ends_with(lower({_PATH}), 'c1/' || (doc_id % 50) || '.png') AS answer FROM documents""")
+def eval_answer(spark, sf_dir):
+    """A hit answers a query if its path ends with one of the answers, in any case."""
+    answers = F.array(F.concat((F.col("id") % 7).cast("string"), F.lit(".Png")), F.concat(F.lit("C1/"), (F.col("id") % 50).cast("string"), F.lit(".png")))
+    return known(spark, sf_dir).select("id", reporting.is_answer(F.col("path"), answers).alias("answer"))
+
+
 @query(f"""WITH {_VECTORS}, {_near_sql("v", VISUAL_ID, 2.0)}, w AS (SELECT unnest([0.01, 0.03, 0.07, 0.2])::DOUBLE AS width)
            SELECT width, count(*) AS hits FROM w, v WHERE score >= (SELECT max(score) FROM v) - width GROUP BY width""")
 def eval_window_sweep(spark, sf_dir):

@@ -71,16 +71,17 @@ def _next(rows: DataFrame, effects: DataFrame, moved: DataFrame | None) -> DataF
     return hit.groupBy("id").agg(F.min_by(e, F.struct("no", "role")).alias("e"))
 
 
-def _chains(turns: DataFrame, effects: DataFrame, moved: DataFrame | None) -> list[DataFrame]:
-    """Tables (no, then): from a rename of a file to the 1st, 2nd, 4th, 8th ... rename of the same file after it."""
+def _chains(turns: DataFrame, effects: DataFrame, moved: DataFrame | None) -> tuple[list[DataFrame], bool]:
+    """(tables (no, then): from a rename of a file to the 1st, 2nd, 4th, 8th ... rename of the same file after it; whether a place is taken)."""
     files = turns.where(F.col("action") == "move").where(T.has_extension(F.col("path"))).select(F.col("no").alias("id"), "path", F.col("no").alias("at"))
-    step = parked(_next(files, effects, moved).where((F.col("e.role") == MOVE) & F.col("e.exact")).select(F.col("id").alias("no"), F.col("e.no").alias("then")))
+    first = parked(_next(files, effects, moved))
+    step = first.where((F.col("e.role") == MOVE) & F.col("e.exact")).select(F.col("id").alias("no"), F.col("e.no").alias("then"))
     out = []
     while step.limit(1).count():
         out.append(step)
         far = step.select(F.col("no").alias("then"), F.col("then").alias("_far"))
         step = parked(step.join(far, "then").select("no", F.col("_far").alias("then")))
-    return out
+    return out, bool(first.where(F.col("e.role") == OVER).limit(1).count())
 
 
 def _last(chains: list[DataFrame]) -> DataFrame | None:
@@ -94,9 +95,9 @@ def _last(chains: list[DataFrame]) -> DataFrame | None:
     return parked(now)
 
 
-def _follow(rows: DataFrame, turns: DataFrame, effects: DataFrame, moved: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(what becomes of the rows that an event acts on: id, path, source, gone; events that moved something: no)."""
-    chains = _chains(turns, effects, moved)
+def _follow(rows: DataFrame, turns: DataFrame, effects: DataFrame, moved: DataFrame | None) -> tuple[DataFrame, DataFrame, bool]:
+    """(what becomes of the rows that an event acts on: id, path, source, gone; events that moved something: no; whether a place is taken)."""
+    chains, taken = _chains(turns, effects, moved)
     last = _last(chains)
     ends = turns.select(F.col("no").alias("_end"), F.col("path").alias("_path"), F.col("source").alias("_source"))
     done, hits = [], []
@@ -110,19 +111,21 @@ def _follow(rows: DataFrame, turns: DataFrame, effects: DataFrame, moved: DataFr
             found = found.withColumns({"last": F.lit(None).cast("long"), "_path": F.lit(None).cast("string"), "_source": F.lit(None).cast("string")})
         step = F.concat(F.col("e.new"), F.substr(F.col("path"), F.col("e.cut") + 1))
         found = parked(found.select("id", F.coalesce("_path", step).alias("path"), F.coalesce("_source", "e.to").alias("source"), F.coalesce("last", "e.no").alias("at"), F.col("e.no").alias("no"), F.col("e.role").alias("role")))
-        if not found.limit(1).count():
+        row = found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == OVER).alias("over")).first()
+        if not row["n"]:
             break
+        taken = taken or row["over"] > 0
         hits.append(found.where(F.col("role") == MOVE).select("no"))
         done.append(found.select("id", "path", "source", "at", (F.col("role") != MOVE).alias("gone")))
         now = found.where(F.col("role") == MOVE).select("id", "path", "source", "at")
     if not done:
-        return rows.limit(0).select("id", "path", "source", F.lit(False).alias("gone")), turns.limit(0).select("no")
+        return rows.limit(0).select("id", "path", "source", F.lit(False).alias("gone")), turns.limit(0).select("no"), taken
     all_ = reduce(DataFrame.unionByName, done)
     out = all_.groupBy("id").agg(F.max_by(F.struct("path", "source", "gone"), F.struct("at", "gone")).alias("r")).select("id", "r.path", "r.source", "r.gone")
     acted = reduce(DataFrame.unionByName, hits).distinct()
     for step in chains:
         acted = acted.unionByName(acted.join(step, "no").select(F.col("then").alias("no"))).distinct()
-    return parked(out), parked(acted)
+    return parked(out), parked(acted), taken
 
 
 def resolve(images: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,9 +137,9 @@ def resolve(images: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = T.ascii_lower(F.col("path"))
     touched = images.select("id", F.explode(_above(key)).alias("subject")).join(effects.select("subject").distinct(), "subject", "left_semi").select("id").distinct()
     rows = parked(images.select("id", "path", "source").join(touched, "id", "left_semi"))
-    out, moved = _follow(rows, turns, effects, None)
-    while True:
+    out, moved, taken = _follow(rows, turns, effects, None)
+    while taken:
         before = moved
-        out, moved = _follow(rows, turns, effects, before)
-        if not moved.exceptAll(before).limit(1).count() and not before.exceptAll(moved).limit(1).count():
-            return out, moved
+        out, moved, _ = _follow(rows, turns, effects, before)
+        taken = bool(moved.exceptAll(before).limit(1).count() or before.exceptAll(moved).limit(1).count())
+    return out, moved
