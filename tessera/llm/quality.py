@@ -136,13 +136,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> dict[str, Head]:
-    """The heads, from at most ``rows`` labelled documents; a head without examples of both kinds decides nothing.
+    """The heads, from at most ``rows`` labelled documents, of rows that share an id one (with the least hash of its text); a head without examples of both kinds decides nothing.
 
     Labels that are null, or whose document is missing, are left out; texts that are null are empty.
     """
     marks = labels.select(F.col(id_col).cast("long").alias("_l"), F.when(F.col("quality").isNotNull(), (F.col("quality") == 0).cast("int")).alias("_bad"), F.when(F.col("toxic").isNotNull(), (F.col("toxic") == 1).cast("int")).alias("_toxic"))
     marks = marks.where("_l IS NOT NULL").orderBy(F.xxhash64("_l"), "_l").limit(rows)
-    sample = park(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).join(park(marks), F.col("_id") == F.col("_l")).select("_bad", "_toxic", "_text"))
+    met = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).join(park(marks), F.col("_id") == F.col("_l"))
+    # One document for each label, so that an id with very many rows, or labels, is one example.
+    one = met.groupBy("_l", "_bad", "_toxic").agg(F.min_by(F.struct("_text"), F.xxhash64("_text")).alias("_s"))
+    sample = park(one.select("_bad", "_toxic", "_s._text"))
 
     def spell(batches):
         for b in batches:

@@ -149,6 +149,15 @@ def test_quality(docs, none, labels):
     assert len({(r["p_bad"], r["p_toxic"], r["kept"]) for r in got if r["doc_id"] == 1}) == 1
 
 
+def test_repeated_labels_are_one_example(spark):
+    """An id with many rows and many labels counts once in training, so the bound on labels bounds documents, too."""
+    rows = [(i, f"{'good plain words' if i % 2 else 'junk spam words'} number {i % 5}") for i in range(60)]
+    marks = [(i, i % 2, 0) for i in range(60)]
+    train = lambda d, m: quality.train(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(m, "doc_id long, quality int, toxic int"))
+    once, often = train(rows, marks), train(rows + rows[:1] * 300, marks + marks[:1] * 40)
+    assert once["bad"].rate == often["bad"].rate == 0.5 and once["bad"].keys.tolist() == often["bad"].keys.tolist()
+
+
 def test_vectors(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v), (2, v), (2, v), (3, [2.0, 4.0, 6.0]), (4, None), (5, []), (6, [0.0] * 3), (7, [1.0, None, 2.0]), (8, [float("nan"), 1.0, 1.0]), (9, [-1.0, -2.0, -3.0]), (10, [1.0, 2.0]), (None, v), (11, [1e200, 2e200, 3e200]), (12, [float("inf"), 1.0, 1.0])]
