@@ -21,7 +21,7 @@ from tessera.engine import Engine
 from tessera.operators import batch, fusion, ingest, mutations, outline, postings, relevance, reporting, text_search, vector_search
 from tessera.plans.query import Query, parse
 from tessera.plans.together import together
-from tessera.sources.shared import shared_folder
+from tessera.sources.shared import shared_folder, until_end
 from tessera.sources.snapshots import Snapshots
 from tessera.streaming import bursts, watch
 
@@ -70,11 +70,18 @@ def kept(spark: SparkSession, sf_dir: str) -> Snapshots:
 
 
 def new_store(spark: SparkSession, sf_dir: str) -> Snapshots:
-    store = Snapshots(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    store = empty_store(spark)
     store.commit(images=entries(corpus(spark, sf_dir)))
     return store
 
 
+def empty_store(spark: SparkSession) -> Snapshots:
+    """An index that goes when the application ends."""
+    store = Snapshots(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    until_end(spark, store.root)
+    return store
+
+
 def entries(rows: DataFrame) -> DataFrame:
     """Rows of a corpus as the images of an index; times are seconds."""
     of = {"path": F.concat(F.lit("/Lib/"), "source", F.lit("/"), F.col("id").cast("string"), F.lit(".PNG")), "size": F.col("mtime"), "mtime": F.timestamp_seconds("mtime"), "indexed_at": F.timestamp_seconds(F.lit(0)), "status": F.lit("ok")}
@@ -549,7 +556,7 @@ def segment_remove_path(spark, sf_dir):
 @query(f"WITH {_MADE} SELECT image_id, 'm0' AS model FROM made WHERE image_id NOT IN (SELECT doc_id FROM documents) AND model = 'm0' UNION ALL SELECT image_id, 'm1' FROM made WHERE model = 'm1' UNION ALL SELECT doc_id, 'm1' FROM documents WHERE doc_id NOT IN (SELECT image_id FROM made WHERE model = 'm1')")
 def segment_save_embeddings(spark, sf_dir):
     """Vectors of a new model as a change, merged with those before."""
-    store = Snapshots(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    store = empty_store(spark)
     store.commit(embeddings=made(spark, sf_dir))
     new = ingest.missing_embedding(images(spark, sf_dir), store.table("embeddings"), "m1").select(F.col("id").alias("image_id"), F.lit("m1").alias("model"), F.array().cast("array<float>").alias("vec"))
     store.change(embeddings=(mutations.one_vector(new), None))

@@ -22,6 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessera-index-"))
 
 
+def until_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder, which is made if it is not there, when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+
+
 def parked(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it: lineage ends here, and numbers made on the way stay what they are.
 
@@ -30,6 +38,5 @@ def parked(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    until_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
