@@ -1,7 +1,7 @@
 """Hybrid search for many queries at once, on a kept text index and on vectors.
 
-A list of queries is short and lies on the driver.  Postings and vectors are read once for all of them: blocks and batches give
-each query's matches, tasks keep each query's best rows, and rankings are fused in groups.  What comes out is what the engine
+A list of queries is short and lies on the driver.  Postings (or, for long lists, texts) and vectors are read once for all of them: blocks and batches
+give each query's matches, tasks keep each query's best rows, and rankings are fused in groups.  What comes out is what the engine
 gives query by query.
 """
 
@@ -52,16 +52,19 @@ def text_matches(corpus: DataFrame, index: TextIndex, queries: dict[int, Query])
     spark, schema = corpus.sparkSession, "item long, id long, length int, counts array<bigint>, phrase long"
     found = spark.createDataFrame([], schema)
     if terms:
-        found = postings.visible(postings._answered(index, terms, emit, f"seq long, {schema}"), index.gone).select("item", "id", "length", "counts", "phrase")
+        found = postings.matches(index, terms, emit, schema, postings.scanned(corpus, terms))
     short = [(k, [t.translate(FOLD) for t in queries[k].short_terms]) for k in long if queries[k].short_terms]
     if short:
-        # Only rows that hold the long terms are read for the short ones.
+        # Only rows that hold the long terms are read for the short ones; few are told to all tasks, so that no text is shuffled.
         wanted = spark.createDataFrame(short, "item long, _short array<string>")
-        open_ = found.join(F.broadcast(wanted), "item")
+        found = found.persist()
+        open_ = found.select("item", "id").where(F.col("item").isin(*[k for k, _ in short]))
+        open_ = F.broadcast(open_) if open_.count() <= postings.BROADCAST else open_
         fold = lambda c: T.ascii_lower(F.coalesce(c, F.lit("")))
         texts = corpus.select("id", fold(F.col("text")).alias("_text"), fold(F.col("name")).alias("_name"))
-        held = open_.join(texts, "id").where(F.forall("_short", lambda t: F.contains(F.col("_text"), t) | F.contains(F.col("_name"), t)))
-        found = found.where(~F.col("item").isin(*[k for k, _ in short])).unionByName(held.select(*found.columns))
+        held = texts.join(open_, "id").join(F.broadcast(wanted), "item").where(F.forall("_short", lambda t: F.contains(F.col("_text"), t) | F.contains(F.col("_name"), t)))
+        of_short = found.join(held.select("item", "id"), ["item", "id"], "left_semi")
+        found = found.where(~F.col("item").isin(*[k for k, _ in short])).unionByName(of_short)
     only = [k for k, q in queries.items() if not q.long_terms]
     if only:
         # Without a long term there is nothing to look up: one pass over the texts for all such queries.
@@ -77,7 +80,8 @@ def text_hits(corpus: DataFrame, index: TextIndex, queries: dict[int, Query], li
     found = text_matches(corpus, index, queries).persist()
     items = [r["item"] for r in found.select("item").distinct().collect()]
     phrase = {k: queries[k].phrase.lower() if len(queries[k].terms) > 1 and len(queries[k].phrase) >= 3 else None for k in items}
-    df = postings.document_frequencies(index, sorted({t.lower() for k in items for t in queries[k].long_terms if len(t) >= 3} | {p for p in phrase.values() if p}))
+    terms = sorted({t.lower() for k in items for t in queries[k].long_terms if len(t) >= 3} | {p for p in phrase.values() if p})
+    df = postings.document_frequencies(index, terms, postings.scanned(corpus, terms))
     weights = [(k, [idf(index.n, df[t.lower()]) for t in queries[k].long_terms], idf(index.n, df[phrase[k]]) if phrase[k] else None, len(queries[k].terms) == 1) for k in items]
     known = found.join(F.broadcast(spark.createDataFrame(weights, "item long, _idf array<double>, _phrase_idf double, _single boolean")), "item")
     known = known.join(corpus.select(F.col("id").cast("long").alias("id"), "mtime"), "id")

@@ -1,11 +1,15 @@
 """Trigram postings with places: text search that reads no text but that of its hits.
 
-An index is kept as rows (seq, trigram, block, ids, sizes, places), sorted by trigram: which rows of a block hold the
-trigram (as numbers in the block's list of ids), at how many places each, and where (as steps from the place before, which pack
-well).  The row with an empty trigram is that list, with the lengths that BM25 needs as sizes.  A search reads the rows of its terms' trigrams only.  A term stands wherever its trigrams follow each
-other, so occurrences, document frequencies and scores come from places alone, and are those of the exact predicates.
+An index is kept as rows (seq, trigram, block, ids, sizes, places): a block is a list of rows of the corpus, whose texts and names stand one behind
+the other, and a row says at which places of that line a trigram stands (as steps from the place before, in
+as few bytes as each needs).  The row with an empty trigram has the block's ids, the lengths that BM25 needs as sizes, and how long each text and name is as places.  Rows
+of a block are sorted by trigram and written as tasks make them: building shuffles nothing, and Parquet's small pages let a search read the rows of its terms' trigrams only.  A term stands wherever its
+trigrams follow each other, so occurrences, document frequencies and scores come from places alone, and are those of the exact predicates.
 
-Segments are such tables; merging them is a union in the order of trigrams.  ``seq`` says in which commit a row was
+A long list of terms has nearly all trigrams there are, and texts are smaller than their postings: then the blocks are made from the
+texts again, in tasks, and nothing of them is written or shuffled.
+
+Segments are such tables; merging them is a union.  ``seq`` says in which commit a row was
 written: a row of the corpus that was replaced or deleted by a later one is passed over (see :func:`visible`).
 """
 
@@ -26,13 +30,13 @@ from tessera.operators import text_search
 from tessera.plans.query import Query
 from tessera.plans.together import together
 
-SCHEMA = "seq long, trigram string, block long, ids array<bigint>, sizes array<int>, places array<int>"
-#: Places in a row's name begin here; texts are shorter.
-NAME = 1 << 30
+SCHEMA = "seq long, trigram string, block long, ids array<bigint>, sizes array<int>, places binary"
 #: Characters and rows that a block gathers before it is written.
 CHARACTERS, ROWS = 1 << 21, 1 << 14
 #: Rows whose texts are named one by one where they are read; more are joined.  Matches that are broadcast: a few dozen megabytes.
 NAMED, BROADCAST = 10_000, 200_000
+#: Trigrams beyond which texts are read instead of postings.
+MANY = 2_000
 
 
 class TextIndex(NamedTuple):
@@ -50,60 +54,100 @@ def _length() -> Column:
     return (part("text") + part("name")).cast("int")
 
 
-def _block(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """The rows of one block; ``held``: (id, length, folded text, folded name)."""
+def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each number's begin and the last one's end): seven bits a byte, low ones first, the highest bit says that more follow."""
+    v = numbers.astype(np.int64)
+    size = 1 + sum((v >= 1 << k).astype(np.int64) for k in (7, 14, 21, 28))
+    cuts = np.r_[0, np.cumsum(size)]
+    out = np.zeros(cuts[-1], np.uint8)
+    for k in range(5):
+        more = np.flatnonzero(size > k)
+        out[cuts[more] + k] = v[more] >> 7 * k & 127 | 128 * (size[more] > k + 1)
+    return out, cuts
+
+
+def unpacked(raw: np.ndarray) -> np.ndarray:
+    """The numbers that :func:`packed` made bytes of."""
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    last = np.flatnonzero(raw < 128)
+    first = np.r_[0, last[:-1] + 1]
+    shift = np.arange(len(raw)) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * shift, first)
+
+
+class _Line(NamedTuple):
+    """A block's texts and names one behind the other: ids and lengths of its rows, units' sizes, distinct trigrams as numbers, where each one's places begin, places."""
+
+    ids: np.ndarray
+    length: np.ndarray
+    size: np.ndarray
+    names: np.ndarray
+    lead: np.ndarray
+    at: np.ndarray
+
+
+def _line(held: list[tuple]) -> _Line:
+    """``held``: (id, length, folded text, folded name)."""
     held.sort(key=lambda r: r[0])
-    ids = np.array([r[0] for r in held], np.int64)
-    block = int.from_bytes(hashlib.md5(ids.tobytes()).digest()[:8], "little", signed=True)
     points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for r in held for t in r[2:]]
-    size = np.array([len(p) for p in points])
-    begin = np.r_[0, np.cumsum(size)]
+    size = np.array([len(p) for p in points], np.int32)
     unit = np.repeat(np.arange(len(points)), size)
     point = np.concatenate(points).astype(np.uint64) if len(unit) else np.zeros(0, np.uint64)
     at = np.flatnonzero(unit[2:] == unit[:-2])
     code = point[at] << np.uint64(42) | point[at + 1] << np.uint64(21) | point[at + 2]
     order = np.argsort(code, kind="stable")
     code, at = code[order], at[order]
-    row = unit[at] // 2
-    place = (at - begin[unit[at]] + NAME * (unit[at] % 2)).astype(np.int32)
-    new = np.r_[True, code[1:] != code[:-1]][: len(code)]
-    first = np.flatnonzero(new | np.r_[True, row[1:] != row[:-1]][: len(code)])
-    many = np.diff(np.r_[first, len(code)]).astype(np.int32)
-    lead = np.flatnonzero(new)
-    names = code[lead]
-    letters = np.stack([names >> np.uint64(s) & np.uint64(0x1FFFFF) for s in (42, 21, 0)], axis=1).astype("<u4")
+    lead = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+    return _Line(np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int32), size, code[lead], np.r_[lead, len(code)], at)
+
+
+def _block(held: list[tuple]) -> pa.RecordBatch:
+    """The rows of one block."""
+    b = _line(held)
+    block = int.from_bytes(hashlib.md5(b.ids.tobytes()).digest()[:8], "little", signed=True)
+    letters = np.stack([b.names >> np.uint64(s) & np.uint64(0x1FFFFF) for s in (42, 21, 0)], axis=1).astype("<u4")
     trigrams = [r.tobytes().decode("utf-32-le", "surrogatepass") for r in letters]
+    step = np.diff(b.at, prepend=b.at[:1]).astype(np.int32)
+    step[b.lead[:-1]] = b.at[b.lead[:-1]]
     lists = lambda cuts, values: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
-    cuts = np.r_[np.searchsorted(first, lead), len(first)]
-    cols = [pa.array(["", *trigrams], pa.string()), pa.array(np.full(len(lead) + 1, block, np.int64))]
-    cols.append(lists(np.r_[0, cuts + len(ids)], np.r_[ids, row[first]]))
-    cols.append(lists(np.r_[0, cuts + len(ids)], np.r_[np.array([r[1] for r in held], np.int32), many]))
-    step = np.diff(place, prepend=place[:1])
-    step[first] = place[first]
-    cols.append(lists(np.r_[0, lead, len(code)], step.astype(np.int32)))
-    yield pa.RecordBatch.from_arrays(cols, names=["trigram", "block", "ids", "sizes", "places"])
+    own = np.r_[0, np.full(len(trigrams) + 1, len(b.ids))]
+    cols = [pa.array(["", *trigrams], pa.string()), pa.array(np.full(len(trigrams) + 1, block, np.int64)), lists(own, b.ids), lists(own, b.length)]
+    raw, cuts = packed(np.r_[b.size, step])
+    cuts = cuts[np.r_[0, b.lead + len(b.size)]].astype(np.int32)
+    cols.append(pa.Array.from_buffers(pa.binary(), len(trigrams) + 1, [None, pa.py_buffer(cuts), pa.py_buffer(raw)]))
+    return pa.RecordBatch.from_arrays(cols, names=["trigram", "block", "ids", "sizes", "places"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of a task (id, length, folded text, folded name), a block at a time."""
+    held: list[tuple] = []
+    n = 0
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            held.append(r)
+            n += len(r[2]) + len(r[3])
+            if n > CHARACTERS or len(held) >= ROWS:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def _read(corpus: DataFrame) -> DataFrame:
+    fold = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return corpus.select(F.col("id").cast("long"), _length().alias("length"), fold("text").alias("_text"), fold("name").alias("_name"))
 
 
 def build(corpus: DataFrame, seq: int = 0) -> DataFrame:
-    """The postings of a corpus (id, text, name), sorted by trigram."""
+    """The postings of a corpus (id, text, name), block by block; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        n = 0
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.append(r)
-                n += len(r[2]) + len(r[3])
-                if n > CHARACTERS or len(held) >= ROWS:
-                    yield from _block(held)
-                    held, n = [], 0
-        if held:
-            yield from _block(held)
+        for held in _gathered(batches):
+            yield _block(held)
 
-    fold = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    read = corpus.select(F.col("id").cast("long"), _length().alias("length"), fold("text").alias("_text"), fold("name").alias("_name"))
-    made = read.mapInArrow(run, "trigram string, block long, ids array<bigint>, sizes array<int>, places array<int>")
-    return merge(made.select(F.lit(seq).cast("long").alias("seq"), "*"))
+    made = _read(corpus).mapInArrow(run, "trigram string, block long, ids array<bigint>, sizes array<int>, places binary")
+    return made.select(F.lit(seq).cast("long").alias("seq"), "*")
 
 
 def merge(*segments: DataFrame) -> DataFrame:
@@ -138,13 +182,17 @@ def open_index(postings: DataFrame, gone: DataFrame | None = None) -> TextIndex:
     return TextIndex(postings, gone, n, total / n if n else 0.0)
 
 
+def _code(trigram: str) -> int:
+    return ord(trigram[0]) << 42 | ord(trigram[1]) << 21 | ord(trigram[2])
+
+
 def trigrams_of(term: str) -> list[str]:
     low = term.lower()
     return [low[i : i + 3] for i in range(len(low) - 2)]
 
 
 def _follow(keys: dict[str, np.ndarray], grams: list[str]) -> np.ndarray:
-    """Where the trigrams follow each other: row and place as one number each; from the rarest trigram on."""
+    """Where the trigrams follow each other; from the rarest trigram on.  No text has trigrams that reach into the next, so neither do terms."""
     order = sorted(range(len(grams)), key=lambda j: len(keys.get(grams[j], ())))
     out = keys.get(grams[order[0]], np.zeros(0, np.int64)) - order[0]
     for j in order[1:]:
@@ -156,26 +204,39 @@ def _follow(keys: dict[str, np.ndarray], grams: list[str]) -> np.ndarray:
     return out
 
 
-def _answered(index: TextIndex, terms: list[str], emit: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What ``emit`` makes of each block: seq, ids, lengths, and counts by row and term.  One read of the terms' trigrams; blocks come whole."""
+def _answered(index: TextIndex, terms: list[str], emit: Callable[..., Iterator[pa.RecordBatch]], schema: str, corpus: DataFrame | None = None) -> DataFrame:
+    """What ``emit`` makes of each block: seq, ids, lengths, and counts by row and term.  One read of the terms' trigrams; blocks come whole.
+
+    With a ``corpus`` (see :func:`scanned`) its texts are read instead; no row of it is out of date.
+    """
     asked = [trigrams_of(t) for t in terms]
     needed = sorted({g for grams in asked for g in grams})
 
+    def counted(size: np.ndarray, keys: dict[str, np.ndarray]) -> np.ndarray:
+        """By row and term; a row is a text and a name."""
+        ends = np.cumsum(size.reshape(-1, 2).sum(axis=1))
+        return np.stack([np.bincount(np.searchsorted(ends, _follow(keys, grams), "right"), minlength=len(ends)).astype(np.int32) for grams in asked], axis=1)
+
     def answer(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
         names = t.column("trigram").to_pylist()
         if names[0] != "" or len(names) < 2:
             return
         ids, length = (t.column(c)[0].values.to_numpy() for c in ("ids", "sizes"))
-        keys = {}
-        for i, g in enumerate(names[1:], 1):
-            row, size = t.column("ids")[i].values.to_numpy(), t.column("sizes")[i].values.to_numpy()
-            place = np.cumsum(t.column("places")[i].values.to_numpy(), dtype=np.int64)
-            # Steps begin anew in each row.
-            before = np.r_[0, place[np.cumsum(size)[:-1] - 1]]
-            keys[g] = np.repeat((row << 31) - before, size) + place
-        counts = np.stack([np.bincount(_follow(keys, grams) >> 31, minlength=len(ids)).astype(np.int32) for grams in asked], axis=1)
-        yield from emit(t.column("seq")[0].as_py(), ids, length.astype(np.int32), counts)
+        steps = [unpacked(np.frombuffer(x.as_buffer(), np.uint8)) for x in t.column("places")]
+        keys = {g: np.cumsum(steps[i]) for i, g in enumerate(names[1:], 1)}
+        yield from emit(t.column("seq")[0].as_py(), ids, length.astype(np.int32), counted(steps[0], keys))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = np.array([_code(g) for g in needed], np.uint64)
+        for held in _gathered(batches):
+            b = _line(held)
+            place = np.searchsorted(b.names, codes)
+            there = np.flatnonzero(place < len(b.names))
+            there = there[b.names[place[there]] == codes[there]]
+            if len(there):
+                keys = {needed[i]: b.at[b.lead[place[i]] : b.lead[place[i] + 1]] for i in there}
+                yield from emit(0, b.ids, b.length, counted(b.size, keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -193,16 +254,29 @@ def _answered(index: TextIndex, terms: list[str], emit: Callable[..., Iterator[p
         if held:
             yield from answer(held)
 
+    if corpus is not None:
+        return _read(corpus).mapInArrow(scan, schema)
     read = index.postings.where(F.col("trigram").isin("", *needed)).repartition("seq", "block").sortWithinPartitions("seq", "block", "trigram")
     return read.mapInArrow(run, schema)
 
 
+def scanned(corpus: DataFrame, terms: list[str]) -> DataFrame | None:
+    """The corpus, if the terms have so many trigrams that its texts are read rather than their postings."""
+    return corpus if len({g for t in terms for g in trigrams_of(t)}) > MANY else None
+
+
 def number_lists(rows: np.ndarray) -> pa.Array:
     """The rows of a matrix as lists of longs."""
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.astype(np.int64).ravel()))
 
 
-def term_counts(index: TextIndex, terms: list[str]) -> DataFrame:
+def matches(index: TextIndex, terms: list[str], emit: Callable[..., Iterator[pa.RecordBatch]], schema: str, corpus: DataFrame | None = None) -> DataFrame:
+    """What ``emit`` makes of the rows that are not out of date; ``schema`` has an id."""
+    found = _answered(index, terms, emit, f"seq long, {schema}", corpus)
+    return (found if corpus is not None else visible(found, index.gone)).drop("seq")
+
+
+def term_counts(index: TextIndex, terms: list[str], corpus: DataFrame | None = None) -> DataFrame:
     """(id, length, counts): how often each of the terms, of three characters or more, stands in the rows that have any of them."""
 
     def emit(seq, ids, length, counts):
@@ -210,10 +284,10 @@ def term_counts(index: TextIndex, terms: list[str]) -> DataFrame:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), seq, np.int64)), pa.array(ids[at]), pa.array(length[at]), number_lists(counts[at])], names=["seq", "id", "length", "counts"])
 
-    return visible(_answered(index, terms, emit, "seq long, id long, length int, counts array<bigint>"), index.gone).drop("seq")
+    return matches(index, terms, emit, "id long, length int, counts array<bigint>", corpus)
 
 
-def document_frequencies(index: TextIndex, terms: list[str]) -> dict[str, int]:
+def document_frequencies(index: TextIndex, terms: list[str], corpus: DataFrame | None = None) -> dict[str, int]:
     """In how many rows each of the terms stands; sums come from each block, and from rows where some are out of date."""
 
     def sums(seq, ids, length, counts):
@@ -225,10 +299,10 @@ def document_frequencies(index: TextIndex, terms: list[str]) -> dict[str, int]:
 
     if not terms:
         return {}
-    if index.gone is None:
-        found = _answered(index, terms, sums, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    if index.gone is None or corpus is not None:
+        found = _answered(index, terms, sums, "term long, n long", corpus).groupBy("term").agg(F.sum("n").alias("n"))
     else:
-        found = visible(_answered(index, terms, rows, "seq long, id long, term long"), index.gone).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        found = matches(index, terms, rows, "id long, term long").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     own = {r["term"]: r["n"] for r in found.collect()}
     return {t: own.get(i, 0) for i, t in enumerate(terms)}
 

@@ -19,14 +19,20 @@ from tessera.operators.postings import TextIndex
 from tessera.plans.query import Query
 
 
-def _answered(hits: DataFrame, corpus: DataFrame, answers: dict[int, str]) -> DataFrame:
-    """(item, rank): place of each query's first hit whose text holds its answer; only texts of hits are read."""
-    spark = corpus.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(list(answers.items()), "item long, _answer string"))
+def _answered(hits: DataFrame, corpus: DataFrame, answers: dict[int, str], most: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(item, rank), for each value of ``by``: place of the first hit whose text holds the query's answer, where one does.
+
+    ``most``: hits there can be.  Where they are told to all tasks, only texts are read and nothing of them is shuffled.
+    """
+    wanted = F.broadcast(corpus.sparkSession.createDataFrame(list(answers.items()), "item long, _answer string"))
+    places = hits.select(*by, "item", "id", "pos")
     texts = corpus.select(F.col("id").cast("long").alias("id"), "text")
-    known = hits.select("item", "id", "pos").join(wanted, "item").join(texts, "id").where(F.contains("text", F.col("_answer")))
-    ranks = known.groupBy("item").agg(F.min("pos").cast("long").alias("rank"))
-    return spark.createDataFrame([(k,) for k in answers], "item long").join(ranks, "item", "left")
+    known = texts.join(F.broadcast(places) if most <= postings.BROADCAST else places, "id").join(wanted, "item").where(F.contains("text", F.col("_answer")))
+    return known.groupBy(*by, "item").agg(F.min("pos").cast("long").alias("rank"))
+
+
+def _all_items(ranks: DataFrame, answers: dict[int, str]) -> DataFrame:
+    return ranks.sparkSession.createDataFrame([(k,) for k in answers], "item long").join(ranks, "item", "left")
 
 
 def _exact_first(hits: DataFrame) -> DataFrame:
@@ -37,37 +43,43 @@ def _exact_first(hits: DataFrame) -> DataFrame:
 
 def search_ranks(corpus: DataFrame, index: TextIndex, queries: dict[int, Query], answers: dict[int, str], limit: int = 120) -> DataFrame:
     """item, rank: place of the first row whose text holds the answer among the query's ``limit`` hits of text search, exact ones first; null if there is none."""
-    return _answered(_exact_first(batch.text_hits(corpus, index, queries, limit)), corpus, answers)
+    hits = _exact_first(batch.text_hits(corpus, index, queries, limit))
+    return _all_items(_answered(hits, corpus, answers, limit * len(queries)), answers)
 
 
 def engine_ranks(corpus: DataFrame, index: TextIndex, visual: DataFrame, meaning: DataFrame, queries: dict[int, Query], seen: dict[int, list[float]], meant: dict[int, list[float]], answers: dict[int, str], limit: int = 120, window: float = vector_search.MEANING[1], floors: tuple[float, float] = (vector_search.TEXT_TO_IMAGE[0], vector_search.MEANING[0])) -> DataFrame:
     """engine, item, rank for text alone, with images, with meaning and with both; ``seen`` and ``meant`` are the queries' vectors.
 
-    Each ranking is made once and fused in four ways.
+    Each ranking is made once and fused in four ways; the texts are read once for all of them.
     """
     text = batch.text_hits(corpus, index, queries, limit).persist()
     spark = corpus.sparkSession
     look = batch.vector_hits(visual, seen, limit, floors[0], vector_search.TEXT_TO_IMAGE[1], spark).persist()
     mean = batch.vector_hits(meaning, meant, limit, floors[1], window, spark).persist()
     none = look.limit(0)
+    engines = ("text", none, none), ("text and images", none, look), ("text and meaning", mean, none), ("all", mean, look)
     out = None
-    for name, m, v in (("text", none, none), ("text and images", none, look), ("text and meaning", mean, none), ("all", mean, look)):
+    for name, m, v in engines:
         hits = _exact_first(text) if name == "text" else batch.hybrid_hits(text, m, v, limit)
-        one = _answered(hits, corpus, answers).select(F.lit(name).alias("engine"), "item", "rank")
+        one = hits.select(F.lit(name).alias("engine"), "item", "id", "pos")
         out = one if out is None else out.unionByName(one)
-    return out
+    ranks = _answered(out, corpus, answers, len(engines) * limit * len(queries), ("engine",))
+    names = spark.createDataFrame([(name, k) for name, _, _ in engines for k in answers], "engine string, item long")
+    return names.join(ranks, ["engine", "item"], "left")
 
 
 def holders(corpus: DataFrame, index: TextIndex, answers: dict[int, str]) -> DataFrame:
-    """(item, id): rows whose text holds an item's text; the index names the rows to look into."""
+    """(item, id): rows whose text holds an item's text; the index, or for long lists one pass over the texts, names the rows to look into."""
     spark = corpus.sparkSession
     texts = sorted({t.lower() for t in answers.values() if len(t) >= 3})
-    found = postings.term_counts(index, texts) if texts else spark.createDataFrame([], "id long, counts array<bigint>")
+    found = postings.term_counts(index, texts, postings.scanned(corpus, texts)) if texts else spark.createDataFrame([], "id long, counts array<bigint>")
     place = {t: i for i, t in enumerate(texts)}
     wanted = F.broadcast(spark.createDataFrame([(k, t, place.get(t.lower())) for k, t in answers.items()], "item long, _answer string, _at int"))
-    pairs = found.select("id", F.posexplode("counts").alias("_at", "_n")).where("_n > 0").join(wanted.where("_at IS NOT NULL"), "_at")
+    pairs = found.select("id", F.posexplode("counts").alias("_at", "_n")).where("_n > 0").select("id", "_at").persist()
+    # Few are told to all tasks, so that no text is shuffled.
+    met = F.broadcast(pairs) if pairs.count() <= postings.BROADCAST else pairs
     read = corpus.select(F.col("id").cast("long").alias("id"), "text")
-    return pairs.join(read, "id").where(F.contains("text", F.col("_answer"))).select("item", "id")
+    return read.join(met, "id").join(wanted.where("_at IS NOT NULL"), "_at").where(F.contains("text", F.col("_answer"))).select("item", "id")
 
 
 def vector_ranks(vectors: DataFrame, queries: dict[int, str], encoder: Encoder, answers: DataFrame) -> DataFrame:

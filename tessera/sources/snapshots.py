@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera import diagnostics
 from tessera.operators import postings
 
-VERSION = 5
+VERSION = 6
 SCHEMAS = {
     "images": "id long, path string, name string, source string, size long, mtime timestamp, width int, height int, indexed_at timestamp, status string, error string, ocr_json string, text string",
     "embeddings": "image_id long, model string, vec array<float>",
@@ -35,6 +35,8 @@ KEYS = {"images": "id", "embeddings": "image_id", "text_embeddings": "image_id"}
 GONE = "id long, seq long"
 #: Segments of a table from which those after the first are merged, and rows of a file that a change writes.
 SEGMENTS, FILE_ROWS = 8, 100_000
+#: Rows of a page of postings, of which a block has some ten thousand.
+PAGE_ROWS = 500
 
 
 class Conflict(RuntimeError):
@@ -84,6 +86,10 @@ class Snapshots:
             raise ValueError(f"version {state['version']} is unknown")
         # Before version 5 a table was one folder.
         state["tables"] = {n: [{"seq": 0, "rows": t, "files": {}}] if isinstance(t, str) else t for n, t in state["tables"].items()}
+        if state["version"] < 6:
+            # Postings were written in another form; such images are searched by their texts until all segments are merged.
+            for s in (s for t in state["tables"].values() for s in t):
+                s["files"].pop(s.pop("postings", None), None)
         return state
 
     def _publish(self, tables: dict[str, list[dict]]) -> None:
@@ -237,7 +243,11 @@ class Snapshots:
 
     def _write(self, kind: str, df: DataFrame) -> str:
         at = f"{kind}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{at}")
+        out = df.write.option("compression", "zstd")
+        if kind == "postings":
+            # Each block is in the order of trigrams, of which a search wants few: it reads pages.
+            out = out.option("parquet.page.row.count.limit", PAGE_ROWS)
+        out.parquet(f"{self.root}/{at}")
         return at
 
     def _rows(self, name: str, df: DataFrame, parts: int | None = None) -> str:
@@ -331,7 +341,7 @@ class Snapshots:
         if gone is not None:
             made["gone"] = self._write("gone", gone)
         held = [self._scan(s["postings"], postings.SCHEMA) for s in rest if s.get("postings")]
-        if held:
+        if held and len(held) == sum(bool(s.get("rows")) for s in rest):
             made["postings"] = self._write("postings", postings.merge(*held))
         if "count" in rest[-1]:
             made |= {k: rest[-1][k] for k in ("count", "length", "by_source")}

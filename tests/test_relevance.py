@@ -71,3 +71,20 @@ def test_many_hybrid_searches_are_the_engines(spark):
         engine = Engine(corpus, vectors, vectors, encode, encode)
         want = engine.search(t, 12).select("pos", "id", "block", "score", "matched_text", "visual_score", "meaning_score").collect()
         assert got.get(k, []) == [tuple(r) for r in want], t
+
+
+def test_long_lists_read_texts(spark, monkeypatch):
+    """Texts give what postings give: counts, frequencies, ranks and holders; nothing of them is shuffled."""
+    rows = [(i, f"row {i} {'moca ' * (i % 4)}Network aa aaaa", f"n{i}", "s", i % 5) for i in range(30)] + [(40, "the moca network\nof two", None, "s", 9), (41, None, "network of", "s", 1), (42, "", "", "s", 0)]
+    corpus = spark.createDataFrame(rows, "id long, text string, name string, source string, mtime long").repartition(3)
+    index = postings.open_index(postings.build(corpus))
+    terms = ["moca", "network", "aa aaaa", "aaa", "row 7", "zzz"]
+    items = {1: "moca Network", 2: "network\nof two", 3: "of", 4: "aa aaaa", 5: "Network aa"}
+    parsed = {k: parse(t) for k, t in items.items()}
+    made = lambda: ({tuple(r["counts"]) + (r["id"], r["length"]) for r in postings.term_counts(index, terms, postings.scanned(corpus, terms)).collect()}, postings.document_frequencies(index, terms, postings.scanned(corpus, terms)), sorted(relevance.search_ranks(corpus, index, parsed, items).collect()), sorted(relevance.holders(corpus, index, items).collect()))
+    kept = made()
+    assert len(kept[0]) == 32 and len(kept[3]) == 22 + 1 + 30 + 30
+    monkeypatch.setattr(postings, "MANY", 0)
+    assert made() == kept
+    plan = postings.term_counts(index, terms, postings.scanned(corpus.coalesce(1), terms))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Sort" not in plan

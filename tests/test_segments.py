@@ -123,6 +123,16 @@ def test_damaged_files_are_found(spark, tmp_path):
     assert Snapshots(spark, root).recovered and Snapshots(spark, root).table("images").count() == 0
 
 
+def test_an_index_is_built_without_a_shuffle(spark):
+    """Tasks write the blocks that they make; each is in the order of trigrams."""
+    made = postings.build(rows(spark, 50).coalesce(2))
+    assert "Exchange range" not in made._jdf.queryExecution().executedPlan().toString()
+    held = {}
+    for r in made.collect():
+        held.setdefault(r["block"], []).append(r["trigram"])
+    assert all(v[0] == "" and v == sorted(set(v)) for v in held.values())
+
+
 def test_postings_of_odd_texts(spark, tmp_path):
     """Empty and short texts, characters beyond the first plane, names that go on where texts end, nulls."""
     made = [(1, "", ""), (2, "ab", "c"), (3, "abc", None), (4, None, "abc"), (5, "x😀aé😀aéy", "İstanbul"), (6, "ab" * 500, "abab"), (7, "ends in ab", "cab")]
