@@ -26,10 +26,11 @@ def _share(*cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
 
 
-def shared_lines(docs: DataFrame, most: float, least: int = LINE) -> DataFrame:
+def shared_lines(docs: DataFrame, most: float = float("inf"), least: int = LINE) -> DataFrame:
     """(_line, _group): lines of ``least`` characters that more than one and at most ``most`` groups have; ``docs`` has _group and _body.
 
-    A line that more groups share than fit into a shard says nothing about where they belong.
+    Sharding takes all of them: a line that more groups share than fit into a shard votes by the share of them that its label has, so it
+    counts for little beside others, and gathers what nothing else tells where to go.
     """
     lines = F.array_distinct(F.transform(F.filter(F.split("_body", "\n"), lambda x: F.length(x) >= least), lambda x: F.xxhash64(x)))
     held = park(docs.select("_group", F.explode(lines).alias("_line")).distinct())
@@ -89,7 +90,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     total = nodes.count()
     groups = running(nodes.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")), [F.col("_group")], "_n", "_at")
     labels = park(groups.select("_group", "_n", F.floor(F.col("_at") * n_shards / max(total, 1)).cast("int").alias("_label")))
-    edges = shared_lines(read, total / n_shards, line)
+    edges = shared_lines(read, least=line)
     # Only groups with a line in common can move; the others are sizes.
     labels = propagate(labels, edges, n_shards, total, rounds)
     placed = nodes.join(park(labels.withColumnRenamed("_group", "_g")), F.col("_group") == F.col("_g")).drop("_g").withColumn("_one", F.lit(1))

@@ -648,6 +648,19 @@ def test_label_rounds(spark):
     assert held.max() - held.min() <= 1 and len(held) == n
 
 
+def test_lines_that_no_shard_can_hold(spark):
+    """All their groups are linked, and gather as far as a shard's quota has room."""
+    line, n = "a line of forty characters and some more that many have", 4
+    rows = [(i, f"{line}\n{i}" if i < 1300 else f"single {i}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    edges = shards.shared_lines(docs.select(F.col("text").alias("_body"), F.xxhash64("text").alias("_group")))
+    assert edges.count() == edges.select("_group").distinct().count() == 1300
+    most = lambda rounds: int(shards.shard_documents(docs, n, rounds=rounds).where("doc_id < 1300").groupBy("shard").count().agg(F.max("count")).first()[0])
+    assert most(6) > most(0)
+    sizes = shards.shard_documents(docs, n).groupBy("shard").count().toPandas()["count"]
+    assert sizes.min() == sizes.max() == 1000
+
+
 def test_one_text_larger_than_a_shard(spark):
     rows = [(i, "the same" if i % 3 else f"other {i}") for i in range(1000)]
     got = shards.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 24).toPandas()
