@@ -12,6 +12,7 @@ trajectories are computed until the renames that moved something are those that
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,26 +43,35 @@ def numbered(events: DataFrame) -> DataFrame:
     return parked(turns.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("no", F.monotonically_increasing_id()))
 
 
-def _effects(turns: DataFrame) -> DataFrame:
+class Effects(NamedTuple):
+    """What events do, and of how many pieces the paths are that they act on: other folders above a path need not be looked for."""
+
+    rows: DataFrame
+    depths: list[int]
+
+
+def _effects(turns: DataFrame) -> Effects:
     """(no, role, subject, origin, new, cut, to): what events do to what stands at or below ``subject``."""
     fold = lambda c: T.ascii_lower(F.col(c))
     moves = turns.where("action = 'move' AND old_path <> ''")
     part = lambda df, role, subject: df.select("no", F.lit(role).alias("role"), fold(subject).alias("subject"), fold("old_path").alias("origin"), F.col("path").alias("new"), F.length("old_path").alias("cut"), F.col("source").alias("to"))
     gone = turns.where("action = 'forget'").withColumn("path", F.when(F.col("op") == "deleted", F.col("path")).otherwise(F.col("old_path")))
-    return parked(part(moves, MOVE, "old_path").unionByName(part(moves, OVER, "path")).unionByName(part(gone, GONE, "path")))
+    rows = parked(part(moves, MOVE, "old_path").unionByName(part(moves, OVER, "path")).unionByName(part(gone, GONE, "path")))
+    depths = rows.where("subject IS NOT NULL").select(F.size(F.split("subject", "/")).alias("n")).distinct().collect()
+    return Effects(rows, sorted(r["n"] for r in depths))
 
 
-def _above(key: Column) -> Column:
-    """A folded path and all folders above it."""
+def _above(key: Column, depths: list[int]) -> Column:
+    """Of a folded path and all folders above it those of so many pieces."""
     pieces = F.split(key, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda n: F.array_join(F.slice(pieces, F.lit(1), n), "/"))
+    return F.transform(F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda n: n.isin(*depths)), lambda n: F.array_join(F.slice(pieces, F.lit(1), n), "/"))
 
 
-def _next(rows: DataFrame, effects: DataFrame, moved: DataFrame | None) -> DataFrame:
+def _next(rows: DataFrame, effects: Effects, moved: DataFrame | None) -> DataFrame:
     """For rows (id, path, at, ...) the first event after ``at`` that acts on each: id, and a struct ``e`` of the event."""
     key = T.ascii_lower(F.col("path"))
-    asked = rows.select("id", "at", key.alias("_key"), F.explode(_above(key)).alias("subject"))
-    hit = asked.join(effects, "subject").where("no > at")
+    asked = rows.select("id", "at", key.alias("_key"), F.explode(_above(key, effects.depths)).alias("subject"))
+    hit = asked.join(effects.rows, "subject").where("no > at")
     # What an event moves is not what it takes the place of.
     own = (F.col("_key") == F.col("origin")) | F.startswith(F.col("_key"), F.concat("origin", F.lit("/")))
     hit = hit.where((F.col("role") != OVER) | ~own)
@@ -71,7 +81,7 @@ def _next(rows: DataFrame, effects: DataFrame, moved: DataFrame | None) -> DataF
     return hit.groupBy("id").agg(F.min_by(e, F.struct("no", "role")).alias("e"))
 
 
-def _chains(turns: DataFrame, effects: DataFrame, moved: DataFrame | None) -> tuple[list[DataFrame], bool]:
+def _chains(turns: DataFrame, effects: Effects, moved: DataFrame | None) -> tuple[list[DataFrame], bool]:
     """(tables (no, then): from a rename of a file to the 1st, 2nd, 4th, 8th ... rename of the same file after it; whether a place is taken)."""
     files = turns.where(F.col("action") == "move").where(T.has_extension(F.col("path"))).select(F.col("no").alias("id"), "path", F.col("no").alias("at"))
     first = parked(_next(files, effects, moved))
@@ -95,7 +105,7 @@ def _last(chains: list[DataFrame]) -> DataFrame | None:
     return parked(now)
 
 
-def _follow(rows: DataFrame, turns: DataFrame, effects: DataFrame, moved: DataFrame | None) -> tuple[DataFrame, DataFrame, bool]:
+def _follow(rows: DataFrame, turns: DataFrame, effects: Effects, moved: DataFrame | None) -> tuple[DataFrame, DataFrame, bool]:
     """(what becomes of the rows that an event acts on: id, path, source, gone; events that moved something: no; whether a place is taken)."""
     chains, taken = _chains(turns, effects, moved)
     last = _last(chains)
@@ -135,7 +145,7 @@ def resolve(images: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     effects = _effects(turns)
     key = T.ascii_lower(F.col("path"))
-    touched = images.select("id", F.explode(_above(key)).alias("subject")).join(effects.select("subject").distinct(), "subject", "left_semi").select("id").distinct()
+    touched = images.select("id", F.explode(_above(key, effects.depths)).alias("subject")).join(effects.rows.select("subject").distinct(), "subject", "left_semi").select("id").distinct()
     rows = parked(images.select("id", "path", "source").join(touched, "id", "left_semi"))
     out, moved, taken = _follow(rows, turns, effects, None)
     while taken:

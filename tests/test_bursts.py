@@ -82,3 +82,14 @@ def test_a_hundred_thousand_renames(spark):
     ends, moved = bursts.resolve(images, bursts.numbered(events))
     assert {(r["id"], r["path"]) for r in ends.collect()} == {(f, f"/x/f{f}-{times}.png") for f in range(files)}
     assert moved.count() == files * times and time.time() - start < 240
+
+
+def test_folders_that_no_event_acts_on_are_not_looked_for(spark):
+    """Of the folders above a path only those as deep as a path that an event acts on."""
+    from tessera.streaming import bursts
+
+    events = spark.createDataFrame([(1, "renamed", "/a/b/new", "/a/b/old", "s"), (2, "deleted", "/a/b/c/d/e.png", None, "s")], "ts int, op string, path string, old_path string, source string")
+    effects = bursts._effects(bursts.numbered(events.withColumn("ts", F.timestamp_seconds("ts"))))
+    assert effects.depths == [4, 6]
+    above = spark.createDataFrame([("/a/b/old/x/y.png",)], "path string").select(bursts._above(F.col("path"), effects.depths).alias("p")).first()["p"]
+    assert above == ["/a/b/old", "/a/b/old/x/y.png"]
