@@ -16,6 +16,7 @@ from tessera.functions import text as T
 from tessera.operators import fusion, postings, vector_search
 from tessera.operators.postings import TextIndex
 from tessera.operators.text_search import idf, term_filter
+from tessera.plans.batches import small_batches
 from tessera.plans.query import Query
 
 FOLD = str.maketrans(T.UPPER, T.LOWER)
@@ -77,11 +78,13 @@ def text_matches(corpus: DataFrame, index: TextIndex, queries: dict[int, Query])
 def text_hits(corpus: DataFrame, index: TextIndex, queries: dict[int, Query], limit: int) -> DataFrame:
     """(item, pos, id, score, exact): each query's ``limit`` best rows by BM25, newest first among equals, and which of them hold the phrase."""
     spark = corpus.sparkSession
-    found = text_matches(corpus, index, queries).persist()
-    items = [r["item"] for r in found.select("item").distinct().collect()]
+    with small_batches(spark):
+        found = text_matches(corpus, index, queries).persist()
+        items = [r["item"] for r in found.select("item").distinct().collect()]
     phrase = {k: queries[k].phrase.lower() if len(queries[k].terms) > 1 and len(queries[k].phrase) >= 3 else None for k in items}
     terms = sorted({t.lower() for k in items for t in queries[k].long_terms if len(t) >= 3} | {p for p in phrase.values() if p})
-    df = postings.document_frequencies(index, terms, postings.scanned(corpus, terms))
+    with small_batches(spark):
+        df = postings.document_frequencies(index, terms, postings.scanned(corpus, terms))
     weights = [(k, [idf(index.n, df[t.lower()]) for t in queries[k].long_terms], idf(index.n, df[phrase[k]]) if phrase[k] else None, len(queries[k].terms) == 1) for k in items]
     known = found.join(F.broadcast(spark.createDataFrame(weights, "item long, _idf array<double>, _phrase_idf double, _single boolean")), "item")
     known = known.join(corpus.select(F.col("id").cast("long").alias("id"), "mtime"), "id")

@@ -33,6 +33,10 @@ from tessera.plans.together import together
 SCHEMA = "seq long, trigram string, block long, ids array<bigint>, sizes array<int>, places binary"
 #: Characters and rows that a block gathers before it is written.
 CHARACTERS, ROWS = 1 << 21, 1 << 14
+#: Counts of rows and terms that are looked at together, and numbers that are packed together: some megabytes, however short the rows and many the terms.
+CELLS = 1 << 20
+#: Rows of an Arrow batch that become Python's at once.
+SLICE = 64
 #: Rows whose texts are named one by one where they are read; more are joined.  Matches that are broadcast: a few dozen megabytes.
 NAMED, BROADCAST = 10_000, 200_000
 #: Trigrams beyond which texts are read instead of postings.
@@ -56,13 +60,16 @@ def _length() -> Column:
 
 def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, where each number's begin and the last one's end): seven bits a byte, low ones first, the highest bit says that more follow."""
-    v = numbers.astype(np.int64)
-    size = 1 + sum((v >= 1 << k).astype(np.int64) for k in (7, 14, 21, 28))
-    cuts = np.r_[0, np.cumsum(size)]
+    size = np.ones(len(numbers), np.uint8)
+    for k in (7, 14, 21, 28):
+        size += numbers >= 1 << k
+    cuts = np.r_[0, np.cumsum(size, dtype=np.int64)]
     out = np.zeros(cuts[-1], np.uint8)
-    for k in range(5):
-        more = np.flatnonzero(size > k)
-        out[cuts[more] + k] = v[more] >> 7 * k & 127 | 128 * (size[more] > k + 1)
+    for i in range(0, len(numbers), CELLS >> 2):
+        v, own, start = numbers[i : i + (CELLS >> 2)], size[i : i + (CELLS >> 2)], cuts[i : i + (CELLS >> 2)]
+        for k in range(5):
+            more = np.flatnonzero(own > k)
+            out[start[more] + k] = v[more] >> 7 * k & 127 | 128 * (own[more] > k + 1)
     return out, cuts
 
 
@@ -90,16 +97,38 @@ class _Line(NamedTuple):
 def _line(held: list[tuple]) -> _Line:
     """``held``: (id, length, folded text, folded name)."""
     held.sort(key=lambda r: r[0])
-    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for r in held for t in r[2:]]
-    size = np.array([len(p) for p in points], np.int32)
-    unit = np.repeat(np.arange(len(points)), size)
-    point = np.concatenate(points).astype(np.uint64) if len(unit) else np.zeros(0, np.uint64)
-    at = np.flatnonzero(unit[2:] == unit[:-2])
-    code = point[at] << np.uint64(42) | point[at + 1] << np.uint64(21) | point[at + 2]
-    order = np.argsort(code, kind="stable")
-    code, at = code[order], at[order]
+    size = np.array([len(t) for r in held for t in r[2:]], np.int32)
+    point = np.frombuffer("".join(t for r in held for t in r[2:]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    whole, ends = np.ones(len(point), bool), np.cumsum(size, dtype=np.int64)
+    whole[ends[size > 0] - 1] = whole[ends[size > 1] - 2] = False
+    at = np.flatnonzero(whole).astype(np.int32)
+    del whole
+    # Characters by their places among the block's own: few bits, so that a trigram and its place are one number, sorted where it stands.
+    seen = np.zeros(int(point.max(initial=0)) + 1, bool)
+    seen[point] = True
+    letters = np.flatnonzero(seen).astype(np.uint64)
+    of = np.cumsum(seen, dtype=np.uint32) - np.uint32(1)
+    bits, low = max(len(letters) - 1, 1).bit_length(), max(len(point), 1).bit_length()
+    packs = 3 * bits + low <= 64
+    code = np.zeros(len(at), np.uint64)
+    for j in range(3):
+        code <<= np.uint64(bits)
+        code |= of[point[at + np.int32(j)]]
+    if packs:
+        code <<= np.uint64(low)
+        code |= at.view(np.uint32)
+        code.sort()
+        at = (code & np.uint64((1 << low) - 1)).astype(np.int32)
+        code >>= np.uint64(low)
+    else:
+        order = np.argsort(code, kind="stable")
+        code, at = code[order], at[order]
     lead = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
-    return _Line(np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int32), size, code[lead], np.r_[lead, len(code)], at)
+    first = code[lead]
+    names = np.zeros(len(lead), np.uint64)
+    for j in (2, 1, 0):
+        names = names << np.uint64(21) | letters[(first >> np.uint64(j * bits) & np.uint64((1 << bits) - 1)).astype(np.int64)]
+    return _Line(np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int32), size, names, np.r_[lead, len(code)], at)
 
 
 def _block(held: list[tuple]) -> pa.RecordBatch:
@@ -124,12 +153,13 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     held: list[tuple] = []
     n = 0
     for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            held.append(r)
-            n += len(r[2]) + len(r[3])
-            if n > CHARACTERS or len(held) >= ROWS:
-                yield held
-                held, n = [], 0
+        for i in range(0, b.num_rows, SLICE):
+            for r in zip(*(c.to_pylist() for c in b.slice(i, SLICE).columns), strict=True):
+                held.append(r)
+                n += len(r[2]) + len(r[3])
+                if n > CHARACTERS or len(held) >= ROWS:
+                    yield held
+                    held, n = [], 0
     if held:
         yield held
 
@@ -205,17 +235,26 @@ def _follow(keys: dict[str, np.ndarray], grams: list[str]) -> np.ndarray:
 
 
 def _answered(index: TextIndex, terms: list[str], emit: Callable[..., Iterator[pa.RecordBatch]], schema: str, corpus: DataFrame | None = None) -> DataFrame:
-    """What ``emit`` makes of each block: seq, ids, lengths, and counts by row and term.  One read of the terms' trigrams; blocks come whole.
+    """What ``emit`` makes of each block, some rows at a time: seq, ids, lengths, and counts by row and term.  One read of the terms' trigrams; blocks come whole.
 
     With a ``corpus`` (see :func:`scanned`) its texts are read instead; no row of it is out of date.
     """
     asked = [trigrams_of(t) for t in terms]
     needed = sorted({g for grams in asked for g in grams})
 
-    def counted(size: np.ndarray, keys: dict[str, np.ndarray]) -> np.ndarray:
-        """By row and term; a row is a text and a name."""
+    def counted(seq: int, ids: np.ndarray, length: np.ndarray, size: np.ndarray, keys: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """A row is a text and a name.  Cells of rows and terms are numbered; those that have an occurrence are counted for CELLS at a time."""
         ends = np.cumsum(size.reshape(-1, 2).sum(axis=1))
-        return np.stack([np.bincount(np.searchsorted(ends, _follow(keys, grams), "right"), minlength=len(ends)).astype(np.int32) for grams in asked], axis=1)
+        there = ((i, _follow(keys, grams)) for i, grams in enumerate(asked))
+        cell = np.concatenate([np.zeros(0, np.int64), *(np.searchsorted(ends, at, "right") * len(asked) + i for i, at in there if len(at))])
+        cell.sort()
+        step = max(1, CELLS // len(asked))
+        for i in range(0, len(ids), step):
+            n = min(step, len(ids) - i)
+            a, b = np.searchsorted(cell, [i * len(asked), (i + n) * len(asked)])
+            if a < b:
+                counts = np.bincount(cell[a:b] - i * len(asked), minlength=n * len(asked)).astype(np.int32).reshape(n, -1)
+                yield from emit(seq, ids[i : i + n], length[i : i + n], counts)
 
     def answer(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -225,7 +264,7 @@ def _answered(index: TextIndex, terms: list[str], emit: Callable[..., Iterator[p
         ids, length = (t.column(c)[0].values.to_numpy() for c in ("ids", "sizes"))
         steps = [unpacked(np.frombuffer(x.as_buffer(), np.uint8)) for x in t.column("places")]
         keys = {g: np.cumsum(steps[i]) for i, g in enumerate(names[1:], 1)}
-        yield from emit(t.column("seq")[0].as_py(), ids, length.astype(np.int32), counted(steps[0], keys))
+        yield from counted(t.column("seq")[0].as_py(), ids, length.astype(np.int32), steps[0], keys)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = np.array([_code(g) for g in needed], np.uint64)
@@ -236,7 +275,7 @@ def _answered(index: TextIndex, terms: list[str], emit: Callable[..., Iterator[p
             there = there[b.names[place[there]] == codes[there]]
             if len(there):
                 keys = {needed[i]: b.at[b.lead[place[i]] : b.lead[place[i] + 1]] for i in there}
-                yield from emit(0, b.ids, b.length, counted(b.size, keys))
+                yield from counted(0, b.ids, b.length, b.size, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -291,7 +330,9 @@ def document_frequencies(index: TextIndex, terms: list[str], corpus: DataFrame |
     """In how many rows each of the terms stands; sums come from each block, and from rows where some are out of date."""
 
     def sums(seq, ids, length, counts):
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms))), pa.array((counts > 0).sum(axis=0))], names=["term", "n"])
+        n = np.count_nonzero(counts, axis=0)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["term", "n"])
 
     def rows(seq, ids, length, counts):
         at, term = np.nonzero(counts)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions.encoders import Encoder
 from tessera.operators import batch, postings, vector_search
 from tessera.operators.postings import TextIndex
+from tessera.plans.batches import small_batches
 from tessera.plans.query import Query
 
 
@@ -75,9 +76,11 @@ def holders(corpus: DataFrame, index: TextIndex, answers: dict[int, str]) -> Dat
     found = postings.term_counts(index, texts, postings.scanned(corpus, texts)) if texts else spark.createDataFrame([], "id long, counts array<bigint>")
     place = {t: i for i, t in enumerate(texts)}
     wanted = F.broadcast(spark.createDataFrame([(k, t, place.get(t.lower())) for k, t in answers.items()], "item long, _answer string, _at int"))
-    pairs = found.select("id", F.posexplode("counts").alias("_at", "_n")).where("_n > 0").select("id", "_at").persist()
+    pairs = found.select("id", F.posexplode("counts").alias("_at", "_n")).where("_n > 0").select("id", "_at")
     # Few are told to all tasks, so that no text is shuffled.
-    met = F.broadcast(pairs) if pairs.count() <= postings.BROADCAST else pairs
+    with small_batches(spark):
+        pairs = pairs.persist()
+        met = F.broadcast(pairs) if pairs.count() <= postings.BROADCAST else pairs
     read = corpus.select(F.col("id").cast("long").alias("id"), "text")
     return read.join(met, "id").join(wanted.where("_at IS NOT NULL"), "_at").where(F.contains("text", F.col("_answer"))).select("item", "id")
 

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from tessera import diagnostics
 from tessera.operators import postings
+from tessera.plans.batches import small_batches
 
-VERSION = 6
+VERSION = 7
 SCHEMAS = {
     "images": "id long, path string, name string, source string, size long, mtime timestamp, width int, height int, indexed_at timestamp, status string, error string, ocr_json string, text string",
     "embeddings": "image_id long, model string, vec array<float>",
@@ -37,6 +38,9 @@ GONE = "id long, seq long"
 SEGMENTS, FILE_ROWS = 8, 100_000
 #: Rows of a page of postings, of which a block has some ten thousand.
 PAGE_ROWS = 500
+#: Compressed bytes that a task gathers before they are written: Spark's readers hold 4,096 rows at once, but none of two row groups, and
+#: images in the order of time may have their longest texts together.
+GROUP_BYTES, POSTINGS_BYTES = 8 << 20, 32 << 20
 
 
 class Conflict(RuntimeError):
@@ -176,22 +180,37 @@ class Snapshots:
             return {}
         return {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(f"{self.root}/{at}")) if s.getPath().getName().endswith(".parquet")}
 
-    def _sums(self, folders: list[str]) -> dict[str, dict[str, list[int]]]:
-        """For each folder its files' lengths and checksums; one job for all."""
+    def _sums(self, folders: list[str], whole: bool = False) -> dict[str, dict[str, list[int]]]:
+        """For each folder its files' lengths and checksums; one job for all.
+
+        Files are read as lines, whatever they hold, so a task holds no file, however large: the sum of the lines' CRC-32 and their number.
+        ``whole``: the CRC-32 of the file's bytes, as it was before version 7.
+        """
         out: dict[str, dict[str, list[int]]] = {at: {} for at in folders}
-        paths = [f"{self.root}/{at}" for at in folders if self._files(at)]
-        if paths:
-            read = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(paths)
-            for r in read.select("path", "length", F.crc32("content").alias("crc")).collect():
-                folder, name = r["path"].rsplit("/", 2)[1:]
-                out[folder][name] = [r["length"], r["crc"]]
+        sizes = {at: files for at in folders if (files := self._files(at))}
+        paths = [f"{self.root}/{at}" for at in sizes]
+        if not paths:
+            return out
+        read = self.spark.read.option("pathGlobFilter", "*.parquet")
+        if whole:
+            found = read.format("binaryFile").load(paths).select("path", F.array(F.crc32("content")).alias("sum"))
+        else:
+            lines = read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("path"), F.crc32("value").alias("crc"))
+            found = lines.groupBy("path").agg(F.array(F.sum("crc"), F.count(F.lit(1))).alias("sum"))
+        for r in found.collect():
+            folder, name = r["path"].rsplit("/", 2)[1:]
+            out[folder][name] = [sizes[folder][name], *r["sum"]]
         return out
 
     def damaged(self, state: dict | None = None, check: str = "bytes") -> list[str]:
         """Files of a version (default: the one that is open) that are missing or not what was written, by their lengths or also their bytes."""
         wanted = {at: files for table in (state or self.state)["tables"].values() for s in table for at, files in s["files"].items()}
-        found = {at: {n: [size] for n, size in self._files(at).items()} for at in wanted} if check == "files" else self._sums(list(wanted))
-        return sorted(f"{at}/{n}" for at, files in wanted.items() for n, known in files.items() if found[at].get(n) != known[: 1 if check == "files" else 2])
+        if check == "files":
+            found = {at: {n: [size] for n, size in self._files(at).items()} for at in wanted}
+        else:
+            old = [at for at, files in wanted.items() if any(len(known) == 2 for known in files.values())]
+            found = self._sums([at for at in wanted if at not in old]) | self._sums(old, whole=True)
+        return sorted(f"{at}/{n}" for at, files in wanted.items() for n, known in files.items() if found[at].get(n) != (known[:1] if check == "files" else known))
 
     # --- reading --------------------------------------------------------------------------------
 
@@ -243,7 +262,7 @@ class Snapshots:
 
     def _write(self, kind: str, df: DataFrame) -> str:
         at = f"{kind}-{uuid.uuid4().hex}"
-        out = df.write.option("compression", "zstd")
+        out = df.write.option("compression", "zstd").option("parquet.block.size", POSTINGS_BYTES if kind == "postings" else GROUP_BYTES)
         if kind == "postings":
             # Each block is in the order of trigrams, of which a search wants few: it reads pages.
             out = out.option("parquet.page.row.count.limit", PAGE_ROWS)
@@ -263,7 +282,8 @@ class Snapshots:
         if name == "images":
             rows = self._scan(segment["rows"], SCHEMAS[name]) if segment.get("rows") else None
             if rows is not None:
-                segment["postings"] = self._write("postings", postings.build(rows, segment["seq"]))
+                with small_batches(self.spark):
+                    segment["postings"] = self._write("postings", postings.build(rows, segment["seq"]))
             added = postings.statistics(self._scan(segment["postings"], postings.SCHEMA)) if rows is not None else (0, 0)
             of = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()} if rows is not None else {}
             sources = dict(before[-1].get("by_source", {})) if before else {}
