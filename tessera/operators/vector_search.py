@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import dots, rows_of
+from tessera.functions.vectors import CHUNK, dots, rows_of
 from tessera.operators.text_search import date_filter, source_prefix
 from tessera.plans.query import Query
 
@@ -56,7 +56,7 @@ def best_rows(vectors: DataFrame, queries: np.ndarray, limit: int, floor: float
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         # From where on a query's rows can be among its best.
         least = np.full(len(queries), floor)
-        for b in batches:
+        for b in (whole.slice(i, CHUNK) for whole in batches for i in range(0, whole.num_rows, CHUNK)):
             rows, x = rows_of(b.column(1), queries.shape[1])
             if not len(rows):
                 continue

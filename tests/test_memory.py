@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from tessera.operators import postings
+from tessera.operators import postings, vector_search
 from tessera.sources.snapshots import Snapshots
 from tests.test_segments import rows
 
@@ -100,3 +100,18 @@ def test_trigrams_of_large_alphabets(spark):
             want.setdefault(postings._code(t[i : i + 3]), []).append(at + i)
     assert got.names.tolist() == sorted(want)
     assert {int(c): got.at[i:j].tolist() for c, i, j in zip(got.names, got.lead, got.lead[1:], strict=False)} == want
+
+
+def test_many_queries_on_a_batch_of_vectors(spark):
+    """10,000 vectors are scored against 200 queries some rows at a time."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(10_000, 8)) + 2
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    whole = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 8).cast(pa.list_(pa.float64()))], names=["id", "vec"])
+    held = Held()
+    vector_search.best_rows(held, x[:200], 20, 0.2)
+    out = []
+    assert peak_mb(out.append(b) for b in held.run(iter([whole]))) < 60
+    ids = out[0].column("id").to_numpy().reshape(200, 20)
+    score = vector_search.dots(x, x[:200])
+    assert all((ids[i] == np.lexsort((np.arange(10_000), -score[:, i]))[:20]).all() for i in range(200))
